@@ -26,7 +26,11 @@ def _register(name: str, sql: str | None = None):
         _QUERIES[name] = fn
         if sql is not None:
             used = set(re.findall(r"\bm_\w+\b", sql))
-            _ORACLE[name] = cte_prefix(sorted(used)) + sql.strip()
+            prefix, body = cte_prefix(sorted(used)), sql.strip()
+            if prefix and body[:5].upper() == "WITH ":
+                _ORACLE[name] = prefix.rstrip() + ",\n" + body[5:]
+            else:
+                _ORACLE[name] = prefix + body
         return fn
     return deco
 
@@ -252,6 +256,338 @@ def q_log_append(spark, sf_dir):
     return log.read()
 
 
+# ---------------------------------------------------------------- SQL text helpers (oracle side)
+
+def _esc(x: str) -> str:
+    return f"replace(replace({x}, '\\', '\\\\'), '''', '\\''')"
+
+
+def _lit(x: str) -> str:
+    return f"('''' || {_esc(x)} || '''')"
+
+
+def _qp(x: str) -> str:
+    return f"('`' || replace({x}, '`', '``') || '`')"
+
+
+def _q(*parts: str) -> str:
+    return " || '.' || ".join(_qp(p) for p in parts)
+
+
+AUX = CATALOG + "_aux"
+_NL = "chr(10)"
+_CLASSIFIED = f"(SELECT *, {_CLASS} AS cls FROM m_tables WHERE table_schema <> 'information_schema')"
+_DESCRIBE = """(SELECT object_name,
+  coalesce(max(CASE WHEN lower(trim(coalesce(info_name, ''))) = 'owner' THEN coalesce(trim(info_value), '') END), '') AS owner,
+  coalesce(max(CASE WHEN lower(trim(coalesce(info_name, ''))) = 'comment' THEN coalesce(trim(info_value), '') END), '') AS comment,
+  coalesce(max(CASE WHEN lower(trim(coalesce(info_name, ''))) = 'properties' THEN coalesce(trim(info_value), '') END), '') AS properties
+FROM m_describe_kv GROUP BY object_name)"""
+_KC = """(SELECT constraint_name, table_schema, table_name, string_agg(column_name, ', ' ORDER BY ordinal_position) AS cols,
+  string_agg('`' || replace(column_name, '`', '``') || '`', ', ' ORDER BY ordinal_position) AS qcols
+FROM m_key_column_usage GROUP BY constraint_name, table_schema, table_name)"""
+_FK = f"""(SELECT t.table_schema, t.table_name, t.constraint_name, kc.cols, kc.qcols,
+  CASE WHEN rc.unique_constraint_catalog = '{CATALOG}' THEN '{AUX}' ELSE rc.unique_constraint_catalog END AS ref_catalog,
+  rc.unique_constraint_schema AS ref_schema, coalesce(ref.ref_table, '') AS ref_table, coalesce(ref.ref_cols, '') AS ref_cols,
+  coalesce(ref.ref_qcols, '') AS ref_qcols
+FROM m_table_constraints t JOIN {_KC} kc USING (constraint_name, table_schema, table_name)
+JOIN m_referential_constraints rc ON rc.constraint_name = t.constraint_name AND rc.constraint_schema = t.table_schema
+LEFT JOIN (SELECT table_schema, constraint_name, min(table_name) AS ref_table, arg_min(cols, table_name) AS ref_cols,
+             arg_min(qcols, table_name) AS ref_qcols FROM {_KC} k GROUP BY table_schema, constraint_name) ref
+  ON rc.unique_constraint_catalog = '{CATALOG}' AND ref.constraint_name = rc.unique_constraint_name
+ AND ref.table_schema = rc.unique_constraint_schema
+WHERE t.constraint_type = 'FOREIGN KEY')"""
+_SEC = f"""(SELECT 'CATALOG' AS object_type, '{CATALOG}' AS object_key
+  UNION ALL SELECT 'SCHEMA', '{CATALOG}.' || schema_name FROM m_schemata WHERE schema_name <> 'information_schema'
+  UNION ALL SELECT CASE WHEN table_type IN ('VIEW', 'METRIC_VIEW') THEN 'VIEW' ELSE 'TABLE' END,
+    '{CATALOG}.' || table_schema || '.' || table_name FROM m_tables WHERE table_schema <> 'information_schema')"""
+
+
+def _direct(grants: str) -> str:
+    return f"""(SELECT DISTINCT s.object_type, s.object_key, g.principal, g.action_type FROM {_SEC} s
+  JOIN {grants} g ON g.object_key = s.object_key WHERE g.object_type IS NULL OR upper(g.object_type) = upper(s.object_type))"""
+
+
+def _norm(x: str) -> str:
+    return f"upper(replace(replace({x}, '_', ''), ' ', ''))"
+
+
+_POST = "cls IN ('view', 'mv', 'metric_view')"
+_TGT_CAT = f"CASE WHEN {_POST} THEN '{CATALOG}' ELSE '{AUX}' END"
+_TGT_TABLE = f"{_qp(_TGT_CAT)} || '.' || {_qp('table_schema')} || '.' || {_qp('table_name')}"
+_OBJTYPE = "CASE cls WHEN 'view' THEN 'VIEW' WHEN 'mv' THEN 'MATERIALIZED_VIEW' WHEN 'metric_view' THEN 'METRIC_VIEW' ELSE 'TABLE' END"
+
+# ---------------------------------------------------------------- metadata, keys, tags, functions
+
+from vaultshift.functions import names as NM  # noqa: E402
+from vaultshift.operators import access as acc  # noqa: E402
+from vaultshift.operators import constraints as con  # noqa: E402
+from vaultshift.operators import metadata as meta  # noqa: E402
+from vaultshift.operators import routines as rtn  # noqa: E402
+from vaultshift.operators import tags as tg  # noqa: E402
+from vaultshift.plans import statements as st  # noqa: E402
+
+
+@_register("describe_pivot", f"SELECT * FROM {_DESCRIBE} d")
+def q_describe_pivot(spark, sf_dir):
+    return meta.describe_pivot(_fx(spark, sf_dir)["m_describe_kv"])
+
+
+@_register("quoted_names", f"""
+SELECT concat_ws('.', '{CATALOG}', table_schema, table_name) AS fqn, {_q(f"'{CATALOG}'", 'table_schema', 'table_name')} AS quoted,
+  {_esc('comment')} AS escaped_comment FROM m_tables""")
+def q_quoted_names(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    t = _fx(spark, sf_dir)["m_tables"]
+    return t.select(
+        NM.fqn(F.lit(CATALOG), F.col("table_schema"), F.col("table_name")).alias("fqn"),
+        NM.quoted(F.lit(CATALOG), F.col("table_schema"), F.col("table_name")).alias("quoted"),
+        NM.escape_literal(F.col("comment")).alias("escaped_comment"),
+    )
+
+
+@_register("pk_constraints", f"""
+SELECT t.table_schema, t.table_name, t.constraint_name, kc.cols FROM m_table_constraints t
+JOIN {_KC} kc USING (constraint_name, table_schema, table_name) WHERE t.constraint_type = 'PRIMARY KEY'""")
+def q_pk_constraints(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return con.pk_constraints(f["m_table_constraints"], f["m_key_column_usage"]).select(
+        "table_schema", "table_name", "constraint_name", "cols")
+
+
+@_register("fk_constraints", f"""
+SELECT table_schema, table_name, constraint_name, cols, ref_catalog, ref_schema, ref_table, ref_cols FROM {_FK} fk""")
+def q_fk_constraints(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return con.fk_constraints(f["m_table_constraints"], f["m_key_column_usage"], f["m_referential_constraints"],
+                              CATALOG, AUX).select(
+        "table_schema", "table_name", "constraint_name", "cols", "ref_catalog", "ref_schema", "ref_table", "ref_cols")
+
+
+@_register("constraint_plan", f"""
+SELECT 1 AS step, t.table_schema, t.table_name,
+  'ALTER TABLE ' || {_q(f"'{AUX}'", 't.table_schema', 't.table_name')} || ' ADD CONSTRAINT ' || {_qp('t.constraint_name')}
+  || ' PRIMARY KEY (' || kc.qcols || ')' AS statement
+FROM m_table_constraints t JOIN {_KC} kc USING (constraint_name, table_schema, table_name) WHERE t.constraint_type = 'PRIMARY KEY'
+UNION ALL
+SELECT 2, table_schema, table_name,
+  'ALTER TABLE ' || {_q(f"'{AUX}'", 'table_schema', 'table_name')} || ' ADD CONSTRAINT ' || {_qp('constraint_name')}
+  || ' FOREIGN KEY (' || qcols || ') REFERENCES ' || {_q('ref_catalog', 'ref_schema', 'ref_table')} || ' (' || ref_qcols || ')'
+FROM {_FK} fk""")
+def q_constraint_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return st.constraint_plan(f["m_table_constraints"], f["m_key_column_usage"], f["m_referential_constraints"],
+                              CATALOG, AUX)
+
+
+_TAGVAL = "coalesce(tag_value, '')"
+_PAIR = f"('''' || tag_name || ''' = ' || {_lit(_TAGVAL)})"
+
+
+@_register("tag_pairs", f"""
+SELECT table_schema, table_name, string_agg({_PAIR}, ', ' ORDER BY tag_name, {_PAIR}) AS tags
+FROM m_tags WHERE upper(object_type) = 'TABLE' GROUP BY table_schema, table_name""")
+def q_tag_pairs(spark, sf_dir):
+    return tg.table_tag_pairs(_fx(spark, sf_dir)["m_tags"]).select("table_schema", "table_name", "tags")
+
+
+@_register("column_tag_pairs", f"""
+SELECT table_schema, table_name, column_name, string_agg({_PAIR}, ', ' ORDER BY tag_name, {_PAIR}) AS tags
+FROM m_tags WHERE upper(object_type) = 'COLUMN' GROUP BY table_schema, table_name, column_name""")
+def q_column_tag_pairs(spark, sf_dir):
+    return tg.column_tag_pairs(_fx(spark, sf_dir)["m_tags"]).select("table_schema", "table_name", "column_name", "tags")
+
+
+@_register("tag_plan", f"""
+WITH tt AS (SELECT table_schema, table_name, CASE WHEN cls IN ('view', 'metric_view') THEN 'VIEW' ELSE 'TABLE' END AS kw,
+    {_TGT_TABLE} AS target_q FROM {_CLASSIFIED} c WHERE cls IN ('managed', 'view', 'mv', 'metric_view')),
+g AS (SELECT x.table_schema, x.table_name, CASE WHEN upper(x.object_type) = 'COLUMN' THEN x.column_name END AS column_name,
+    x.tag_name, x.tag_value, tt.kw, tt.target_q FROM m_tags x JOIN tt USING (table_schema, table_name)
+  WHERE upper(x.object_type) IN ('TABLE', 'COLUMN')),
+a AS (SELECT *, 'ALTER ' || kw || ' ' || target_q || CASE WHEN column_name IS NOT NULL THEN ' ALTER COLUMN ' || {_qp('column_name')}
+    ELSE '' END || ' SET TAGS (' AS alter_txt, {_PAIR} AS pair FROM g)
+SELECT table_schema, table_name, column_name, alter_txt || pair || ')' AS statement, 'single' AS mode FROM a
+UNION ALL SELECT table_schema, table_name, column_name, alter_txt || string_agg(pair, ', ' ORDER BY tag_name, pair) || ')', 'batch'
+FROM a GROUP BY table_schema, table_name, column_name, alter_txt""")
+def q_tag_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return st.tag_plan(f["m_tables"], f["m_tags"], CATALOG, AUX)
+
+
+@_register("table_metadata", f"""
+WITH base AS (SELECT table_schema, table_name, coalesce(comment, '') AS comment, coalesce(table_owner, '') AS table_owner,
+    '{CATALOG}.' || table_schema || '.' || table_name AS object_key FROM {_CLASSIFIED} c WHERE cls = 'managed'),
+tt AS (SELECT table_schema, table_name, string_agg({_PAIR}, ', ' ORDER BY tag_name, {_PAIR}) AS tags
+  FROM m_tags WHERE upper(object_type) = 'TABLE' GROUP BY table_schema, table_name),
+ct AS (SELECT table_schema, table_name, count(*) AS n FROM m_tags WHERE upper(object_type) = 'COLUMN' GROUP BY table_schema, table_name),
+pk AS (SELECT t.table_schema, t.table_name, min(t.constraint_name) AS pk_name, arg_min(kc.cols, t.constraint_name) AS pk_cols
+  FROM m_table_constraints t JOIN {_KC} kc USING (constraint_name, table_schema, table_name)
+  WHERE t.constraint_type = 'PRIMARY KEY' GROUP BY t.table_schema, t.table_name),
+fk AS (SELECT table_schema, table_name, count(*) AS n_fks FROM {_FK} f GROUP BY table_schema, table_name),
+g AS (SELECT object_key, count(*) AS n_grants FROM (SELECT DISTINCT object_key, principal, action_type FROM m_grants
+  WHERE upper(object_type) = 'TABLE' AND upper(action_type) NOT IN ('OWN', 'OWNERSHIP')) d GROUP BY object_key)
+SELECT base.table_schema, base.table_name, base.comment, coalesce(tt.tags, '') AS table_tags, coalesce(ct.n, 0) AS n_column_tags,
+  coalesce(pk.pk_name, '') AS pk_name, coalesce(pk.pk_cols, '') AS pk_cols, coalesce(fk.n_fks, 0) AS n_fks,
+  coalesce(g.n_grants, 0) AS n_grants, base.table_owner
+FROM base LEFT JOIN tt USING (table_schema, table_name) LEFT JOIN ct USING (table_schema, table_name)
+LEFT JOIN pk USING (table_schema, table_name) LEFT JOIN fk USING (table_schema, table_name) LEFT JOIN g USING (object_key)""")
+def q_table_metadata(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return meta.table_metadata(f["m_tables"], f["m_tags"], f["m_table_constraints"], f["m_key_column_usage"],
+                               f["m_referential_constraints"], f["m_grants"], CATALOG, AUX)
+
+
+@_register("function_ddl", f"""
+WITH pl AS (SELECT specific_schema AS routine_schema, specific_name AS routine_name,
+    string_agg({_qp('parameter_name')} || ' ' || full_data_type, ', ' ORDER BY ordinal_position) AS param_list
+  FROM m_parameters WHERE parameter_mode = 'IN' GROUP BY specific_schema, specific_name),
+r AS (SELECT m.*, pl.param_list, upper(coalesce(routine_body, '')) AS b, upper(coalesce(external_language, '')) AS l,
+    coalesce(routine_definition IS NOT NULL AND routine_definition <> '', false) AS has_def
+  FROM m_routines m LEFT JOIN pl USING (routine_schema, routine_name) WHERE routine_schema <> 'information_schema')
+SELECT routine_schema, routine_name, CASE WHEN has_def THEN 'PLANNED' ELSE 'SKIPPED' END AS status,
+  CASE WHEN NOT has_def THEN '{rtn.NO_DEFINITION}'
+       WHEN b <> 'SQL' AND NOT (b = 'EXTERNAL' AND l = 'PYTHON') THEN 'Unsupported function type (' || b || '/' || l || '). Attempting SQL RETURN.'
+  END AS warning,
+  CASE WHEN has_def THEN 'CREATE FUNCTION ' || {_q(f"'{AUX}'", 'routine_schema', 'routine_name')} || '(' || coalesce(param_list, '') || ')'
+    || {_NL} || 'RETURNS ' || full_data_type
+    || CASE WHEN coalesce(comment, '') <> '' THEN {_NL} || 'COMMENT ' || {_lit('comment')} ELSE '' END
+    || CASE WHEN upper(coalesce(is_deterministic, '')) = 'YES' THEN {_NL} || 'DETERMINISTIC' ELSE '' END
+    || CASE WHEN b = 'SQL' THEN {_NL} || 'RETURN ' || routine_definition
+            WHEN b = 'EXTERNAL' AND l = 'PYTHON' THEN {_NL} || 'LANGUAGE PYTHON' || {_NL} || 'AS $$' || {_NL} || routine_definition || {_NL} || '$$'
+            ELSE {_NL} || 'RETURN ' || routine_definition END
+  END AS ddl
+FROM r""")
+def q_function_ddl(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return rtn.function_ddl(f["m_routines"], f["m_parameters"], AUX)
+
+
+# ---------------------------------------------------------------- plans
+
+@_register("schema_plan", f"""
+WITH s AS (SELECT m.schema_name, coalesce(d.comment, '') AS cmt, coalesce(d.properties, '') AS props
+  FROM m_schemata m LEFT JOIN {_DESCRIBE} d ON d.object_name = m.schema_name WHERE m.schema_name <> 'information_schema'),
+x AS (SELECT schema_name, CASE WHEN lower(schema_name) = 'default' AND cmt <> '' THEN 'COMMENT ON SCHEMA ' || {_q(f"'{AUX}'", 'schema_name')} || ' IS ' || {_lit('cmt')}
+    WHEN lower(schema_name) <> 'default' THEN 'CREATE SCHEMA ' || {_q(f"'{AUX}'", 'schema_name')}
+      || CASE WHEN cmt <> '' THEN ' COMMENT ' || {_lit('cmt')} ELSE '' END END AS statement FROM s
+  UNION ALL SELECT schema_name, CASE WHEN props NOT IN ('', '(())') THEN 'ALTER SCHEMA ' || {_q(f"'{AUX}'", 'schema_name')}
+    || ' SET DBPROPERTIES ' || props END FROM s)
+SELECT 'SCHEMA' AS object_type, '{CATALOG}.' || schema_name AS object_name, statement FROM x WHERE statement IS NOT NULL""")
+def q_schema_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return st.schema_plan(f["m_schemata"], f["m_describe_kv"], CATALOG, AUX)
+
+
+@_register("comment_plan", f"""
+SELECT {_OBJTYPE} AS object_type, '{CATALOG}.' || table_schema || '.' || table_name AS object_name,
+  'COMMENT ON TABLE ' || {_TGT_TABLE} || ' IS ' || {_lit('comment')} AS statement
+FROM {_CLASSIFIED} c WHERE cls IN ('managed', 'view', 'mv') AND coalesce(comment, '') <> ''""")
+def q_comment_plan(spark, sf_dir):
+    return st.comment_plan(_fx(spark, sf_dir)["m_tables"], CATALOG, AUX)
+
+
+@_register("owner_plan", f"""
+SELECT 'SCHEMA' AS object_type, '{CATALOG}.' || m.schema_name AS object_name,
+  'ALTER SCHEMA ' || {_q(f"'{AUX}'", 'm.schema_name')} || ' SET OWNER TO ' || {_qp('d.owner')} AS statement
+FROM m_schemata m LEFT JOIN {_DESCRIBE} d ON d.object_name = m.schema_name
+WHERE m.schema_name <> 'information_schema' AND coalesce(d.owner, '') <> ''
+UNION ALL SELECT {_OBJTYPE}, '{CATALOG}.' || table_schema || '.' || table_name,
+  'ALTER ' || CASE WHEN cls IN ('view', 'metric_view') THEN 'VIEW' ELSE 'TABLE' END || ' ' || {_TGT_TABLE} || ' SET OWNER TO ' || {_qp('table_owner')}
+FROM {_CLASSIFIED} c WHERE cls IN ('managed', 'view', 'mv', 'metric_view') AND coalesce(table_owner, '') <> ''
+UNION ALL SELECT 'FUNCTION', '{CATALOG}.' || routine_schema || '.' || routine_name,
+  'ALTER FUNCTION ' || {_q(f"'{AUX}'", 'routine_schema', 'routine_name')} || ' SET OWNER TO ' || {_qp('routine_owner')}
+FROM m_routines WHERE routine_schema <> 'information_schema' AND coalesce(routine_owner, '') <> ''""")
+def q_owner_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return st.owner_plan(f["m_schemata"], f["m_describe_kv"], f["m_tables"], f["m_routines"], CATALOG, AUX)
+
+
+@_register("grant_plan", f"""
+SELECT object_type, object_key AS object_name,
+  'GRANT ' || action_type || ' ON ' || upper(object_type) || ' ' ||
+  CASE WHEN upper(object_type) = 'CATALOG' THEN {_qp("CASE WHEN upper(object_type) = 'VIEW' THEN '" + CATALOG + "' ELSE '" + AUX + "' END")}
+       WHEN upper(object_type) = 'SCHEMA' THEN {_qp("CASE WHEN upper(object_type) = 'VIEW' THEN '" + CATALOG + "' ELSE '" + AUX + "' END")}
+         || '.' || {_qp("split_part(object_key, '.', 2)")}
+       ELSE {_qp("CASE WHEN upper(object_type) = 'VIEW' THEN '" + CATALOG + "' ELSE '" + AUX + "' END")}
+         || '.' || {_qp("split_part(object_key, '.', 2)")} || '.' || {_qp("substr(object_key, length(split_part(object_key, '.', 1)) + length(split_part(object_key, '.', 2)) + 3)")} END
+  || ' TO ' || {_qp('principal')} AS statement
+FROM {_direct('m_grants')} d WHERE upper(action_type) NOT IN ('OWN', 'OWNERSHIP')""")
+def q_grant_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    direct = acc.direct_grants(f["m_grants"], acc.securables(f["m_schemata"], f["m_tables"], CATALOG))
+    return st.grant_plan(direct, CATALOG, AUX)
+
+
+# ---------------------------------------------------------------- grants and access
+
+@_register("direct_grants", f"SELECT * FROM {_direct('m_grants')} d")
+def q_direct_grants(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return acc.direct_grants(f["m_grants"], acc.securables(f["m_schemata"], f["m_tables"], CATALOG))
+
+
+@_register("grant_diff", f"""
+SELECT DISTINCT upper(object_type) AS object_type, object_key, principal, action_type FROM {_direct('m_grants')} o
+WHERE upper(object_type) IN ('CATALOG', 'SCHEMA') AND upper(action_type) NOT IN ('OWN', 'OWNERSHIP')
+EXCEPT
+SELECT DISTINCT upper(object_type), object_key, principal, action_type FROM {_direct('m_grants_new')} n
+WHERE upper(object_type) IN ('CATALOG', 'SCHEMA') AND upper(action_type) NOT IN ('OWN', 'OWNERSHIP')""")
+def q_grant_diff(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    sec = acc.securables(f["m_schemata"], f["m_tables"], CATALOG)
+    return acc.grant_diff(acc.direct_grants(f["m_grants"], sec), acc.direct_grants(f["m_grants_new"], sec),
+                          CATALOG, CATALOG)
+
+
+_APPLICABLE_VALUES = ", ".join(f"('{t}', '{p}')" for t, ps in acc.APPLICABLE_PRIVILEGES.items() for p in ps)
+
+
+@_register("grant_apply_stats", f"""
+SELECT d.object_key, count(ap.p) AS succeeded, count(*) - count(ap.p) AS failed
+FROM {_direct('m_grants')} d LEFT JOIN (VALUES {_APPLICABLE_VALUES}) ap(t, p)
+  ON ap.t = upper(d.object_type) AND ap.p = {_norm('d.action_type')}
+WHERE upper(d.action_type) NOT IN ('OWN', 'OWNERSHIP') GROUP BY d.object_key""")
+def q_grant_apply_stats(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return acc.grant_apply_stats(acc.direct_grants(f["m_grants"], acc.securables(f["m_schemata"], f["m_tables"], CATALOG)))
+
+
+@_register("effective_privileges", f"""
+SELECT object_key, principal, string_agg(a, ', ' ORDER BY a) AS actions,
+  bool_or(a IN ('CREATECATALOG', 'ALLPRIVILEGES')) AS can_create
+FROM (SELECT DISTINCT object_key, principal, {_norm('action_type')} AS a FROM m_grants) g GROUP BY object_key, principal""")
+def q_effective_privileges(spark, sf_dir):
+    return acc.effective_privileges(_fx(spark, sf_dir)["m_grants"])
+
+
+ADMIN_OWNER = "g_7"
+
+
+@_register("admin_check", f"""
+WITH p AS (SELECT DISTINCT principal FROM m_grants),
+m AS (SELECT principal, count(*) AS n_groups, count_if(group_name = '{ADMIN_OWNER}') AS n_owner FROM m_memberships GROUP BY principal)
+SELECT p.principal, CASE WHEN p.principal = '{ADMIN_OWNER}' THEN true WHEN m.n_groups IS NULL THEN NULL ELSE m.n_owner > 0 END AS is_admin
+FROM p LEFT JOIN m USING (principal)""")
+def q_admin_check(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return acc.admin_check(f["m_grants"], f["m_memberships"], ADMIN_OWNER)
+
+
+@_register("name_collisions", """
+SELECT c.catalog,
+  CASE WHEN EXISTS (SELECT 1 FROM m_catalogs x WHERE x.catalog = c.catalog || '_aux') THEN 'FAIL' ELSE 'OK' END AS aux,
+  CASE WHEN EXISTS (SELECT 1 FROM m_catalogs x WHERE x.catalog = c.catalog || '_bkp') THEN 'FAIL' ELSE 'OK' END AS bkp
+FROM m_catalogs c""")
+def q_name_collisions(spark, sf_dir):
+    return acc.name_collisions(_fx(spark, sf_dir)["m_catalogs"])
+
+
+@_register("affected_shares", f"""
+SELECT DISTINCT share_name FROM m_share_objects WHERE starts_with(lower(coalesce(object_name, '')), '{CATALOG.lower()}.')""")
+def q_affected_shares(spark, sf_dir):
+    return acc.affected_shares(_fx(spark, sf_dir)["m_share_objects"], CATALOG)
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -53,7 +53,7 @@ def rebase_key(key, old_catalog: str, new_catalog: str):
     """Replace the catalog part of a dotted key (first part only)."""
     parts = F.split(key, "\\.", 2)
     return F.when(parts.getItem(0) == F.lit(old_catalog),
-                  F.concat_ws(".", F.lit(new_catalog), parts.getItem(1))).otherwise(key)
+                  F.concat_ws(".", F.lit(new_catalog), F.get(parts, 1))).otherwise(key)
 
 
 def grant_diff(original: DataFrame, new: DataFrame, original_catalog: str, new_catalog: str,
