@@ -588,6 +588,200 @@ def q_affected_shares(spark, sf_dir):
     return acc.affected_shares(_fx(spark, sf_dir)["m_share_objects"], CATALOG)
 
 
+# ---------------------------------------------------------------- clone, digest, validation
+
+from vaultshift.operators import auditlog as _alog2  # noqa: E402,F401
+from vaultshift.operators import clone as cl  # noqa: E402
+from vaultshift.operators import validate as val  # noqa: E402
+from vaultshift.sources.fixtures import BASE_TABLES  # noqa: E402
+
+MISSING_ON_NEW = "labels"   # the new side lacks this table (row-count ERROR case)
+EDITED = {"orders": "m_orders_new", "lineitem": "m_lineitem_new"}
+
+
+def _clone_all(spark, sf_dir, label: str, edited: bool):
+    """Copy every base table to a fresh folder of the shared root.
+
+    ``edited``: the new side of the validation fixtures (orders and lineitem
+    edited, one table left out).
+    """
+    from vaultshift.session import fresh_dir
+
+    f = _fx(spark, sf_dir)
+    sources = {t: f[t] for t in BASE_TABLES}
+    if edited:
+        sources.pop(MISSING_ON_NEW)
+        for t, rel in EDITED.items():
+            sources[t] = f[rel]
+    return cl.clone_tables(spark, sources, fresh_dir(spark, label))
+
+
+def _new_side(spark, sf_dir):
+    results = _clone_all(spark, sf_dir, "migrated", edited=True)
+    return {r.table_name: spark.read.parquet(r.target) for r in results if r.status == "SUCCESS"}
+
+
+def _counts_sql(col: str, tables: dict[str, str]) -> str:
+    return "\n  UNION ALL ".join(f"SELECT '{t}' AS object_name, count(*) AS {col} FROM {rel}" for t, rel in tables.items())
+
+
+_ORIG_TABLES = {t: t for t in BASE_TABLES}
+_NEW_TABLES = {t: EDITED.get(t, t) for t in BASE_TABLES if t != MISSING_ON_NEW}
+_ROWCOUNT_SQL = f"""(SELECT object_name, n.new, o.original,
+  CASE WHEN n.new IS NULL OR o.original IS NULL THEN 'ERROR' WHEN n.new = o.original THEN 'PASS' ELSE 'FAIL' END AS status,
+  'new=' || coalesce(CAST(n.new AS VARCHAR), 'missing') || ' original=' || coalesce(CAST(o.original AS VARCHAR), 'missing') AS message
+FROM ({_counts_sql('original', _ORIG_TABLES)}) o FULL JOIN ({_counts_sql('new', _NEW_TABLES)}) n USING (object_name))"""
+
+
+@_register("clone_table", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, count(*) AS rows, 'SUCCESS' AS status FROM {t}" for t in BASE_TABLES))
+def q_clone_table(spark, sf_dir):
+    return cl.clone_report(spark, _clone_all(spark, sf_dir, "clone", edited=False)).select(
+        "table_name", "rows", "status")
+
+
+def _multiset_equal_sql(a: str, b: str) -> str:
+    return (f"((SELECT count(*) FROM (SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b}) x) = 0 AND "
+            f"(SELECT count(*) FROM (SELECT * FROM {b} EXCEPT ALL SELECT * FROM {a}) y) = 0)")
+
+
+@_register("digest_check", "\nUNION ALL ".join(
+    [f"SELECT '{t}' AS table_name, true AS equal" for t in BASE_TABLES]
+    + [f"SELECT '{t}_edited', {_multiset_equal_sql(t, rel)}" for t, rel in EDITED.items()]
+    + ["SELECT 'lineitem_reordered', true"]))
+def q_digest_check(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    f = _fx(spark, sf_dir)
+    rows = [(r.table_name, r.status == "SUCCESS" and r.digest_source == r.digest_target)
+            for r in _clone_all(spark, sf_dir, "digest", edited=False)]
+    for t, rel in EDITED.items():
+        rows.append((f"{t}_edited", cl.digest_value(f[t]) == cl.digest_value(f[rel])))
+    shuffled = f["lineitem"].repartition(5, "l_suppkey").sortWithinPartitions(F.desc("l_partkey"))
+    rows.append(("lineitem_reordered", cl.digest_value(shuffled) == cl.digest_value(f["lineitem"])))
+    return spark.createDataFrame(rows, "table_name string, equal boolean")
+
+
+@_register("rowcount_check", f"SELECT object_name, new, original, status FROM {_ROWCOUNT_SQL} r")
+def q_rowcount_check(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return val.rowcount_check(_new_side(spark, sf_dir), {t: f[t] for t in BASE_TABLES}).select(
+        "object_name", "new", "original", "status")
+
+
+def _kinds_sql(tables_rel: str, side: str) -> str:
+    return f"""SELECT '{side}' AS side, 'schema' AS kind FROM m_schemata WHERE schema_name <> 'information_schema'
+  UNION ALL SELECT '{side}', {_CLASS} FROM {tables_rel} WHERE table_schema <> 'information_schema'
+  UNION ALL SELECT '{side}', CASE WHEN volume_type = 'MANAGED' THEN 'volume' ELSE 'external_volume' END FROM m_volumes
+    WHERE volume_schema <> 'information_schema'
+  UNION ALL SELECT '{side}', 'function' FROM m_routines WHERE routine_schema <> 'information_schema'"""
+
+
+_COUNT_CHECK_SQL = "(SELECT object_name, new, original, CASE WHEN new = original THEN 'PASS' ELSE 'FAIL' END AS status FROM (" + \
+    "\n  UNION ALL ".join(
+        f"SELECT '{name}' AS object_name, count_if(side = 'new' AND kind = '{kind}') AS new, "
+        f"count_if(side = 'original' AND kind = '{kind}') AS original FROM k"
+        for name, kind in val.COUNT_CHECKS) + ") c)"
+
+
+@_register("count_check", f"""
+WITH k AS ({_kinds_sql('m_tables', 'original')} UNION ALL {_kinds_sql('m_tables_new', 'new')})
+SELECT * FROM {_COUNT_CHECK_SQL} cc""")
+def q_count_check(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    orig = {"schemata": f["m_schemata"], "tables": f["m_tables"], "volumes": f["m_volumes"], "routines": f["m_routines"]}
+    new = dict(orig, tables=f["m_tables_new"])
+    return val.count_check(orig, new).select("object_name", "new", "original", "status")
+
+
+_GRANT_CHECK_SQL = f"""(SELECT s.object_key AS object_name, CASE WHEN coalesce(m.missing, 0) > 0 THEN 'FAIL' ELSE 'PASS' END AS status
+FROM (SELECT * FROM {_SEC} s0 WHERE object_type IN ('CATALOG', 'SCHEMA')) s LEFT JOIN (
+  SELECT object_key, count(*) AS missing FROM (
+    SELECT DISTINCT upper(object_type) AS object_type, object_key, principal, action_type FROM {_direct('m_grants')} o
+    WHERE upper(object_type) IN ('CATALOG', 'SCHEMA') AND upper(action_type) NOT IN ('OWN', 'OWNERSHIP')
+    EXCEPT
+    SELECT DISTINCT upper(object_type), object_key, principal, action_type FROM {_direct('m_grants_new')} n
+    WHERE upper(object_type) IN ('CATALOG', 'SCHEMA') AND upper(action_type) NOT IN ('OWN', 'OWNERSHIP')) d
+  GROUP BY object_key) m ON m.object_key = s.object_key)"""
+
+
+@_register("grant_check", f"SELECT * FROM {_GRANT_CHECK_SQL} g")
+def q_grant_check(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return val.grant_checks(f["m_grants"], f["m_grants_new"], f["m_schemata"], CATALOG).select("object_name", "status")
+
+
+@_register("validation_verdict", f"""
+WITH k AS ({_kinds_sql('m_tables', 'original')} UNION ALL {_kinds_sql('m_tables_new', 'new')}),
+checks AS (SELECT status FROM {_COUNT_CHECK_SQL} a UNION ALL SELECT status FROM {_ROWCOUNT_SQL} b
+  UNION ALL SELECT status FROM {_GRANT_CHECK_SQL} c),
+fails AS (SELECT count(*) AS failures FROM m_log WHERE batch_id = '{BATCH}' AND status IN ('FAILED', 'ERROR'))
+SELECT count(*) AS checks, count_if(status <> 'PASS') AS failed, (SELECT failures FROM fails) AS failures,
+  CASE WHEN count_if(status <> 'PASS') = 0 AND (SELECT failures FROM fails) = 0 THEN '{val.VERDICT_OK}'
+       WHEN count_if(status <> 'PASS') = 0 THEN '{val.VERDICT_WARN}' ELSE '{val.VERDICT_FAIL}' END AS verdict
+FROM checks""")
+def q_validation_verdict(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    orig = {"schemata": f["m_schemata"], "tables": f["m_tables"], "volumes": f["m_volumes"], "routines": f["m_routines"]}
+    checks = (
+        val.count_check(orig, dict(orig, tables=f["m_tables_new"])).select("status")
+        .unionByName(val.rowcount_check(_new_side(spark, sf_dir), {t: f[t] for t in BASE_TABLES}).select("status"))
+        .unionByName(val.grant_checks(f["m_grants"], f["m_grants_new"], f["m_schemata"], CATALOG).select("status"))
+    )
+    return val.verdict(checks, alog.failure_count(f["m_log"], BATCH).withColumnRenamed("failures", "failures"))
+
+
+_ORDER_COLS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@_register("row_diff", f"""
+SELECT change, count(*) AS n FROM (
+  SELECT CASE WHEN n.o_orderkey IS NULL THEN 'removed' WHEN o.o_orderkey IS NULL THEN 'added'
+    WHEN {' AND '.join(f'o.{c} IS NOT DISTINCT FROM n.{c}' for c in _ORDER_COLS)} THEN 'unchanged' ELSE 'changed' END AS change
+  FROM orders o FULL JOIN m_orders_new n ON o.o_orderkey = n.o_orderkey) d
+GROUP BY change""")
+def q_row_diff(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return val.row_diff(f["orders"], f["m_orders_new"], ["o_orderkey"])
+
+
+@_register("row_diff_multiset", """
+SELECT 'removed' AS change, count(*) AS n FROM (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM m_lineitem_new) a HAVING count(*) > 0
+UNION ALL SELECT 'added', count(*) FROM (SELECT * FROM m_lineitem_new EXCEPT ALL SELECT * FROM lineitem) b HAVING count(*) > 0""")
+def q_row_diff_multiset(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return val.row_diff_multiset(f["lineitem"], f["m_lineitem_new"])
+
+
+_TABLE_LIST = ", ".join(f"'{t}'" for t in BASE_TABLES)
+
+
+@_register("schema_diff", f"""
+WITH oc AS (SELECT DISTINCT table_name, column_name, ordinal_position AS pos, data_type FROM information_schema.columns
+  WHERE table_name IN ({_TABLE_LIST})),
+nc AS (SELECT table_name, CASE WHEN table_name = 'customer' AND column_name = 'c_acctbal' THEN 'c_balance' ELSE column_name END AS column_name,
+    row_number() OVER (PARTITION BY table_name ORDER BY pos) AS pos,
+    CASE WHEN table_name = 'orders' AND column_name = 'o_totalprice' THEN 'DECIMAL(12,2)' ELSE data_type END AS data_type
+  FROM oc WHERE NOT (table_name = 'lineitem' AND column_name = 'l_tax')),
+j AS (SELECT coalesce(oc.table_name, nc.table_name) AS table_name, coalesce(oc.column_name, nc.column_name) AS column_name,
+    oc.pos AS o_pos, nc.pos AS n_pos, oc.data_type AS o_type, nc.data_type AS n_type
+  FROM oc FULL JOIN nc ON oc.table_name = nc.table_name AND oc.column_name = nc.column_name)
+SELECT table_name, column_name, 'missing_in_new' AS issue FROM j WHERE n_pos IS NULL
+UNION ALL SELECT table_name, column_name, 'added_in_new' FROM j WHERE o_pos IS NULL
+UNION ALL SELECT table_name, column_name, 'type_changed' FROM j WHERE o_pos IS NOT NULL AND n_pos IS NOT NULL AND lower(o_type) <> lower(n_type)
+UNION ALL SELECT table_name, column_name, 'position_changed' FROM j WHERE o_pos IS NOT NULL AND n_pos IS NOT NULL AND o_pos <> n_pos""")
+def q_schema_diff(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    f = _fx(spark, sf_dir)
+    orig = {t: f[t] for t in BASE_TABLES}
+    new = dict(orig)
+    new["orders"] = orig["orders"].withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)"))
+    new["lineitem"] = orig["lineitem"].drop("l_tax")
+    new["customer"] = orig["customer"].withColumnRenamed("c_acctbal", "c_balance")
+    return val.schema_diff(val.columns_of(spark, orig), val.columns_of(spark, new))
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -14,7 +14,7 @@ from vaultshift.functions import names as N
 OWNERSHIP = ("OWN", "OWNERSHIP")
 
 
-def securables(schemata: DataFrame, tables: DataFrame, catalog: str) -> DataFrame:
+def securables(schemata: DataFrame, tables: DataFrame | None, catalog: str) -> DataFrame:
     """Objects whose grants are read: the catalog, its schemas, its tables and views.
 
     ``object_type`` is the type the grants are asked for (views as VIEW,
@@ -24,6 +24,8 @@ def securables(schemata: DataFrame, tables: DataFrame, catalog: str) -> DataFram
         F.lit("CATALOG").alias("object_type"), F.lit(catalog).alias("object_key"))
     sch = schemata.where(F.col("schema_name") != "information_schema").select(
         F.lit("SCHEMA").alias("object_type"), N.fqn(F.lit(catalog), F.col("schema_name")).alias("object_key"))
+    if tables is None:
+        return cat.unionByName(sch)
     tab = tables.where(F.col("table_schema") != "information_schema").select(
         F.when(F.col("table_type").isin("VIEW", "METRIC_VIEW"), "VIEW").otherwise("TABLE").alias("object_type"),
         N.fqn(F.lit(catalog), F.col("table_schema"), F.col("table_name")).alias("object_key"))

@@ -117,6 +117,12 @@ SELECT * FROM {m_tables} WHERE tid % 97 <> 0""",
     "m_grants_new": """
 SELECT * FROM {m_grants} WHERE c_custkey % 13 <> 0
 UNION ALL SELECT CAST(-1 AS BIGINT), 'CATALOG', 'prod', 'u_extra', 'SELECT'""",
+    "m_orders_new": """
+SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 89 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+  o_orderdate, o_orderpriority FROM {orders} WHERE o_orderkey % 97 <> 0""",
+    "m_lineitem_new": """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_orderkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate FROM {lineitem} WHERE l_orderkey % 97 <> 0""",
 }
 
 _BASE = set(BASE_TABLES)
