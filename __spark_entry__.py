@@ -27,7 +27,10 @@ def _register(name: str, sql: str | None = None):
         if sql is not None:
             used = set(re.findall(r"\bm_\w+\b", sql))
             prefix, body = cte_prefix(sorted(used)), sql.strip()
-            if prefix and body[:5].upper() == "WITH ":
+            rec = re.match(r"WITH\s+RECURSIVE\s", body, re.IGNORECASE)
+            if prefix and rec:
+                _ORACLE[name] = "WITH RECURSIVE " + prefix[5:].rstrip() + ",\n" + body[rec.end():]
+            elif prefix and body[:5].upper() == "WITH ":
                 _ORACLE[name] = prefix.rstrip() + ",\n" + body[5:]
             else:
                 _ORACLE[name] = prefix + body
@@ -782,6 +785,222 @@ def q_schema_diff(spark, sf_dir):
     return val.schema_diff(val.columns_of(spark, orig), val.columns_of(spark, new))
 
 
+# ---------------------------------------------------------------- volumes (files)
+
+from vaultshift.operators import files as fl  # noqa: E402
+
+_DOC_PATH_SQL = "lang || '/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.txt'"
+
+
+def _volume(spark, sf_dir):
+    """Lay out ``documents`` as a volume: one UTF-8 file per row at <lang>/<source>/doc_<id>.txt."""
+    from pyspark.sql import functions as F
+
+    from vaultshift.session import fresh_dir
+
+    root = fresh_dir(spark, "volume-src")
+    docs = _fx(spark, sf_dir)["documents"].select(
+        F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+        .alias("path"), "text")
+    fl.write_text_files(spark, docs, root).agg(F.count(F.lit(1))).collect()
+    return root
+
+
+def _copy(spark, sf_dir):
+    """Copy the volume; the per-file results are written once and read back."""
+    from vaultshift.session import fresh_dir
+
+    src = _volume(spark, sf_dir)
+    dst = fresh_dir(spark, "volume-dst")
+    out = fresh_dir(spark, "copy-log")
+    fl.copy_files(spark, fl.manifest(spark, src), src, dst).write.parquet(out)
+    return src, dst, spark.read.parquet(out)
+
+
+@_register("file_manifest", f"SELECT {_DOC_PATH_SQL} AS path, octet_length(encode(text)) AS bytes FROM documents")
+def q_file_manifest(spark, sf_dir):
+    return fl.manifest(spark, _volume(spark, sf_dir)).select("path", "bytes")
+
+
+@_register("file_copy", f"""
+SELECT {_DOC_PATH_SQL} AS path, octet_length(encode(text)) AS bytes, sha256(text) AS sha2, 'COPIED' AS status FROM documents""")
+def q_file_copy(spark, sf_dir):
+    return _copy(spark, sf_dir)[2].select("path", "bytes", "sha2", "status")
+
+
+@_register("file_check", f"SELECT {_DOC_PATH_SQL} AS path, 'OK' AS issue FROM documents")
+def q_file_check(spark, sf_dir):
+    src, dst, copied = _copy(spark, sf_dir)
+    target = fl.hash_files(spark, fl.manifest(spark, dst), dst)
+    return fl.file_check(copied.where("status = 'COPIED'"), target)
+
+
+# ---------------------------------------------------------------- views, publish
+
+from vaultshift.operators import publish as pub  # noqa: E402
+from vaultshift.operators import views as vw  # noqa: E402
+
+
+@_register("view_capture", f"""
+SELECT c.table_schema, c.table_name, c.table_type, v.ddl, CASE WHEN cls = 'view' THEN v.view_body END AS view_body,
+  (v.ddl IS NOT NULL OR (CASE WHEN cls = 'view' THEN v.view_body END) IS NOT NULL) AS captured
+FROM {_CLASSIFIED} c LEFT JOIN m_views v ON v.table_schema = c.table_schema AND v.table_name = c.table_name
+WHERE cls IN ('view', 'mv')""")
+def q_view_capture(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return vw.view_capture(f["m_tables"], f["m_views"])
+
+
+@_register("metric_view_capture", f"""
+SELECT table_schema, table_name, yaml_body, yaml_body IS NOT NULL AS captured FROM (
+  SELECT c.table_schema, c.table_name, coalesce(v.yaml_body, (SELECT min(d.info_value) FROM m_describe_kv d
+      WHERE trim(d.info_name) = 'View Text' AND d.object_name = c.table_schema || '.' || c.table_name)) AS yaml_body
+  FROM {_CLASSIFIED} c LEFT JOIN m_views v ON v.table_schema = c.table_schema AND v.table_name = c.table_name
+  WHERE cls = 'metric_view') x""")
+def q_metric_view_capture(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return vw.metric_view_capture(f["m_tables"], f["m_views"], f["m_describe_kv"])
+
+
+_VTGT = _q(f"'{CATALOG}'", 'c.table_schema', 'c.table_name')
+
+
+@_register("recreate_plan", f"""
+SELECT object_type, object_name, CASE WHEN reason IS NULL THEN 'PLANNED' ELSE 'SKIPPED' END AS status, reason, statement, fallback
+FROM (SELECT CASE cls WHEN 'view' THEN 'VIEW' WHEN 'mv' THEN 'MATERIALIZED_VIEW' ELSE 'METRIC_VIEW' END AS object_type,
+  '{CATALOG}.' || c.table_schema || '.' || c.table_name AS object_name,
+  CASE WHEN cls = 'mv' AND v.ddl IS NULL THEN '{vw.NO_DDL}'
+       WHEN cls = 'view' AND v.ddl IS NULL AND v.view_body IS NULL THEN '{vw.NO_DDL}'
+       WHEN cls = 'metric_view' AND v.yaml_body IS NULL THEN '{vw.NO_YAML}' END AS reason,
+  CASE WHEN cls = 'metric_view' THEN CASE WHEN v.yaml_body IS NOT NULL THEN 'CREATE VIEW ' || {_VTGT} || {_NL} || 'WITH METRICS'
+      || {_NL} || 'LANGUAGE YAML' || CASE WHEN coalesce(c.comment, '') <> '' THEN {_NL} || 'COMMENT ' || {_lit('c.comment')} ELSE '' END
+      || {_NL} || 'AS $$' || {_NL} || v.yaml_body || {_NL} || '$$' END
+    ELSE v.ddl END AS statement,
+  CASE WHEN cls = 'view' AND v.view_body IS NOT NULL THEN 'CREATE VIEW ' || {_VTGT}
+      || CASE WHEN coalesce(c.comment, '') <> '' THEN ' COMMENT ' || {_lit('c.comment')} ELSE '' END || ' AS ' || v.view_body END AS fallback
+FROM {_CLASSIFIED} c LEFT JOIN m_views v ON v.table_schema = c.table_schema AND v.table_name = c.table_name
+WHERE cls IN ('view', 'mv', 'metric_view')) p""")
+def q_recreate_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return vw.recreate_plan(f["m_tables"], f["m_views"], CATALOG, warehouse=True)
+
+
+def _recreate_order_sql(max_rounds: int) -> str:
+    before = ("(dv.rk < vv.rk OR (dv.rk = vv.rk AND (dv.s < vv.s OR (dv.s = vv.s AND dv.n < vv.n))))")
+    return f"""
+WITH RECURSIVE
+v AS (SELECT tid AS view_id, CASE WHEN cls = 'view' THEN 0 ELSE 1 END AS rk, table_schema AS s, table_name AS n
+  FROM {_CLASSIFIED} c WHERE cls IN ('view', 'metric_view')),
+d AS (SELECT view_id, dep_id FROM m_view_deps UNION SELECT view_id, dep_id FROM m_view_missing),
+ex AS (SELECT tid AS id FROM {_CLASSIFIED} c WHERE cls IN ('managed', 'mv')),
+edges AS (SELECT d.view_id, d.dep_id, CASE WHEN {before} THEN 0 ELSE 1 END AS inc
+  FROM d JOIN v dv ON dv.view_id = d.dep_id JOIN v vv ON vv.view_id = d.view_id),
+bad AS (SELECT DISTINCT view_id FROM d WHERE dep_id NOT IN (SELECT view_id FROM v) AND dep_id NOT IN (SELECT id FROM ex)),
+down(view_id) AS (SELECT view_id FROM bad UNION SELECT e.view_id FROM edges e JOIN down ON e.dep_id = down.view_id),
+paths(view_id, node, depth, w) AS (SELECT view_id, view_id, 0, 0 FROM v
+  UNION ALL SELECT p.view_id, e.dep_id, p.depth + 1, p.w + e.inc FROM paths p JOIN edges e ON e.view_id = p.node),
+agg AS (SELECT view_id, max(depth) AS level, 1 + max(w) AS attempt FROM paths GROUP BY view_id)
+SELECT v.view_id, CAST(CASE WHEN f.view_id IS NULL THEN agg.level END AS INTEGER) AS level,
+  CAST(CASE WHEN f.view_id IS NULL AND agg.attempt <= {max_rounds} THEN agg.attempt END AS INTEGER) AS attempt,
+  CASE WHEN f.view_id IS NULL AND agg.attempt <= {max_rounds} THEN 'SUCCESS' ELSE 'FAILED' END AS status
+FROM v JOIN agg USING (view_id) LEFT JOIN (SELECT DISTINCT view_id FROM down) f USING (view_id)"""
+
+
+def _recreate_order(spark, sf_dir, max_rounds):
+    from pyspark.sql import functions as F
+
+    f = _fx(spark, sf_dir)
+    existing = inv.classify_tables(f["m_tables"]).where(F.col("class").isin("managed", "mv")).select(
+        F.col("tid").alias("id"))
+    deps = f["m_view_deps"].unionByName(f["m_view_missing"])
+    return vw.recreate_order(vw.creation_list(f["m_tables"]), deps, existing, max_rounds=max_rounds)
+
+
+@_register("recreate_order", _recreate_order_sql(vw.MAX_ROUNDS))
+def q_recreate_order(spark, sf_dir):
+    return _recreate_order(spark, sf_dir, vw.MAX_ROUNDS)
+
+
+@_register("recreate_order_r5", _recreate_order_sql(5))
+def q_recreate_order_r5(spark, sf_dir):
+    return _recreate_order(spark, sf_dir, 5)
+
+
+@_register("publish_resolve", """
+SELECT name, max(version) AS version, arg_max(target, version) AS target FROM m_pointers GROUP BY name""")
+def q_publish_resolve(spark, sf_dir):
+    return pub.resolve(_fx(spark, sf_dir)["m_pointers"])
+
+
+# ---------------------------------------------------------------- preflight
+
+from vaultshift.operators import preflight as pf  # noqa: E402
+
+_LOC_SQL = """(SELECT path_id, first(name ORDER BY url_len DESC NULLS LAST, name) AS name FROM (
+  SELECT p.path_id, l.name, l.url_len FROM (SELECT path_id, regexp_replace(coalesce(path, ''), '/+$', '') AS p FROM {paths}) p
+  LEFT JOIN (SELECT name, length(coalesce(url, '')) AS url_len, regexp_replace(coalesce(url, ''), '/+$', '') AS u FROM m_locations) l
+    ON l.u <> '' AND (p.p = l.u OR starts_with(p.p, l.u || '/'))) j GROUP BY path_id)"""
+
+
+@_register("location_match", "SELECT * FROM " + _LOC_SQL.format(paths="m_paths") + " lm")
+def q_location_match(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return pf.location_match(f["m_paths"], f["m_locations"])
+
+
+PF = dict(catalog="cat8", runner="u_7", catalog_owner="u_7", metastore_owner="g_1",
+          storage_path="s3://lake/ASIA/NATION_2/managed")
+
+
+def _preflight_sql() -> str:
+    c, r, mo, sp = PF["catalog"], PF["runner"], PF["metastore_owner"], PF["storage_path"]
+    loc = _LOC_SQL.format(paths=f"(SELECT 0 AS path_id, '{sp}' AS path)")
+    admin = (f"CASE WHEN '{r}' = '{mo}' THEN true WHEN n_member = 0 THEN NULL ELSE n_owner_group > 0 END")
+    return f"""
+WITH facts0 AS (SELECT
+  (SELECT count(*) FROM m_catalogs WHERE catalog = '{c}') AS n_cat,
+  (SELECT count(*) FROM m_catalogs WHERE catalog = '{c}_aux') AS n_aux,
+  (SELECT count(*) FROM m_catalogs WHERE catalog = '{c}_bkp') AS n_bkp,
+  (SELECT count(*) FROM m_schemata WHERE schema_name <> 'information_schema') AS n_schema,
+  (SELECT count(*) FROM m_memberships WHERE principal = '{r}') AS n_member,
+  (SELECT count(*) FROM m_memberships WHERE principal = '{r}' AND group_name = '{mo}') AS n_owner_group,
+  (SELECT string_agg(DISTINCT a, ', ' ORDER BY a) FROM (SELECT {_norm('action_type')} AS a FROM m_grants
+     WHERE principal = '{r}' AND upper(object_type) = 'METASTORE') g) AS ms_grants,
+  (SELECT count(*) FROM m_grants WHERE principal = '{r}' AND upper(object_type) = 'METASTORE'
+     AND {_norm('action_type')} IN ('CREATECATALOG', 'ALLPRIVILEGES')) AS n_create,
+  (SELECT max(name) FROM {loc} lm) AS loc),
+facts AS (SELECT *, {admin} AS admin FROM facts0),
+findings AS (
+  SELECT CASE WHEN admin IS NULL THEN 'WARN' ELSE 'OK' END AS severity, 'metastore_admin' AS "check",
+    CASE WHEN admin THEN 'runner is a metastore admin (via owner ''{mo}'')' WHEN NOT admin THEN 'runner is NOT a metastore admin (metastore owner: ''{mo}'')'
+         ELSE 'could not determine metastore admin status' END AS detail FROM facts
+  UNION ALL SELECT CASE WHEN n_cat = 0 THEN 'FAIL' ELSE 'OK' END, 'source_catalog_exists',
+    CASE WHEN n_cat = 0 THEN 'Catalog ''{c}'' not found or inaccessible' ELSE 'owner={PF['catalog_owner']}' END FROM facts
+  UNION ALL SELECT 'OK', 'source_catalog_rename_privilege', 'runner is the catalog owner' FROM facts
+  UNION ALL SELECT CASE WHEN n_schema > 0 THEN 'OK' ELSE 'FAIL' END, 'source_catalog_use_catalog',
+    CASE WHEN n_schema > 0 THEN '' ELSE 'Cannot list schemas in source catalog' END FROM facts
+  UNION ALL SELECT CASE WHEN n_aux > 0 THEN 'FAIL' ELSE 'OK' END, 'aux_catalog_free',
+    CASE WHEN n_aux > 0 THEN 'Catalog ''{c}_aux'' already exists — drop it before running' ELSE '''{c}_aux'' is available' END FROM facts
+  UNION ALL SELECT CASE WHEN n_bkp > 0 THEN 'FAIL' ELSE 'OK' END, 'bkp_catalog_free',
+    CASE WHEN n_bkp > 0 THEN 'Catalog ''{c}_bkp'' already exists — drop or rename it before running' ELSE '''{c}_bkp'' is available' END FROM facts
+  UNION ALL SELECT CASE WHEN coalesce(admin, false) OR n_create > 0 THEN 'OK' ELSE 'FAIL' END, 'metastore_create_catalog',
+    CASE WHEN coalesce(admin, false) THEN 'implicit via metastore admin' WHEN n_create > 0 THEN 'CREATE CATALOG granted at metastore'
+         ELSE 'Runner lacks CREATE CATALOG on the metastore. Granted: ' || coalesce(ms_grants, 'none') || '. Request CREATE CATALOG from your metastore admin.' END FROM facts
+  UNION ALL SELECT CASE WHEN loc IS NOT NULL THEN 'OK' ELSE 'FAIL' END, 'external_location_exists',
+    CASE WHEN loc IS NOT NULL THEN '''' || loc || ''' covers ''{sp}''' ELSE 'No external location covers path ''{sp}''.' END FROM facts)
+SELECT * FROM findings
+UNION ALL SELECT CASE WHEN count_if(severity = 'FAIL') > 0 THEN 'FAIL' ELSE 'SUCCESS' END, 'SUMMARY',
+  CASE WHEN count_if(severity = 'FAIL') > 0 THEN count_if(severity = 'FAIL') || ' failed, ' || count_if(severity = 'WARN') || ' warnings'
+       ELSE count_if(severity = 'OK') || ' OK, ' || count_if(severity = 'WARN') || ' warnings' END FROM findings"""
+
+
+@_register("preflight_report", _preflight_sql())
+def q_preflight_report(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return pf.preflight_report(f["m_catalogs"], f["m_schemata"], f["m_grants"], f["m_memberships"], f["m_locations"],
+                               **PF)
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:
