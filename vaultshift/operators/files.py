@@ -1,7 +1,7 @@
 """Volumes: file manifests, distributed copy and checks.
 
-A manifest lists files with Spark's ``binaryFile`` source without reading
-their content.  The copy is a ``mapInPandas`` over the manifest: every task
+A manifest lists files in tasks (subtrees spread over executors) without
+reading their content.  The copy is a ``mapInPandas`` over the manifest: every task
 streams its files in blocks between two roots that all executors can open
 (local, mounted, or any filesystem ``pyarrow.fs`` resolves from a URI), and
 returns one row per file with its byte count and SHA-256.  Files are spread
@@ -56,27 +56,72 @@ def _join(base: str, rel: str) -> str:
     return base.rstrip("/") + "/" + rel.lstrip("/")
 
 
-def qualified(spark: SparkSession, root: str) -> str:
-    """Root as the fully qualified URI Spark prints in ``path`` columns."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.makeQualified(p).toString().rstrip("/")
+MANIFEST_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("modified", T.TimestampType()),
+])
+
+
+def _expand(root: str, min_dirs: int, max_depth: int = 3) -> tuple[list[tuple], list[str]]:
+    """Files directly below the top levels, and the subtree roots to list in tasks.
+
+    Directories are expanded level by level on the driver (names only) until
+    there are enough subtrees to spread, or ``max_depth`` is reached.
+    """
+    import pyarrow.fs as pafs
+
+    fs, base = _fs(root)
+    files: list[tuple] = []
+    dirs = [""]
+    for _ in range(max_depth):
+        if len(dirs) >= min_dirs:
+            break
+        nxt = []
+        for d in dirs:
+            for info in fs.get_file_info(pafs.FileSelector(_join(base, d) if d else base)):
+                rel = info.path[len(base.rstrip("/")) + 1:]
+                if info.type == pafs.FileType.Directory:
+                    nxt.append(rel)
+                elif info.type == pafs.FileType.File:
+                    files.append((rel, info.size, info.mtime))
+        dirs = nxt
+        if not dirs:
+            break
+    return files, dirs
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, bytes, modified) of every file below root (recursive).
+    """(path relative to root, bytes, modified) of every file below root, empty files included.
 
-    Only file metadata is read; ``content`` is never selected.
+    Subtrees are listed inside tasks (``mapInPandas``), spread by a hash of
+    their path; no file content is read.  (Spark's ``binaryFile`` scan is not
+    used: it drops zero-length files.)
     """
-    prefix = qualified(spark, root) + "/"
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return df.select(
-        F.when(F.startswith(F.col("path"), F.lit(prefix)), F.substring(F.col("path"), len(prefix) + 1, 1 << 30))
-        .otherwise(F.col("path")).alias("path"),
-        F.col("length").cast("bigint").alias("bytes"),
-        F.col("modificationTime").alias("modified"),
-    )
+    top_files, dirs = _expand(root, min_dirs=4 * spark.sparkContext.defaultParallelism)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+
+        fs, base = _fs(root)
+        cut = len(base.rstrip("/")) + 1
+        for b in batches:
+            for d in b["dir"]:
+                out = [(i.path[cut:], i.size, i.mtime)
+                       for i in fs.get_file_info(pafs.FileSelector(_join(base, d), recursive=True))
+                       if i.type == pafs.FileType.File]
+                if out:
+                    yield pd.DataFrame(out, columns=MANIFEST_SCHEMA.fieldNames())
+
+    listed = None
+    if dirs:
+        seeds = spark.createDataFrame([(d,) for d in dirs], "dir string")
+        seeds = seeds.repartition(max(1, min(len(dirs), spark.sparkContext.defaultParallelism * 4)), F.xxhash64("dir"))
+        listed = seeds.mapInPandas(run, MANIFEST_SCHEMA)
+    top = spark.createDataFrame(top_files, MANIFEST_SCHEMA) if top_files else None
+    if listed is not None and top is not None:
+        return listed.unionByName(top)
+    return listed if listed is not None else (top if top is not None else spark.createDataFrame([], MANIFEST_SCHEMA))
 
 
 def _spread(df: DataFrame, total_bytes: int | None, n_files: int | None, min_tasks: int) -> DataFrame:
