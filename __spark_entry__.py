@@ -175,64 +175,79 @@ def q_risk_report(spark, sf_dir):
 
 from vaultshift.operators import auditlog as alog  # noqa: E402
 
+_LOGS: dict[tuple[str, str], str] = {}
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log as the readers see it: a parquet table partitioned by
+    catalog, filled once per session from the ``m_log`` rows."""
+    from vaultshift.session import fresh_dir
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOGS:
+        path = fresh_dir(spark, "auditlog")
+        alog.AuditLog(spark, path).append(_fx(spark, sf_dir)["m_log"])
+        _LOGS[key] = path
+    return alog.AuditLog(spark, _LOGS[key]).read()
+
 
 @_register("log_full", f"SELECT * FROM m_log WHERE batch_id = '{BATCH}' ORDER BY logged_at")
 def q_log_full(spark, sf_dir):
-    return alog.full(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.full(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_summary", f"""
 SELECT phase, object_type, status, count(*) AS cnt FROM m_log WHERE batch_id = '{BATCH}'
 GROUP BY phase, object_type, status ORDER BY phase, object_type, status""")
 def q_log_summary(spark, sf_dir):
-    return alog.summary(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.summary(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_phase_status", f"""
 SELECT phase, status, count(*) AS cnt FROM m_log WHERE batch_id = '{BATCH}' GROUP BY phase, status ORDER BY phase, status""")
 def q_log_phase_status(spark, sf_dir):
-    return alog.phase_status(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.phase_status(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_failures", f"""
 SELECT phase, object_type, object_name, message FROM m_log WHERE batch_id = '{BATCH}' AND status IN ('FAILED', 'ERROR')
 ORDER BY phase, object_name""")
 def q_log_failures(spark, sf_dir):
-    return alog.failures(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.failures(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_failures_all", f"""
 SELECT batch_id, phase, object_name, message FROM m_log WHERE catalog_name = '{CATALOG}' AND status IN ('FAILED', 'ERROR')
 ORDER BY batch_id DESC, logged_at""")
 def q_log_failures_all(spark, sf_dir):
-    return alog.failures_all(_fx(spark, sf_dir)["m_log"], CATALOG)
+    return alog.failures_all(_log(spark, sf_dir), CATALOG)
 
 
 @_register("log_inventory", f"""
 SELECT object_type, object_name, status, message FROM m_log WHERE batch_id = '{BATCH}' AND phase = 'inventory'
 ORDER BY object_type, object_name""")
 def q_log_inventory(spark, sf_dir):
-    return alog.inventory(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.inventory(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_out_of_scope", f"""
 SELECT object_type, object_name, message FROM m_log WHERE batch_id = '{BATCH}' AND phase = 'inventory' AND status = 'OUT_OF_SCOPE'
 ORDER BY object_type, object_name""")
 def q_log_out_of_scope(spark, sf_dir):
-    return alog.out_of_scope(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.out_of_scope(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_warnings", f"""
 SELECT object_name, message FROM m_log WHERE batch_id = '{BATCH}' AND status = 'WARNING' ORDER BY logged_at""")
 def q_log_warnings(spark, sf_dir):
-    return alog.warnings(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.warnings(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_compare", f"""
 SELECT batch_id, phase, status, count(*) AS cnt FROM m_log WHERE batch_id IN ('{BATCHES[0]}', '{BATCHES[1]}')
 GROUP BY batch_id, phase, status ORDER BY batch_id, phase, status""")
 def q_log_compare(spark, sf_dir):
-    return alog.compare(_fx(spark, sf_dir)["m_log"], BATCHES)
+    return alog.compare(_log(spark, sf_dir), BATCHES)
 
 
 @_register("log_rowcount_results", f"""
@@ -240,14 +255,14 @@ SELECT object_name, status, message, CAST(regexp_extract(message, 'new=([0-9]+)'
   CAST(regexp_extract(message, 'original=([0-9]+)', 1) AS BIGINT) AS original
 FROM m_log WHERE batch_id = '{BATCH}' AND phase = 'validation' AND object_type = 'ROW_COUNT' ORDER BY object_name""")
 def q_log_rowcount_results(spark, sf_dir):
-    return alog.rowcount_results(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.rowcount_results(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_durations", f"""
 SELECT phase, count(*) AS n, round(sum(duration_seconds), 6) AS total_seconds, max(duration_seconds) AS max_seconds
 FROM m_log WHERE batch_id = '{BATCH}' GROUP BY phase ORDER BY phase""")
 def q_log_durations(spark, sf_dir):
-    return alog.durations(_fx(spark, sf_dir)["m_log"], BATCH)
+    return alog.durations(_log(spark, sf_dir), BATCH)
 
 
 @_register("log_append", "SELECT * FROM m_log")
@@ -602,12 +617,23 @@ MISSING_ON_NEW = "labels"   # the new side lacks this table (row-count ERROR cas
 EDITED = {"orders": "m_orders_new", "lineitem": "m_lineitem_new"}
 
 
+_CLONES: dict[tuple, list] = {}
+
+
 def _clone_all(spark, sf_dir, label: str, edited: bool):
-    """Copy every base table to a fresh folder of the shared root.
+    """Copy every base table to a fresh folder of the shared root (once per
+    session; later queries of the same session read the same copies).
 
     ``edited``: the new side of the validation fixtures (orders and lineitem
     edited, one table left out).
     """
+    key = (spark.sparkContext.applicationId, sf_dir, edited)
+    if key not in _CLONES:
+        _CLONES[key] = _clone_all_now(spark, sf_dir, label, edited)
+    return _CLONES[key]
+
+
+def _clone_all_now(spark, sf_dir, label: str, edited: bool):
     from vaultshift.session import fresh_dir
 
     f = _fx(spark, sf_dir)

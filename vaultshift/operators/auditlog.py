@@ -77,8 +77,10 @@ class AuditLog:
         self.path = path.rstrip("/")
 
     def append(self, rows: DataFrame, max_records_per_file: int = 1_000_000) -> None:
+        """One append per step.  Rows are sorted by batch and time inside each
+        task (no shuffle), so parquet min/max statistics skip other batches."""
         (
-            _checked(rows).write.mode("append")
+            _checked(rows).sortWithinPartitions("batch_id", "logged_at").write.mode("append")
             .option("maxRecordsPerFile", max_records_per_file)
             .partitionBy("catalog_name")
             .parquet(self.path)

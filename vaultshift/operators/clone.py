@@ -41,13 +41,24 @@ def _normal(c: Column, dt: T.DataType) -> Column:
     return c
 
 
-def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of a whole row; a null in column i hashes differently from
-    a null in column j."""
-    parts = [F.xxhash64(F.lit(i), _normal(F.col(f"`{f.name}`"), f.dataType)) for i, f in enumerate(df.schema.fields)]
+def _parts(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    fields = df.schema.fields if columns is None else [df.schema[c] for c in columns]
+    return [F.xxhash64(F.lit(i), _normal(F.col(f"`{f.name}`"), f.dataType)) for i, f in enumerate(fields)]
+
+
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """64-bit hash of a whole row (or of ``columns``); a null in column i
+    hashes differently from a null in column j."""
+    parts = _parts(df, columns)
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
+def row_hash2(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A second, independent 32-bit hash of the same normalised values (Murmur3)."""
+    parts = _parts(df, columns)
+    return F.hash(*parts) if parts else F.lit(0)
+
+
 def digest_columns(h: Column) -> list[Column]:
     return [
         F.count(F.lit(1)).alias("rows"),

@@ -135,22 +135,29 @@ def _groupable(df: DataFrame) -> list[Column]:
 def row_changes(orig: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: added / removed / changed / unchanged / duplicate_key.
 
-    Both sides are unioned and grouped by the key once; other columns are
-    compared null-safely as one struct.
+    Both sides are unioned and grouped by the key once.  The other columns
+    are compared by a 96-bit fingerprint of their normalised values (two
+    independent hashes), so the aggregation buffers are fixed-width and the
+    plan stays a hash aggregation with map-side combining.
     """
+    from vaultshift.operators.clone import row_hash, row_hash2
+
     others = [c for c in orig.columns if c not in keys]
-    o = orig.select(*keys, F.struct(*[F.col(f"`{c}`") for c in others]).alias("v"), F.lit(0).alias("side"))
-    n = new.select(*keys, F.struct(*[F.col(f"`{c}`") for c in others]).alias("v"), F.lit(1).alias("side"))
-    side = F.col("side")
-    g = o.unionByName(n).groupBy(*keys).agg(
-        F.count_if(side == 0).alias("n_o"), F.count_if(side == 1).alias("n_n"),
-        F.first(F.when(side == 0, F.col("v")), ignorenulls=True).alias("v_o"),
-        F.first(F.when(side == 1, F.col("v")), ignorenulls=True).alias("v_n"),
+
+    def side(df: DataFrame, tag: int) -> DataFrame:
+        return df.select(*keys, row_hash(df, others).alias("h1"), row_hash2(df, others).alias("h2"),
+                         F.lit(tag).alias("side"))
+
+    s = F.col("side")
+    g = side(orig, 0).unionByName(side(new, 1)).groupBy(*keys).agg(
+        F.count_if(s == 0).alias("n_o"), F.count_if(s == 1).alias("n_n"),
+        F.max(F.when(s == 0, F.col("h1"))).alias("h1_o"), F.max(F.when(s == 1, F.col("h1"))).alias("h1_n"),
+        F.max(F.when(s == 0, F.col("h2"))).alias("h2_o"), F.max(F.when(s == 1, F.col("h2"))).alias("h2_n"),
     )
     change = (
         F.when((F.col("n_o") > 1) | (F.col("n_n") > 1), "duplicate_key")
         .when(F.col("n_n") == 0, "removed").when(F.col("n_o") == 0, "added")
-        .when(F.col("v_o").eqNullSafe(F.col("v_n")), "unchanged").otherwise("changed")
+        .when((F.col("h1_o") == F.col("h1_n")) & (F.col("h2_o") == F.col("h2_n")), "unchanged").otherwise("changed")
     )
     return g.select(*keys, change.alias("change"))
 
