@@ -38,8 +38,15 @@ def _register(name: str, sql: str | None = None):
     return deco
 
 
+_FIXTURES: dict[tuple[str, str], Fixtures] = {}
+
+
 def _fx(spark: SparkSession, sf_dir: str) -> Fixtures:
-    return Fixtures(spark, sf_dir)
+    """Lazy relations of one folder, built once per session (plans only, no data)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FIXTURES:
+        _FIXTURES[key] = Fixtures(spark, sf_dir)
+    return _FIXTURES[key]
 
 
 # Parameters of the registered runs (the source catalog of the fixtures is 'prod').
@@ -818,7 +825,25 @@ from vaultshift.operators import files as fl  # noqa: E402
 _DOC_PATH_SQL = "lang || '/' || source || '/doc_' || CAST(doc_id AS VARCHAR) || '.txt'"
 
 
+_VOLUMES: dict[tuple, object] = {}
+
+
+def _once(kind: str, spark, sf_dir, make):
+    key = (kind, spark.sparkContext.applicationId, sf_dir)
+    if key not in _VOLUMES:
+        _VOLUMES[key] = make()
+    return _VOLUMES[key]
+
+
 def _volume(spark, sf_dir):
+    return _once("volume", spark, sf_dir, lambda: _volume_now(spark, sf_dir))
+
+
+def _copy(spark, sf_dir):
+    return _once("copy", spark, sf_dir, lambda: _copy_now(spark, sf_dir))
+
+
+def _volume_now(spark, sf_dir):
     """Lay out ``documents`` as a volume: one UTF-8 file per row at <lang>/<source>/doc_<id>.txt."""
     from pyspark.sql import functions as F
 
@@ -832,7 +857,7 @@ def _volume(spark, sf_dir):
     return root
 
 
-def _copy(spark, sf_dir):
+def _copy_now(spark, sf_dir):
     """Copy the volume; the per-file results are written once and read back."""
     from vaultshift.session import fresh_dir
 

@@ -27,17 +27,34 @@ def is_internal(name: Column) -> Column:
     return cond
 
 
-def table_class(table_type: Column, table_name: Column) -> Column:
-    return (
-        F.when(table_type.isin(*MANAGED_TYPES) & is_internal(table_name), "internal")
-        .when(table_type.isin(*MANAGED_TYPES), "managed")
-        .when(table_type == "VIEW", "view")
-        .when(table_type == "MATERIALIZED_VIEW", "mv")
-        .when(table_type == "METRIC_VIEW", "metric_view")
-        .when(table_type == "EXTERNAL", "external")
-        .when(table_type == "STREAMING_TABLE", "streaming")
-        .otherwise("unknown")
-    )
+def _in(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+# One SQL expression (parsed once) for the class of a table row.
+CLASS_SQL = f"""CASE
+  WHEN table_type IN {_in(MANAGED_TYPES)} AND (coalesce(table_name RLIKE '{INTERNAL_PATTERNS[0]}', false)
+       OR coalesce(table_name RLIKE '{INTERNAL_PATTERNS[1]}', false)) THEN 'internal'
+  WHEN table_type IN {_in(MANAGED_TYPES)} THEN 'managed'
+  WHEN table_type = 'VIEW' THEN 'view'
+  WHEN table_type = 'MATERIALIZED_VIEW' THEN 'mv'
+  WHEN table_type = 'METRIC_VIEW' THEN 'metric_view'
+  WHEN table_type = 'EXTERNAL' THEN 'external'
+  WHEN table_type = 'STREAMING_TABLE' THEN 'streaming'
+  ELSE 'unknown' END"""
+
+_DERIVED_SQL = {
+    "scope": """CASE WHEN class = 'internal' THEN 'SKIPPED'
+  WHEN class IN ('managed', 'view', 'mv', 'metric_view') THEN 'IN_SCOPE' ELSE 'OUT_OF_SCOPE' END""",
+    "log_type": """CASE class WHEN 'view' THEN 'VIEW' WHEN 'mv' THEN 'MATERIALIZED_VIEW'
+  WHEN 'metric_view' THEN 'METRIC_VIEW' ELSE 'TABLE' END""",
+    "log_message": """CASE
+  WHEN class = 'managed' THEN concat('type=', table_type, ' owner=', coalesce(table_owner, ''))
+  WHEN class IN ('view', 'mv', 'metric_view') THEN concat('owner=', coalesce(table_owner, ''))
+  WHEN class IN ('external', 'streaming') THEN concat('type=', table_type, ' owner=', coalesce(table_owner, ''))
+  WHEN class = 'internal' THEN 'Internal MV/DLT backing table'
+  ELSE concat('type=', coalesce(table_type, ''), ' (unknown)') END""",
+}
 
 
 def list_schemas(schemata: DataFrame) -> DataFrame:
@@ -73,30 +90,8 @@ def list_functions(routines: DataFrame) -> DataFrame:
 
 def classify_tables(tables: DataFrame) -> DataFrame:
     """Adds ``class``, ``scope`` and the inventory log fields to each table row."""
-    t = tables.where(F.col("table_schema") != SYSTEM_SCHEMA).withColumn(
-        "class", table_class(F.col("table_type"), F.col("table_name"))
-    )
-    cls = F.col("class")
-    owner = F.coalesce(F.col("table_owner"), F.lit(""))
-    scope = (
-        F.when(cls == "internal", "SKIPPED")
-        .when(cls.isin("managed", "view", "mv", "metric_view"), "IN_SCOPE")
-        .otherwise("OUT_OF_SCOPE")
-    )
-    object_type = (
-        F.when(cls == "view", "VIEW")
-        .when(cls == "mv", "MATERIALIZED_VIEW")
-        .when(cls == "metric_view", "METRIC_VIEW")
-        .otherwise("TABLE")
-    )
-    message = (
-        F.when(cls == "managed", F.concat(F.lit("type="), F.col("table_type"), F.lit(" owner="), owner))
-        .when(cls.isin("view", "mv", "metric_view"), F.concat(F.lit("owner="), owner))
-        .when(cls.isin("external", "streaming"), F.concat(F.lit("type="), F.col("table_type"), F.lit(" owner="), owner))
-        .when(cls == "internal", F.lit("Internal MV/DLT backing table"))
-        .otherwise(F.concat(F.lit("type="), F.coalesce(F.col("table_type"), F.lit("")), F.lit(" (unknown)")))
-    )
-    return t.withColumn("scope", scope).withColumn("log_type", object_type).withColumn("log_message", message)
+    t = tables.where(F.col("table_schema") != SYSTEM_SCHEMA).selectExpr("*", f"{CLASS_SQL} AS class")
+    return t.selectExpr("*", *[f"{expr} AS {name}" for name, expr in _DERIVED_SQL.items()])
 
 
 def scope_counts(tables: DataFrame) -> DataFrame:

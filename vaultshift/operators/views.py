@@ -120,42 +120,48 @@ def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_r
     dv = items.select(F.col("view_id").alias("dep_id"), F.col("ord").alias("d_ord"))
     vv = items.select("view_id", F.col("ord").alias("v_ord"))
     # dependency kinds: on a listed view (an edge), on an existing object (met), else missing
-    d = d.join(ex.withColumn("met", F.lit(True)), "dep_id", "left").join(dv, "dep_id", "left")
-    missing = d.where(F.col("d_ord").isNull() & F.col("met").isNull()).select("view_id").distinct()
-    edges = (
-        d.where(F.col("d_ord").isNotNull()).join(vv, "view_id")
-        .select("view_id", "dep_id", F.when(F.col("d_ord") < F.col("v_ord"), 0).otherwise(1).alias("inc"))
+    d = (
+        d.join(ex.withColumn("met", F.lit(True)), "dep_id", "left").join(dv, "dep_id", "left")
+        .join(vv, "view_id", "left")
+        .select("view_id", "dep_id", F.col("d_ord").isNotNull().alias("is_view"),
+                (F.col("d_ord").isNull() & F.col("met").isNull()).alias("is_missing"),
+                F.when(F.col("d_ord") < F.col("v_ord"), 0).otherwise(1).alias("inc"))
     )
+    if checkpoint:
+        d = d.checkpoint()  # classified once; edges and missing are read from here
+    missing = d.where("is_missing").select("view_id").distinct()
+    edges = d.where("is_view").select("view_id", "dep_id", "inc")
     n_deps = edges.groupBy("view_id").agg(F.count(F.lit(1)).alias("n_deps"))
     # per view still to place: dependencies left, longest path so far, latest round so far
     state = (
         items.select("view_id").join(missing, "view_id", "left_anti").join(n_deps, "view_id", "left")
         .select("view_id", F.coalesce(F.col("n_deps"), F.lit(0)).cast("bigint").alias("left"),
-                F.lit(0).alias("level"), F.lit(1).alias("attempt"), F.lit(True).alias("hit"))
+                F.lit(0).alias("level"), F.lit(1).alias("attempt"))
     )
     if checkpoint:
         edges, state = edges.checkpoint(), state.checkpoint()
     frontier = state.where(F.col("left") == 0).select("view_id", "level", "attempt")
+    n_frontier = frontier.count()
     pending = state.where(F.col("left") > 0)
     placed = [frontier]
-    while True:
+    while n_frontier > 0:
         # edges whose dependency was placed in the last round resolve now
-        hits = edges.join(frontier.select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
-                                          F.col("attempt").alias("d_attempt")), "dep_id")
+        f = frontier.select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
+                            F.col("attempt").alias("d_attempt"))
+        hits = edges.join(f, "dep_id")
         upd = hits.groupBy("view_id").agg(
             F.count(F.lit(1)).alias("k"), F.max(F.col("d_level") + 1).alias("lv"),
             F.max(F.col("d_attempt") + F.col("inc")).alias("at"))
-        state = pending.drop("hit").join(upd, "view_id", "left").select(
+        state = pending.join(upd, "view_id", "left").select(
             "view_id", (F.col("left") - F.coalesce(F.col("k"), F.lit(0))).alias("left"),
             F.greatest(F.col("level"), F.coalesce(F.col("lv"), F.col("level"))).alias("level"),
-            F.greatest(F.col("attempt"), F.coalesce(F.col("at"), F.col("attempt"))).alias("attempt"),
-            F.col("k").isNotNull().alias("hit"))
+            F.greatest(F.col("attempt"), F.coalesce(F.col("at"), F.col("attempt"))).alias("attempt"))
         if checkpoint:
             state = state.checkpoint()  # one job per round; the plan of the next round starts here
         frontier = state.where(F.col("left") == 0).select("view_id", "level", "attempt")
-        if frontier.isEmpty():
-            break
-        placed.append(frontier)
+        n_frontier = frontier.count()
+        if n_frontier:
+            placed.append(frontier)
         pending = state.where(F.col("left") > 0)
     done = reduce(DataFrame.unionByName, placed)
     out = items.select("view_id").join(done, "view_id", "left")
