@@ -3,9 +3,9 @@
 A clone is one scan of the source and one write, with no shuffle.  The
 source digest is taken during that same scan (``DataFrame.observe``), so the
 source is read once; the copy is read back once for its digest.  Digest =
-(count, bit_xor of row hashes, sum of row hashes as decimal(38,0)): it does
-not depend on row order or partitioning, and xor and sum together do not
-cancel on duplicate rows.
+(count, bit_xor of row hashes, exact sum of row hashes): it does not depend
+on row order or partitioning, and xor and sum together do not cancel on
+duplicate rows.
 
 Several tables are copied at once from a small driver thread pool; each is
 an independent Spark job, so a failing table is logged and the others go on.
@@ -59,22 +59,27 @@ def row_hash2(df: DataFrame, columns: list[str] | None = None) -> Column:
     return F.hash(*parts) if parts else F.lit(0)
 
 
+DIGEST_FIELDS = ("rows", "xor", "s0", "s1", "s2", "s3")
+
+
 def digest_columns(h: Column) -> list[Column]:
-    return [
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.bit_xor(h), F.lit(0).cast("bigint")).alias("xor"),
-        F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("sum"),
-    ]
+    """count, bit_xor and the exact sum of the hashes, kept as four sums of
+    16-bit quarters in plain longs (exact up to 2^47 rows; no decimal
+    arithmetic per row, no overflow in ANSI mode)."""
+    quarters = [F.shiftrightunsigned(h, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    zero = F.lit(0).cast("bigint")
+    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(h), zero).alias("xor")] + [
+        F.coalesce(F.sum(q), zero).alias(f"s{i}") for i, q in enumerate(quarters)]
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """One-row digest (rows, xor, sum) of a DataFrame (one scan, partial aggregation)."""
+    """One-row digest of a DataFrame (one scan, partial aggregation)."""
     return df.select(row_hash(df).alias("_h")).agg(*digest_columns(F.col("_h")))
 
 
 def digest_value(df: DataFrame) -> tuple:
     r = digest(df).first()
-    return (r["rows"], r["xor"], r["sum"])
+    return tuple(r[k] for k in DIGEST_FIELDS)
 
 
 @dataclass
@@ -107,7 +112,7 @@ def clone_one(spark: SparkSession, name: str, source: DataFrame, target: str,
         writer.parquet(target)
         res.clone_seconds = time.time() - t0
         m = obs.get
-        res.digest_source = (m["rows"], m["xor"], m["sum"])
+        res.digest_source = tuple(m[k] for k in DIGEST_FIELDS)
         res.rows_source = m["rows"]
         copy = spark.read.schema(source.schema).parquet(target).select(*[f"`{c}`" for c in source.columns])
         res.digest_target = digest_value(copy)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vaultshift.functions import names as N
 
 BROADCAST_LOCATIONS_MAX = 100_000
+SALTS = 32
 
 
 def location_match(paths: DataFrame, locations: DataFrame, broadcast_max: int = BROADCAST_LOCATIONS_MAX) -> DataFrame:
@@ -22,7 +23,8 @@ def location_match(paths: DataFrame, locations: DataFrame, broadcast_max: int =
     starts with it plus '/'.  Each path is expanded into its '/'-prefixes
     (bounded by the path depth) and equi-joined with the locations, so the
     match is a hash join.  The location side is broadcast only when its row
-    count is checked to be small.  Ties: longer original url, then name.
+    count is checked to be small; otherwise the join is salted.  Ties: longer
+    original url, then name.
     """
     p = paths.select("path_id", N.trim_slashes(F.col("path")).alias("p"))
     parts = F.split(F.col("p"), "/")
@@ -34,8 +36,13 @@ def location_match(paths: DataFrame, locations: DataFrame, broadcast_max: int =
     locs = locations.select("name", F.length(F.coalesce(F.col("url"), F.lit(""))).alias("url_len"),
                             N.trim_slashes(F.col("url")).alias("cand")).where(F.col("cand") != "")
     if locations.count() <= broadcast_max:
-        locs = F.broadcast(locs)
-    j = cands.join(locs, "cand", "left")
+        j = cands.join(F.broadcast(locs), "cand", "left")
+    else:
+        # Short prefixes ('s3://lake') are candidates of nearly every path: a hot
+        # join key.  Salt the path side and copy each location once per salt.
+        cands = cands.withColumn("salt", F.pmod(F.xxhash64("path_id"), F.lit(SALTS)))
+        locs = locs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        j = cands.join(locs, ["cand", "salt"], "left")
     key = F.when(F.col("name").isNotNull(), F.struct((-F.col("url_len")).alias("l"), F.col("name").alias("n")))
     return j.groupBy("path_id").agg(F.min_by("name", key).alias("name"))
 
