@@ -691,10 +691,19 @@ def q_digest_check(spark, sf_dir):
     f = _fx(spark, sf_dir)
     rows = [(r.table_name, r.status == "SUCCESS" and r.digest_source == r.digest_target)
             for r in _clone_all(spark, sf_dir, "digest", edited=False)]
-    for t, rel in EDITED.items():
-        rows.append((f"{t}_edited", cl.digest_value(f[t]) == cl.digest_value(f[rel])))
     shuffled = f["lineitem"].repartition(5, "l_suppkey").sortWithinPartitions(F.desc("l_partkey"))
-    rows.append(("lineitem_reordered", cl.digest_value(shuffled) == cl.digest_value(f["lineitem"])))
+    sides = {"orders": f["orders"], "orders_new": f["m_orders_new"], "lineitem": f["lineitem"],
+             "lineitem_new": f["m_lineitem_new"], "lineitem_shuffled": shuffled}
+    # all comparison digests in one job: a union of row hashes tagged by side
+    tagged = None
+    for side, df in sides.items():
+        part = df.select(F.lit(side).alias("side"), cl.row_hash(df).alias("_h"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    dg = {r["side"]: tuple(r[k] for k in cl.DIGEST_FIELDS)
+          for r in tagged.groupBy("side").agg(*cl.digest_columns(F.col("_h"))).collect()}
+    rows += [("orders_edited", dg["orders"] == dg["orders_new"]),
+             ("lineitem_edited", dg["lineitem"] == dg["lineitem_new"]),
+             ("lineitem_reordered", dg["lineitem"] == dg["lineitem_shuffled"])]
     return spark.createDataFrame(rows, "table_name string, equal boolean")
 
 
@@ -958,13 +967,20 @@ FROM v JOIN agg USING (view_id) LEFT JOIN (SELECT DISTINCT view_id FROM down) f
 
 
 def _recreate_order(spark, sf_dir, max_rounds):
+    """The rounds do not depend on ``max_rounds``: computed once per session,
+    then each limit is applied to the same placed relation."""
     from pyspark.sql import functions as F
 
     f = _fx(spark, sf_dir)
-    existing = inv.classify_tables(f["m_tables"]).where(F.col("class").isin("managed", "mv")).select(
-        F.col("tid").alias("id"))
-    deps = f["m_view_deps"].unionByName(f["m_view_missing"])
-    return vw.recreate_order(vw.creation_list(f["m_tables"]), deps, existing, max_rounds=max_rounds)
+    items = vw.creation_list(f["m_tables"])
+
+    def rounds():
+        existing = inv.classify_tables(f["m_tables"]).where(F.col("class").isin("managed", "mv")).select(
+            F.col("tid").alias("id"))
+        deps = f["m_view_deps"].unionByName(f["m_view_missing"])
+        return vw.creation_rounds(items, deps, existing)
+
+    return vw.order_status(items, _once("view_rounds", spark, sf_dir, rounds), max_rounds)
 
 
 @_register("recreate_order", _recreate_order_sql(vw.MAX_ROUNDS))

@@ -116,3 +116,15 @@ def test_publish_swap_single_pointer_change(spark):
     publish.publish_swap(spark, path, "cat", "loc_new")
     cur = {r["name"]: (r["version"], r["target"]) for r in publish.resolve(publish.read_pointers(spark, path)).collect()}
     assert cur == {"cat": (2, "loc_new"), "cat_bkp": (2, "loc_old")}
+
+
+def test_audit_log_registered_as_table(spark):
+    log = auditlog.AuditLog(spark, fresh_dir(spark, "t-log-reg"))
+    now = dt.datetime(2026, 1, 2, 3, 4, 5)
+    base = spark.createDataFrame([("CHECK", "x", "OK", None)],
+                                 "object_type string, object_name string, status string, message string")
+    log.append(auditlog.log_rows(base, "b9", "cat", "preflight", now))
+    spark.sql("DROP TABLE IF EXISTS vs_migration_log")
+    log.register("vs_migration_log")
+    assert spark.sql("SELECT count(*) FROM vs_migration_log WHERE batch_id = 'b9'").first()[0] == 1
+    assert N.current_user(spark)

@@ -84,3 +84,8 @@ def kv_read(message, key: str) -> Column:
 
 def one_decimal(x) -> Column:
     return F.format_string("%.1f", _c(x))
+
+
+def current_user(spark) -> str:
+    """Identity of the runner as the session reports it."""
+    return spark.sql("SELECT current_user()").first()[0]

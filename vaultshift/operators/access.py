@@ -59,14 +59,18 @@ def rebase_key(key, old_catalog: str, new_catalog: str):
 
 
 def grant_diff(original: DataFrame, new: DataFrame, original_catalog: str, new_catalog: str,
-               types=("CATALOG", "SCHEMA"), both_ways: bool = False) -> DataFrame:
+               types=("CATALOG", "SCHEMA"), both_ways: bool = False,
+               exclude_principals: tuple[str, ...] = ()) -> DataFrame:
     """Grants present on the original side and missing on the new side.
 
     Ownership pseudo-grants are ignored; keys of the new side are rebased to
     the original catalog name first.  ``both_ways`` adds extra grants too
-    (column ``side``).
+    (column ``side``).  ``exclude_principals`` (e.g. the runner's own
+    transient grants) are left out on both sides.
     """
     def prep(df: DataFrame, cat: str) -> DataFrame:
+        if exclude_principals:
+            df = df.where(~F.col("principal").isin(*exclude_principals))
         return (
             drop_ownership(df.where(F.upper(F.col("object_type")).isin(*types)))
             .select(F.upper(F.col("object_type")).alias("object_type"),

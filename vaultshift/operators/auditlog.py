@@ -29,6 +29,8 @@ LOG_SCHEMA = T.StructType([
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 NOT_NULL = [f.name for f in LOG_SCHEMA.fields if not f.nullable]
 
+LOG_COMMENT = "Migration log for Unity Catalog catalog storage migration"
+
 # Status words (reference vocabulary, both spellings of warnings).
 FAILURE_STATUSES = ("FAILED", "ERROR")
 CHECK_FAILURE_STATUSES = ("FAIL",)
@@ -89,6 +91,14 @@ class AuditLog:
     def read(self) -> DataFrame:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.path).select(*LOG_COLUMNS)
 
+    def register(self, table: str, comment: str = LOG_COMMENT) -> None:
+        """Make the log a catalog table over its folder (created only if absent)."""
+        cols = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in LOG_SCHEMA.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet PARTITIONED BY (catalog_name) "
+            f"LOCATION '{self.path}' COMMENT '{comment}'")
+        self.spark.sql(f"MSCK REPAIR TABLE {table}")
+
 
 # ---- readers (the useful queries of the log) ---------------------------------
 

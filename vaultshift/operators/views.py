@@ -98,18 +98,16 @@ def creation_list(tables: DataFrame) -> DataFrame:
     )
 
 
-def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_rounds: int = MAX_ROUNDS,
-                   checkpoint: bool = True) -> DataFrame:
-    """(view_id, level, attempt, status) for a list of views to create.
+def creation_rounds(items: DataFrame, deps: DataFrame, existing: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """(view_id, level, attempt) of every view that can be placed at all.
 
     ``items``: (view_id, ord) in list order; ``deps``: (view_id, dep_id);
-    ``existing``: (id) of objects present before the views are made.
-    A dependency on anything else is missing.  ``attempt`` is the round in
+    ``existing``: (id) of objects present before the views are made; a
+    dependency on anything else is missing.  ``attempt`` is the round in
     which the retry loop creates the view: 1 without dependencies, else the
     max over dependencies d of attempt(d) + (0 if d comes earlier in the list
-    else 1).  ``level`` is the longest dependency path.  A view is FAILED if
-    a dependency is missing or failed, in a cycle, or needs more than
-    ``max_rounds`` rounds (attempt is then null).
+    else 1).  ``level`` is the longest dependency path.  Views with a
+    missing dependency, in a cycle or downstream of either are absent.
     """
     from vaultshift.session import ensure_checkpoint_dir
 
@@ -148,8 +146,7 @@ def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_r
         # edges whose dependency was placed in the last round resolve now
         f = frontier.select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
                             F.col("attempt").alias("d_attempt"))
-        hits = edges.join(f, "dep_id")
-        upd = hits.groupBy("view_id").agg(
+        upd = edges.join(f, "dep_id").groupBy("view_id").agg(
             F.count(F.lit(1)).alias("k"), F.max(F.col("d_level") + 1).alias("lv"),
             F.max(F.col("d_attempt") + F.col("inc")).alias("at"))
         state = pending.join(upd, "view_id", "left").select(
@@ -163,11 +160,27 @@ def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_r
         if n_frontier:
             placed.append(frontier)
         pending = state.where(F.col("left") > 0)
-    done = reduce(DataFrame.unionByName, placed)
-    out = items.select("view_id").join(done, "view_id", "left")
+    return reduce(DataFrame.unionByName, placed)
+
+
+def order_status(items: DataFrame, placed: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(view_id, level, attempt, status): SUCCESS when placed within ``max_rounds``
+    rounds; otherwise FAILED with a null attempt."""
+    out = items.select("view_id").join(placed, "view_id", "left")
     ok = F.col("attempt").isNotNull() & (F.col("attempt") <= max_rounds)
     return out.select(
         "view_id", F.col("level").cast("int").alias("level"),
         F.when(ok, F.col("attempt")).cast("int").alias("attempt"),
         F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"),
     )
+
+
+def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_rounds: int = MAX_ROUNDS,
+                   checkpoint: bool = True) -> DataFrame:
+    """(view_id, level, attempt, status) for a list of views to create.
+
+    A view is FAILED if a dependency is missing or failed, in a cycle, or it
+    needs more than ``max_rounds`` rounds (attempt is then null); see
+    ``creation_rounds`` for the rule.
+    """
+    return order_status(items, creation_rounds(items, deps, existing, checkpoint), max_rounds)
