@@ -873,7 +873,8 @@ def _copy_now(spark, sf_dir):
     src = _volume(spark, sf_dir)
     dst = fresh_dir(spark, "volume-dst")
     out = fresh_dir(spark, "copy-log")
-    fl.copy_files(spark, fl.manifest(spark, src), src, dst).write.parquet(out)
+    files = fl.snapshot_manifest(spark, src, fresh_dir(spark, "manifest"))
+    fl.copy_files(spark, files, src, dst).write.parquet(out)
     return src, dst, spark.read.parquet(out)
 
 

@@ -47,3 +47,17 @@ def test_unreadable_relation_is_an_error_finding(spark, tmp_path):
     df, findings = read_relation(spark, str(tmp_path / "nowhere"), "grants")
     assert df.count() == 0
     assert [r["severity"] for r in findings.collect()] == ["ERROR"]
+
+
+def test_copy_volume_logs_recursive_count(spark, tmp_path):
+    src = tmp_path / "vol"
+    (src / "x" / "y").mkdir(parents=True)
+    for i in range(5):
+        (src / "x" / "y" / f"f{i}.txt").write_text("z" * i)
+    (src / "top.bin").write_bytes(b"\x00\x01")
+    log = auditlog.AuditLog(spark, fresh_dir(spark, "t-vol-log"))
+    m = Migration(spark, "cat", log, batch_id="b_vol")
+    issues = m.copy_volume("s.v", str(src), str(tmp_path / "dst"), fresh_dir(spark, "t-vol-work"))
+    assert {r["issue"] for r in issues.collect()} == {"OK"}
+    row = log.read().where("phase = 'volumes'").first()
+    assert row["status"] == "SUCCESS" and row["message"].startswith("files=6 ")

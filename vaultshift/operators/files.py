@@ -124,6 +124,16 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return listed if listed is not None else (top if top is not None else spark.createDataFrame([], MANIFEST_SCHEMA))
 
 
+def snapshot_manifest(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """List ``root`` once and keep the list as a parquet table at ``out``.
+
+    The copy and its checks then work on one fixed file list (files added
+    during the copy are not half-taken), and the listing is not repeated.
+    """
+    manifest(spark, root).write.mode("errorifexists").parquet(out)
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(out)
+
+
 def _spread(df: DataFrame, total_bytes: int | None, n_files: int | None, min_tasks: int) -> DataFrame:
     n = min_tasks
     if total_bytes:

@@ -76,11 +76,16 @@ class Migration:
         return rows
 
     # -- volumes ------------------------------------------------------------------------
-    def copy_volume(self, name: str, src_root: str, dst_root: str) -> DataFrame:
+    def copy_volume(self, name: str, src_root: str, dst_root: str, work_dir: str) -> DataFrame:
         """Copy all files of a volume and check them; the volume is SUCCESS only if
-        every file arrived with the same bytes.  Files are counted recursively."""
+        every file arrived with the same bytes.  Files are counted recursively.
+
+        ``work_dir`` (shared folder) keeps the file list and per-file results.
+        """
         t0 = time.time()
-        copied = files.copy_files(self.spark, files.manifest(self.spark, src_root), src_root, dst_root).cache()
+        listed = files.snapshot_manifest(self.spark, src_root, f"{work_dir}/manifest")
+        files.copy_files(self.spark, listed, src_root, dst_root).write.parquet(f"{work_dir}/copied")
+        copied = self.spark.read.schema(files.COPY_SCHEMA).parquet(f"{work_dir}/copied")
         target = files.hash_files(self.spark, files.manifest(self.spark, dst_root), dst_root)
         issues = files.file_check(copied.where(F.col("status") == "COPIED"), target).cache()
         c = copied.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "COPIED").alias("failed")).first()
@@ -92,7 +97,6 @@ class Migration:
             F.lit(f"files={c['n']} failed={c['failed']} mismatched={bad}").alias("message"),
             F.lit(time.time() - t0).alias("d"))
         self._append(row, "volumes", duration="d")
-        copied.unpersist()
         return issues
 
     # -- validation and summary -----------------------------------------------------
