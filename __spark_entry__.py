@@ -615,7 +615,6 @@ def q_affected_shares(spark, sf_dir):
 
 # ---------------------------------------------------------------- clone, digest, validation
 
-from vaultshift.operators import auditlog as _alog2  # noqa: E402,F401
 from vaultshift.operators import clone as cl  # noqa: E402
 from vaultshift.operators import validate as val  # noqa: E402
 from vaultshift.sources.fixtures import BASE_TABLES  # noqa: E402
