@@ -139,7 +139,7 @@ UNION ALL SELECT CASE cls WHEN 'view' THEN 'VIEW' WHEN 'mv' THEN 'MATERIALIZED_V
   CASE WHEN cls = 'managed' THEN 'type=' || table_type || ' owner=' || coalesce(table_owner, '')
        WHEN cls IN ('view', 'mv', 'metric_view') THEN 'owner=' || coalesce(table_owner, '')
        WHEN cls IN ('external', 'streaming') THEN 'type=' || table_type || ' owner=' || coalesce(table_owner, '')
-       WHEN cls = 'internal' THEN 'Internal MV/DLT backing table'
+       WHEN cls = 'internal' THEN 'Internal materialized-view/pipeline backing table'
        ELSE 'type=' || coalesce(table_type, '') || ' (unknown)' END
 FROM (SELECT *, {_CLASS} AS cls FROM m_tables WHERE table_schema <> 'information_schema') t
 UNION ALL SELECT 'FUNCTION', 'prod.' || routine_schema || '.' || routine_name, 'IN_SCOPE', 'body=' || coalesce(routine_body, '')
@@ -164,9 +164,9 @@ SELECT code, n, detail FROM (
     'EXTERNAL VOLUMES (' || count_if(volume_type <> 'MANAGED') || '): Not migrated. External volumes reference external storage and are out of scope.'
   FROM m_volumes WHERE volume_schema <> 'information_schema'
   UNION ALL SELECT 'SHARES', count(DISTINCT share_name),
-    'DELTA SHARING: ' || count(DISTINCT share_name) || ' share(s) reference objects in this catalog. After migration, share references will point to objects in ''prod_bkp''. You must manually update shares to reference the migrated catalog.'
+    'SHARING: ' || count(DISTINCT share_name) || ' share(s) reference objects in this catalog. After migration, share references will point to objects in ''prod_bkp''. You must manually update shares to reference the migrated catalog.'
   FROM m_share_objects WHERE starts_with(lower(coalesce(object_name, '')), 'prod.')
-  UNION ALL SELECT 'PIPELINES', CAST(1 AS BIGINT), 'DLT PIPELINES: This notebook does not detect or migrate DLT/Lakeflow pipelines. If any pipelines target this catalog, they will need a full refresh after migration. Check the Workflows UI or use the Pipelines API to identify affected pipelines.'
+  UNION ALL SELECT 'PIPELINES', CAST(1 AS BIGINT), 'PIPELINES: Pipelines that write to this catalog are not detected or moved. If any pipelines target this catalog, they will need a full refresh after migration.'
   UNION ALL SELECT 'AUX_COLLISION', least(count_if(catalog = 'prod_aux'), 1), 'BLOCKING: Catalog ''prod_aux'' already exists. Drop it or choose a different source catalog before proceeding.' FROM m_catalogs
   UNION ALL SELECT 'BKP_COLLISION', least(count_if(catalog = 'prod_bkp'), 1), 'BLOCKING: Catalog ''prod_bkp'' already exists. Drop it or choose a different source catalog before proceeding.' FROM m_catalogs
   UNION ALL SELECT 'MATERIALIZED_VIEWS', count_if(cls = 'mv'),

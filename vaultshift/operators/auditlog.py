@@ -29,7 +29,7 @@ LOG_SCHEMA = T.StructType([
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 NOT_NULL = [f.name for f in LOG_SCHEMA.fields if not f.nullable]
 
-LOG_COMMENT = "Migration log for Unity Catalog catalog storage migration"
+LOG_COMMENT = "Migration log for catalog storage migration"
 
 # Status words (reference vocabulary, both spellings of warnings).
 FAILURE_STATUSES = ("FAILED", "ERROR")

@@ -52,7 +52,7 @@ _DERIVED_SQL = {
   WHEN class = 'managed' THEN concat('type=', table_type, ' owner=', coalesce(table_owner, ''))
   WHEN class IN ('view', 'mv', 'metric_view') THEN concat('owner=', coalesce(table_owner, ''))
   WHEN class IN ('external', 'streaming') THEN concat('type=', table_type, ' owner=', coalesce(table_owner, ''))
-  WHEN class = 'internal' THEN 'Internal MV/DLT backing table'
+  WHEN class = 'internal' THEN 'Internal materialized-view/pipeline backing table'
   ELSE concat('type=', coalesce(table_type, ''), ' (unknown)') END""",
 }
 
@@ -166,8 +166,8 @@ RISK_TEXT = {
     "EXTERNAL_TABLES": "EXTERNAL TABLES ({n}): Not migrated. These tables reference external storage and are out of scope.",
     "STREAMING_TABLES": "STREAMING TABLES ({n}): Not migrated. Streaming tables cannot be cloned and require full re-ingestion from source.",
     "EXTERNAL_VOLUMES": "EXTERNAL VOLUMES ({n}): Not migrated. External volumes reference external storage and are out of scope.",
-    "SHARES": "DELTA SHARING: {n} share(s) reference objects in this catalog. After migration, share references will point to objects in '{bkp}'. You must manually update shares to reference the migrated catalog.",
-    "PIPELINES": "DLT PIPELINES: This notebook does not detect or migrate DLT/Lakeflow pipelines. If any pipelines target this catalog, they will need a full refresh after migration. Check the Workflows UI or use the Pipelines API to identify affected pipelines.",
+    "SHARES": "SHARING: {n} share(s) reference objects in this catalog. After migration, share references will point to objects in '{bkp}'. You must manually update shares to reference the migrated catalog.",
+    "PIPELINES": "PIPELINES: Pipelines that write to this catalog are not detected or moved. If any pipelines target this catalog, they will need a full refresh after migration.",
     "AUX_COLLISION": "BLOCKING: Catalog '{aux}' already exists. Drop it or choose a different source catalog before proceeding.",
     "BKP_COLLISION": "BLOCKING: Catalog '{bkp}' already exists. Drop it or choose a different source catalog before proceeding.",
     "MATERIALIZED_VIEWS": "MATERIALIZED VIEWS ({n}): Will be recreated after the rename swap. This triggers a full recomputation which may take significant time and compute.",
