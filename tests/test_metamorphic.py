@@ -89,3 +89,10 @@ def test_keyed_and_multiset_diff(spark):
     dup = validate.row_diff(f["lineitem"], f["lineitem"], ["l_orderkey"]).collect()
     assert {r["change"] for r in dup} >= {"duplicate_key"}
     assert validate.row_diff_multiset(f["lineitem"], f["lineitem"]).count() == 0
+
+
+def test_multiset_diff_hash_and_exact_agree(spark):
+    f = Fixtures(spark, SF_SMALL)
+    a = {r["change"]: r["n"] for r in validate.row_diff_multiset(f["lineitem"], f["m_lineitem_new"]).collect()}
+    b = {r["change"]: r["n"] for r in validate.row_diff_multiset(f["lineitem"], f["m_lineitem_new"], exact=True).collect()}
+    assert a == b and a.get("removed", 0) > 0

@@ -187,11 +187,23 @@ def row_diff(orig: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return row_changes(orig, new, keys).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
-def row_diff_multiset(orig: DataFrame, new: DataFrame) -> DataFrame:
+def row_diff_multiset(orig: DataFrame, new: DataFrame, exact: bool = False) -> DataFrame:
     """(change, n) when rows have no unique key: multiplicities of equal rows
-    are compared (removed = more copies in the original, added = more in new)."""
-    o = orig.select(*_groupable(orig), F.lit(1).alias("_d"))
-    n = new.select(*_groupable(new), F.lit(-1).alias("_d"))
+    are compared (removed = more copies in the original, added = more in new).
+
+    By default rows are grouped by a 96-bit fingerprint of their normalised
+    values, so the shuffle carries 16 bytes per row instead of the row; with
+    ``exact=True`` they are grouped by all columns.
+    """
+    from vaultshift.operators.clone import row_hash, row_hash2
+
+    def side(df: DataFrame, d: int) -> DataFrame:
+        if exact:
+            return df.select(*_groupable(df), F.lit(d).alias("_d"))
+        cols = orig.columns  # same column order on both sides
+        return df.select(row_hash(df, cols).alias("h1"), row_hash2(df, cols).alias("h2"), F.lit(d).alias("_d"))
+
+    o, n = side(orig, 1), side(new, -1)
     d = o.unionByName(n).groupBy(*[c for c in o.columns if c != "_d"]).agg(F.sum("_d").alias("d")).where(
         F.col("d") != 0)
     return d.groupBy(F.when(F.col("d") > 0, "removed").otherwise("added").alias("change")).agg(
