@@ -4,8 +4,10 @@ The creation order is what the reference's retry loop (up to N rounds over
 the list, a failure retried next round) computes, worked out as a frontier
 loop over the dependency relation: each round adds the views whose every
 dependency is already placed.  Cost grows with the number of levels, not
-with the number of paths; the placed set is checkpointed each round (to the
-session's checkpoint folder) so the plan stays short.
+with the number of paths.  Each round is one job: its state is cached as it
+is counted, and every few rounds (and at the end) written as a reliable
+checkpoint to the session's checkpoint folder, so the plan stays short and
+a lost executor never forces a replay of more than a few rounds.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ NO_DDL = "No DDL captured"
 NO_YAML = "No YAML body"
 NO_WAREHOUSE = "sql_warehouse_id not provided"
 MAX_ROUNDS = 10
+CHECKPOINT_EVERY = 4
 
 
 def view_capture(tables: DataFrame, views: DataFrame) -> DataFrame:
@@ -130,37 +133,48 @@ def creation_rounds(items: DataFrame, deps: DataFrame, existing: DataFrame, chec
     missing = d.where("is_missing").select("view_id").distinct()
     edges = d.where("is_view").select("view_id", "dep_id", "inc")
     n_deps = edges.groupBy("view_id").agg(F.count(F.lit(1)).alias("n_deps"))
-    # per view still to place: dependencies left, longest path so far, latest round so far
+    # per view: dependencies left, longest path so far, latest round so far,
+    # and whether it was placed in the last round (the frontier)
     state = (
         items.select("view_id").join(missing, "view_id", "left_anti").join(n_deps, "view_id", "left")
         .select("view_id", F.coalesce(F.col("n_deps"), F.lit(0)).cast("bigint").alias("left"),
                 F.lit(0).alias("level"), F.lit(1).alias("attempt"))
+        .withColumn("fresh", F.col("left") == 0)
     )
     if checkpoint:
-        edges, state = edges.checkpoint(), state.checkpoint()
-    frontier = state.where(F.col("left") == 0).select("view_id", "level", "attempt")
-    n_frontier = frontier.count()
-    pending = state.where(F.col("left") > 0)
-    placed = [frontier]
+        edges = edges.checkpoint()
+    state = state.cache()
+    n_frontier = state.where("fresh").count()
+    rnd = 0
     while n_frontier > 0:
+        rnd += 1
         # edges whose dependency was placed in the last round resolve now
-        f = frontier.select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
-                            F.col("attempt").alias("d_attempt"))
+        f = state.where("fresh").select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
+                                        F.col("attempt").alias("d_attempt"))
         upd = edges.join(f, "dep_id").groupBy("view_id").agg(
             F.count(F.lit(1)).alias("k"), F.max(F.col("d_level") + 1).alias("lv"),
             F.max(F.col("d_attempt") + F.col("inc")).alias("at"))
-        state = pending.join(upd, "view_id", "left").select(
+        nxt = state.join(upd, "view_id", "left").select(
             "view_id", (F.col("left") - F.coalesce(F.col("k"), F.lit(0))).alias("left"),
             F.greatest(F.col("level"), F.coalesce(F.col("lv"), F.col("level"))).alias("level"),
-            F.greatest(F.col("attempt"), F.coalesce(F.col("at"), F.col("attempt"))).alias("attempt"))
-        if checkpoint:
-            state = state.checkpoint()  # one job per round; the plan of the next round starts here
-        frontier = state.where(F.col("left") == 0).select("view_id", "level", "attempt")
-        n_frontier = frontier.count()
-        if n_frontier:
-            placed.append(frontier)
-        pending = state.where(F.col("left") > 0)
-    return reduce(DataFrame.unionByName, placed)
+            F.greatest(F.col("attempt"), F.coalesce(F.col("at"), F.col("attempt"))).alias("attempt"),
+            ((F.col("left") > 0) & (F.col("left") - F.coalesce(F.col("k"), F.lit(0)) == 0)).alias("fresh"),
+        ).cache()
+        n_frontier = nxt.where("fresh").count()  # the one job of the round; it also fills the cache
+        if checkpoint and rnd % CHECKPOINT_EVERY == 0:
+            nxt = _cut(nxt)
+        state.unpersist()
+        state = nxt
+    placed = state.where(F.col("left") == 0).select("view_id", "level", "attempt")
+    if checkpoint:
+        placed = placed.checkpoint()  # durable result, read from the cached state
+    state.unpersist()
+    return placed
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a cached DataFrame (written from the cache), kept cached."""
+    return df.checkpoint().cache()
 
 
 def order_status(items: DataFrame, placed: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
