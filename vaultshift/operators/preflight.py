@@ -7,7 +7,7 @@ aggregate over a tagged union of the inputs; no cross joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultshift.functions import names as N
@@ -36,13 +36,20 @@ def location_match(paths: DataFrame, locations: DataFrame, broadcast_max: int =
     locs = locations.select("name", F.length(F.coalesce(F.col("url"), F.lit(""))).alias("url_len"),
                             N.trim_slashes(F.col("url")).alias("cand")).where(F.col("cand") != "")
     if locations.count() <= broadcast_max:
-        j = cands.join(F.broadcast(locs), "cand", "left")
-    else:
-        # Short prefixes ('s3://lake') are candidates of nearly every path: a hot
-        # join key.  Salt the path side and copy each location once per salt.
-        cands = cands.withColumn("salt", F.pmod(F.xxhash64("path_id"), F.lit(SALTS)))
-        locs = locs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        j = cands.join(locs, ["cand", "salt"], "left")
+        # Bounded (counted above): rank the locations in one task (longer url
+        # first, then name; equal keys are equal rows, so ranks are stable), so
+        # the per-path pick is min(rank), a hash aggregation on a long.
+        ranked = locs.withColumn("rk", F.row_number().over(
+            Window.orderBy(F.desc("url_len"), F.col("name").asc_nulls_last(), F.col("cand"))))
+        best = cands.join(F.broadcast(ranked.select("cand", "rk")), "cand", "left").groupBy("path_id").agg(
+            F.min("rk").alias("rk"))
+        return best.join(F.broadcast(ranked.select("rk", "name")), "rk", "left").select("path_id", "name")
+    # Unbounded: short prefixes ('s3://lake') are candidates of nearly every
+    # path, a hot join key.  Salt the path side and copy each location once
+    # per salt; the pick is a sort-based aggregation (spills, no size limit).
+    cands = cands.withColumn("salt", F.pmod(F.xxhash64("path_id"), F.lit(SALTS)))
+    locs = locs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    j = cands.join(locs, ["cand", "salt"], "left")
     key = F.when(F.col("name").isNotNull(), F.struct((-F.col("url_len")).alias("l"), F.col("name").alias("n")))
     return j.groupBy("path_id").agg(F.min_by("name", key).alias("name"))
 
