@@ -18,7 +18,9 @@ BASE_TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-# The derivation rules of the metadata fixtures (FIXTURES.md).
+# The derivation rules of the metadata fixtures (FIXTURES.md); rows
+# that FIXTURES.md replicates with a cross join on a 2-3 row constant are written
+# here as UNION ALL branches (same rows, no cross join in any plan).
 FIXTURE_SQL: dict[str, str] = {
     "m_schemata": """
 SELECT n_name AS schema_name, concat('owner_', CAST(n_nationkey % 7 AS STRING)) AS schema_owner,
@@ -52,18 +54,21 @@ FROM {m_tables} WHERE table_type = 'MANAGED'
 UNION ALL SELECT tid, concat('fk_', CAST(CAST(floor(tid / 25) AS BIGINT) AS STRING)), 'FOREIGN KEY', table_schema, table_name
 FROM {m_tables} WHERE table_type = 'MANAGED' AND tid % 3 = 0 AND tid >= 10""",
     "m_key_column_usage": """
-SELECT t.constraint_name, t.table_schema, t.table_name, concat('c', CAST(o.n AS STRING)) AS column_name, o.n AS ordinal_position
-FROM {m_table_constraints} t CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) o WHERE o.n <= 1 + t.tid % 2""",
+SELECT t.constraint_name, t.table_schema, t.table_name, 'c1' AS column_name, 1 AS ordinal_position FROM {m_table_constraints} t
+UNION ALL SELECT t.constraint_name, t.table_schema, t.table_name, 'c2', 2 FROM {m_table_constraints} t WHERE t.tid % 2 = 1""",
     "m_referential_constraints": """
 SELECT constraint_name, table_schema AS constraint_schema, CASE WHEN tid % 4 = 0 THEN 'other' ELSE 'prod' END AS unique_constraint_catalog,
   concat('NATION_', CAST((tid - 10) % 25 AS STRING)) AS unique_constraint_schema, concat('pk_', CAST(tid - 10 AS STRING)) AS unique_constraint_name
 FROM {m_table_constraints} WHERE constraint_type = 'FOREIGN KEY'""",
     "m_tags": """
-SELECT 'TABLE' AS object_type, table_schema, table_name, CAST(NULL AS STRING) AS column_name, concat('k', CAST(o.n AS STRING)) AS tag_name,
-  CASE WHEN tid % 7 = 0 THEN 'it''s' ELSE table_owner END AS tag_value
-FROM {m_tables} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) o WHERE tid % 4 >= o.n
-UNION ALL SELECT 'COLUMN', table_schema, table_name, concat('c', CAST(o.n AS STRING)), 'pii', CAST(tid % 2 AS STRING)
-FROM {m_tables} CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) o WHERE tid % 5 = 0""",
+SELECT 'TABLE' AS object_type, table_schema, table_name, CAST(NULL AS STRING) AS column_name, 'k1' AS tag_name,
+  CASE WHEN tid % 7 = 0 THEN 'it''s' ELSE table_owner END AS tag_value FROM {m_tables} WHERE tid % 4 >= 1
+UNION ALL SELECT 'TABLE', table_schema, table_name, CAST(NULL AS STRING), 'k2',
+  CASE WHEN tid % 7 = 0 THEN 'it''s' ELSE table_owner END FROM {m_tables} WHERE tid % 4 >= 2
+UNION ALL SELECT 'TABLE', table_schema, table_name, CAST(NULL AS STRING), 'k3',
+  CASE WHEN tid % 7 = 0 THEN 'it''s' ELSE table_owner END FROM {m_tables} WHERE tid % 4 >= 3
+UNION ALL SELECT 'COLUMN', table_schema, table_name, 'c1', 'pii', CAST(tid % 2 AS STRING) FROM {m_tables} WHERE tid % 5 = 0
+UNION ALL SELECT 'COLUMN', table_schema, table_name, 'c2', 'pii', CAST(tid % 2 AS STRING) FROM {m_tables} WHERE tid % 5 = 0""",
     "m_grants": """
 SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'CATALOG' WHEN c_custkey % 4 = 1 THEN 'SCHEMA' ELSE 'TABLE' END AS object_type,
   CASE WHEN c_custkey % 4 = 0 THEN 'prod' WHEN c_custkey % 4 = 1 THEN concat('prod.NATION_', CAST(c_nationkey AS STRING))
@@ -80,9 +85,10 @@ SELECT s_suppkey AS rid, concat('NATION_', CAST(s_nationkey AS STRING)) AS routi
   'INT' AS full_data_type, CASE WHEN s_suppkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS is_deterministic,
   CASE WHEN s_suppkey % 4 = 0 THEN 'it''s' ELSE NULL END AS comment, concat('owner_', CAST(s_nationkey % 7 AS STRING)) AS routine_owner FROM {supplier}""",
     "m_parameters": """
-SELECT r.routine_schema AS specific_schema, r.routine_name AS specific_name, concat('p', CAST(o.n AS STRING)) AS parameter_name,
-  CASE WHEN o.n = 1 THEN 'INT' ELSE 'DECIMAL(10,2)' END AS full_data_type, o.n AS ordinal_position, CASE WHEN o.n = 3 THEN 'OUT' ELSE 'IN' END AS parameter_mode
-FROM {m_routines} r CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) o WHERE r.rid % 4 >= o.n""",
+SELECT routine_schema AS specific_schema, routine_name AS specific_name, 'p1' AS parameter_name, 'INT' AS full_data_type,
+  1 AS ordinal_position, 'IN' AS parameter_mode FROM {m_routines} WHERE rid % 4 >= 1
+UNION ALL SELECT routine_schema, routine_name, 'p2', 'DECIMAL(10,2)', 2, 'IN' FROM {m_routines} WHERE rid % 4 >= 2
+UNION ALL SELECT routine_schema, routine_name, 'p3', 'DECIMAL(10,2)', 3, 'OUT' FROM {m_routines} WHERE rid % 4 >= 3""",
     "m_volumes": """
 SELECT concat('NATION_', CAST(s_nationkey AS STRING)) AS volume_schema, concat('v_', CAST(s_suppkey AS STRING)) AS volume_name,
   CASE WHEN s_suppkey % 5 = 0 THEN 'EXTERNAL' ELSE 'MANAGED' END AS volume_type, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE NULL END AS comment FROM {supplier}""",
