@@ -61,3 +61,37 @@ def test_copy_volume_logs_recursive_count(spark, tmp_path):
     assert {r["issue"] for r in issues.collect()} == {"OK"}
     row = log.read().where("phase = 'volumes'").first()
     assert row["status"] == "SUCCESS" and row["message"].startswith("files=6 ")
+
+
+def test_run_statements_and_create_views(spark):
+    from vaultshift.operators import routines, views
+    from vaultshift.plans import execute, statements
+
+    spark.sql("DROP DATABASE IF EXISTS vs_exec CASCADE")
+    schemata = spark.createDataFrame([("vs_exec", "o", None)], SCHEMAS["schemata"])
+    kv = spark.createDataFrame([("vs_exec", "Comment", "made here"), ("vs_exec", "Owner", "o")], SCHEMAS["describe_kv"])
+    res = {r["statement"].split(" ")[0]: r["status"]
+           for r in execute.run_statements(spark, statements.schema_plan(schemata, kv, "x", "spark_catalog")).collect()}
+    assert res == {"CREATE": "SUCCESS"}
+    r = spark.createDataFrame(
+        [(1, "vs_exec", "f_sql", "p1 + 1", "SQL", None, "INT", "YES", "it's", "o"),
+         (2, "vs_exec", "f_py", "return 1", "EXTERNAL", "Python", "INT", "NO", None, "o")], SCHEMAS["routines"])
+    p = spark.createDataFrame([("vs_exec", "f_sql", "p1", "INT", 1, "IN")], SCHEMAS["parameters"])
+    ddl = routines.function_ddl(r, p, "spark_catalog").select(
+        F.lit("FUNCTION").alias("object_type"), "routine_name", F.col("ddl").alias("statement")
+    ).withColumnRenamed("routine_name", "object_name")
+    got = {x["object_name"]: x["status"] for x in execute.run_statements(spark, ddl).collect()}
+    assert got == {"f_sql": "SUCCESS", "f_py": "SKIPPED"}
+    assert spark.sql("SELECT vs_exec.f_sql(41)").first()[0] == 42
+    # two views, the second reads the first: created in level order
+    plan = spark.createDataFrame(
+        [("VIEW", "v2", "PLANNED", "CREATE VIEW vs_exec.v2 AS SELECT x + 1 AS y FROM vs_exec.v1", None),
+         ("VIEW", "v1", "PLANNED", "CREATE VIEW vs_exec.v1 AS SELECT 1 AS x", None),
+         ("VIEW", "v3", "SKIPPED", None, None)],
+        "object_type string, object_name string, status string, statement string, fallback string")
+    order = spark.createDataFrame([("v1", 0, "SUCCESS"), ("v2", 1, "SUCCESS"), ("v3", None, "FAILED")],
+                                  "object_name string, level int, order_status string")
+    made = {x["object_name"]: x["status"] for x in execute.create_views(spark, plan, order).collect()}
+    assert made == {"v1": "SUCCESS", "v2": "SUCCESS", "v3": "SKIPPED"}
+    assert spark.sql("SELECT y FROM vs_exec.v2").first()[0] == 2
+    assert views is not None

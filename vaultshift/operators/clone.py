@@ -127,7 +127,7 @@ def clone_one(spark: SparkSession, name: str, source: DataFrame, target: str,
     return res
 
 
-def clone_tables(spark: SparkSession, sources: dict[str, DataFrame], target_root: str, parallel: int = 4,
+def clone_tables(spark: SparkSession, sources: dict[str, DataFrame], target_root: str, parallel: int = 8,
                  partition_by: dict[str, list[str]] | None = None) -> list[CloneResult]:
     """Copy many tables, ``parallel`` Spark jobs in flight at once."""
     partition_by = partition_by or {}
