@@ -128,3 +128,14 @@ def test_audit_log_registered_as_table(spark):
     log.register("vs_migration_log")
     assert spark.sql("SELECT count(*) FROM vs_migration_log WHERE batch_id = 'b9'").first()[0] == 1
     assert N.current_user(spark)
+
+
+def test_size_for_sets_partitions(spark):
+    from vaultshift.session import size_for
+
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_for(spark, 10 * 1024 ** 4) == 81920
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 81920
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

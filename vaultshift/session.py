@@ -68,3 +68,19 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the shared root for one run of one step."""
     return f"{shared_root(spark)}/vaultshift/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def size_for(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 128 * 1024 * 1024,
+             max_partitions: int = 100_000) -> int:
+    """Set shuffle partitions and scan split size for ``input_bytes`` of input.
+
+    Each shuffle partition gets about ``target_partition_bytes`` before AQE
+    coalesces small ones; scan splits use the same size, so a task's input
+    fits in executor memory at any scale.  Returns the partition count.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    n = max(2 * cores, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    return n
