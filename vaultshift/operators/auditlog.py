@@ -29,9 +29,8 @@ LOG_SCHEMA = T.StructType([
 LOG_COLUMNS = [f.name for f in LOG_SCHEMA.fields]
 NOT_NULL = [f.name for f in LOG_SCHEMA.fields if not f.nullable]
 
+# Log table comment and status words (reference vocabulary).
 LOG_COMMENT = "Migration log for catalog storage migration"
-
-# Status words (reference vocabulary, both spellings of warnings).
 FAILURE_STATUSES = ("FAILED", "ERROR")
 CHECK_FAILURE_STATUSES = ("FAIL",)
 

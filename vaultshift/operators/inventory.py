@@ -43,6 +43,7 @@ CLASS_SQL = f"""CASE
   WHEN table_type = 'STREAMING_TABLE' THEN 'streaming'
   ELSE 'unknown' END"""
 
+# Scope words and inventory log wording.
 _DERIVED_SQL = {
     "scope": """CASE WHEN class = 'internal' THEN 'SKIPPED'
   WHEN class IN ('managed', 'view', 'mv', 'metric_view') THEN 'IN_SCOPE' ELSE 'OUT_OF_SCOPE' END""",

@@ -99,6 +99,7 @@ def preflight_report(catalogs: DataFrame, schemata: DataFrame, grants: DataFrame
     def finding(sev: Column, check: str, detail: Column) -> Column:
         return F.struct(sev.alias("severity"), F.lit(check).alias("check"), detail.alias("detail"))
 
+    # Severities and the wording of each finding follow the reference.
     ok, warn, fail = F.lit("OK"), F.lit("WARN"), F.lit("FAIL")
     granted = F.when(F.size("ms_grants") > 0, F.array_join("ms_grants", ", ")).otherwise(F.lit("none"))
     owner_known = F.lit(bool(catalog_owner))

@@ -13,6 +13,7 @@ from vaultshift.functions import names as N
 
 # Messages of the reference.
 NO_DEFINITION = "Could not read function definition (must be owner or admin)"
+UNSUPPORTED = "Unsupported function type ({body}/{lang}). Attempting SQL RETURN."
 
 
 def parameter_lists(parameters: DataFrame) -> DataFrame:
@@ -57,7 +58,8 @@ def function_ddl(routines: DataFrame, parameters: DataFrame, target_catalog: str
     warning = (
         F.when(~has_def, F.lit(NO_DEFINITION))
         .when((body != "SQL") & ~python,
-              F.concat(F.lit("Unsupported function type ("), body, F.lit("/"), lang, F.lit("). Attempting SQL RETURN.")))
+              F.concat(F.lit(UNSUPPORTED.split("{body}")[0]), body, F.lit("/"), lang,
+                       F.lit(UNSUPPORTED.split("{lang}")[1])))
     )
     return r.select(
         "routine_schema", "routine_name",
