@@ -63,32 +63,34 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
-def _expand(root: str, min_dirs: int, max_depth: int = 3) -> tuple[list[tuple], list[str]]:
-    """Files directly below the top levels, and the subtree roots to list in tasks.
-
-    Directories are expanded level by level on the driver (names only) until
-    there are enough subtrees to spread, or ``max_depth`` is reached.
+def _seeds(root: str, min_dirs: int, max_depth: int = 3) -> list[tuple[str, bool]]:
+    """Subtrees to list in tasks: (directory relative to root, recursive).
+
+    Directories are expanded level by level on the driver until there are
+    enough subtrees to spread, or ``max_depth`` is reached.  The driver keeps
+    directory names only; files directly inside an expanded directory are
+    listed by a task of their own (non-recursive), so no file entry is held
+    on the driver even for a flat directory.
     """
     import pyarrow.fs as pafs
 
     fs, base = _fs(root)
-    files: list[tuple] = []
-    dirs = [""]
+    cut = len(base.rstrip("/")) + 1
+    seeds: list[tuple[str, bool]] = []
+    level = [""]
     for _ in range(max_depth):
-        if len(dirs) >= min_dirs:
+        if len(level) >= min_dirs:
             break
-        nxt = []
-        for d in dirs:
+        nxt: list[str] = []
+        for d in level:
+            seeds.append((d, False))
             for info in fs.get_file_info(pafs.FileSelector(_join(base, d) if d else base)):
-                rel = info.path[len(base.rstrip("/")) + 1:]
                 if info.type == pafs.FileType.Directory:
-                    nxt.append(rel)
-                elif info.type == pafs.FileType.File:
-                    files.append((rel, info.size, info.mtime))
-        dirs = nxt
-        if not dirs:
+                    nxt.append(info.path[cut:])
+        level = nxt
+        if not level:
             break
-    return files, dirs
+    return seeds + [(d, True) for d in level]
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -98,7 +100,7 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     their path; no file content is read.  (Spark's ``binaryFile`` scan is not
     used: it drops zero-length files.)
     """
-    top_files, dirs = _expand(root, min_dirs=4 * spark.sparkContext.defaultParallelism)
+    seeds = _seeds(root, min_dirs=4 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
@@ -106,22 +108,18 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
         fs, base = _fs(root)
         cut = len(base.rstrip("/")) + 1
         for b in batches:
-            for d in b["dir"]:
-                out = [(i.path[cut:], i.size, i.mtime)
-                       for i in fs.get_file_info(pafs.FileSelector(_join(base, d), recursive=True))
-                       if i.type == pafs.FileType.File]
+            for d, rec in zip(b["dir"], b["recursive"]):
+                sel = pafs.FileSelector(_join(base, d) if d else base, recursive=bool(rec))
+                out = [(i.path[cut:], i.size, i.mtime) for i in fs.get_file_info(sel) if i.type == pafs.FileType.File]
                 if out:
                     yield pd.DataFrame(out, columns=MANIFEST_SCHEMA.fieldNames())
 
-    listed = None
-    if dirs:
-        seeds = spark.createDataFrame([(d,) for d in dirs], "dir string")
-        seeds = seeds.repartition(max(1, min(len(dirs), spark.sparkContext.defaultParallelism * 4)), F.xxhash64("dir"))
-        listed = seeds.mapInPandas(run, MANIFEST_SCHEMA)
-    top = spark.createDataFrame(top_files, MANIFEST_SCHEMA) if top_files else None
-    if listed is not None and top is not None:
-        return listed.unionByName(top)
-    return listed if listed is not None else (top if top is not None else spark.createDataFrame([], MANIFEST_SCHEMA))
+    n = max(1, min(len(seeds), spark.sparkContext.defaultParallelism * 4))
+    return (
+        spark.createDataFrame(seeds, "dir string, recursive boolean")
+        .repartition(n, F.xxhash64("dir"))
+        .mapInPandas(run, MANIFEST_SCHEMA)
+    )
 
 
 def snapshot_manifest(spark: SparkSession, root: str, out: str) -> DataFrame:
