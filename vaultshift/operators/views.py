@@ -173,28 +173,8 @@ def creation_rounds(items: DataFrame, deps: DataFrame, existing: DataFrame, chec
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a cached DataFrame (written from the cache), kept cached."""
-    return df.checkpoint().cache()
-
-
-def order_status(items: DataFrame, placed: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(view_id, level, attempt, status): SUCCESS when placed within ``max_rounds``
-    rounds; otherwise FAILED with a null attempt."""
-    out = items.select("view_id").join(placed, "view_id", "left")
-    ok = F.col("attempt").isNotNull() & (F.col("attempt") <= max_rounds)
-    return out.select(
-        "view_id", F.col("level").cast("int").alias("level"),
-        F.when(ok, F.col("attempt")).cast("int").alias("attempt"),
-        F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"),
-    )
-
-
-def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_rounds: int = MAX_ROUNDS,
-                   checkpoint: bool = True) -> DataFrame:
-    """(view_id, level, attempt, status) for a list of views to create.
-
-    A view is FAILED if a dependency is missing or failed, in a cycle, or it
-    needs more than ``max_rounds`` rounds (attempt is then null); see
-    ``creation_rounds`` for the rule.
-    """
-    return order_status(items, creation_rounds(items, deps, existing, checkpoint), max_rounds)
+    """Reliable checkpoint of a cached DataFrame: written from the cache, then
+    the cache is released and later rounds read the written copy."""
+    cp = df.checkpoint()
+    df.unpersist()
+    return cp
