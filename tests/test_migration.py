@@ -95,3 +95,27 @@ def test_run_statements_and_create_views(spark):
     assert made == {"v1": "SUCCESS", "v2": "SUCCESS", "v3": "SKIPPED"}
     assert spark.sql("SELECT y FROM vs_exec.v2").first()[0] == 2
     assert views is not None
+
+
+def test_plan_from_harvest_and_run(spark):
+    from vaultshift.plans import execute
+
+    spark.sql("DROP DATABASE IF EXISTS vs_plan_src CASCADE")
+    spark.sql("CREATE DATABASE vs_plan_src COMMENT 'source db' WITH DBPROPERTIES ('team' = 'x')")
+    spark.range(3).write.saveAsTable("vs_plan_src.t1")
+    kv = harvest.harvest_describe(spark, ["vs_plan_src"])
+    assert {r["info_name"] for r in kv.collect()} >= {"Comment", "Owner"}
+    schemata = harvest.harvest_schemata(spark, ["vs_plan_src"]).selectExpr("'vs_plan_dst' AS schema_name",
+                                                                        "schema_owner", "comment")
+    kv2 = kv.selectExpr("'vs_plan_dst' AS object_name", "info_name", "info_value")
+    tables = harvest.harvest_tables(spark, ["vs_plan_src"])
+    routines = spark.createDataFrame([], SCHEMAS["routines"])
+    params = spark.createDataFrame([], SCHEMAS["parameters"])
+    m = Migration(spark, "spark_catalog", auditlog.AuditLog(spark, fresh_dir(spark, "t-plan-log")), batch_id="bp")
+    plan = m.plan("spark_catalog", schemata, kv2, tables, routines, params)
+    spark.sql("DROP DATABASE IF EXISTS vs_plan_dst CASCADE")
+    res = execute.run_statements(spark, plan, order=["step"]).collect()
+    created = [r for r in res if r["statement"].startswith("CREATE SCHEMA")]
+    assert created and created[0]["status"] == "SUCCESS"
+    assert "source db" in created[0]["statement"]
+    assert spark.sql("DESCRIBE DATABASE EXTENDED vs_plan_dst").where("info_name = 'Comment'").first()[1] == "source db"

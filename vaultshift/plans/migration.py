@@ -46,6 +46,37 @@ class Migration:
         self._append(done, "dry_run")
         return inventory.inventory_summary(schemata, tables, volumes, routines)
 
+    # -- plans ------------------------------------------------------------------------
+    def plan(self, target: str, schemata: DataFrame, describe_kv: DataFrame, tables: DataFrame,
+             routines: DataFrame, parameters: DataFrame, tag_rows: DataFrame | None = None,
+             direct_grants: DataFrame | None = None) -> DataFrame:
+        """Every statement that rebuilds the catalog as ``target``, one relation:
+        (step, object_type, object_name, statement) in the order to run them."""
+        from vaultshift.operators import routines as rtn
+        from vaultshift.plans import statements as st
+
+        parts = [
+            st.schema_plan(schemata, describe_kv, self.catalog, target).withColumn("step", F.lit(1)),
+            st.comment_plan(tables, self.catalog, target).withColumn("step", F.lit(2)),
+            rtn.function_ddl(routines, parameters, target).where(F.col("status") == "PLANNED").select(
+                F.lit("FUNCTION").alias("object_type"),
+                F.concat_ws(".", F.lit(self.catalog), "routine_schema", "routine_name").alias("object_name"),
+                F.col("ddl").alias("statement"), F.lit(3).alias("step")),
+        ]
+        if tag_rows is not None:
+            parts.append(st.tag_plan(tables, tag_rows, self.catalog, target).where(F.col("mode") == "batch").select(
+                F.lit("TAG").alias("object_type"),
+                F.concat_ws(".", F.lit(self.catalog), "table_schema", "table_name").alias("object_name"),
+                "statement", F.lit(4).alias("step")))
+        if direct_grants is not None:
+            parts.append(st.grant_plan(direct_grants, self.catalog, target).withColumn("step", F.lit(5)))
+        parts.append(st.owner_plan(schemata, describe_kv, tables, routines, self.catalog, target)
+                     .withColumn("step", F.lit(6)))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.select("step", "object_type", "object_name", "statement")
+
     # -- tables -------------------------------------------------------------------------
     def _done(self, phase: str) -> set[str]:
         """Objects already logged SUCCESS in this batch for ``phase`` (small: names only)."""

@@ -79,3 +79,13 @@ def harvest_columns(spark: SparkSession, tables: DataFrame) -> DataFrame:
         for i, c in enumerate(spark.catalog.listColumns(f"`{t.table_schema}`.`{t.table_name}`"), start=1):
             rows.append((f"{t.table_schema}.{t.table_name}", c.name, i, c.dataType, c.nullable, c.description))
     return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+
+
+def harvest_describe(spark: SparkSession, databases: list[str] | None = None) -> DataFrame:
+    """``describe_kv`` rows of databases from ``DESCRIBE DATABASE EXTENDED``
+    (owner, comment, properties, location, ...), keys as printed."""
+    rows = []
+    for d in _databases(spark, databases):
+        for r in spark.sql(f"DESCRIBE DATABASE EXTENDED `{d.name}`").collect():
+            rows.append((d.name, r[0], r[1]))
+    return spark.createDataFrame(rows, SCHEMAS["describe_kv"])
