@@ -489,6 +489,11 @@ def q_function_ddl(spark, sf_dir):
 
 # ---------------------------------------------------------------- plans
 
+# ((k,v),(k2,v2)) -> ('k' = 'v', 'k2' = 'v2'), as plans.statements.properties_clause
+_PROPS_RE = r"'\(([^(),]+),([^()]*)\)'"
+_PROPS_TO = r"'''\1'' = ''\2'''"
+_PROPS_CLAUSE = f"replace(regexp_replace(props, {_PROPS_RE}, {_PROPS_TO}, 'g'), ''',''', ''', ''')"
+
 @_register("schema_plan", f"""
 WITH s AS (SELECT m.schema_name, coalesce(d.comment, '') AS cmt, coalesce(d.properties, '') AS props
   FROM m_schemata m LEFT JOIN {_DESCRIBE} d ON d.object_name = m.schema_name WHERE m.schema_name <> 'information_schema'),
@@ -496,11 +501,12 @@ x AS (SELECT schema_name, CASE WHEN lower(schema_name) = 'default' AND cmt <> ''
     WHEN lower(schema_name) <> 'default' THEN 'CREATE SCHEMA ' || {_q(f"'{AUX}'", 'schema_name')}
       || CASE WHEN cmt <> '' THEN ' COMMENT ' || {_lit('cmt')} ELSE '' END END AS statement FROM s
   UNION ALL SELECT schema_name, CASE WHEN props NOT IN ('', '(())') THEN 'ALTER SCHEMA ' || {_q(f"'{AUX}'", 'schema_name')}
-    || ' SET DBPROPERTIES ' || props END FROM s)
+    || ' SET DBPROPERTIES ' || {_PROPS_CLAUSE} END FROM s)
 SELECT 'SCHEMA' AS object_type, '{CATALOG}.' || schema_name AS object_name, statement FROM x WHERE statement IS NOT NULL""")
 def q_schema_plan(spark, sf_dir):
     f = _fx(spark, sf_dir)
-    return st.schema_plan(f["m_schemata"], f["m_describe_kv"], CATALOG, AUX)
+    return st.schema_plan(f["m_schemata"], f["m_describe_kv"], CATALOG, AUX).select(
+        "object_type", "object_name", "statement")
 
 
 @_register("comment_plan", f"""

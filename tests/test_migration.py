@@ -119,3 +119,7 @@ def test_plan_from_harvest_and_run(spark):
     assert created and created[0]["status"] == "SUCCESS"
     assert "source db" in created[0]["statement"]
     assert spark.sql("DESCRIBE DATABASE EXTENDED vs_plan_dst").where("info_name = 'Comment'").first()[1] == "source db"
+    props = [r for r in res if "DBPROPERTIES" in r["statement"]]
+    assert props and props[0]["status"] == "SUCCESS", props
+    desc = {r[0]: r[1] for r in spark.sql("DESCRIBE DATABASE EXTENDED vs_plan_dst").collect()}
+    assert "team" in desc.get("Properties", "")

@@ -56,7 +56,8 @@ class Migration:
         from vaultshift.plans import statements as st
 
         parts = [
-            st.schema_plan(schemata, describe_kv, self.catalog, target).withColumn("step", F.lit(1)),
+            st.schema_plan(schemata, describe_kv, self.catalog, target).withColumn("step", F.col("seq") + 1)
+            .drop("seq"),
             st.comment_plan(tables, self.catalog, target).withColumn("step", F.lit(2)),
             rtn.function_ddl(routines, parameters, target).where(F.col("status") == "PLANNED").select(
                 F.lit("FUNCTION").alias("object_type"),

@@ -20,14 +20,25 @@ POST_SWAP = ("view", "mv", "metric_view")
 
 
 def _explode_statements(df: DataFrame, statements: list[Column], keep: list[str]) -> DataFrame:
+    """One row per non-null statement; ``seq`` is its position (the order to run them)."""
     return (
-        df.select(*keep, F.explode(F.array(*statements)).alias("statement"))
+        df.select(*keep, F.posexplode(F.array(*statements)).alias("seq", "statement"))
         .where(F.col("statement").isNotNull())
     )
 
 
+def properties_clause(props: Column) -> Column:
+    """DESCRIBE prints properties as ``((k,v),(k2,v2))``; SET DBPROPERTIES needs
+    ``('k' = 'v', 'k2' = 'v2')``.  Text in another form is kept as it is."""
+    pairs = F.regexp_replace(props, r"\(([^(),]+),([^()]*)\)", "'$1' = '$2'")
+    return F.replace(pairs, F.lit("','"), F.lit("', '"))
+
+
 def schema_plan(schemata: DataFrame, describe_kv: DataFrame, catalog: str, target: str) -> DataFrame:
-    """CREATE SCHEMA (with COMMENT), or only COMMENT ON for ``default``; DBPROPERTIES if any."""
+    """CREATE SCHEMA (with COMMENT), or only COMMENT ON for ``default``; DBPROPERTIES if any.
+
+    Columns: object_type, object_name, seq (0 create/comment, 1 properties), statement.
+    """
     info = metadata.describe_pivot(describe_kv).withColumnRenamed("object_name", "schema_name")
     s = inventory.list_schemas(schemata).join(info, "schema_name", "left").select(
         "schema_name",
@@ -46,7 +57,7 @@ def schema_plan(schemata: DataFrame, describe_kv: DataFrame, catalog: str, targe
                        .otherwise(F.lit(""))))
     )
     props = F.when(~F.col("properties").isin("", "(())"),
-                   F.concat(F.lit("ALTER SCHEMA "), q, F.lit(" SET DBPROPERTIES "), F.col("properties")))
+                   F.concat(F.lit("ALTER SCHEMA "), q, F.lit(" SET DBPROPERTIES "), properties_clause(F.col("properties"))))
     s = s.withColumn("object_type", F.lit("SCHEMA")).withColumn(
         "object_name", N.fqn(F.lit(catalog), F.col("schema_name")))
     return _explode_statements(s, [create, props], ["object_type", "object_name"])
