@@ -12,8 +12,6 @@ a lost executor never forces a replay of more than a few rounds.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
