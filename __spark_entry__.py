@@ -1041,7 +1041,13 @@ WITH facts0 AS (SELECT
      WHERE principal = '{r}' AND upper(object_type) = 'METASTORE') g) AS ms_grants,
   (SELECT count(*) FROM m_grants WHERE principal = '{r}' AND upper(object_type) = 'METASTORE'
      AND {_norm('action_type')} IN ('CREATECATALOG', 'ALLPRIVILEGES')) AS n_create,
-  (SELECT max(name) FROM {loc} lm) AS loc),
+  (SELECT max(name) FROM {loc} lm) AS loc,
+  (SELECT string_agg(DISTINCT a, ', ' ORDER BY a) FROM (SELECT {_norm('g.action_type')} AS a FROM m_grants g
+     WHERE g.principal = '{r}' AND upper(g.object_type) = 'EXTERNAL LOCATION'
+       AND g.object_key IN (SELECT name FROM {loc} lm2)) lg) AS loc_grants,
+  (SELECT count(*) FROM m_grants g WHERE g.principal = '{r}' AND upper(g.object_type) = 'EXTERNAL LOCATION'
+     AND g.object_key IN (SELECT name FROM {loc} lm3)
+     AND {_norm('g.action_type')} IN ('CREATEMANAGEDSTORAGE', 'ALLPRIVILEGES')) AS n_loc_create),
 facts AS (SELECT *, {admin} AS admin FROM facts0),
 findings AS (
   SELECT CASE WHEN admin IS NULL THEN 'WARN' ELSE 'OK' END AS severity, 'metastore_admin' AS "check",
@@ -1060,7 +1066,12 @@ findings AS (
     CASE WHEN coalesce(admin, false) THEN 'implicit via metastore admin' WHEN n_create > 0 THEN 'CREATE CATALOG granted at metastore'
          ELSE 'Runner lacks CREATE CATALOG on the metastore. Granted: ' || coalesce(ms_grants, 'none') || '. Request CREATE CATALOG from your metastore admin.' END FROM facts
   UNION ALL SELECT CASE WHEN loc IS NOT NULL THEN 'OK' ELSE 'FAIL' END, 'external_location_exists',
-    CASE WHEN loc IS NOT NULL THEN '''' || loc || ''' covers ''{sp}''' ELSE 'No external location covers path ''{sp}''.' END FROM facts)
+    CASE WHEN loc IS NOT NULL THEN '''' || loc || ''' covers ''{sp}''' ELSE 'No external location covers path ''{sp}''.' END FROM facts
+  UNION ALL SELECT CASE WHEN coalesce(admin, false) OR n_loc_create > 0 THEN 'OK' ELSE 'FAIL' END, 'external_location_privilege',
+    CASE WHEN coalesce(admin, false) THEN 'implicit via metastore admin on ''' || loc || ''''
+         WHEN n_loc_create > 0 THEN 'CREATE MANAGED STORAGE granted on ''' || loc || ''''
+         ELSE 'Runner lacks CREATE MANAGED STORAGE on ''' || loc || '''. Granted: ' || coalesce(loc_grants, 'none')
+           || '. Request CREATE MANAGED STORAGE from the location owner.' END FROM facts WHERE loc IS NOT NULL)
 SELECT * FROM findings
 UNION ALL SELECT CASE WHEN count_if(severity = 'FAIL') > 0 THEN 'FAIL' ELSE 'SUCCESS' END, 'SUMMARY',
   CASE WHEN count_if(severity = 'FAIL') > 0 THEN count_if(severity = 'FAIL') || ' failed, ' || count_if(severity = 'WARN') || ' warnings'

@@ -77,6 +77,10 @@ def preflight_report(catalogs: DataFrame, schemata: DataFrame, grants: DataFrame
         .unionByName(grants.where((F.col("principal") == runner) & (F.upper(F.col("object_type")) == "METASTORE"))
                      .select(F.lit("ms_grant").alias("tag"), norm.alias("v")))
         .unionByName(match.select(F.lit("loc").alias("tag"), F.col("name").alias("v")))
+        .unionByName(grants.where((F.col("principal") == runner)
+                                  & (F.upper(F.col("object_type")) == "EXTERNAL LOCATION"))
+                     .join(match.select(F.col("name").alias("object_key")), "object_key", "left_semi")
+                     .select(F.lit("loc_grant").alias("tag"), norm.alias("v")))
     )
     facts = tagged.agg(
         F.count_if(_fact("cat")).alias("n_cat"), F.count_if(_fact("aux")).alias("n_aux"),
@@ -85,6 +89,7 @@ def preflight_report(catalogs: DataFrame, schemata: DataFrame, grants: DataFrame
         F.count_if(_fact("member") & (F.col("v") == F.lit(metastore_owner))).alias("n_owner_group"),
         F.array_sort(F.collect_set(F.when(_fact("ms_grant"), F.col("v")))).alias("ms_grants"),
         F.max(F.when(_fact("loc"), F.col("v"))).alias("loc"),
+        F.array_sort(F.collect_set(F.when(_fact("loc_grant"), F.col("v")))).alias("loc_grants"),
     )
     if metastore_owner is None:
         admin = F.lit(None).cast("boolean")
@@ -137,7 +142,15 @@ def preflight_report(catalogs: DataFrame, schemata: DataFrame, grants: DataFrame
                 F.when(F.col("loc").isNotNull(), F.concat(F.lit("'"), F.col("loc"), F.lit(f"' covers '{storage_path}'")))
                 .otherwise(F.lit(f"No external location covers path '{storage_path}'."))),
     ]
-    findings = facts.select(F.explode(F.array(*items)).alias("f")).select("f.*")
+    loc_ok = F.arrays_overlap("loc_grants", F.array(F.lit("CREATEMANAGEDSTORAGE"), F.lit("ALLPRIVILEGES")))
+    loc_granted = F.when(F.size("loc_grants") > 0, F.array_join("loc_grants", ", ")).otherwise(F.lit("none"))
+    items.append(F.when(F.col("loc").isNotNull(), finding(
+        F.when(a | loc_ok, ok).otherwise(fail), "external_location_privilege",
+        F.when(a, F.concat(F.lit("implicit via metastore admin on '"), F.col("loc"), F.lit("'")))
+        .when(loc_ok, F.concat(F.lit("CREATE MANAGED STORAGE granted on '"), F.col("loc"), F.lit("'")))
+        .otherwise(F.concat(F.lit("Runner lacks CREATE MANAGED STORAGE on '"), F.col("loc"), F.lit("'. Granted: "),
+                            loc_granted, F.lit(". Request CREATE MANAGED STORAGE from the location owner."))))))
+    findings = facts.select(F.explode(F.array(*items)).alias("f")).where(F.col("f").isNotNull()).select("f.*")
     summary = findings.agg(
         F.count_if(F.col("severity") == "OK").alias("oks"), F.count_if(F.col("severity") == "WARN").alias("warns"),
         F.count_if(F.col("severity") == "FAIL").alias("fails"),
