@@ -139,3 +139,40 @@ def test_size_for_sets_partitions(spark):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 81920
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_statement_text_with_awkward_names(spark):
+    from vaultshift.plans import statements
+    from vaultshift.sources.relations import SCHEMAS
+
+    tables = spark.createDataFrame(
+        [(1, "sch`x", "t'1", "MANAGED", "own`er", "it's a \\ comment"),
+         (2, "sch`x", "v.1", "VIEW", "o", None)], SCHEMAS["tables"])
+    cp = {r["object_name"]: r["statement"] for r in statements.comment_plan(tables, "cat", "cat_aux").collect()}
+    assert cp == {"cat.sch`x.t'1": "COMMENT ON TABLE `cat_aux`.`sch``x`.`t'1` IS 'it\\'s a \\\\ comment'"}
+    op = {r["object_name"]: r["statement"] for r in statements.owner_plan(
+        spark.createDataFrame([], SCHEMAS["schemata"]), spark.createDataFrame([], SCHEMAS["describe_kv"]),
+        tables, spark.createDataFrame([], SCHEMAS["routines"]), "cat", "cat_aux").collect()}
+    assert op["cat.sch`x.t'1"] == "ALTER TABLE `cat_aux`.`sch``x`.`t'1` SET OWNER TO `own``er`"
+    assert op["cat.sch`x.v.1"] == "ALTER VIEW `cat`.`sch``x`.`v.1` SET OWNER TO `o`"
+
+
+def test_constraint_and_grant_statements(spark):
+    from vaultshift.plans import statements
+    from vaultshift.sources.relations import SCHEMAS
+
+    tc = spark.createDataFrame([(1, "pk_a", "PRIMARY KEY", "s", "a"), (2, "fk_b", "FOREIGN KEY", "s", "b")],
+                               SCHEMAS["table_constraints"])
+    kcu = spark.createDataFrame([("pk_a", "s", "a", "id2", 2), ("pk_a", "s", "a", "id1", 1), ("fk_b", "s", "b", "a_id", 1)],
+                                SCHEMAS["key_column_usage"])
+    rc = spark.createDataFrame([("fk_b", "s", "cat", "s", "pk_a")], SCHEMAS["referential_constraints"])
+    rows = sorted((r["step"], r["statement"]) for r in statements.constraint_plan(tc, kcu, rc, "cat", "cat_aux").collect())
+    assert rows == [
+        (1, "ALTER TABLE `cat_aux`.`s`.`a` ADD CONSTRAINT `pk_a` PRIMARY KEY (`id1`, `id2`)"),
+        (2, "ALTER TABLE `cat_aux`.`s`.`b` ADD CONSTRAINT `fk_b` FOREIGN KEY (`a_id`) REFERENCES "
+            "`cat_aux`.`s`.`a` (`id1`, `id2`)"),
+    ]
+    direct = spark.createDataFrame([("SCHEMA", "cat.s", "team a", "USE SCHEMA"), ("TABLE", "cat.s.a", "u", "OWN")],
+                                   "object_type string, object_key string, principal string, action_type string")
+    g = [r["statement"] for r in statements.grant_plan(direct, "cat", "cat_aux").collect()]
+    assert g == ["GRANT USE SCHEMA ON SCHEMA `cat_aux`.`s` TO `team a`"]
