@@ -123,3 +123,15 @@ def test_plan_from_harvest_and_run(spark):
     assert props and props[0]["status"] == "SUCCESS", props
     desc = {r[0]: r[1] for r in spark.sql("DESCRIBE DATABASE EXTENDED vs_plan_dst").collect()}
     assert "team" in desc.get("Properties", "")
+
+
+def test_schema_diff_on_harvested_columns(spark):
+    spark.sql("DROP DATABASE IF EXISTS vs_cols CASCADE")
+    spark.sql("CREATE DATABASE vs_cols")
+    spark.sql("CREATE TABLE vs_cols.a (id BIGINT COMMENT 'key', name STRING, amount DOUBLE) USING parquet")
+    spark.sql("CREATE TABLE vs_cols.b (id BIGINT, name STRING COMMENT 'label', amount DECIMAL(12,2)) USING parquet")
+    cols = harvest.harvest_columns(spark, harvest.harvest_tables(spark, ["vs_cols"]))
+    a = cols.where("table_name = 'vs_cols.a'").withColumn("table_name", F.lit("t"))
+    b = cols.where("table_name = 'vs_cols.b'").withColumn("table_name", F.lit("t"))
+    got = sorted((r["column_name"], r["issue"]) for r in validate.schema_diff(a, b, check_comments=True).collect())
+    assert got == [("amount", "type_changed"), ("id", "comment_changed"), ("name", "comment_changed")]
