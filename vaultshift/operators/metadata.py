@@ -48,8 +48,15 @@ def table_metadata(tables: DataFrame, tag_rows: DataFrame, tc: DataFrame, kcu: D
     pk = constraints.pk_constraints(tc, kcu).groupBy(*TKEY).agg(
         F.min_by(F.struct(F.col("constraint_name").alias("pk_name"), F.col("cols").alias("pk_cols")),
                  F.col("constraint_name")).alias("pk"))
-    fk = constraints.fk_constraints(tc, kcu, rc, catalog, target_catalog).groupBy(*TKEY).agg(
-        F.count(F.lit(1)).alias("n_fks"))
+    # FKs that will be rebuilt: they have key columns and a referential row (semi joins; the
+    # referenced-key lookup of fk_constraints is not needed for a count)
+    fk = (
+        tc.where(F.col("constraint_type") == "FOREIGN KEY").select(*constraints.KEYS3)
+        .join(kcu.select(*constraints.KEYS3), constraints.KEYS3, "left_semi")
+        .join(rc.select("constraint_name", F.col("constraint_schema").alias("table_schema")),
+              ["constraint_name", "table_schema"], "left_semi")
+        .groupBy(*TKEY).agg(F.count(F.lit(1)).alias("n_fks"))
+    )
     g = access.drop_ownership(grants.where(F.upper(F.col("object_type")) == "TABLE")).select(
         "object_key", "principal", "action_type").distinct().groupBy("object_key").agg(
         F.count(F.lit(1)).alias("n_grants"))
