@@ -46,7 +46,10 @@ def _fs(root: str):
     import pyarrow.fs as pafs
 
     if "://" in root:
-        return pafs.FileSystem.from_uri(root)
+        scheme, rest = root.split("://", 1)
+        # Hadoop spellings of object stores -> the schemes pyarrow knows
+        scheme = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme)
+        return pafs.FileSystem.from_uri(f"{scheme}://{rest}")
     if root.startswith("file:"):
         root = root[len("file:"):]
     return pafs.LocalFileSystem(), root
