@@ -139,8 +139,7 @@ def creation_rounds(items: DataFrame, deps: DataFrame, existing: DataFrame, chec
                 F.lit(0).alias("level"), F.lit(1).alias("attempt"))
         .withColumn("fresh", F.col("left") == 0)
     )
-    if checkpoint:
-        edges = edges.checkpoint()
+    edges = edges.cache()  # a filter of the checkpointed relation, read every round
     state = state.cache()
     n_frontier = state.where("fresh").count()
     rnd = 0
@@ -167,6 +166,7 @@ def creation_rounds(items: DataFrame, deps: DataFrame, existing: DataFrame, chec
     if checkpoint:
         placed = placed.checkpoint()  # durable result, read from the cached state
     state.unpersist()
+    edges.unpersist()
     return placed
 
 
