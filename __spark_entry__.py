@@ -896,8 +896,10 @@ def q_file_copy(spark, sf_dir):
 
 @_register("file_check", f"SELECT {_DOC_PATH_SQL} AS path, 'OK' AS issue FROM documents")
 def q_file_check(spark, sf_dir):
+    from vaultshift.session import fresh_dir
+
     src, dst, copied = _copy(spark, sf_dir)
-    target = fl.hash_files(spark, fl.manifest(spark, dst), dst)
+    target = fl.hash_files(spark, fl.snapshot_manifest(spark, dst, fresh_dir(spark, "manifest-dst")), dst)
     return fl.file_check(copied.where("status = 'COPIED'"), target)
 
 

@@ -118,7 +118,8 @@ class Migration:
         listed = files.snapshot_manifest(self.spark, src_root, f"{work_dir}/manifest")
         files.copy_files(self.spark, listed, src_root, dst_root).write.parquet(f"{work_dir}/copied")
         copied = self.spark.read.schema(files.COPY_SCHEMA).parquet(f"{work_dir}/copied")
-        target = files.hash_files(self.spark, files.manifest(self.spark, dst_root), dst_root)
+        target = files.hash_files(self.spark, files.snapshot_manifest(self.spark, dst_root, f"{work_dir}/manifest-dst"),
+                                  dst_root)
         issues = files.file_check(copied.where(F.col("status") == "COPIED"), target).cache()
         c = copied.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") != "COPIED").alias("failed")).first()
         bad = issues.where(F.col("issue") != "OK").count()
