@@ -1087,6 +1087,21 @@ def q_preflight_report(spark, sf_dir):
                                **PF)
 
 
+# ------------------------------------------------- training-data operators
+
+try:  # the subpackage and the pipeline may be absent; everything above works without them
+    import corpus_pipeline
+    from vaultshift.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
+if llm_queries is not None:
+    _QUERIES.update(llm_queries.QUERIES)
+    _ORACLE.update(llm_queries.ORACLE)
+    _QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -130,17 +130,6 @@ def test_audit_log_registered_as_table(spark):
     assert N.current_user(spark)
 
 
-def test_size_for_sets_partitions(spark):
-    from vaultshift.session import size_for
-
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        assert size_for(spark, 10 * 1024 ** 4) == 81920
-        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == 81920
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-
-
 def test_statement_text_with_awkward_names(spark):
     from vaultshift.plans import statements
     from vaultshift.sources.relations import SCHEMAS

@@ -24,7 +24,10 @@ def _rows(cols, rows):
     return sorted(repr(tuple(_norm(r[i]) for i in order)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+OWN = sorted(name for name in E.oracle_sql() if not name.startswith("op") and name != "pipeline")
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     got = [tuple(r) for r in df.collect()]
@@ -36,7 +39,8 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    own = {name for name in E.queries() if not name.startswith("op") and name != "pipeline"}
+    assert own == {name for name in E.oracle_sql() if name in own}
 
 
 def test_entry_runs(spark):

@@ -8,10 +8,11 @@ Only when it is unset (local runs, tests) a private folder is created.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, partitions: int = 8, app: str = "vaultshift") -> SparkSession:
@@ -45,10 +46,17 @@ def _checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session; a private one only where none is set."""
+    """Checkpoint folder of the session.
+
+    A private folder is made only where none is set *and* the master is
+    local: on a cluster a machine-local folder would be lost with its machine,
+    so that case raises.
+    """
     found = _checkpoint_dir(spark)
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="vaultshift-ckpt-")
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir() or local
@@ -65,22 +73,24 @@ def shared_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    """A new, unused folder below the shared root for one run of one step."""
-    return f"{shared_root(spark)}/vaultshift/{label}-{uuid.uuid4().hex[:12]}"
+def shared_uri(spark: SparkSession, label: str) -> str:
+    """A new, unused folder below the checkpoint folder, with its scheme kept."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = base if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", base) else f"file:{base}"
+    return f"{base}/vaultshift/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def size_for(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 128 * 1024 * 1024,
-             max_partitions: int = 100_000) -> int:
-    """Set shuffle partitions and scan split size for ``input_bytes`` of input.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
 
-    Each shuffle partition gets about ``target_partition_bytes`` before AQE
-    coalesces small ones; scan splits use the same size, so a task's input
-    fits in executor memory at any scale.  Returns the partition count.
+    Cuts the lineage there: a lost executor repeats only what follows.
     """
-    cores = spark.sparkContext.defaultParallelism
-    n = max(2 * cores, min(max_partitions, -(-input_bytes // target_partition_bytes)))
-    spark.conf.set("spark.sql.shuffle.partitions", str(n))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
-    return n
+    spark = df.sparkSession
+    path = shared_uri(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh_dir(spark: SparkSession, label: str) -> str:
+    """A new, unused folder below the shared root for one run of one step."""
+    return f"{shared_root(spark)}/vaultshift/{label}-{uuid.uuid4().hex[:12]}"
