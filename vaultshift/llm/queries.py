@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import chat, url_filter, warc
+from vaultshift.llm import chat, decontamination, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,16 @@ def op2_warc(spark, sf_dir):
         warc.key_of("refers_to").cast("long").alias("refers_to"))
 
 
+# --------------------------------------------------- benchmark decontamination
+
+@_query("op3_benchmark_decontamination")
+def op3_benchmark_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *[f"contamination.{c}" for c in (
+        "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item")])
+
+
 # -------------------------------------------------------------- URL filters
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
