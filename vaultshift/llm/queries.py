@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import chat, decontamination, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,19 @@ def op3_benchmark_decontamination(spark, sf_dir):
         "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item")])
 
 
+# ------------------------------------------------------------ byte-level BPE
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@_query("op5_byte_level_bpe")
+def op5_byte_level_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                       public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 # -------------------------------------------------------------- URL filters
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
