@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, langid, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,18 @@ def op5_byte_level_bpe(spark, sf_dir):
                        public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+# -------------------------------------------------------------- language ID
+
+@_query("op6_language_id")
+def op6_language_id(spark, sf_dir):
+    held_out = toxicity.in_fold(F.col("doc_id"), 4, 2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
+
+
 # -------------------------------------------------------------- URL filters
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -116,3 +128,15 @@ def op8_chat_formatting(spark, sf_dir):
         F.col("conversation").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+# ------------------------------------------------------------------- toxicity
+
+@_query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    held_out = toxicity.in_fold(F.col("doc_id"), 5, 0)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, share = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model, share).select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity.score").alias("score"),
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
