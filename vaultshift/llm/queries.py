@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, langid, toxicity, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, langid, ngram_join, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,11 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, model, share).select(
         "doc_id", held_out.alias("held_out"), F.col("toxicity.score").alias("score"),
         (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"), F.size("toxicity.passages").alias("n_passages"))
+
+
+# ------------------------------------------------------- n-gram Jaccard join
+
+@_query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, sf_dir):
+    found = ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
