@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, langid, ngram_join, toxicity, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, langid, line_dedup, ngram_join, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,14 @@ def _query(name: str, sql: str | None = None):
     return put
 
 
+# ---------------------------------------------------------------- line dedup
+
+@_query("op1_line_dedup")
+def op1_line_dedup(spark, sf_dir):
+    kept = line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", *[F.col(f"dedup.{c}").alias(f"n_{c}") for c in ("lines", "chunks", "removed_chunks", "removed_words")])
+
+
 # --------------------------------------------------------------------- WARC
 
 @_query("op2_warc", f"""
