@@ -4,15 +4,15 @@ Encoding.  A token sequence is the BPE encoding of a piece exactly when every
 two neighbours encode to themselves when joined.  So the last token of every
 prefix of a piece is settled by the prefix alone, and a left-to-right machine
 needs to remember only those last tokens that a longer prefix can still build on.
-Its states and transitions are compiled from the ranks as texts need them
-(lazily determinised) and kept; a transition reads one byte and emits the tokens
-on which all live readings agree, at most one longest token later.
+Its nodes and steps are compiled from the ranks as texts need them (lazily
+determinised) and kept, and so is which tokens may be neighbours; reading on,
+it emits the tokens on which all live readings agree.
 
 Decoding is a transducer over token ids whose state is the unfinished UTF-8
 character (at most three bytes); it, too, is compiled as it is needed.
 
 Tables and memoised pieces live in the Python worker, in at most
-``STATES`` transitions and twice ``PIECES`` pieces; a full table is started anew, which
+``STATES`` neighbours and twice ``PIECES`` pieces; a full table is started anew, which
 changes no result.
 
 Defined cases: a null text counts as empty and has no tokens; equal texts have
@@ -33,7 +33,9 @@ from pyspark.sql import types as T
 
 from vaultshift.llm.common import small_batches
 
-STATES, PIECES = 1 << 18, 1 << 18
+STATES, PIECES = 1 << 19, 1 << 18
+#: Bytes of a piece that are read before tokens are emitted; the last tokens of so many prefixes are kept.
+AHEAD = 512
 
 
 @lru_cache(maxsize=4)
@@ -43,32 +45,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """The transducer of one vocabulary (token bytes -> rank)."""
+    """The transducer of one vocabulary (token bytes -> rank).
+
+    Its state has two parts.  ``node`` names the longest run of bytes, up to
+    here, that begins a token; nodes and steps between them are compiled on first
+    use, with the tokens that end there.  ``last`` has the last token of each
+    prefix since the last emitted one.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.starts = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
-        self._pair: dict[tuple[int, int], bool] = {}
+        self._pair: dict[int, bool] = {}
         self._made: dict[int, tuple[int | None, int | None]] = {}
         self._own: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        # A state: (bytes that a token may still be reading, last tokens of the live prefixes, oldest first).
-        # The first of the last tokens is the last emitted one, -1 at the start of a piece.
-        self._ids: dict[tuple[bytes, tuple[int, ...]], int] = {}
-        self._states: list[tuple[bytes, tuple[int, ...]]] = []
-        self._next: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._rest: dict[int, tuple[int, ...]] = {}
-        self._start = self._state((b"", (-1,)))
-
-    def _state(self, s: tuple[bytes, tuple[int, ...]]) -> int:
-        k = self._ids.get(s)
-        if k is None:
-            k = self._ids[s] = len(self._states)
-            self._states.append(s)
-        return k
+        self._nodes: dict[bytes, int] = {b"": 0}
+        self._bytes: list[bytes] = [b""]
+        self._ends: list[list[tuple[int, int]]] = [[]]
+        self._next: dict[int, int] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         return self.merged_below(data, 1 << 62)
@@ -95,28 +91,19 @@ class Encoder:
         Undoes, latest first, the merges at the border: as long as both parts
         there stand, they must not have a joint token that came before the next merge.
         """
-        if left < 0:
-            return True
-        k = (left, right)
-        known = self._pair.get(k)
-        if known is None:
-            a, b, before = left, right, 1 << 62
-            known = True
-            while True:
-                joint = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-                if joint is not None and joint < before:
-                    known = False
-                    break
-                inner, outer = self._parts(a)[1], self._parts(b)[0]
-                if inner is None and outer is None:
-                    break
-                # the later of both tokens came last; of equal ones the left one was there first
-                if outer is None or inner is not None and a > b:
-                    a, before = inner, a
-                else:
-                    b, before = outer, b + 1
-            self._pair[k] = known
-        return known
+        a, b, before = left, right, 1 << 62
+        while True:
+            joint = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
+            if joint is not None and joint < before:
+                return False
+            inner, outer = self._parts(a)[1], self._parts(b)[0]
+            if inner is None and outer is None:
+                return True
+            # the later of both tokens came last; of equal ones the left one was there first
+            if outer is None or inner is not None and a > b:
+                a, before = inner, a
+            else:
+                b, before = outer, b + 1
 
     def _parts(self, token: int) -> tuple[int | None, int | None]:
         """The two tokens whose merge made a token; of a byte, none."""
@@ -131,61 +118,64 @@ class Encoder:
             self._made[token] = halves
         return self._made[token]
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        reading, last = self._states[state]
-        reading += bytes([byte])
-        # last[k] ends at prefix k; the new prefix is number len(last)
-        at = len(last)
-        for n in range(min(len(reading), at), 0, -1):
-            token = self.ranks.get(reading[len(reading) - n:])
-            if token is not None and self._stands(token) and self._fits(last[at - n], token):
-                break
-        else:
-            raise ValueError(f"no token for byte {byte}")
-        last = (*last, token)
+    def _step(self, node: int, byte: int) -> int:
+        reading = self._bytes[node] + bytes([byte])
         while reading not in self.starts:
             reading = reading[1:]
-        # a later token starts at one of the live prefixes: the last len(reading) + 1 ones
-        live = {len(last) - 1 - k for k in range(min(len(reading), len(last) - 1) + 1)}
-        while len(live) > 1:  # back to where all readings meet
-            far = max(live)
-            live = live - {far} | {far - len(self.bytes_of[last[far]])}
-        meet = live.pop()
-        out, k = [], meet
+            if not reading:
+                raise ValueError(f"no token for byte {byte}")
+        to = self._nodes.get(reading)
+        if to is None:
+            to = self._nodes[reading] = len(self._bytes)
+            self._bytes.append(reading)
+            ends = ((n, self.ranks.get(reading[len(reading) - n:])) for n in range(len(reading), 0, -1))
+            self._ends.append([(n, t) for n, t in ends if t is not None and self._stands(t)])
+        self._next[node << 8 | byte] = to
+        return to
+
+    def _path(self, last: list[int], k: int) -> list[int]:
+        out = []
         while k > 0:
             out.append(last[k])
-            k -= len(self.bytes_of[last[k]])
-        return self._state((reading, last[meet:])), tuple(reversed(out))
-
-    def _finish(self, state: int) -> tuple[int, ...]:
-        last = self._states[state][1]
-        out, k = [], len(last) - 1
-        while k > 0:
-            out.append(last[k])
-            k -= len(self.bytes_of[last[k]])
-        return tuple(reversed(out))
+            k -= self.size[last[k]]
+        out.reverse()
+        return out
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self._next) > STATES:
-            self._reset()
+        if len(self._pair) > STATES:
+            self._pair.clear()
+        follow, ends, pair = self._next, self._ends, self._pair
         out: list[int] = []
-        state, follow = self._start, self._next
+        node, last = 0, [-1]
         for byte in data:
-            to = follow.get(state << 8 | byte)
-            if to is None:
-                to = follow[state << 8 | byte] = self._step(state, byte)
-            state, emitted = to
-            if emitted:
-                out += emitted
-        rest = self._rest.get(state)
-        if rest is None:
-            rest = self._rest[state] = self._finish(state)
-        out += rest
-        return out
+            to = follow.get(node << 8 | byte)
+            node = self._step(node, byte) if to is None else to
+            at = len(last)
+            for n, token in ends[node]:
+                left = last[at - n]
+                if left < 0:
+                    break
+                k = left << 20 | token
+                fit = pair.get(k)
+                if fit is None:
+                    fit = pair[k] = self._fits(left, token)
+                if fit:
+                    break
+            last.append(token)
+            if at >= AHEAD:
+                # Later tokens start at a prefix that the node still reaches; what all of them agree on is emitted.
+                live = set(range(max(0, at - len(self._bytes[node])), at + 1))
+                while len(live) > 1:
+                    far = max(live)
+                    live = live - {far} | {far - self.size[last[far]]}
+                meet = live.pop()
+                out += self._path(last, meet)
+                last = last[meet:]
+        return out + self._path(last, len(last) - 1)
 
 
 class Decoder:
