@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, langid, line_dedup, ngram_join, toxicity, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, fingerprints, langid, line_dedup, ngram_join, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def op3_benchmark_decontamination(spark, sf_dir):
         "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at", "longest_item")])
 
 
+# ------------------------------------------------------ document fingerprints
+
+@_query("op4_document_fingerprints")
+def op4_document_fingerprints(spark, sf_dir):
+    return fingerprints.compare(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 # ------------------------------------------------------------ byte-level BPE
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
