@@ -302,28 +302,36 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str
     return docs.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
     """The other columns of ``docs`` with n_tokens, ids_sha256 and decoded_sha256, in one pass over the texts.
 
-    The ids are hashed as little-endian unsigned 32-bit integers, the decoded text as UTF-8.
+    The ids are hashed as little-endian unsigned 32-bit integers, the decoded text as UTF-8; ``ids`` names a
+    column for the ids themselves.
     """
     small_batches(docs.sparkSession)
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
              T.StructField("decoded_sha256", T.StringType())]
+    if ids:
+        added.append(T.StructField(ids, T.ArrayType(T.IntegerType())))
     rest = [f for f in docs.schema.fields if f.name not in {text, *(a.name for a in added)}]
 
     def run(batches):
         c = codec(path, pattern)
         for b in batches:
-            rows = []
+            sizes, found, decoded, lists = [], [], [], []
             for t in b.column(b.schema.get_field_index(text)):
-                ids = c.encode(t.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
-                             hashlib.sha256(c.decoder.decode(ids).encode()).hexdigest()))
-            n, i, d = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(b.schema.get_field_index(f.name)) for f in rest), pa.array(n, pa.int64()),
-                 pa.array(i, pa.string()), pa.array(d, pa.string())], [f.name for f in [*rest, *added]])
+                own = c.encode(t.as_py() or "")
+                sizes.append(len(own))
+                packed = np.array(own, "<u4")
+                found.append(hashlib.sha256(packed.tobytes()).hexdigest())
+                decoded.append(hashlib.sha256(c.decoder.decode(own).encode()).hexdigest())
+                if ids:
+                    lists.append(packed.view("<i4"))
+            columns = [*(b.column(b.schema.get_field_index(f.name)) for f in rest), pa.array(sizes, pa.int64()),
+                       pa.array(found, pa.string()), pa.array(decoded, pa.string())]
+            if ids:
+                columns.append(pa.array(lists, pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*rest, *added]])
 
     return docs.mapInArrow(run, T.StructType([*rest, *added]))
 
