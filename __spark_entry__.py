@@ -570,17 +570,14 @@ def q_grant_diff(spark, sf_dir):
                           CATALOG, CATALOG)
 
 
-_APPLICABLE_VALUES = ", ".join(f"('{t}', '{p}')" for t, ps in acc.APPLICABLE_PRIVILEGES.items() for p in ps)
 
 
-@_register("grant_apply_stats", f"""
-SELECT d.object_key, count(ap.p) AS succeeded, count(*) - count(ap.p) AS failed
-FROM {_direct('m_grants')} d LEFT JOIN (VALUES {_APPLICABLE_VALUES}) ap(t, p)
-  ON ap.t = upper(d.object_type) AND ap.p = {_norm('d.action_type')}
-WHERE upper(d.action_type) NOT IN ('OWN', 'OWNERSHIP') GROUP BY d.object_key""")
+@_register("grant_apply_stats", """
+SELECT object_name, count_if(status = 'SUCCESS') AS succeeded, count_if(status IN ('FAILED', 'ERROR')) AS failed,
+  count_if(status = 'SKIPPED') AS skipped
+FROM m_grant_log WHERE phase = 'grants' GROUP BY object_name""")
 def q_grant_apply_stats(spark, sf_dir):
-    f = _fx(spark, sf_dir)
-    return acc.grant_apply_stats(acc.direct_grants(f["m_grants"], acc.securables(f["m_schemata"], f["m_tables"], CATALOG)))
+    return acc.grant_apply_stats(_fx(spark, sf_dir)["m_grant_log"])
 
 
 @_register("effective_privileges", f"""
@@ -953,52 +950,27 @@ def q_recreate_plan(spark, sf_dir):
     return vw.recreate_plan(f["m_tables"], f["m_views"], CATALOG, warehouse=True)
 
 
-def _recreate_order_sql(max_rounds: int) -> str:
-    before = ("(dv.rk < vv.rk OR (dv.rk = vv.rk AND (dv.s < vv.s OR (dv.s = vv.s AND dv.n < vv.n))))")
-    return f"""
+@_register("recreate_order", f"""
 WITH RECURSIVE
-v AS (SELECT tid AS view_id, CASE WHEN cls = 'view' THEN 0 ELSE 1 END AS rk, table_schema AS s, table_name AS n
-  FROM {_CLASSIFIED} c WHERE cls IN ('view', 'metric_view')),
+v AS (SELECT tid AS view_id FROM {_CLASSIFIED} c WHERE cls IN ('view', 'metric_view')),
 d AS (SELECT view_id, dep_id FROM m_view_deps UNION SELECT view_id, dep_id FROM m_view_missing),
 ex AS (SELECT tid AS id FROM {_CLASSIFIED} c WHERE cls IN ('managed', 'mv')),
-edges AS (SELECT d.view_id, d.dep_id, CASE WHEN {before} THEN 0 ELSE 1 END AS inc
-  FROM d JOIN v dv ON dv.view_id = d.dep_id JOIN v vv ON vv.view_id = d.view_id),
+edges AS (SELECT view_id, dep_id FROM d WHERE view_id IN (SELECT view_id FROM v) AND dep_id IN (SELECT view_id FROM v)),
 bad AS (SELECT DISTINCT view_id FROM d WHERE dep_id NOT IN (SELECT view_id FROM v) AND dep_id NOT IN (SELECT id FROM ex)),
 down(view_id) AS (SELECT view_id FROM bad UNION SELECT e.view_id FROM edges e JOIN down ON e.dep_id = down.view_id),
-paths(view_id, node, depth, w) AS (SELECT view_id, view_id, 0, 0 FROM v
-  UNION ALL SELECT p.view_id, e.dep_id, p.depth + 1, p.w + e.inc FROM paths p JOIN edges e ON e.view_id = p.node),
-agg AS (SELECT view_id, max(depth) AS level, 1 + max(w) AS attempt FROM paths GROUP BY view_id)
+paths(view_id, depth) AS (SELECT view_id, 0 FROM v
+  UNION SELECT e.view_id, p.depth + 1 FROM paths p JOIN edges e ON e.dep_id = p.view_id),
+agg AS (SELECT view_id, max(depth) AS level FROM paths GROUP BY view_id)
 SELECT v.view_id, CAST(CASE WHEN f.view_id IS NULL THEN agg.level END AS INTEGER) AS level,
-  CAST(CASE WHEN f.view_id IS NULL AND agg.attempt <= {max_rounds} THEN agg.attempt END AS INTEGER) AS attempt,
-  CASE WHEN f.view_id IS NULL AND agg.attempt <= {max_rounds} THEN 'SUCCESS' ELSE 'FAILED' END AS status
-FROM v JOIN agg USING (view_id) LEFT JOIN (SELECT DISTINCT view_id FROM down) f USING (view_id)"""
-
-
-def _recreate_order(spark, sf_dir, max_rounds):
-    """The rounds do not depend on ``max_rounds``: computed once per session,
-    then each limit is applied to the same placed relation."""
+  CASE WHEN f.view_id IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  CASE WHEN f.view_id IS NOT NULL THEN 'missing dependency' END AS reason
+FROM v JOIN agg USING (view_id) LEFT JOIN (SELECT DISTINCT view_id FROM down) f USING (view_id)""")
+def q_recreate_order(spark, sf_dir):
     from pyspark.sql import functions as F
 
     f = _fx(spark, sf_dir)
-    items = vw.creation_list(f["m_tables"])
-
-    def rounds():
-        existing = inv.classify_tables(f["m_tables"]).where(F.col("class").isin("managed", "mv")).select(
-            F.col("tid").alias("id"))
-        deps = f["m_view_deps"].unionByName(f["m_view_missing"])
-        return vw.creation_rounds(items, deps, existing)
-
-    return vw.order_status(items, _once("view_rounds", spark, sf_dir, rounds), max_rounds)
-
-
-@_register("recreate_order", _recreate_order_sql(vw.MAX_ROUNDS))
-def q_recreate_order(spark, sf_dir):
-    return _recreate_order(spark, sf_dir, vw.MAX_ROUNDS)
-
-
-@_register("recreate_order_r5", _recreate_order_sql(5))
-def q_recreate_order_r5(spark, sf_dir):
-    return _recreate_order(spark, sf_dir, 5)
+    existing = inv.classify_tables(f["m_tables"]).where(F.col("class").isin("managed", "mv")).select(F.col("tid").alias("id"))
+    return vw.recreate_order(vw.creation_list(f["m_tables"]), f["m_view_deps"].unionByName(f["m_view_missing"]), existing)
 
 
 @_register("publish_resolve", """
@@ -1013,7 +985,8 @@ from vaultshift.operators import preflight as pf  # noqa: E402
 
 _LOC_SQL = """(SELECT path_id, first(name ORDER BY url_len DESC NULLS LAST, name) AS name FROM (
   SELECT p.path_id, l.name, l.url_len FROM (SELECT path_id, regexp_replace(coalesce(path, ''), '/+$', '') AS p FROM {paths}) p
-  LEFT JOIN (SELECT name, length(coalesce(url, '')) AS url_len, regexp_replace(coalesce(url, ''), '/+$', '') AS u FROM m_locations) l
+  LEFT JOIN (SELECT name, length(url) AS url_len, regexp_replace(url, '/+$', '') AS u FROM m_locations
+    WHERE name IS NOT NULL AND url IS NOT NULL) l
     ON l.u <> '' AND (p.p = l.u OR starts_with(p.p, l.u || '/'))) j GROUP BY path_id)"""
 
 
@@ -1092,7 +1065,9 @@ def q_preflight_report(spark, sf_dir):
 try:  # the subpackage and the pipeline may be absent; everything above works without them
     import corpus_pipeline
     from vaultshift.llm import queries as llm_queries
-except ImportError:
+except ModuleNotFoundError as gone:
+    if gone.name not in ("corpus_pipeline", "vaultshift.llm", "vaultshift.llm.queries"):
+        raise
     corpus_pipeline = llm_queries = None
 
 if llm_queries is not None:

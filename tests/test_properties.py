@@ -3,27 +3,18 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from vaultshift.operators import preflight, views
 
 
-def simulate_retry_loop(order, deps, existing, max_rounds):
-    """The reference's loop: try the list in order each round, retry failures next round."""
-    created, attempt = set(), {}
-    remaining = list(order)
-    for rnd in range(1, max_rounds + 1):
-        if not remaining:
-            break
-        still = []
-        for v in remaining:
-            if all(d in created or d in existing for d in deps.get(v, ())):
-                created.add(v)
-                attempt[v] = rnd
-            else:
-                still.append(v)
-        remaining = still
-    return attempt
+def can_be_made(views_, deps, existing):
+    """Views that some order can create."""
+    made = set()
+    while True:
+        new = {v for v in views_ if v not in made and all(d in made or d in existing for d in deps.get(v, ()))}
+        if not new:
+            return made
+        made |= new
 
 
 def longest_path(v, deps, memo, views):
@@ -35,13 +26,10 @@ def longest_path(v, deps, memo, views):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_recreate_order_matches_retry_loop(spark, seed):
+def test_recreate_order_matches_plain_python(spark, seed):
     rnd = random.Random(seed)
     n = 30
     ids = list(range(1, n + 1))
-    order = ids[:]
-    rnd.shuffle(order)
-    pos = {v: i for i, v in enumerate(order)}
     deps = {}
     for v in ids:
         # acyclic: depend on smaller ids only; some on tables (1000+) or missing (-x)
@@ -52,31 +40,37 @@ def test_recreate_order_matches_retry_loop(spark, seed):
             ds.add(-v)
         deps[v] = ds
     existing = {1000 + v for v in ids}
-    max_rounds = 4
-    expect = simulate_retry_loop(order, deps, existing, max_rounds)
-    items = spark.createDataFrame([(v, (0, f"s{pos[v]:04d}", f"v{v}")) for v in ids],
-                                  "view_id bigint, ord struct<rank:int, s:string, n:string>")
+    expect = can_be_made(ids, deps, existing)
+    items = spark.createDataFrame([(v,) for v in ids], "view_id bigint")
     dep_df = spark.createDataFrame([(v, d) for v, ds in deps.items() for d in ds] or [(0, 0)],
                                    "view_id bigint, dep_id bigint")
     ex = spark.createDataFrame([(e,) for e in existing], "id bigint")
-    got = {r["view_id"]: r for r in views.recreate_order(items, dep_df, ex, max_rounds=max_rounds).collect()}
+    got = {r["view_id"]: r for r in views.recreate_order(items, dep_df, ex).collect()}
     for v in ids:
         if v in expect:
-            assert got[v]["status"] == "SUCCESS" and got[v]["attempt"] == expect[v], v
+            assert got[v]["status"] == "SUCCESS" and got[v]["reason"] is None, v
         else:
-            assert got[v]["status"] == "FAILED", v
+            assert got[v]["status"] == "FAILED" and got[v]["reason"] == views.MISSING and got[v]["level"] is None, v
     memo = {}
     for v in expect:
         assert got[v]["level"] == longest_path(v, deps, memo, set(ids))
 
 
 def test_recreate_order_cycle_fails(spark):
-    items = spark.createDataFrame([(1, (0, "a", "x")), (2, (0, "a", "y")), (3, (0, "a", "z"))],
-                                  "view_id bigint, ord struct<rank:int, s:string, n:string>")
-    deps = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "view_id bigint, dep_id bigint")
+    items = spark.createDataFrame([(i,) for i in range(1, 7)], "view_id bigint")
+    deps = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (5, 4), (6, 99)], "view_id bigint, dep_id bigint")
     ex = spark.createDataFrame([], "id bigint")
-    got = {r["view_id"]: r["status"] for r in views.recreate_order(items, deps, ex).collect()}
-    assert got == {1: "FAILED", 2: "FAILED", 3: "FAILED"}
+    got = {r["view_id"]: (r["status"], r["reason"]) for r in views.recreate_order(items, deps, ex).collect()}
+    cycle = ("FAILED", views.CYCLE)
+    assert got == {1: cycle, 2: cycle, 3: cycle, 4: ("SUCCESS", None), 5: ("SUCCESS", None), 6: ("FAILED", views.MISSING)}
+
+
+def test_recreate_order_of_a_long_chain(spark):
+    n = 25
+    items = spark.range(n).withColumnRenamed("id", "view_id")
+    deps = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "view_id bigint, dep_id bigint")
+    got = {r["view_id"]: r["level"] for r in views.recreate_order(items, deps, spark.createDataFrame([], "id bigint")).collect()}
+    assert got == {i: i for i in range(n)}
 
 
 def brute_match(path, locs):
@@ -106,7 +100,18 @@ def test_location_match_brute_force(spark, seed):
     got = {r["path_id"]: r["name"] for r in preflight.location_match(pdf, ldf).collect()}
     for i, p in paths:
         assert got[i] == brute_match(p, locs), (p, got[i])
-    # the broadcast and the shuffle form agree
-    got2 = {r["path_id"]: r["name"] for r in preflight.location_match(pdf, ldf, broadcast_max=0).collect()}
+    # the same by joins without broadcast
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got2 = {r["path_id"]: r["name"] for r in preflight.location_match(pdf, ldf).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert got == got2
-    assert F is not None
+
+
+def test_location_without_a_name_matches_nothing(spark):
+    ldf = spark.createDataFrame([("root", "s3://a"), (None, "s3://a/b"), ("x", None)], "name string, url string")
+    pdf = spark.createDataFrame([(1, "s3://a/b/c"), (2, "s3://z"), (3, None)], "path_id bigint, path string")
+    got = {r["path_id"]: r["name"] for r in preflight.location_match(pdf, ldf).collect()}
+    assert got == {1: "root", 2: None, 3: None}

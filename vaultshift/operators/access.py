@@ -101,43 +101,17 @@ def effective_privileges(grants: DataFrame) -> DataFrame:
     )
 
 
-# Privileges that can be granted per securable type
-# (normalised: no spaces or underscores, upper case).
-APPLICABLE_PRIVILEGES = {
-    "CATALOG": ("ALLPRIVILEGES", "USECATALOG", "USESCHEMA", "CREATESCHEMA", "CREATETABLE", "CREATEFUNCTION",
-                "CREATEVOLUME", "CREATEMATERIALIZEDVIEW", "CREATEMODEL", "SELECT", "MODIFY", "EXECUTE",
-                "READVOLUME", "WRITEVOLUME", "BROWSE", "APPLYTAG", "MANAGE", "REFRESH"),
-    "SCHEMA": ("ALLPRIVILEGES", "USESCHEMA", "CREATETABLE", "CREATEFUNCTION", "CREATEVOLUME",
-               "CREATEMATERIALIZEDVIEW", "CREATEMODEL", "SELECT", "MODIFY", "EXECUTE", "READVOLUME",
-               "WRITEVOLUME", "APPLYTAG", "MANAGE", "REFRESH"),
-    "TABLE": ("ALLPRIVILEGES", "SELECT", "MODIFY", "APPLYTAG", "MANAGE", "REFRESH"),
-    "VIEW": ("ALLPRIVILEGES", "SELECT", "APPLYTAG", "MANAGE"),
-    "FUNCTION": ("ALLPRIVILEGES", "EXECUTE", "APPLYTAG", "MANAGE"),
-    "VOLUME": ("ALLPRIVILEGES", "READVOLUME", "WRITEVOLUME", "APPLYTAG", "MANAGE"),
-}
-
-
-def _applicable_map():
-    pairs = []
-    for t, privs in APPLICABLE_PRIVILEGES.items():
-        pairs.append(F.lit(t))
-        pairs.append(F.array(*[F.lit(p) for p in privs]))
-    return F.create_map(*pairs)
-
-
-def grant_apply_stats(grants: DataFrame) -> DataFrame:
-    """Expected outcome of re-applying direct grants: (object_key, succeeded, failed).
-
-    Ownership rows are skipped (never applied); a grant succeeds when its
-    privilege can be granted on the object's type.
+def grant_apply_stats(log: DataFrame) -> DataFrame:
+    """Outcome of re-applied grants as logged: (object_name, succeeded, failed, skipped).
+
+    ``log``: audit-log rows (phase, object_name, status) with one row per
+    GRANT statement that was run or left out.
     """
-    ok = F.array_contains(F.element_at(_applicable_map(), F.upper(F.col("object_type"))),
-                          N.norm_privilege(F.col("action_type")))
     return (
-        drop_ownership(grants)
-        .groupBy("object_key")
-        .agg(F.count_if(F.coalesce(ok, F.lit(False))).cast("bigint").alias("succeeded"),
-             F.count_if(~F.coalesce(ok, F.lit(False))).cast("bigint").alias("failed"))
+        log.where(F.col("phase") == "grants").groupBy("object_name")
+        .agg(F.count_if(F.col("status") == "SUCCESS").alias("succeeded"),
+             F.count_if(F.col("status").isin("FAILED", "ERROR")).alias("failed"),
+             F.count_if(F.col("status") == "SKIPPED").alias("skipped"))
     )
 
 

@@ -122,7 +122,7 @@ def clone_one(spark: SparkSession, name: str, source: DataFrame, target: str,
                        f"digest={'equal' if res.status == 'SUCCESS' else 'different'}")
     except Exception as e:  # noqa: BLE001 - one failing table must not stop the others
         res.status = "FAILED"
-        res.message = str(e).splitlines()[0][:1000]
+        res.message = str(e)
     res.seconds = time.time() - t0
     return res
 

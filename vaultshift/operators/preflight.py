@@ -7,24 +7,22 @@ aggregate over a tagged union of the inputs; no cross joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultshift.functions import names as N
 
-BROADCAST_LOCATIONS_MAX = 100_000
-SALTS = 32
 
-
-def location_match(paths: DataFrame, locations: DataFrame, broadcast_max: int = BROADCAST_LOCATIONS_MAX) -> DataFrame:
+def location_match(paths: DataFrame, locations: DataFrame) -> DataFrame:
     """(path_id, name): the location whose url is the longest prefix of the path.
 
     A url matches when the path, trailing slashes removed, equals it or
     starts with it plus '/'.  Each path is expanded into its '/'-prefixes
-    (bounded by the path depth) and equi-joined with the locations, so the
-    match is a hash join.  The location side is broadcast only when its row
-    count is checked to be small; otherwise the join is salted.  Ties: longer
-    original url, then name.
+    (bounded by the path depth) and equi-joined with the locations.  Only
+    prefixes that are locations come back to the paths; each distinct prefix
+    is looked up once, so 's3://lake', a candidate of nearly every path, is
+    one row of that join.  Ties: longer original url, then name.  A location
+    without a name or url matches nothing.
     """
     p = paths.select("path_id", N.trim_slashes(F.col("path")).alias("p"))
     parts = F.split(F.col("p"), "/")
@@ -33,25 +31,15 @@ def location_match(paths: DataFrame, locations: DataFrame, broadcast_max: int =
         F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)),
                               lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("cand"),
     )
-    locs = locations.select("name", F.length(F.coalesce(F.col("url"), F.lit(""))).alias("url_len"),
-                            N.trim_slashes(F.col("url")).alias("cand")).where(F.col("cand") != "")
-    if locations.count() <= broadcast_max:
-        # Bounded (counted above): rank the locations in one task (longer url
-        # first, then name; equal keys are equal rows, so ranks are stable), so
-        # the per-path pick is min(rank), a hash aggregation on a long.
-        ranked = locs.withColumn("rk", F.row_number().over(
-            Window.orderBy(F.desc("url_len"), F.col("name").asc_nulls_last(), F.col("cand"))))
-        best = cands.join(F.broadcast(ranked.select("cand", "rk")), "cand", "left").groupBy("path_id").agg(
-            F.min("rk").alias("rk"))
-        return best.join(F.broadcast(ranked.select("rk", "name")), "rk", "left").select("path_id", "name")
-    # Unbounded: short prefixes ('s3://lake') are candidates of nearly every
-    # path, a hot join key.  Salt the path side and copy each location once
-    # per salt; the pick is a sort-based aggregation (spills, no size limit).
-    cands = cands.withColumn("salt", F.pmod(F.xxhash64("path_id"), F.lit(SALTS)))
-    locs = locs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    j = cands.join(locs, ["cand", "salt"], "left")
-    key = F.when(F.col("name").isNotNull(), F.struct((-F.col("url_len")).alias("l"), F.col("name").alias("n")))
-    return j.groupBy("path_id").agg(F.min_by("name", key).alias("name"))
+    locs = (
+        locations.where("name is not null and url is not null")
+        .select("name", F.length("url").alias("url_len"), N.trim_slashes(F.col("url")).alias("cand"))
+        .where(F.col("cand") != "").groupBy("cand")
+        .agg(F.min(F.struct((-F.col("url_len")).alias("l"), F.col("name").alias("n"))).alias("loc"))
+    )
+    hit = locs.join(cands.select("cand").distinct(), "cand", "left_semi")
+    best = cands.join(hit, "cand").groupBy("path_id").agg(F.min("loc").alias("loc"))
+    return paths.select("path_id").distinct().join(best, "path_id", "left").select("path_id", F.col("loc.n").alias("name"))
 
 
 def _fact(tag: str, value: Column | None = None) -> Column:

@@ -22,7 +22,8 @@ from vaultshift.operators import inventory, metadata
 NO_DDL = "No DDL captured"
 NO_YAML = "No YAML body"
 NO_WAREHOUSE = "sql_warehouse_id not provided"
-MAX_ROUNDS = 10
+# Why a view has no place in the order (own text).
+MISSING, CYCLE = "missing dependency", "dependency cycle"
 CHECKPOINT_EVERY = 4
 
 
@@ -89,80 +90,64 @@ def recreate_plan(tables: DataFrame, views: DataFrame, catalog: str, warehouse:
 
 
 def creation_list(tables: DataFrame) -> DataFrame:
-    """Views in the reference's list order: views by (schema, name), then metric
-    views; ``ord`` is a struct that compares in that order."""
-    t = inventory.classify_tables(tables).where(F.col("class").isin("view", "metric_view"))
-    return t.select(
-        F.col("tid").alias("view_id"),
-        F.struct(F.when(F.col("class") == "view", 0).otherwise(1).alias("rank"),
-                 F.col("table_schema").alias("s"), F.col("table_name").alias("n")).alias("ord"),
-    )
+    """(view_id) of the views and metric views to create."""
+    return inventory.classify_tables(tables).where(F.col("class").isin("view", "metric_view")).select(
+        F.col("tid").alias("view_id"))
 
 
-def creation_rounds(items: DataFrame, deps: DataFrame, existing: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """(view_id, level, attempt) of every view that can be placed at all.
+def creation_levels(items: DataFrame, deps: DataFrame, existing: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """(view_id, level, missing) of every view whose dependencies can be followed to their end.
 
-    ``items``: (view_id, ord) in list order; ``deps``: (view_id, dep_id);
-    ``existing``: (id) of objects present before the views are made; a
-    dependency on anything else is missing.  ``attempt`` is the round in
-    which the retry loop creates the view: 1 without dependencies, else the
-    max over dependencies d of attempt(d) + (0 if d comes earlier in the list
-    else 1).  ``level`` is the longest dependency path.  Views with a
-    missing dependency, in a cycle or downstream of either are absent.
+    ``items``: (view_id); ``deps``: (view_id, dep_id); ``existing``: (id) of
+    objects present before the views are made; a dependency on anything else
+    is missing.  ``level`` is the longest dependency path; ``missing`` tells
+    whether the view, or one that it needs, has a missing dependency.  Views
+    in a cycle or downstream of one are absent.
     """
     from vaultshift.session import ensure_checkpoint_dir
 
     if checkpoint:
         ensure_checkpoint_dir(items.sparkSession)
-    d = deps.select("view_id", "dep_id").distinct()
+    items = items.select("view_id").distinct()
     ex = existing.select(F.col("id").alias("dep_id")).distinct()
-    dv = items.select(F.col("view_id").alias("dep_id"), F.col("ord").alias("d_ord"))
-    vv = items.select("view_id", F.col("ord").alias("v_ord"))
-    # dependency kinds: on a listed view (an edge), on an existing object (met), else missing
     d = (
-        d.join(ex.withColumn("met", F.lit(True)), "dep_id", "left").join(dv, "dep_id", "left")
-        .join(vv, "view_id", "left")
-        .select("view_id", "dep_id", F.col("d_ord").isNotNull().alias("is_view"),
-                (F.col("d_ord").isNull() & F.col("met").isNull()).alias("is_missing"),
-                F.when(F.col("d_ord") < F.col("v_ord"), 0).otherwise(1).alias("inc"))
+        deps.select("view_id", "dep_id").distinct().join(items, "view_id", "left_semi")
+        .join(ex.withColumn("met", F.lit(True)), "dep_id", "left")
+        .join(items.select(F.col("view_id").alias("dep_id"), F.lit(True).alias("is_view")), "dep_id", "left")
+        .select("view_id", "dep_id", F.coalesce("is_view", F.lit(False)).alias("is_view"),
+                (F.col("is_view").isNull() & F.col("met").isNull()).alias("is_missing"))
     )
     if checkpoint:
         d = d.checkpoint()  # classified once; edges and missing are read from here
-    missing = d.where("is_missing").select("view_id").distinct()
-    edges = d.where("is_view").select("view_id", "dep_id", "inc")
-    n_deps = edges.groupBy("view_id").agg(F.count(F.lit(1)).alias("n_deps"))
-    # per view: dependencies left, longest path so far, latest round so far,
-    # and whether it was placed in the last round (the frontier)
-    state = (
-        items.select("view_id").join(missing, "view_id", "left_anti").join(n_deps, "view_id", "left")
-        .select("view_id", F.coalesce(F.col("n_deps"), F.lit(0)).cast("bigint").alias("left"),
-                F.lit(0).alias("level"), F.lit(1).alias("attempt"))
-        .withColumn("fresh", F.col("left") == 0)
-    )
+    edges = d.where("is_view").select("view_id", "dep_id")
+    facts = d.groupBy("view_id").agg(F.count_if("is_view").alias("left"), F.max("is_missing").alias("missing"))
+    # per view: dependencies left, longest path so far, and whether it was reached in the last round (the frontier)
+    state = items.join(facts, "view_id", "left").select(
+        "view_id", F.coalesce("left", F.lit(0)).cast("bigint").alias("left"), F.lit(0).alias("level"),
+        F.coalesce("missing", F.lit(False)).alias("missing")).withColumn("fresh", F.col("left") == 0)
     edges = edges.cache()  # a filter of the checkpointed relation, read every round
     state = state.cache()
     n_frontier = state.where("fresh").count()
     rnd = 0
     while n_frontier > 0:
         rnd += 1
-        # edges whose dependency was placed in the last round resolve now
+        # edges whose dependency was reached in the last round resolve now
         f = state.where("fresh").select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
-                                        F.col("attempt").alias("d_attempt"))
+                                        F.col("missing").alias("d_missing"))
         upd = edges.join(f, "dep_id").groupBy("view_id").agg(
-            F.count(F.lit(1)).alias("k"), F.max(F.col("d_level") + 1).alias("lv"),
-            F.max(F.col("d_attempt") + F.col("inc")).alias("at"))
+            F.count(F.lit(1)).alias("k"), F.max(F.col("d_level") + 1).alias("lv"), F.max("d_missing").alias("dm"))
+        now = F.col("left") - F.coalesce(F.col("k"), F.lit(0))
         nxt = state.join(upd, "view_id", "left").select(
-            "view_id", (F.col("left") - F.coalesce(F.col("k"), F.lit(0))).alias("left"),
-            F.greatest(F.col("level"), F.coalesce(F.col("lv"), F.col("level"))).alias("level"),
-            F.greatest(F.col("attempt"), F.coalesce(F.col("at"), F.col("attempt"))).alias("attempt"),
-            ((F.col("left") > 0) & (F.col("left") - F.coalesce(F.col("k"), F.lit(0)) == 0)).alias("fresh"),
+            "view_id", now.alias("left"), F.greatest(F.col("level"), F.coalesce(F.col("lv"), F.col("level"))).alias("level"),
+            (F.col("missing") | F.coalesce("dm", F.lit(False))).alias("missing"),
+            ((F.col("left") > 0) & (now == 0)).alias("fresh"),
         ).cache()
         n_frontier = nxt.where("fresh").count()  # the one job of the round; it also fills the cache
         if checkpoint and rnd % CHECKPOINT_EVERY == 0:
             nxt = _cut(nxt)
         state.unpersist()
         state = nxt
-    placed = state.where(F.col("left") == 0).select("view_id", "level", "attempt")
+    placed = state.where(F.col("left") == 0).select("view_id", "level", "missing")
     if checkpoint:
         placed = placed.checkpoint()  # durable result, read from the cached state
     state.unpersist()
@@ -178,24 +163,17 @@ def _cut(df: DataFrame) -> DataFrame:
     return cp
 
 
-def order_status(items: DataFrame, placed: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(view_id, level, attempt, status): SUCCESS when placed within ``max_rounds``
-    rounds; otherwise FAILED with a null attempt."""
+def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, checkpoint: bool = True) -> DataFrame:
+    """(view_id, level, status, reason) for a list of views to create.
+
+    A view is FAILED, with a null level, if it or a view that it needs has a
+    missing dependency or is in a cycle; any depth of dependencies is placed.
+    """
+    placed = creation_levels(items, deps, existing, checkpoint)
     out = items.select("view_id").join(placed, "view_id", "left")
-    ok = F.col("attempt").isNotNull() & (F.col("attempt") <= max_rounds)
+    ok = F.col("level").isNotNull() & ~F.col("missing")
     return out.select(
-        "view_id", F.col("level").cast("int").alias("level"),
-        F.when(ok, F.col("attempt")).cast("int").alias("attempt"),
+        "view_id", F.when(ok, F.col("level")).cast("int").alias("level"),
         F.when(ok, "SUCCESS").otherwise("FAILED").alias("status"),
+        F.when(ok, F.lit(None)).when(F.col("missing"), MISSING).otherwise(CYCLE).alias("reason"),
     )
-
-
-def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, max_rounds: int = MAX_ROUNDS,
-                   checkpoint: bool = True) -> DataFrame:
-    """(view_id, level, attempt, status) for a list of views to create.
-
-    A view is FAILED if a dependency is missing or failed, in a cycle, or it
-    needs more than ``max_rounds`` rounds (attempt is then null); see
-    ``creation_rounds`` for the rule.
-    """
-    return order_status(items, creation_rounds(items, deps, existing, checkpoint), max_rounds)

@@ -15,13 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Statement kinds the session catalog runs.
+_NAME = r"(?:`(?:[^`]|``)*`|[^\s.`(]+)(?:\s*\.\s*(?:`(?:[^`]|``)*`|[^\s.`(]+))*"
 RUNNABLE = re.compile(
     r"^\s*(CREATE\s+(SCHEMA|DATABASE|VIEW|OR\s+REPLACE\s+VIEW|FUNCTION)\b"
     r"|COMMENT\s+ON\s+(SCHEMA|DATABASE|TABLE)\b"
-    r"|ALTER\s+SCHEMA\s+\S+\s+SET\s+DBPROPERTIES\b)",
+    rf"|ALTER\s+SCHEMA\s+{_NAME}\s+SET\s+DBPROPERTIES\b)",
     re.IGNORECASE,
 )
-NOT_HERE = re.compile(r"\bLANGUAGE\s+PYTHON\b|\bWITH\s+METRICS\b", re.IGNORECASE)
+# Judged by the clauses after the object's name only: a query text may say the same words.
+NOT_HERE = re.compile(
+    rf"^\s*CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*(?:\([^)]*\)\s*)?WITH\s+METRICS\b"
+    rf"|^\s*CREATE\s+(?:OR\s+REPLACE\s+)?FUNCTION\s+(?:IF\s+NOT\s+EXISTS\s+)?{_NAME}\s*\([^)]*\)(?:(?!\bRETURN\b|\$\$|\bAS\b).)*?\bLANGUAGE\s+PYTHON\b",
+    re.IGNORECASE | re.DOTALL,
+)
 
 RESULT_SCHEMA = ("object_type string, object_name string, statement string, status string, error string, "
                  "seconds double")
@@ -41,7 +47,7 @@ def _run(spark: SparkSession, statement: str) -> tuple[str, str | None, float]:
         spark.sql(statement)
         return "SUCCESS", None, time.time() - t0
     except Exception as e:  # noqa: BLE001 - reported per statement
-        return "FAILED", str(e).splitlines()[0][:1000], time.time() - t0
+        return "FAILED", str(e), time.time() - t0
 
 
 def run_statements(spark: SparkSession, plan: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -76,6 +76,10 @@ SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'CATALOG' WHEN c_custkey % 4
   concat('u_', CAST(c_custkey % 50 AS STRING)) AS principal,
   CASE c_mktsegment WHEN 'MACHINERY' THEN 'SELECT' WHEN 'FURNITURE' THEN 'MODIFY' WHEN 'BUILDING' THEN 'CREATE_CATALOG'
        WHEN 'AUTOMOBILE' THEN 'OWN' ELSE 'ALL PRIVILEGES' END AS action_type FROM {customer}""",
+    "m_grant_log": """
+SELECT CASE WHEN c_custkey % 11 = 0 THEN 'owners' ELSE 'grants' END AS phase, object_key AS object_name,
+  CASE WHEN action_type = 'OWN' THEN 'SKIPPED' WHEN c_custkey % 7 = 0 THEN 'FAILED' WHEN c_custkey % 13 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status
+FROM {m_grants}""",
     "m_memberships": """
 SELECT DISTINCT concat('u_', CAST(c_custkey % 50 AS STRING)) AS principal, concat('g_', CAST(c_nationkey AS STRING)) AS group_name FROM {customer} WHERE c_custkey % 3 = 0""",
     "m_routines": """
