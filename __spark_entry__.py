@@ -877,7 +877,7 @@ def _copy_now(spark, sf_dir):
     out = fresh_dir(spark, "copy-log")
     files = fl.snapshot_manifest(spark, src, fresh_dir(spark, "manifest"))
     fl.copy_files(spark, files, src, dst).write.parquet(out)
-    return src, dst, spark.read.parquet(out)
+    return src, dst, spark.read.parquet(out), files
 
 
 @_register("file_manifest", f"SELECT {_DOC_PATH_SQL} AS path, octet_length(encode(text)) AS bytes FROM documents")
@@ -895,9 +895,34 @@ def q_file_copy(spark, sf_dir):
 def q_file_check(spark, sf_dir):
     from vaultshift.session import fresh_dir
 
-    src, dst, copied = _copy(spark, sf_dir)
+    src, dst, copied, files = _copy(spark, sf_dir)
     target = fl.hash_files(spark, fl.snapshot_manifest(spark, dst, fresh_dir(spark, "manifest-dst")), dst)
-    return fl.file_check(copied.where("status = 'COPIED'"), target)
+    return fl.file_check(fl.with_hashes(files, copied), target)
+
+
+@_register("file_check_edited", f"""
+SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'MISSING' WHEN doc_id % 17 = 5 THEN 'SIZE'
+  WHEN doc_id % 19 = 3 AND reverse(text) <> text THEN 'CONTENT' ELSE 'OK' END AS issue
+FROM (SELECT doc_id, coalesce(text, '') AS text, {_DOC_PATH_SQL} AS path FROM documents) d
+UNION ALL SELECT 'extra/doc_' || CAST(doc_id AS VARCHAR) || '.txt', 'EXTRA' FROM documents WHERE doc_id % 23 = 0""")
+def q_file_check_edited(spark, sf_dir):
+    """The volume against one with files left out, lengthened, altered and added."""
+    from pyspark.sql import functions as F
+
+    from vaultshift.session import fresh_dir
+
+    docs = _fx(spark, sf_dir)["documents"].withColumn("text", F.coalesce("text", F.lit("")))
+    path = F.concat_ws("/", "lang", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")))
+    changed = F.when(F.col("doc_id") % 17 == 5, F.concat("text", F.lit("x"))).when(
+        F.col("doc_id") % 19 == 3, F.reverse("text")).otherwise(F.col("text"))
+    rows = docs.where("doc_id % 13 <> 0").select(path.alias("path"), changed.alias("text")).unionByName(
+        docs.where("doc_id % 23 = 0").select(F.concat(F.lit("extra/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text"))
+    dst = fresh_dir(spark, "volume-edited")
+    fl.write_text_files(spark, rows, dst).agg(F.count(F.lit(1))).collect()
+    src = _volume(spark, sf_dir)
+    source = fl.hash_files(spark, fl.snapshot_manifest(spark, src, fresh_dir(spark, "manifest")), src)
+    target = fl.hash_files(spark, fl.snapshot_manifest(spark, dst, fresh_dir(spark, "manifest-dst")), dst)
+    return fl.file_check(source, target)
 
 
 # ---------------------------------------------------------------- views, publish

@@ -96,6 +96,75 @@ def test_file_copy_nested_and_check(spark, tmp_path):
     assert issues["a/b/deep.bin"] == "SIZE" and issues["extra.txt"] == "EXTRA" and issues["top.txt"] == "OK"
 
 
+def test_failed_clone_heals(spark):
+    root = fresh_dir(spark, "t-heal")
+    good = spark.createDataFrame([(1, "x")], "id bigint, _h string")
+    bad = good.selectExpr("id", "raise_error('no source') AS _h")
+    res = clone.clone_one(spark, "t", bad.selectExpr("id", "CAST(_h AS STRING) AS _h"), f"{root}/t")
+    assert res.status == "FAILED" and "no source" in res.message
+    res = clone.clone_one(spark, "t", good, f"{root}/t")
+    assert res.status == "SUCCESS" and spark.read.parquet(f"{root}/t").collect() == good.collect()
+    again = clone.clone_one(spark, "t", good, f"{root}/t")
+    assert again.status == "FAILED" and "exists" in again.message
+
+
+def test_second_row_hash_is_independent(spark):
+    df = spark.createDataFrame([(1, None), (None, 1), (1, 1)], "a bigint, b bigint")
+    assert df.select(clone.row_hash2(df)).distinct().count() == 3
+    p = df.select(clone.row_hash2(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in p
+
+
+def test_failed_and_packed_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.gz").write_bytes(gzip.compress(b"packed"))
+    (tmp_path / "src" / "gone.txt").write_bytes(b"1")
+    m = files.snapshot_manifest(spark, str(tmp_path / "src"), fresh_dir(spark, "t-manifest"))
+    (tmp_path / "src" / "gone.txt").unlink()
+    copied = files.copy_files(spark, m, str(tmp_path / "src"), str(tmp_path / "dst")).cache()
+    assert {r["path"]: r["status"] for r in copied.collect()} == {"a.gz": "COPIED", "gone.txt": "FAILED"}
+    assert gzip.decompress((tmp_path / "dst" / "a.gz").read_bytes()) == b"packed"
+    target = files.hash_files(spark, files.manifest(spark, str(tmp_path / "dst")), str(tmp_path / "dst"))
+    issues = {r["path"]: r["issue"] for r in files.file_check(files.with_hashes(m, copied), target).collect()}
+    assert issues == {"a.gz": "OK", "gone.txt": "MISSING"}
+    lost = spark.createDataFrame([("a.gz", 5), ("none", 1)], "path string, bytes bigint")
+    unread = files.hash_files(spark, lost, str(tmp_path / "dst"))
+    assert {r["path"]: r["issue"] for r in files.file_check(lost, unread).collect()}["none"] == "UNREADABLE"
+
+
+def test_ids_of_names_differ():
+    from vaultshift.sources.harvest import _id
+
+    names = {_id(f"s{i % 500}", f"t{i}") for i in range(200_000)}
+    assert len(names) == 200_000 and _id("a.b", "c") != _id("a", "b.c")
+
+
+def test_statement_heads():
+    from vaultshift.plans.execute import runnable
+
+    assert runnable("CREATE VIEW v AS WITH metrics AS (SELECT 1) SELECT * FROM metrics")
+    assert runnable("CREATE VIEW `a b`.`c``d` AS SELECT 'LANGUAGE PYTHON'")
+    assert runnable("ALTER SCHEMA `my db` SET DBPROPERTIES ('a' = 'b')")
+    assert not runnable("CREATE VIEW s.v\nWITH METRICS\nLANGUAGE YAML\nAS $$\nx\n$$")
+    assert not runnable("CREATE FUNCTION s.f(x INT) RETURNS INT LANGUAGE PYTHON AS $$ return 1 $$")
+    assert not runnable("GRANT SELECT ON x TO y")
+
+
+def test_verdict_takes_the_latest_row(spark):
+    import datetime as dt
+
+    log = auditlog.AuditLog(spark, fresh_dir(spark, "t-latest"))
+    assert log.read_or_empty().count() == 0
+    for minute, status in ((0, "FAILED"), (5, "SUCCESS")):
+        row = spark.createDataFrame([("TABLE", "c.s.t", status, "m")], "object_type string, object_name string, status string, message string")
+        log.append(auditlog.log_rows(row, "b", "c", "tables", dt.datetime(2024, 1, 1, 0, minute, tzinfo=dt.timezone.utc)))
+    last = auditlog.latest(log.read(), "b")
+    assert [r["status"] for r in last.collect()] == ["SUCCESS"]
+    assert auditlog.failure_count(last, "b").first()[0] == 0 and auditlog.failure_count(log.read(), "b").first()[0] == 1
+
+
 def test_audit_log_append_and_not_null(spark):
     log = auditlog.AuditLog(spark, fresh_dir(spark, "t-log"))
     base = spark.createDataFrame([("TABLE", "c.s.t", "SUCCESS", "grants=2 owner=o", 1.5)],

@@ -90,6 +90,13 @@ class AuditLog:
     def read(self) -> DataFrame:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.path).select(*LOG_COLUMNS)
 
+    def read_or_empty(self) -> DataFrame:
+        """The log, or no rows where its folder does not exist yet; any other failure to read it is raised."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], LOG_SCHEMA).select(*LOG_COLUMNS)
+        return self.read()
+
     def register(self, table: str, comment: str = LOG_COMMENT) -> None:
         """Make the log a catalog table over its folder (created only if absent)."""
         cols = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in LOG_SCHEMA.fields)
@@ -109,6 +116,14 @@ def full(log: DataFrame, batch_id: str) -> DataFrame:
     return _batch(log, batch_id).orderBy("logged_at")
 
 
+def latest(log: DataFrame, batch_id: str) -> DataFrame:
+    """The last row of each (phase, object_type, object_name) of a batch."""
+    keys = ["phase", "object_type", "object_name"]
+    rest = [c for c in LOG_COLUMNS if c not in keys]
+    last = F.max_by(F.struct(*rest), F.struct("logged_at", "status")).alias("last")
+    return _batch(log, batch_id).groupBy(*keys).agg(last).select(*keys, "last.*").select(*LOG_COLUMNS)
+
+
 def summary(log: DataFrame, batch_id: str) -> DataFrame:
     return (
         _batch(log, batch_id).groupBy("phase", "object_type", "status")

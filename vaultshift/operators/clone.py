@@ -14,6 +14,7 @@ an independent Spark job, so a failing table is logged and the others go on.
 from __future__ import annotations
 
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -54,8 +55,10 @@ def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def row_hash2(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """A second, independent 32-bit hash of the same normalised values (Murmur3)."""
-    parts = _parts(df, columns)
+    """A second 32-bit hash (Murmur3) of the normalised values themselves, so that it shares no
+    intermediate value with ``row_hash``; a column's number stands before its value, as nulls are skipped."""
+    fields = df.schema.fields if columns is None else [df.schema[c] for c in columns]
+    parts = [x for i, f in enumerate(fields) for x in (F.lit(i), _normal(F.col(f"`{f.name}`"), f.dataType))]
     return F.hash(*parts) if parts else F.lit(0)
 
 
@@ -100,24 +103,38 @@ class CloneResult:
 def clone_one(spark: SparkSession, name: str, source: DataFrame, target: str,
               partition_by: list[str] | None = None, max_records_per_file: int = 5_000_000) -> CloneResult:
     """Copy ``source`` (one snapshot: its file list is fixed when it was read)
-    to ``target``; compare digests of both sides."""
+    to ``target``; compare digests of both sides.
+
+    The copy is written to an attempt folder of its own beside ``target`` and
+    moved there once both digests agree.  A failed attempt leaves nothing at
+    ``target``, so it can be repeated; a target that exists is never touched.
+    """
     res = CloneResult(table_name=name, target=target)
     t0 = time.time()
     try:
+        attempt = f"{target.rstrip('/')}.attempt-{uuid.uuid4().hex[:12]}"
+        fs, path = _hadoop_fs(spark, target)
+        if fs.exists(path(target)):
+            raise FileExistsError(f"{target} exists")
         obs = Observation(f"src_{name}_{int(t0 * 1000)}")
-        observed = source.select("*", row_hash(source).alias("_h")).observe(obs, *digest_columns(F.col("_h")))
-        writer = observed.drop("_h").write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
+        own = f"_hash_{uuid.uuid4().hex}"  # no column of the table
+        observed = source.select("*", row_hash(source).alias(own)).observe(obs, *digest_columns(F.col(own)))
+        writer = observed.drop(own).write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(target)
+        writer.parquet(attempt)
         res.clone_seconds = time.time() - t0
         m = obs.get
         res.digest_source = tuple(m[k] for k in DIGEST_FIELDS)
         res.rows_source = m["rows"]
-        copy = spark.read.schema(source.schema).parquet(target).select(*[f"`{c}`" for c in source.columns])
+        copy = spark.read.schema(source.schema).parquet(attempt).select(*[f"`{c}`" for c in source.columns])
         res.digest_target = digest_value(copy)
         res.rows_target = res.digest_target[0]
         res.status = "SUCCESS" if res.digest_source == res.digest_target else "FAILED"
+        if res.status == "SUCCESS" and not fs.rename(path(attempt), path(target)):
+            raise OSError(f"{attempt} could not be moved to {target}")
+        if res.status != "SUCCESS":
+            fs.delete(path(attempt), True)
         res.message = (f"clone={res.clone_seconds:.1f}s rows={res.rows_target} "
                        f"digest={'equal' if res.status == 'SUCCESS' else 'different'}")
     except Exception as e:  # noqa: BLE001 - one failing table must not stop the others
@@ -127,6 +144,13 @@ def clone_one(spark: SparkSession, name: str, source: DataFrame, target: str,
     return res
 
 
+def _hadoop_fs(spark: SparkSession, target: str):
+    """The Hadoop file system of ``target`` and a maker of its paths."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return jvm.org.apache.hadoop.fs.Path(target).getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+
+
 def clone_tables(spark: SparkSession, sources: dict[str, DataFrame], target_root: str, parallel: int = 8,
                  partition_by: dict[str, list[str]] | None = None) -> list[CloneResult]:
     """Copy many tables, ``parallel`` Spark jobs in flight at once."""

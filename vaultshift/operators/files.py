@@ -1,18 +1,21 @@
 """Volumes: file manifests, distributed copy and checks.
 
-A manifest lists files in tasks (subtrees spread over executors) without
+A manifest lists files in tasks (directories spread over executors) without
 reading their content.  The copy is a ``mapInPandas`` over the manifest: every task
 streams its files in blocks between two roots that all executors can open
 (local, mounted, or any filesystem ``pyarrow.fs`` resolves from a URI), and
 returns one row per file with its byte count and SHA-256.  Files are spread
 over tasks by a hash of their path, so no task gets a whole directory, and
-a retried task simply rewrites its files.
+a retried task simply rewrites its files.  Files are copied as they are: a
+name that ends in ``.gz`` is not unpacked.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultshift.session import written
+
 BLOCK = 8 * 1024 * 1024
 TARGET_BYTES_PER_TASK = 256 * 1024 * 1024
 
@@ -34,6 +39,7 @@ HASH_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("bytes", T.LongType()),
     T.StructField("sha2", T.StringType()),
+    T.StructField("error", T.StringType()),
 ])
 WRITE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -66,63 +72,49 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
-def _seeds(root: str, min_dirs: int, max_depth: int = 3) -> list[tuple[str, bool]]:
-    """Subtrees to list in tasks: (directory relative to root, recursive).
-
-    Directories are expanded level by level on the driver until there are
-    enough subtrees to spread, or ``max_depth`` is reached.  The driver keeps
-    directory names only; files directly inside an expanded directory are
-    listed by a task of their own (non-recursive), so no file entry is held
-    on the driver even for a flat directory.
-    """
-    import pyarrow.fs as pafs
-
-    fs, base = _fs(root)
-    cut = len(base.rstrip("/")) + 1
-    seeds: list[tuple[str, bool]] = []
-    level = [""]
-    for _ in range(max_depth):
-        if len(level) >= min_dirs:
-            break
-        nxt: list[str] = []
-        for d in level:
-            seeds.append((d, False))
-            for info in fs.get_file_info(pafs.FileSelector(_join(base, d) if d else base)):
-                if info.type == pafs.FileType.Directory:
-                    nxt.append(info.path[cut:])
-        level = nxt
-        if not level:
-            break
-    return seeds + [(d, True) for d in level]
-
+LISTED_SCHEMA = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("is_dir", T.BooleanType())])
 
-def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to root, bytes, modified) of every file below root, empty files included.
-
-    Subtrees are listed inside tasks (``mapInPandas``), spread by a hash of
-    their path; no file content is read.  (Spark's ``binaryFile`` scan is not
-    used: it drops zero-length files.)
-    """
-    seeds = _seeds(root, min_dirs=4 * spark.sparkContext.defaultParallelism)
 
+def _listed(dirs: DataFrame, root: str) -> DataFrame:
+    """Entries of every directory of ``dirs`` (column ``path``, relative to root), without their subdirectories'."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
 
         fs, base = _fs(root)
         cut = len(base.rstrip("/")) + 1
         for b in batches:
-            for d, rec in zip(b["dir"], b["recursive"]):
-                sel = pafs.FileSelector(_join(base, d) if d else base, recursive=bool(rec))
-                out = [(i.path[cut:], i.size, i.mtime) for i in fs.get_file_info(sel) if i.type == pafs.FileType.File]
-                if out:
-                    yield pd.DataFrame(out, columns=MANIFEST_SCHEMA.fieldNames())
-
-    n = max(1, min(len(seeds), spark.sparkContext.defaultParallelism * 4))
-    return (
-        spark.createDataFrame(seeds, "dir string, recursive boolean")
-        .repartition(n, F.xxhash64("dir"))
-        .mapInPandas(run, MANIFEST_SCHEMA)
-    )
+            for d in b["path"]:
+                found = fs.get_file_info(pafs.FileSelector(_join(base, d) if d else base))
+                for i in range(0, len(found), 10_000):
+                    yield pd.DataFrame(
+                        [(x.path[cut:], x.size if x.type == pafs.FileType.File else None, x.mtime, x.type == pafs.FileType.Directory)
+                         for x in found[i: i + 10_000] if x.type in (pafs.FileType.File, pafs.FileType.Directory)],
+                        columns=LISTED_SCHEMA.fieldNames())
+
+    return dirs.repartition(F.xxhash64("path")).mapInPandas(run, LISTED_SCHEMA)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to root, bytes, modified) of every file below root, empty files included.
+
+    Directories are listed inside tasks, one level of the tree after the
+    other, spread by a hash of their path; each level is written to the shared
+    folder, and the driver holds neither files nor directories at any width
+    of the cluster.  No file content is read.  (Spark's ``binaryFile`` scan
+    is not used: it drops zero-length files.)
+    """
+    level = spark.createDataFrame([("",)], "path string")
+    levels = []
+    while True:
+        found = written(_listed(level, root), "listing")
+        levels.append(found.where("not is_dir").select(*MANIFEST_SCHEMA.fieldNames()))
+        level = found.where("is_dir").select("path")
+        if level.isEmpty():
+            break
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def snapshot_manifest(spark: SparkSession, root: str, out: str) -> DataFrame:
@@ -165,13 +157,17 @@ def copy_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: s
             out = []
             for rel in b["path"]:
                 h, n = hashlib.sha256(), 0
+                part = None
                 try:
                     target = _join(dbase, rel)
                     parent = target.rsplit("/", 1)[0]
                     if parent not in made:
                         dfs.create_dir(parent, recursive=True)
                         made.add(parent)
-                    with sfs.open_input_stream(_join(sbase, rel)) as src, dfs.open_output_stream(target) as dst:
+                    # A name of this attempt's own, moved when complete: no half-written file at the target, and
+                    # a repeated or speculative task writes another one.
+                    part = f"{target}.part-{uuid.uuid4().hex[:12]}"
+                    with sfs.open_input_stream(_join(sbase, rel), compression=None) as src, dfs.open_output_stream(part, compression=None) as dst:
                         while True:
                             chunk = src.read(BLOCK)
                             if not chunk:
@@ -179,9 +175,13 @@ def copy_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: s
                             h.update(chunk)
                             dst.write(chunk)
                             n += len(chunk)
+                    dfs.move(part, target)
                     out.append((rel, n, h.hexdigest(), "COPIED", None))
                 except Exception as e:  # noqa: BLE001 - reported per file
-                    out.append((rel, None, None, "FAILED", str(e)[:1000]))
+                    out.append((rel, None, None, "FAILED", str(e)))
+                    if part is not None:
+                        with contextlib.suppress(Exception):
+                            dfs.delete_file(part)
             yield pd.DataFrame(out, columns=COPY_SCHEMA.fieldNames())
 
     spread = _spread(files.select("path"), total, n_files, spark.sparkContext.defaultParallelism)
@@ -189,7 +189,7 @@ def copy_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: s
 
 
 def hash_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """(path, bytes, sha2) of files below root, streamed in blocks (no size limit)."""
+    """(path, bytes, sha2, error) of files below root, streamed in blocks (no size limit)."""
     n_files, total = _sizes(files) if "bytes" in files.columns else (None, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,16 +199,16 @@ def hash_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
             for rel in b["path"]:
                 h, n = hashlib.sha256(), 0
                 try:
-                    with fs.open_input_stream(_join(base, rel)) as src:
+                    with fs.open_input_stream(_join(base, rel), compression=None) as src:
                         while True:
                             chunk = src.read(BLOCK)
                             if not chunk:
                                 break
                             h.update(chunk)
                             n += len(chunk)
-                    out.append((rel, n, h.hexdigest()))
-                except Exception:  # noqa: BLE001 - unreadable file: no hash
-                    out.append((rel, None, None))
+                    out.append((rel, n, h.hexdigest(), None))
+                except Exception as e:  # noqa: BLE001 - reported per file
+                    out.append((rel, None, None, str(e)))
             yield pd.DataFrame(out, columns=HASH_SCHEMA.fieldNames())
 
     spread = _spread(files.select("path"), total, n_files, spark.sparkContext.defaultParallelism)
@@ -216,17 +216,22 @@ def hash_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
 
 
 def file_check(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(path, issue) per file: OK, MISSING (not copied), EXTRA (only in target),
-    SIZE or CONTENT (sha2 differs, when both sides carry ``sha2``)."""
+    """(path, issue) per file: OK, MISSING (not in the target), EXTRA (only there), UNREADABLE
+    (there, but could not be read), SIZE or CONTENT (sha2 differs, when both sides carry ``sha2``).
+
+    ``source`` is the source's manifest, so a file whose copy failed is a row too; ``with_hashes`` adds hashes.
+    """
     has_hash = "sha2" in source.columns and "sha2" in target.columns
-    s = source.select("path", F.col("bytes").alias("s_bytes"),
+    s = source.select("path", F.lit(True).alias("in_s"), F.col("bytes").alias("s_bytes"),
                       (F.col("sha2") if has_hash else F.lit(None).cast("string")).alias("s_sha2"))
-    t = target.select("path", F.col("bytes").alias("t_bytes"),
-                      (F.col("sha2") if has_hash else F.lit(None).cast("string")).alias("t_sha2"))
+    t = target.select("path", F.lit(True).alias("in_t"), F.col("bytes").alias("t_bytes"),
+                      (F.col("sha2") if has_hash else F.lit(None).cast("string")).alias("t_sha2"),
+                      (F.col("error") if "error" in target.columns else F.lit(None).cast("string")).alias("t_error"))
     j = s.join(t, "path", "full")
     issue = (
-        F.when(F.col("t_bytes").isNull() & F.col("s_bytes").isNotNull(), "MISSING")
-        .when(F.col("s_bytes").isNull(), "EXTRA")
+        F.when(F.col("in_t").isNull(), "MISSING")
+        .when(F.col("in_s").isNull(), "EXTRA")
+        .when(F.col("t_error").isNotNull(), "UNREADABLE")
         .when(F.col("s_bytes") != F.col("t_bytes"), "SIZE")
         .when(~F.col("s_sha2").eqNullSafe(F.col("t_sha2")), "CONTENT")
         .otherwise("OK")
@@ -234,6 +239,12 @@ def file_check(source: DataFrame, target: DataFrame) -> DataFrame:
     return j.select("path", issue.alias("issue"))
 
 
+def with_hashes(source: DataFrame, copied: DataFrame) -> DataFrame:
+    """The source's manifest (path, bytes) with the hashes that the copy took of it; of a failed file, none."""
+    return source.select("path", "bytes").join(
+        copied.where(F.col("status") == "COPIED").select("path", "sha2"), "path", "left")
+
+
 def write_text_files(spark: SparkSession, rows: DataFrame, root: str, path_col: str = "path",
                      text_col: str = "text") -> DataFrame:
     """Write each row's text (UTF-8) as one file at ``root/<path>``; returns (path, bytes).
@@ -252,7 +263,7 @@ def write_text_files(spark: SparkSession, rows: DataFrame, root: str, path_col:
                 if parent not in made:
                     fs.create_dir(parent, recursive=True)
                     made.add(parent)
-                with fs.open_output_stream(target) as dst:
+                with fs.open_output_stream(target, compression=None) as dst:
                     dst.write(data)
                 out.append((rel, len(data)))
             yield pd.DataFrame(out, columns=WRITE_SCHEMA.fieldNames())

@@ -13,8 +13,8 @@ from vaultshift.functions import names as N
 
 
 def tag_pair(tag_name, tag_value) -> Column:
-    """``'name' = 'value'`` with the value escaped for a literal."""
-    return F.concat(F.lit("'"), tag_name, F.lit("' = "), N.sql_string(F.coalesce(tag_value, F.lit(""))))
+    """``'name' = 'value'``, both escaped for a literal."""
+    return F.concat(N.sql_string(tag_name), F.lit(" = "), N.sql_string(F.coalesce(tag_value, F.lit(""))))
 
 
 def ordered_pairs(name_col: str = "tag_name", value_col: str = "tag_value") -> Column:

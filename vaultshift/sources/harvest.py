@@ -8,7 +8,7 @@ unchanged.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +16,9 @@ from vaultshift.sources.relations import SCHEMAS
 
 
 def _id(*parts: str) -> int:
-    return zlib.crc32(".".join(parts).encode()) & 0x7FFFFFFF
+    """A 63-bit id of a qualified name; the parts' lengths are hashed too, so 'a.b','c' and 'a','b.c' differ."""
+    data = b"".join(len(p.encode()).to_bytes(8, "big") + p.encode() for p in parts)
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "big") >> 1
 
 
 def _databases(spark: SparkSession, databases: list[str] | None) -> list:

@@ -33,7 +33,7 @@ SCHEMAS: dict[str, T.StructType] = {
                                    ("unique_constraint_name", S)),
     "tags": _st(("object_type", S), ("table_schema", S), ("table_name", S), ("column_name", S), ("tag_name", S),
                 ("tag_value", S)),
-    "grants": _st(("c_custkey", L), ("object_type", S), ("object_key", S), ("principal", S), ("action_type", S)),
+    "grants": _st(("object_type", S), ("object_key", S), ("principal", S), ("action_type", S)),
     "memberships": _st(("principal", S), ("group_name", S)),
     "routines": _st(("rid", L), ("routine_schema", S), ("routine_name", S), ("routine_definition", S),
                     ("routine_body", S), ("external_language", S), ("full_data_type", S), ("is_deterministic", S),
@@ -61,6 +61,6 @@ def read_relation(spark: SparkSession, path: str, name: str, fmt: str = "parquet
         df.limit(0).collect()  # resolves the path now; no rows are read
         return df, spark.createDataFrame([], FINDING_SCHEMA)
     except Exception as e:  # noqa: BLE001 - turned into a finding
-        detail = str(e).splitlines()[0][:500]
+        detail = str(e)
         return (spark.createDataFrame([], schema),
                 spark.createDataFrame([("ERROR", f"read_{name}", detail)], FINDING_SCHEMA))
