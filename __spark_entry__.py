@@ -1102,6 +1102,33 @@ if llm_queries is not None:
     if corpus_pipeline.ORACLE_SQL is not None:
         _ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
+# ------------------------------------------------------------------- setups
+
+def _setup_of(name: str):
+    """What a query finds ready in this session: a filled log, a laid-out volume, finished copies."""
+    if name.startswith("log_") and name != "log_append":
+        return _log
+    if name in ("file_manifest", "file_copy", "file_check_edited"):
+        return _volume
+    if name == "file_check":
+        return _copy
+    if name == "digest_check":
+        return lambda spark, sf_dir: _clone_all(spark, sf_dir, "clone", edited=False)
+    if name in ("rowcount_check", "validation_verdict"):
+        return _new_side
+    return None
+
+
+def set_up(name: str, spark: SparkSession, sf_dir: str) -> None:
+    """Forgets what earlier queries of the session left, then makes what ``name`` needs: for timing it apart."""
+    _LOGS.clear()
+    _CLONES.clear()
+    _VOLUMES.clear()
+    make = _setup_of(name)
+    if make is not None:
+        make(spark, sf_dir)
+
+
 # ---------------------------------------------------------------- contract
 
 def entry(spark: SparkSession) -> DataFrame:
