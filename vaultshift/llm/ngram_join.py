@@ -4,14 +4,15 @@ Documents with at least ``100 * |A & B| >= PERCENT * |A | B|`` of their word
 shingles in common are linked; the result names each document's component.
 
 1. Equal shingle sets become one node.
-2. Any order of shingles in which two linked sets are sorted alike puts a common
-   shingle among the first ``n - ceil(PERCENT n / 100) + 1`` of each.  The order is by
+2. Any order of shingles in which two linked sets are sorted alike puts ``k`` common
+   shingles among the first ``n - ceil(PERCENT n / 100) + k`` of each.  The order is by
    hash, but shingles that many sets begin with (a bounded list) come last.  Beginnings
    that no other set has are dropped, at first by a Bloom filter of bounded size.
 3. The rest is an inverted index.  Per shingle and size band every node is searched
-   from a leader, twice with other leaders; found links are contracted to components.
-4. Where a shingle's nodes are still in several components, each node is searched
-   from those of other components, if their sizes allow a link.
+   from a leader; found links are contracted to components.
+4. Nodes of other components that share enough beginnings are still to be searched.
+   Where few nodes have a shingle these are pairs.  Nodes with enough shingles that
+   many have form families, cut into blocks of nodes of like size, and blocks are searched from blocks.
 
 A search is a T-occurrence query (DivideSkip): the inverted lists, over a block of
 candidate sets, of the query's shingles; the short lists are merged on a heap that skips,
@@ -44,6 +45,8 @@ from vaultshift.session import written
 SIZE, PERCENT = 4, 85
 #: Shingles that come last in the order, at most; bits of the Bloom filter; candidates that a task holds at once.
 MOST_COMMON, BLOOM_BITS, BLOCK = 1 << 19, 26, 256
+#: Nodes of a key beyond which it is met in blocks of that many; ratio of sizes within a band of blocks.
+HOT, BAND = 128, 0.95
 #: Weight of a binary probe against a step of the merge (the published choice).
 MU = 0.0085
 
@@ -72,6 +75,11 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def together(n):
+    """Number of shingles that a set of n shares with a linked one at their beginnings; of a pair, the smaller size counts."""
+    return 1 + n // 16
+
+
 def node_of(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -135,24 +143,38 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
     return out
 
 
+class Lists:
+    """Inverted lists of a block of sets: for each shingle, the numbers of the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        keys = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owners = keys[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def search(self, query: np.ndarray, percent: int, among: np.ndarray | None = None) -> list[int]:
+        """Numbers of the sets (``among`` some of them) that are linked with ``query``."""
+        n = len(query)
+        least = -(-percent * (n + self.sizes) // (100 + percent))
+        able = (least <= n) & (least <= self.sizes)
+        if among is not None:
+            able &= among
+        if not able.any():
+            return []
+        start, stop = np.searchsorted(self.keys, query), np.searchsorted(self.keys, query, "right")
+        some = np.flatnonzero(start < stop)
+        owners, whole = self.owners, bool(able.all())
+        lists = []
+        for i in some:
+            x = owners[start[i]: stop[i]]
+            lists.append((x if whole else x[able[x]]).tolist())
+        found = divide_skip(lists, max(1, int(least[able].min())))
+        return [k for k, o in found.items() if 100 * o >= percent * (n + int(self.sizes[k]) - o)]
+
+
 def search(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     """Numbers of the ``sets`` that are linked with ``query``."""
-    n = len(query)
-    sizes = np.array([len(s) for s in sets])
-    least = -(-percent * (n + sizes) // (100 + percent))
-    able = np.flatnonzero((least <= n) & (least <= sizes))
-    if not len(able):
-        return []
-    joined = np.concatenate([sets[i] for i in able])
-    owner = np.repeat(np.arange(len(able)), sizes[able])
-    at = np.minimum(np.searchsorted(query, joined), n - 1)
-    same = query[at] == joined
-    at, owner = at[same], owner[same]
-    order = np.argsort(at, kind="stable")
-    cut = np.searchsorted(at[order], np.arange(1, n))
-    lists = [x.tolist() for x in np.split(owner[order], cut)]
-    found = divide_skip(lists, max(1, int(least[able].min())))
-    return [int(able[k]) for k, o in found.items() if 100 * o >= percent * (n + int(sizes[able[k]]) - o)]
+    return Lists(sets).search(query, percent)
 
 
 def _nodes(docs: DataFrame, size: int) -> DataFrame:
@@ -183,7 +205,7 @@ def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=Non
                     continue
                 if len(seen) < 1 << 18:  # a memory of a task; what it forgets is only told twice
                     seen.add(node)
-                n_first = len(own) - needed(len(own), percent) + 1
+                n_first = min(len(own), len(own) - needed(len(own), percent) + together(len(own)))
                 first, order = in_order(own, last)
                 first = first[:n_first]
                 if filled is not None:
@@ -202,7 +224,7 @@ def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=Non
 
 
 def _index(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The inverted index (key, node, n) of beginnings that two nodes or more share."""
+    """The inverted index (key, node, n) of beginnings that two nodes or more share, of nodes with enough of them."""
     spark = docs.sparkSession
     counts = written(_beginnings(docs, size, percent).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     total = counts.agg(F.sum("c")).first()[0] or 0
@@ -222,7 +244,9 @@ def _index(docs: DataFrame, size: int, percent: int) -> DataFrame:
     told = _beginnings(docs, size, percent, spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(bloom))
     told = written(told.groupBy("key", "node").agg(F.min("n").alias("n")), "beginnings")
     shared = told.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return written(told.join(shared, "key"), "index")
+    indexed = told.join(shared, "key")
+    able = told.join(shared, "key").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("m")).where(F.col("c") >= F.floor(F.col("m") / 16) + 1)
+    return written(indexed.join(able.select("node"), "node"), "index")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -263,38 +287,112 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     out += links()
                     nodes, own = [], []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                yield _pairs(out)
         out = list(links())
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+            yield _pairs(out)
 
     return written(rows.mapInArrow(run, "a bigint, b bigint"), "found")
 
 
-def _led(index: DataFrame, known: DataFrame, percent: int, least: bool) -> DataFrame:
+def _led(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs (q, node): per node one leader of another component, among the leaders of its keys and size band.
 
     Keys whose nodes are all in one component have no leader.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100))))
     rows = index.withColumn("band", band).join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pick = F.min if least else F.max
-    lead = (rows.groupBy("key", "band").agg(pick("node").alias("q"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    lead = (rows.groupBy("key", "band").agg(F.min("node").alias("q"), F.min("component").alias("lo"), F.max("component").alias("hi"))
             .where("lo <> hi").select("key", "band", "q"))
     of = known.select(F.col("node").alias("q"), F.col("component").alias("q_component"))
-    pairs = rows.join(lead, ["key", "band"]).where("q <> node").groupBy("node", "component").agg(pick("q").alias("q"))
-    return pairs.join(of, "q", "left").where(F.coalesce("q_component", "q") != F.col("component")).select("q", "node")
+    # Sizes of a band differ by less than the links' percentage, so the leader's share is bounded by the node's.
+    enough = F.floor(F.col("n") * percent / 1600) + 1
+    pairs = (rows.join(lead, ["key", "band"]).where("q <> node").groupBy("node", "component", "n", "q").agg(F.count(F.lit(1)).alias("shared"))
+             .where(F.col("shared") >= enough).join(of, "q", "left").where(F.coalesce("q_component", "q") != F.col("component")))
+    best = pairs.groupBy("node").agg(F.max("shared").alias("shared"))
+    return pairs.join(best, ["node", "shared"]).groupBy("node").agg(F.min("q").alias("q")).select("q", "node")
+
 
+def _often(index: DataFrame) -> DataFrame:
+    """Keys that more than ``HOT`` nodes have: they are met in blocks, not in pairs."""
+    return index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key", F.lit(True).alias("hot"))
 
-def _left(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs (q, node) that share a key, may be linked by size, and are in different components."""
-    rows = index.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+def _cold_pairs(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (q, node) of different components that share a key of few nodes, and enough keys if all hot ones are shared."""
+    marked = index.join(_often(index), "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = marked.where("hot").groupBy("node").agg(F.count(F.lit(1)).alias("hots"))
+    rows = (marked.where("not hot").join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            .join(hot, "node", "left").withColumn("hots", F.coalesce("hots", F.lit(0))).select("key", "node", "n", "component", "hots"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rows = rows.join(mixed, "key")
-    other = rows.select("key", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"))
+    other = rows.select("key", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("component").alias("q_component"), F.col("hots").alias("q_hots"))
     return rows.join(other, "key").where(
         (F.col("component") != F.col("q_component")) & (F.col("n") * 100 >= F.col("q_n") * percent)
-        & ((F.col("n") < F.col("q_n")) | ((F.col("n") == F.col("q_n")) & (F.col("node") < F.col("q"))))).select("q", "node").distinct()
+        & ((F.col("n") < F.col("q_n")) | ((F.col("n") == F.col("q_n")) & (F.col("node") < F.col("q"))))).groupBy("q", "node", "n").agg(
+            (F.count(F.lit(1)) + F.least(F.min("hots"), F.min("q_hots"))).alias("shared")).where(
+                F.col("shared") >= F.floor(F.col("n") / 16) + 1).select("q", "node")
+
+
+def _hot_links(index: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among nodes with enough hot keys: families of shared hot keys, in blocks of like size, block against block."""
+    rows = index.join(_often(index), "key")
+    enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("hots")).where(F.col("hots") >= F.floor(F.col("n") / 16) + 1)
+    rows = written(rows.join(enough.select("node"), "node").select("key", "node"), "hot")
+    lead = rows.groupBy("key").agg(F.min("node").alias("lead"))
+    family = components(rows.join(lead, "key").select(F.col("node").alias("a"), F.col("lead").alias("b")))
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(BAND)))
+    member = (enough.join(family.withColumnRenamed("component", "family"), "node").join(known, "node", "left")
+              .select("node", "family", band.alias("band"), F.coalesce("component", "node").alias("component")))
+    open_ = member.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
+    member = member.join(open_, "family")
+    size = member.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
+    member = written(member.join(size, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+                     .select("node", "family", "band", "block", "component"), "members")
+    # Blocks of bands that links can join; the bands of a link are at most REACH apart.
+    reach = int(np.floor(np.log(percent / 100) / np.log(BAND))) + 1
+    blocks = size.select("family", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    upper = blocks.select("family", F.col("band").alias("band_b"), F.col("block").alias("block_b"))
+    against = blocks.withColumn("band_b", F.explode(F.sequence(F.col("band"), F.col("band") + reach))).join(upper, ["family", "band_b"]).where(
+        (F.col("band_b") > F.col("band")) | (F.col("block_b") >= F.col("block")))
+    against = written(against.withColumn("task", F.xxhash64("family", "band", "block", "band_b", "block_b")), "against")
+    full = member.join(sets, "node")
+    left = against.select("family", "band", "block", "task", F.lit(0).alias("kind"))
+    right = against.select("family", F.col("band_b").alias("band"), F.col("block_b").alias("block"), "task", F.lit(1).alias("kind"))
+    rows = (left.unionByName(right).join(full, ["family", "band", "block"]).select("task", "kind", "node", "component", "own")
+            .repartition(partitions(index.sparkSession), "task").sortWithinPartitions("task", "kind"))
+
+    def run(batches):
+        here, sides = None, None
+
+        def links() -> list[tuple[int, int]]:
+            if here is None or not sides[1][0]:
+                return []
+            lists, nodes, parts = Lists(sides[1][2]), np.array(sides[1][0]), np.array(sides[1][1])
+            return [(q, int(nodes[k])) for q, c, own in zip(*sides[0]) for k in lists.search(own, percent, (parts != c) & (nodes != q))]
+
+        for b in batches:
+            task, kind, node, component = (b.column(i).to_numpy() for i in range(4))
+            at, flat = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy().view(np.uint64)
+            out: list[tuple[int, int]] = []
+            for i in range(len(task)):
+                if here != task[i]:
+                    out += links()
+                    here, sides = task[i], ([[], [], []], [[], [], []])
+                side = sides[kind[i]]
+                side[0].append(int(node[i]))
+                side[1].append(int(component[i]))
+                side[2].append(flat[at[i]: at[i + 1]].copy())
+            if out:
+                yield _pairs(out)
+        if out := links():
+            yield _pairs(out)
+
+    return written(rows.mapInArrow(run, "a bigint, b bigint"), "found")
+
+
+def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
 
 
 def ngram_components(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -317,8 +415,10 @@ def ngram_components(docs: DataFrame, text: str = "text", key: str = "doc_id", s
     sets = written(sets, "sets")
     links = spark.createDataFrame([], "a bigint, b bigint")
     known = spark.createDataFrame([], "node bigint, component bigint")
-    for step in (lambda: _led(index, known, percent, True), lambda: _led(index, known, percent, False), lambda: _left(index, known, percent)):
-        links = links.unionByName(_verified(step(), sets, percent))
+    for step in (lambda: _verified(_led(index, known, percent), sets, percent),
+                 lambda: _hot_links(index, known, sets, percent),
+                 lambda: _verified(_cold_pairs(index, known, percent), sets, percent)):
+        links = links.unionByName(step())
         known = components(links)
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = written(named.where("node is not null and id is not null").groupBy("component").agg(F.min("id").alias("component_id")), "named")
