@@ -1085,6 +1085,46 @@ def q_preflight_report(spark, sf_dir):
                                **PF)
 
 
+# ------------------------------------------- restore of functions, volumes, catalog
+
+_TICK = "'`' || replace({}, '`', '``') || '`'"
+
+
+@_register("volume_plan", f"""
+WITH v AS (SELECT v.volume_schema AS s, v.volume_name AS n, coalesce(v.comment, '') AS c, o.volume_owner AS o,
+  {_TICK.format("'prod_new'")} || '.' || {_TICK.format('v.volume_schema')} || '.' || {_TICK.format('v.volume_name')} AS q
+  FROM m_volumes v LEFT JOIN m_volume_owners o ON o.volume_schema = v.volume_schema AND o.volume_name = v.volume_name WHERE v.volume_type = 'MANAGED')
+SELECT 'VOLUME' AS object_type, 'prod.' || s || '.' || n AS object_name, 0 AS seq,
+  'CREATE VOLUME ' || q || CASE WHEN c <> '' THEN ' COMMENT ' || {_lit('c')} ELSE '' END AS statement FROM v
+UNION ALL SELECT 'VOLUME', 'prod.' || s || '.' || n, 1, 'ALTER VOLUME ' || q || ' SET OWNER TO ' || {_TICK.format('o')} FROM v WHERE o <> ''""")
+def q_volume_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return st.volume_plan(f["m_volumes"], f["m_volume_owners"], CATALOG, "prod_new")
+
+
+@_register("object_tag_plan", f"""
+WITH p AS (SELECT object_type, schema_name, object_name AS n,
+  string_agg({_lit('tag_name')} || ' = ' || {_lit("coalesce(tag_value, '')")}, ', ' ORDER BY tag_name) AS pairs
+  FROM m_object_tags GROUP BY object_type, schema_name, object_name)
+SELECT object_type, 'prod' || coalesce('.' || schema_name, '') || coalesce('.' || n, '') AS object_name,
+  'ALTER ' || object_type || ' ' || {_TICK.format("'prod_new'")} || coalesce('.' || {_TICK.format('schema_name')}, '')
+    || coalesce('.' || {_TICK.format('n')}, '') || ' SET TAGS (' || pairs || ')' AS statement FROM p""")
+def q_object_tag_plan(spark, sf_dir):
+    return st.object_tag_plan(_fx(spark, sf_dir)["m_object_tags"], CATALOG, "prod_new")
+
+
+@_register("grant_plan_objects", f"""
+WITH k AS (SELECT 'FUNCTION' AS t, routine_schema AS s, routine_name AS n FROM m_routines
+  UNION ALL SELECT 'VOLUME', volume_schema, volume_name FROM m_volumes)
+SELECT DISTINCT k.t AS object_type, g.object_key AS object_name, 'GRANT ' || g.action_type || ' ON ' || k.t || ' '
+  || {_TICK.format("'prod_new'")} || '.' || {_TICK.format('k.s')} || '.' || {_TICK.format('k.n')} || ' TO ' || {_TICK.format('g.principal')} AS statement
+FROM k JOIN m_object_grants g ON g.object_key = 'prod.' || k.s || '.' || k.n AND g.object_type = k.t WHERE g.action_type <> 'OWN'""")
+def q_grant_plan_objects(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    objects = acc.securables(f["m_schemata"], None, CATALOG, f["m_routines"], f["m_volumes"])
+    return st.grant_plan(acc.direct_grants(f["m_object_grants"], objects), CATALOG, "prod_new")
+
+
 # ------------------------------------------------- training-data operators
 
 try:  # the subpackage and the pipeline may be absent; everything above works without them

@@ -135,3 +135,27 @@ def test_schema_diff_on_harvested_columns(spark):
     b = cols.where("table_name = 'vs_cols.b'").withColumn("table_name", F.lit("t"))
     got = sorted((r["column_name"], r["issue"]) for r in validate.schema_diff(a, b, check_comments=True).collect())
     assert got == [("amount", "type_changed"), ("id", "comment_changed"), ("name", "comment_changed")]
+
+
+def test_whole_plan_in_order(spark):
+    from tests.conftest import SF_SMALL
+    from vaultshift.operators import access, auditlog
+    from vaultshift.plans.migration import Migration
+    from vaultshift.session import fresh_dir
+    from vaultshift.sources.fixtures import Fixtures
+
+    f = Fixtures(spark, SF_SMALL)
+    run = Migration(spark, "prod", auditlog.AuditLog(spark, fresh_dir(spark, "t-plan")))
+    objects = access.securables(f["m_schemata"], f["m_tables"], "prod", f["m_routines"], f["m_volumes"])
+    plan = run.plan("prod_new", f["m_schemata"], f["m_describe_kv"], f["m_tables"], f["m_routines"], f["m_parameters"], f["m_tags"],
+                    access.direct_grants(f["m_grants"], objects), f["m_volumes"], f["m_volume_owners"], f["m_object_tags"],
+                    (f["m_table_constraints"], f["m_key_column_usage"], f["m_referential_constraints"]), f["m_views"], "boss").collect()
+    by = {}
+    for r in plan:
+        by.setdefault(r["step"], []).append(r)
+        assert r["statement"]
+    assert set(by) == set(range(1, 12)) and [r["statement"] for r in by[11]] == ["ALTER CATALOG `prod` SET OWNER TO `boss`"]
+    assert all("PRIMARY KEY" in r["statement"] for r in by[7]) and all("FOREIGN KEY" in r["statement"] for r in by[8])
+    assert all("`prod_new`" not in r["statement"] for r in by[9] + by[10])
+    assert all("`prod_new`" in r["statement"] for s in (1, 3, 4, 6) for r in by[s])
+    assert {r["object_type"] for r in by[3]} == {"FUNCTION", "VOLUME"}

@@ -14,8 +14,9 @@ from vaultshift.functions import names as N
 OWNERSHIP = ("OWN", "OWNERSHIP")
 
 
-def securables(schemata: DataFrame, tables: DataFrame | None, catalog: str) -> DataFrame:
-    """Objects whose grants are read: the catalog, its schemas, its tables and views.
+def securables(schemata: DataFrame, tables: DataFrame | None, catalog: str, routines: DataFrame | None = None,
+               volumes: DataFrame | None = None) -> DataFrame:
+    """Objects whose grants are read: the catalog, its schemas, its tables and views, functions and volumes.
 
     ``object_type`` is the type the grants are asked for (views as VIEW,
     everything table-like as TABLE).
@@ -24,12 +25,18 @@ def securables(schemata: DataFrame, tables: DataFrame | None, catalog: str) -> D
         F.lit("CATALOG").alias("object_type"), F.lit(catalog).alias("object_key"))
     sch = schemata.where(F.col("schema_name") != "information_schema").select(
         F.lit("SCHEMA").alias("object_type"), N.fqn(F.lit(catalog), F.col("schema_name")).alias("object_key"))
+    sch = cat.unionByName(sch)
+    for df, kind, schema, name in ((routines, "FUNCTION", "routine_schema", "routine_name"),
+                                   (volumes, "VOLUME", "volume_schema", "volume_name")):
+        if df is not None:
+            sch = sch.unionByName(df.where(F.col(schema) != "information_schema").select(
+                F.lit(kind).alias("object_type"), N.fqn(F.lit(catalog), F.col(schema), F.col(name)).alias("object_key")))
     if tables is None:
-        return cat.unionByName(sch)
+        return sch
     tab = tables.where(F.col("table_schema") != "information_schema").select(
         F.when(F.col("table_type").isin("VIEW", "METRIC_VIEW"), "VIEW").otherwise("TABLE").alias("object_type"),
         N.fqn(F.lit(catalog), F.col("table_schema"), F.col("table_name")).alias("object_key"))
-    return cat.unionByName(sch).unionByName(tab)
+    return sch.unionByName(tab)
 
 
 def direct_grants(grants: DataFrame, objects: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultshift.functions import names as N
 from vaultshift.operators import auditlog, clone, files, inventory, validate
 
 
@@ -49,30 +50,65 @@ class Migration:
     # -- plans ------------------------------------------------------------------------
     def plan(self, target: str, schemata: DataFrame, describe_kv: DataFrame, tables: DataFrame,
              routines: DataFrame, parameters: DataFrame, tag_rows: DataFrame | None = None,
-             direct_grants: DataFrame | None = None) -> DataFrame:
+             direct_grants: DataFrame | None = None, volumes: DataFrame | None = None,
+             volume_owners: DataFrame | None = None, object_tags: DataFrame | None = None,
+             constraints: tuple[DataFrame, DataFrame, DataFrame] | None = None, views: DataFrame | None = None,
+             catalog_owner: str | None = None) -> DataFrame:
         """Every statement that rebuilds the catalog as ``target``, one relation:
-        (step, object_type, object_name, statement) in the order to run them."""
+        (step, object_type, object_name, statement) in the order to run them.
+
+        Steps: 1 schemas; 2 their properties, comments of tables; 3 functions and volumes; 4 tags; 5 grants;
+        6 owners; 7 primary and 8 foreign keys, after the data; 9 views, which name the catalog after the
+        swap; 10 comments, tags, grants and owners of views; 11 the catalog's owner, last.
+        """
         from vaultshift.operators import routines as rtn
+        from vaultshift.operators import views as vw
         from vaultshift.plans import statements as st
 
+        is_view = F.col("object_type").isin("VIEW", "MATERIALIZED_VIEW", "METRIC_VIEW")
+
+        def at(step: int):
+            return F.when(is_view, F.lit(10)).otherwise(F.lit(step))
+
         parts = [
             st.schema_plan(schemata, describe_kv, self.catalog, target).withColumn("step", F.col("seq") + 1)
             .drop("seq"),
-            st.comment_plan(tables, self.catalog, target).withColumn("step", F.lit(2)),
+            st.comment_plan(tables, self.catalog, target).withColumn("step", at(2)),
             rtn.function_ddl(routines, parameters, target).where(F.col("status") == "PLANNED").select(
                 F.lit("FUNCTION").alias("object_type"),
                 F.concat_ws(".", F.lit(self.catalog), "routine_schema", "routine_name").alias("object_name"),
                 F.col("ddl").alias("statement"), F.lit(3).alias("step")),
         ]
+        if volumes is not None:
+            parts.append(st.volume_plan(volumes, volume_owners, self.catalog, target)
+                         .withColumn("step", F.when(F.col("seq") == 0, F.lit(3)).otherwise(F.lit(6))).drop("seq"))
+        if object_tags is not None:
+            parts.append(st.object_tag_plan(object_tags, self.catalog, target).withColumn("step", F.lit(4)))
         if tag_rows is not None:
-            parts.append(st.tag_plan(tables, tag_rows, self.catalog, target).where(F.col("mode") == "batch").select(
+            made_later = inventory.classify_tables(tables).where(F.col("class").isin("view", "mv", "metric_view")).select(
+                "table_schema", "table_name", F.lit(10).alias("later"))
+            parts.append(st.tag_plan(tables, tag_rows, self.catalog, target).where(F.col("mode") == "batch")
+                         .join(made_later, ["table_schema", "table_name"], "left").select(
                 F.lit("TAG").alias("object_type"),
                 F.concat_ws(".", F.lit(self.catalog), "table_schema", "table_name").alias("object_name"),
-                "statement", F.lit(4).alias("step")))
+                "statement", F.coalesce("later", F.lit(4)).alias("step")))
         if direct_grants is not None:
-            parts.append(st.grant_plan(direct_grants, self.catalog, target).withColumn("step", F.lit(5)))
+            parts.append(st.grant_plan(direct_grants, self.catalog, target).withColumn("step", at(5)))
         parts.append(st.owner_plan(schemata, describe_kv, tables, routines, self.catalog, target)
-                     .withColumn("step", F.lit(6)))
+                     .withColumn("step", at(6)))
+        if constraints is not None:
+            parts.append(st.constraint_plan(*constraints, self.catalog, target).select(
+                F.lit("CONSTRAINT").alias("object_type"),
+                F.concat_ws(".", F.lit(self.catalog), "table_schema", "table_name").alias("object_name"),
+                "statement", (F.col("step") + 6).alias("step")))
+        if views is not None:
+            parts.append(vw.recreate_plan(tables, views, self.catalog).where(F.col("status") == "PLANNED").select(
+                "object_type", "object_name", F.coalesce("statement", "fallback").alias("statement"), F.lit(9).alias("step")))
+        if catalog_owner:
+            parts.append(self.spark.range(1).select(
+                F.lit("CATALOG").alias("object_type"), F.lit(self.catalog).alias("object_name"),
+                F.concat(F.lit("ALTER CATALOG "), N.quote_part(F.lit(self.catalog)), F.lit(" SET OWNER TO "),
+                         N.quote_part(F.lit(catalog_owner))).alias("statement"), F.lit(11).alias("step")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

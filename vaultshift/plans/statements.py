@@ -156,6 +156,47 @@ def tag_plan(tables: DataFrame, tag_rows: DataFrame, catalog: str, target: str)
     return batch.unionByName(single)
 
 
+def volume_plan(volumes: DataFrame, owners: DataFrame | None, catalog: str, target: str) -> DataFrame:
+    """CREATE VOLUME (seq 0, with its comment) and SET OWNER (seq 1, where one is known) of managed volumes.
+
+    ``owners``: (volume_schema, volume_name, volume_owner).
+    """
+    v = volumes.where((F.upper("volume_type") == "MANAGED") & (F.col("volume_schema") != "information_schema")).select(
+        "volume_schema", "volume_name", F.coalesce(F.col("comment"), F.lit("")).alias("comment"))
+    if owners is None:
+        v = v.withColumn("volume_owner", F.lit(None).cast("string"))
+    else:
+        v = v.join(owners.groupBy("volume_schema", "volume_name").agg(F.max("volume_owner").alias("volume_owner")),
+                   ["volume_schema", "volume_name"], "left")
+    q = N.quoted(F.lit(target), F.col("volume_schema"), F.col("volume_name"))
+    create = F.concat(F.lit("CREATE VOLUME "), q, F.when(
+        F.col("comment") != "", F.concat(F.lit(" COMMENT "), N.sql_string(F.col("comment")))).otherwise(F.lit("")))
+    rows = v.select(F.lit("VOLUME").alias("object_type"),
+                    N.fqn(F.lit(catalog), F.col("volume_schema"), F.col("volume_name")).alias("object_name"),
+                    create.alias("made"), _owner_stmt(F.lit("VOLUME"), q, F.col("volume_owner")).alias("owned"))
+    return _explode_statements(rows, [F.col("made"), F.col("owned")], ["object_type", "object_name"])
+
+
+def object_tag_plan(object_tags: DataFrame, catalog: str, target: str) -> DataFrame:
+    """One SET TAGS statement per catalog, schema and volume that has tags.
+
+    ``object_tags``: (object_type, schema_name, object_name, tag_name, tag_value); schema and name are
+    null where the type has none.
+    """
+    typ = F.upper(F.col("object_type"))
+    t = object_tags.where(typ.isin("CATALOG", "SCHEMA", "VOLUME")).groupBy(
+        typ.alias("object_type"), "schema_name", F.col("object_name").alias("name")).agg(tags.ordered_pairs().alias("pairs"))
+    is_cat, is_schema = F.col("object_type") == "CATALOG", F.col("object_type") == "SCHEMA"
+
+    def by_type(make, cat: str):
+        return F.when(is_cat, make(F.lit(cat))).when(is_schema, make(F.lit(cat), F.col("schema_name"))).otherwise(
+            make(F.lit(cat), F.col("schema_name"), F.col("name")))
+
+    return t.select("object_type", by_type(N.fqn, catalog).alias("object_name"),
+                    F.concat(F.lit("ALTER "), F.col("object_type"), F.lit(" "), by_type(N.quoted, target),
+                             F.lit(" SET TAGS ("), F.col("pairs"), F.lit(")")).alias("statement"))
+
+
 def constraint_plan(tc: DataFrame, kcu: DataFrame, rc: DataFrame, catalog: str, target: str) -> DataFrame:
     """All PKs (step 1) before all FKs (step 2), so an FK never waits for a table
     copied later."""

@@ -96,6 +96,20 @@ UNION ALL SELECT routine_schema, routine_name, 'p3', 'DECIMAL(10,2)', 3, 'OUT' F
     "m_volumes": """
 SELECT concat('NATION_', CAST(s_nationkey AS STRING)) AS volume_schema, concat('v_', CAST(s_suppkey AS STRING)) AS volume_name,
   CASE WHEN s_suppkey % 5 = 0 THEN 'EXTERNAL' ELSE 'MANAGED' END AS volume_type, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE NULL END AS comment FROM {supplier}""",
+    "m_volume_owners": """
+SELECT volume_schema, volume_name, concat('o', volume_name, CASE WHEN volume_type = 'MANAGED' THEN '`x' ELSE '' END) AS volume_owner FROM {m_volumes}
+WHERE comment IS NULL""",
+    "m_object_tags": """
+SELECT 'CATALOG' AS object_type, CAST(NULL AS STRING) AS schema_name, CAST(NULL AS STRING) AS object_name, 'env' AS tag_name, 'pr''od' AS tag_value
+UNION ALL SELECT 'CATALOG', CAST(NULL AS STRING), CAST(NULL AS STRING), 'cost', CAST(NULL AS STRING)
+UNION ALL SELECT 'SCHEMA', concat('NATION_', CAST(n_nationkey AS STRING)), CAST(NULL AS STRING), 'region', CAST(n_regionkey AS STRING) FROM {nation}
+UNION ALL SELECT 'VOLUME', volume_schema, volume_name, 'it''s', volume_type FROM {m_volumes}
+UNION ALL SELECT 'VOLUME', volume_schema, volume_name, 'a', comment FROM {m_volumes} WHERE comment IS NOT NULL""",
+    "m_object_grants": """
+SELECT 'FUNCTION' AS object_type, concat('prod.', routine_schema, '.', routine_name) AS object_key, concat('u_', CAST(rid % 50 AS STRING)) AS principal,
+  CASE WHEN rid % 5 = 0 THEN 'OWN' ELSE 'EXECUTE' END AS action_type FROM {m_routines}
+UNION ALL SELECT 'VOLUME', concat('prod.', volume_schema, '.', volume_name), 'g`1', 'READ VOLUME' FROM {m_volumes}
+UNION ALL SELECT 'SCHEMA', concat('prod.', volume_schema, '.', volume_name), 'inherited', 'USE SCHEMA' FROM {m_volumes}""",
     "m_locations": """
 SELECT 'root' AS name, 's3://lake/' AS url UNION ALL SELECT r_name, concat('s3://lake/', r_name) FROM {region}
 UNION ALL SELECT concat(r_name, '_', n_name), concat('s3://lake/', r_name, '/', n_name, '/') FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey <= 5""",
