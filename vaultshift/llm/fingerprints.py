@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from vaultshift.llm.common import partitions
 from vaultshift.session import shared_uri, written
 
-CELLS, GROWTH, ROUNDS = 48, 5, 8
+CELLS, GROWTH = 48, 5
+#: Rounds of peeling at the first size, where most differences are small or hopeless, and at larger ones.
+ROUNDS = 5, 8
 #: Ranges of ids in a partition: enough that partitions are even.
 RANGES = 8
 #: The end of a sentence or line.
@@ -104,7 +106,7 @@ def _added(rows: DataFrame, sides: list[tuple[Column, Column]], cells: Column, k
     return opened.groupBy(*_ROW, *keep, "cell").agg(*sums)
 
 
-def peeled(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def peeled(cells: DataFrame, rounds: int) -> DataFrame:
     """(range, row, pair, found, left): digests recovered from each difference, and cells that remain.
 
     Cell -1 of a pair counts its recovered digests.
@@ -138,16 +140,16 @@ def _kept_in_ranges(df: DataFrame, label: str) -> DataFrame:
     return spark.table(name)
 
 
-def _sketch_text(cells: int, side: int, found: str) -> Column:
-    """The sketch as text: each cell's count, digests and checks in hexadecimal; 0 for an empty cell."""
-    by = F.map_from_entries(F.transform(F.col(found), lambda x: F.struct(x["cell"], x)))
+def _cell_text(side: int) -> Column:
+    """A cell as text: its number, count, digests and checks in hexadecimal; null for an empty cell."""
+    parts = [F.lower(F.hex(F.col(c))) for c in ("cell", f"count_{side}", f"keys_{side}", f"checks_{side}")]
+    return F.when(F.col(f"count_{side}") > 0, F.concat_ws(":", *parts))
 
-    def one(i: Column) -> Column:
-        x = by[i.cast("bigint")]
-        parts = [F.lower(F.hex(x[f"{c}_{side}"])) for c in ("count", "keys", "checks")]
-        return F.when(x[f"count_{side}"] > 0, F.concat_ws(":", *parts)).otherwise("0")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), one), ",")
+def _sketch_text(cells: int, found: str) -> Column:
+    """A sketch as text: the number of its cells, then those that aren't empty, in order."""
+    rest = F.transform(F.array_sort(F.coalesce(F.col(found), F.array().cast("array<struct<cell:bigint,text:string>>"))), lambda x: x["text"])
+    return F.concat_ws(",", F.lit(f"{cells:x}"), rest)
 
 
 def compare(docs: DataFrame, text: str = "text", key: str = "doc_id", cells: int = CELLS) -> DataFrame:
@@ -170,7 +172,7 @@ def compare(docs: DataFrame, text: str = "text", key: str = "doc_id", cells: int
                                   F.col("checks_0").bitwiseXOR(F.col(f"checks_{p + 1}")).alias("checks")) for p in (0, 1)])
         wanted = F.filter(both, lambda x: F.when(x["pair"] == 0, F.col("want_0")).otherwise(F.col("want_1")))
         differing = sketches.select(*_ROW, wide.alias("cells"), "cell", F.inline(wanted))
-        result = written(peeled(differing), "peeled")
+        result = written(peeled(differing, ROUNDS[size > cells]), "peeled")
         good = result.where("left = 0").select(*_ROW, "pair", "found")
         done = good if done is None else done.unionByName(good)
         failed = written(result.where("left > 0").groupBy(*_ROW).agg(F.max(F.col("pair") == 0).alias("want_0"), F.max(F.col("pair") == 1).alias("want_1")), "failed")
@@ -181,13 +183,14 @@ def compare(docs: DataFrame, text: str = "text", key: str = "doc_id", cells: int
     differ = _kept_in_ranges(done.groupBy(*_ROW).agg(F.max(F.when(F.col("pair") == 0, F.col("found"))).alias("d0"),
                                                      F.max(F.when(F.col("pair") == 1, F.col("found"))).alias("d1")), "differ")
     first = _added(base, [(F.col("own"), yes), (F.col("changed"), yes)], F.lit(cells).cast("bigint"), [])
-    prints = first.groupBy(*_ROW).agg(F.collect_list(F.struct("cell", *[f"{c}_{i}" for i in (0, 1) for c in ("count", "keys", "checks")])).alias("found"))
+    # An aggregate takes no null, so empty cells are left out.
+    prints = first.select(*_ROW, "cell", *[_cell_text(i).alias(f"text_{i}") for i in (0, 1)]).groupBy(*_ROW).agg(*[
+        F.collect_list(F.when(F.col(f"text_{i}").isNotNull(), F.struct("cell", F.col(f"text_{i}").alias("text")))).alias(f"found_{i}") for i in (0, 1)])
 
     def likeness(a: str, b: str, d: str) -> Column:
         total, apart = F.size(a) + F.size(b), F.coalesce(F.col(d), F.lit(0))
         return F.when(total + apart == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
 
-    found = F.coalesce("found", F.array().cast(prints.schema["found"].dataType))
-    return base.join(differ, _ROW, "left").join(prints, _ROW, "left").withColumn("found", found).select(
-        "id", "n_chars", "edited_sha256", _sketch_text(cells, 0, "found").alias("fingerprint"), _sketch_text(cells, 1, "found").alias("edited_fingerprint"),
+    return base.join(differ, _ROW, "left").join(prints, _ROW, "left").select(
+        "id", "n_chars", "edited_sha256", _sketch_text(cells, "found_0").alias("fingerprint"), _sketch_text(cells, "found_1").alias("edited_fingerprint"),
         likeness("own", "changed", "d0").alias("near_edited"), likeness("own", "following", "d1").alias("near_next"))
