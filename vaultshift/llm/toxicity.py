@@ -38,6 +38,8 @@ from vaultshift.llm.common import small_batches
 TRAIN_ROWS = 20_000
 #: Bytes of a word's beginning, weight of the priors in words.
 BEGINNING, PRIOR = 5, 2.0
+#: A word that toxic texts use less often has no score of its own.
+LEAST_USES = 2
 _SHARD_BYTES = 4 << 20
 COUNTS = "half int, whole boolean, key bigint, beginning bigint, before bigint, toxic bigint, clean bigint"
 
@@ -165,14 +167,16 @@ def evidence(texts: pa.Array, model: Model) -> list[tuple[float, float, int, lis
 
 def _fit(counts, halves: tuple[int, ...]) -> Model | None:
     """The model from the counts of some halves; a pandas frame of bounded training rows."""
-    c = counts[counts.half.isin(halves)]
+    def of(rows):
+        return rows.assign(toxic=sum(rows[f"toxic_{h}"] for h in halves), clean=sum(rows[f"clean_{h}"] for h in halves)).set_index("key")
+
     empty = np.zeros(0, np.uint64)
-    words = c[c.whole].groupby("key", sort=True).agg({"beginning": "first", "toxic": "sum", "clean": "sum"})
+    words, begins = of(counts[counts.whole]), of(counts[~counts.whole])
     total_t, total_c = float(words.toxic.sum()), float(words.clean.sum())
     if not total_t or not total_c:
         return None
-    odds, total_words = total_t / total_c, len(words)
-    begins = c[~c.whole].groupby("key", sort=True)[["toxic", "clean"]].sum()
+    odds, total_words, total_begins = total_t / total_c, int(words["keys"].sum()), int(begins["keys"].sum())
+    words, begins = words.drop(index=0, errors="ignore"), begins.drop(index=0, errors="ignore")
 
     def scored(t, n, share):
         a, b = t + PRIOR * share, n + PRIOR * (1 - share)
@@ -184,7 +188,7 @@ def _fit(counts, halves: tuple[int, ...]) -> Model | None:
     w_score, w_dev = scored(words.toxic.to_numpy(float), words.clean.to_numpy(float),
                             share.reindex(words.beginning).to_numpy(float))
     # Of so many scores without meaning, the greatest is about this many deviations above 0.
-    keep_w, keep_b = (z >= np.sqrt(2 * np.log(max(2, n))) for z, n in ((w_score / w_dev, total_words), (b_score / b_dev, len(begins))))
+    keep_w, keep_b = (z >= np.sqrt(2 * np.log(max(2, n))) for z, n in ((w_score / w_dev, total_words), (b_score / b_dev, total_begins)))
 
     def table(index, scores, keep):
         keys = index.to_numpy(np.int64).view(np.uint64)[keep]
@@ -227,13 +231,14 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, text:
              .select("text", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"), "y"))
     uses = (texts.mapInArrow(_count, COUNTS).groupBy("half", "whole", "key", "before")
             .agg(F.min("beginning").alias("beginning"), F.max("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    counts = (uses.groupBy("half", "whole", "key")
-              .agg(F.min("beginning").alias("beginning"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
-    # Words seen once can't be significant; their number alone matters, as part of one remainder row per half.
-    once = F.col("toxic") + F.col("clean") < 2
-    counts = (counts.groupBy("half", "whole", F.when(once, F.lit(0)).otherwise(F.col("key")).alias("key"),
-                             F.when(once, F.lit(0)).otherwise(F.col("beginning")).alias("beginning"))
-              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))).toPandas()
+    # One row per word with the counts of both halves.  Words that toxic texts hardly have can't be significant:
+    # they are one remainder row (key 0) with their sums and their number, so the driver gets few rows.
+    by_half = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}_{h}") for h in (0, 1) for c in ("toxic", "clean")]
+    words = uses.groupBy("whole", "key").agg(F.min("beginning").alias("beginning"), *by_half)
+    rare = F.col("toxic_0") + F.col("toxic_1") < LEAST_USES
+    counts = words.groupBy("whole", F.when(rare, F.lit(0)).otherwise(F.col("key")).alias("key")).agg(
+        F.min(F.when(rare, F.lit(0)).otherwise(F.col("beginning"))).alias("beginning"), F.count(F.lit(1)).alias("keys"),
+        *[F.sum(f"{c}_{h}").alias(f"{c}_{h}") for h in (0, 1) for c in ("toxic", "clean")]).toPandas()
     share = own.agg(F.avg("y")).first()[0] or 0.0
     model = _fit(counts, (0, 1))
     crossed = [_fit(counts, (1,)), _fit(counts, (0,))]  # by the half that they are to score
