@@ -92,3 +92,46 @@ def test_equal_hashes_of_different_bytes_remove_nothing(spark):
     assert result(L.remove_repeats(d)) == brute(rows)
     same = [(i, "a " * 30) for i in range(5)]
     assert result(L.remove_repeats(spark.createDataFrame(same, "doc_id long, text string"), bits=1)) == brute(same)
+
+
+def _with_passages(r, edge, words, n=60):
+    """[(id, text)] of pairs of documents that share a passage of short lines, and the passages."""
+    line = lambda k: " ".join(f"w{r.randrange(99999)}" for _ in range(k))
+    rows, passages = [], []
+    for i in range(n):
+        shared, least = [], r.randrange(*words)
+        while sum(len(x.split()) for x in shared) < least:
+            shared.append(line(r.randrange(6, 21)))
+        passages.append(shared)
+        for _ in range(2):
+            around = [[line(r.randrange(*edge)) for _ in range(r.randrange(1, 8))] for _ in range(2)]
+            rows.append((len(rows), "\n".join([*around[0], *shared, *around[1]])))
+    return rows, passages
+
+
+def _left(rows, got, passages):
+    """Of each passage, the share of words that its second document still has; the first one has it whole."""
+    kept, out = dict(got), []
+    for i, shared in enumerate(passages):
+        assert kept[2 * i] == rows[2 * i][1]
+        lines = set(kept[2 * i + 1].split("\n"))
+        assert set(rows[2 * i + 1][1].split("\n")) - set(shared) <= lines
+        out.append(sum(len(x.split()) for x in shared if x in lines) / sum(len(x.split()) for x in shared))
+    return out
+
+
+def test_passages_of_short_lines(spark):
+    """Judged without ``Chunks``: between long lines a passage goes whole, among short ones most of a longer passage does."""
+    r = random.Random(11)
+    for edge, words, untouched, left in (((25, 60), (50, 121), 0, 0), ((6, 21), (50, 121), 0.4, 0.65), ((6, 21), (95, 121), 0.15, 0.55)):
+        rows, passages = _with_passages(r, edge, words)
+        parts = _left(rows, result(L.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))), passages)
+        assert sum(x == 1 for x in parts) / len(parts) <= untouched and sum(parts) / len(parts) <= left
+
+
+def test_runs_are_cut_into_chunks_that_count():
+    r = random.Random(3)
+    for _ in range(200):
+        lines = [" ".join("ab"[r.randrange(2)] for _ in range(r.choice((0, 1, 5, 12, 20, 24)))) for _ in range(r.randrange(1, 30))]
+        if sum(len(x.split()) for x in lines) >= L.LEAST_WORDS:
+            assert all(len(c.split()) >= L.LEAST_WORDS or not c.split() for c in chunks("\n".join(lines)))

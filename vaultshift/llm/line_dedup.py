@@ -1,9 +1,12 @@
 """Removal of repeated multi-line chunks with content-defined boundaries.
 
-A text is cut into chunks of lines where its content says so: after a line whose
-rolling hash (over it and the line before) falls into one of ``ONE_IN`` classes, and
-around every line of ``LONG_LINE`` words or more, so that a long line is a chunk of its
-own.  Text that is shifted by lines before it is cut at the same places again.
+A text is cut into chunks of lines where its content says so.  A line of ``LONG_LINE``
+words or more is a chunk of its own.  The run of shorter lines between two such is cut before
+the line of the least hash that leaves ``LEAST_WORDS`` words on both sides, then before the
+next one that does so between the cuts made, until none does; lines without words
+at its edges stay apart.  So no chunk of a run that has enough words is too small to
+count, and a run is cut alike wherever it stands.  Text that is shifted by short lines before
+it is cut at the same places again once a cut is shared.
 
 Chunks of at least ``LEAST_WORDS`` words that occur more than once are candidates by
 their hashes.  Their bytes are then compared: they are grouped by the bytes themselves,
@@ -20,6 +23,8 @@ count as one place, each keeping its first occurrence; a text that is removed wh
 
 from __future__ import annotations
 
+from bisect import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +35,8 @@ from vaultshift.llm import words as W
 from vaultshift.llm.common import small_batches
 from vaultshift.session import written
 
-ONE_IN, LONG_LINE, LEAST_WORDS = 2, 25, 25
+LONG_LINE, LEAST_WORDS = 25, 25
+
 
 class Chunks:
     """Chunks of a batch of texts: byte spans, hashes and numbers of words; ``at`` has the first chunk of each text."""
@@ -54,16 +60,14 @@ class Chunks:
         line = W.hashes(body, starts, ends)
         w, _ = W.find(offsets, body, W.NONSPACE)
         words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
-        before = np.zeros(len(line), np.uint64)
-        before[1:] = np.where(last[:-1], np.uint64(0), line[:-1])
-        rolling = W.mix(line * np.uint64(0x9FB21C651E98DF25) + before)
+        total = np.concatenate(([0], np.cumsum(words)))
         long = words >= LONG_LINE
-        cut = last | long | (rolling % np.uint64(ONE_IN) == 0)
+        cut = last | long
         cut[:-1] |= long[1:]
+        self._cut_runs(cut, line, words, total)
         stop = np.flatnonzero(cut)
         first = np.concatenate(([0], stop[:-1] + 1)).astype(np.int64) if len(stop) else stop
         self.starts, self.ends = starts[first], ends[stop]
-        total = np.concatenate(([0], np.cumsum(words)))
         self.words = total[stop + 1] - total[first]
         self.lines = stop - first + 1
         self.hashes = W.hashes(body, self.starts, self.ends) >> np.uint64(64 - bits)
@@ -76,6 +80,29 @@ class Chunks:
         per_text = 1 + np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1])
         return np.repeat(np.arange(n), per_text)
 
+    @staticmethod
+    def _cut_runs(cut, line, words, total):
+        """Adds to ``cut`` (after which lines) the cuts within runs of lines."""
+        run = np.concatenate(([0], np.cumsum(cut[:-1]))) if len(cut) else np.zeros(0, np.int64)
+        said = np.flatnonzero(words > 0)
+        if not len(said):
+            return
+        new = np.flatnonzero(run[said[1:]] != run[said[:-1]])
+        first, after = said[np.concatenate(([0], new + 1))], said[np.concatenate((new, [len(said) - 1]))] + 1
+        cut[first[first > 0] - 1] = True
+        cut[after - 1] = True
+        for i in np.flatnonzero(total[after] - total[first] >= 2 * LEAST_WORDS):
+            a, b = first[i], after[i]
+            before = said[np.searchsorted(said, a): np.searchsorted(said, b)]
+            before = before[(total[before] - total[a] >= LEAST_WORDS) & (total[b] - total[before] >= LEAST_WORDS)]
+            before = before[np.argsort(line[before], kind="stable")]
+            made = [int(total[a]), int(total[b])]
+            for k, at in zip(before.tolist(), total[before].tolist()):
+                place = bisect(made, at)
+                if at - made[place - 1] >= LEAST_WORDS and made[place] - at >= LEAST_WORDS:
+                    made.insert(place, at)
+                    cut[k - 1] = True
+
     def bytes_of(self, i: int) -> bytes:
         return self.body[self.starts[i]: self.ends[i]].tobytes()
 
