@@ -105,3 +105,19 @@ def test_components_of_chains_and_hubs(spark):
     for part in (ids[:201], ids[250:380], ids[390:392]):
         assert {got[i] for i in part} == {min(part)}
     assert len(got) == 201 + 130 + 2
+
+
+def test_lone_pairs_that_share_a_frequent_phrase(spark):
+    """Shingles that begin one set of a pair only because the phrase's were moved last are still shared."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10 ** 6)}"
+    phrase = [word() for _ in range(6)]
+    rows = []
+    for _ in range(600):
+        text = [word() for _ in range(r.randrange(4, 25))]
+        at = r.randrange(len(text) + 1)
+        text = text[:at] + phrase + text[at:]
+        rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join([word(), *text] if r.random() < 0.5 else [*text, word()]))]
+    want = brute(rows)
+    assert result(N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+    assert len({c for _, _, c in want}) < 0.7 * len(want)

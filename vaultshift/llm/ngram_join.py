@@ -7,7 +7,8 @@ shingles in common are linked; the result names each document's component.
 2. Any order of shingles in which two linked sets are sorted alike puts ``k`` common
    shingles among the first ``n - ceil(PERCENT n / 100) + k`` of each.  The order is by
    hash, but shingles that many sets begin with (a bounded list) come last.  Beginnings
-   that no other set has are dropped, at first by a Bloom filter of bounded size.
+   that no other set has are dropped, at first by a Bloom filter of bounded size: it holds
+   what two sets begin with by hash, and all that any set begins with only by the final order.
 3. The rest is an inverted index.  Per shingle and size band every node is searched
    from a leader; found links are contracted to components.
 4. Nodes of other components that share enough beginnings are still to be searched.
@@ -85,9 +86,9 @@ def node_of(own: np.ndarray) -> int:
 
 
 def in_order(own: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the set in the global order, whether each place held the same shingle without the common ones)."""
+    """(the set in the global order, the place of each of its shingles by hash)."""
     if not len(common):
-        return own, np.ones(len(own), bool)
+        return own, np.arange(len(own))
     at = np.minimum(np.searchsorted(common, own), len(common) - 1)
     last = common[at] == own
     order = np.concatenate((np.flatnonzero(~last), np.flatnonzero(last)))
@@ -189,8 +190,11 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n bigint, node bigint")
 
 
-def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=None) -> DataFrame:
-    """(key, node, n) of the shingles that each set begins with; equal sets once a task."""
+def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=None, entered: bool = False) -> DataFrame:
+    """(key, node, n) of the shingles that each set begins with; equal sets once a task.
+
+    ``entered``: only those that it doesn't begin with by hash.
+    """
     def run(batches):
         last = common.value if common else np.zeros(0, np.uint64)
         filled = bloom.value if bloom else None
@@ -208,12 +212,12 @@ def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=Non
                 n_first = min(len(own), len(own) - needed(len(own), percent) + together(len(own)))
                 first, order = in_order(own, last)
                 first = first[:n_first]
+                if entered:
+                    first = first[order[:n_first] >= n_first]
                 if filled is not None:
-                    # Beginnings in plain hash order were counted; those that no set shares aren't in the filter.
-                    counted = order[:n_first] < n_first if len(last) else np.ones(n_first, bool)
                     x, y = bloom_places(first)
                     shared = (filled[x >> np.uint64(6)] >> (x & np.uint64(63)) & filled[y >> np.uint64(6)] >> (y & np.uint64(63)) & np.uint64(1)) > 0
-                    first = first[shared | ~counted]
+                    first = first[shared]
                 keys.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
                 ns.append(np.full(len(first), len(own), np.int64))
@@ -237,11 +241,16 @@ def _index(docs: DataFrame, size: int, percent: int) -> DataFrame:
             at = np.concatenate(bloom_places(b.column(0).to_numpy().view(np.uint64)))
             yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64))], ["p"])
 
-    places = counts.select("key").mapInArrow(bits, "p bigint")
+    # Counts are by hash order.  What begins a set only since the common ones come last may be counted once, or never.
+    moved = spark.sparkContext.broadcast(common)
+    known = counts.select("key")
+    if len(common):
+        known = known.unionByName(_beginnings(docs, size, percent, moved, entered=True).select("key"))
+    places = known.mapInArrow(bits, "p bigint")
     filled = places.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     bloom = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     bloom[filled["word"].to_numpy()] = filled["bits"].to_numpy().view(np.uint64)
-    told = _beginnings(docs, size, percent, spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(bloom))
+    told = _beginnings(docs, size, percent, moved, spark.sparkContext.broadcast(bloom))
     told = written(told.groupBy("key", "node").agg(F.min("n").alias("n")), "beginnings")
     shared = told.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     indexed = told.join(shared, "key")
