@@ -41,7 +41,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.ngram_components(docs)
+    """The rule is op10's: shingles of four words, 85 per cent."""
+    found = ngram_join.ngram_components(docs, size=4, percent=85)
     first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct()
     return docs.join(first, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 

@@ -60,3 +60,12 @@ def test_odd_rows_and_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_the_near_duplicate_stage_names_its_rule(spark, monkeypatch):
+    rules = []
+    own = corpus_pipeline.ngram_join.ngram_components
+    monkeypatch.setattr(corpus_pipeline.ngram_join, "ngram_components", lambda docs, **rule: rules.append(rule) or own(docs, **rule))
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (None, "x")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()) == [0, 1]
+    assert rules == [{"size": 4, "percent": 85}]
