@@ -693,7 +693,7 @@ def q_digest_check(spark, sf_dir):
     f = _fx(spark, sf_dir)
     rows = [(r.table_name, r.status == "SUCCESS" and r.digest_source == r.digest_target)
             for r in _clone_all(spark, sf_dir, "digest", edited=False)]
-    shuffled = f["lineitem"].repartition(5, "l_suppkey").sortWithinPartitions(F.desc("l_partkey"))
+    shuffled = f["lineitem"].repartition("l_suppkey").sortWithinPartitions(F.desc("l_partkey"))
     sides = {"orders": f["orders"], "orders_new": f["m_orders_new"], "lineitem": f["lineitem"],
              "lineitem_new": f["m_lineitem_new"], "lineitem_shuffled": shuffled}
     # all comparison digests in one job: a union of row hashes tagged by side
