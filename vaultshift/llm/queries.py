@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, fingerprints, langid, line_dedup, ngram_join, toxicity, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, fingerprints, hard_negatives, langid, line_dedup, ngram_join, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,25 @@ def op9_toxicity(spark, sf_dir):
 def op10_ngram_jaccard_join(spark, sf_dir):
     found = ngram_join.ngram_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+# ------------------------------------------------------------- hard negatives
+
+_HARD_LABEL = "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"
+
+
+@_query("op11_hard_negatives", f"""
+WITH e AS (SELECT vec_id, {_HARD_LABEL} AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, x.vec_id AS id, a.label = x.label AS same, CAST(list_dot_product(a.v, x.v) AS BIGINT) AS score
+  FROM e a JOIN e x ON a.vec_id % 100 = 0 AND x.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) <= 5""")
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.expr(_HARD_LABEL).alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows)
