@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, fingerprints, hard_negatives, langid, line_dedup, ngram_join, toxicity, url_filter, warc
+from vaultshift.llm import bpe, chat, decontamination, fingerprints, hard_negatives, langid, line_dedup, mixing, ngram_join, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,11 @@ def op11_hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.expr(_HARD_LABEL).alias("label"), F.col("embedding").alias("vector"))
     return hard_negatives.mine(rows)
+
+
+# --------------------------------------------------------- mixing of sources
+
+@_query("op12_source_mixing")
+def op12_source_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
+    return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
