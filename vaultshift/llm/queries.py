@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultshift.llm import bpe, chat, decontamination, fingerprints, hard_negatives, langid, line_dedup, mixing, ngram_join, toxicity, url_filter, warc
+from vaultshift.llm import bpe, chat, conversation_repair, decontamination, fingerprints, hard_negatives, langid, line_dedup, mixing, ngram_join, toxicity, url_filter, warc
 from vaultshift.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,24 @@ def op11_hard_negatives(spark, sf_dir):
 def op12_source_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
     return mixing.mix(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+# -------------------------------------------------------- conversation repair
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) after the damage; of a dropped row only its conversation is left."""
+    space = F.lit(" ")
+    said = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), space), F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.crc32(said.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    hurt = rows.select(
+        F.col("conv_id").alias("conversation"), "turn", kind.alias("kind"),
+        F.when(kind == 0, F.lit(None)).when(kind == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(kind == 0, F.lit(None)).when(kind == 1, F.lit("")).when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"))
+    return hurt.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+
+
+@_query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.audits(damaged(rows)).withColumnRenamed("conversation", "conv_id")
