@@ -121,3 +121,25 @@ def test_lone_pairs_that_share_a_frequent_phrase(spark):
     want = brute(rows)
     assert result(N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"))) == want
     assert len({c for _, _, c in want}) < 0.7 * len(want)
+
+
+def test_links_within_a_family_of_near_copies_are_linear(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    n = 2000
+    rows = []
+    for d in range(n):
+        words = list(base)
+        words[rnd.randrange(120)] = f"own{d}"  # every copy is a set of its own, linked with nearly all others
+        rows.append((d, " ".join(words)))
+    found, links = N._hot_links, []
+
+    def counted(*args):
+        out = found(*args)
+        links.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "_hot_links", counted)
+    got = result(N.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {c for _, _, c in got} == {0} and len(got) == n
+    assert sum(links) < 2 * n

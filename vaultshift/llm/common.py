@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of an Arrow batch that goes to a Python worker.  Texts may be long, so few rows.
@@ -17,5 +22,25 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def frugal(run: Callable, forget: Callable | None = None) -> Callable:
+    """``run``, a function of batches, that gives memory back when its task ends.
+
+    Workers live on between tasks and stages; what one keeps, the next stage on its executor lacks.
+    ``forget`` drops the tables that ``run`` keeps in its module.
+    """
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

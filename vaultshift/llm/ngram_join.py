@@ -13,7 +13,10 @@ shingles in common are linked; the result names each document's component.
    from a leader; found links are contracted to components.
 4. Nodes of other components that share enough beginnings are still to be searched.
    Where few nodes have a shingle these are pairs.  Nodes with enough shingles that
-   many have form families, cut into blocks of nodes of like size, and blocks are searched from blocks.
+   many have form families, cut into blocks of nodes of like size, and blocks are searched from blocks:
+   each from itself, then from the next, then from all, with contraction between.  Blocks that have become one component
+   are not searched, and a search joins components as it goes, so a family of copies gives links in
+   proportion to its nodes.
 
 A search is a T-occurrence query (DivideSkip): the inverted lists, over a block of
 candidate sets, of the query's shingles; the short lists are merged on a heap that skips,
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultshift.llm import words as W
-from vaultshift.llm.common import partitions, small_batches
+from vaultshift.llm.common import frugal, partitions, small_batches
 from vaultshift.llm.components import components
 from vaultshift.session import written
 
@@ -187,7 +190,7 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["id", "n", "node"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, n bigint, node bigint")
+    return docs.mapInArrow(frugal(run), f"id {docs.schema[0].dataType.simpleString()}, n bigint, node bigint")
 
 
 def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=None, entered: bool = False) -> DataFrame:
@@ -224,7 +227,7 @@ def _beginnings(docs: DataFrame, size: int, percent: int, common=None, bloom=Non
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes, ns)], ["key", "node", "n"])
 
-    return docs.mapInArrow(run, "key bigint, node bigint, n bigint")
+    return docs.mapInArrow(frugal(run), "key bigint, node bigint, n bigint")
 
 
 def _index(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -301,7 +304,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         if out:
             yield _pairs(out)
 
-    return written(rows.mapInArrow(run, "a bigint, b bigint"), "found")
+    return written(rows.mapInArrow(frugal(run), "a bigint, b bigint"), "found")
 
 
 def _led(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -343,8 +346,12 @@ def _cold_pairs(index: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 F.col("shared") >= F.floor(F.col("n") / 16) + 1).select("q", "node")
 
 
-def _hot_links(index: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among nodes with enough hot keys: families of shared hot keys, in blocks of like size, block against block."""
+def _families(index: DataFrame, known: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Families of nodes that share hot keys, in blocks of like size, and which blocks are searched from which.
+
+    Returns members (node, family, band, block) and meetings (family, band, block, band_b, block_b, turn).  Turn 0
+    is a block and itself, turn 1 a block and the next one of its size or the first one of another, turn 2 all others.
+    """
     rows = index.join(_often(index), "key")
     enough = rows.groupBy("node", "n").agg(F.count(F.lit(1)).alias("hots")).where(F.col("hots") >= F.floor(F.col("n") / 16) + 1)
     rows = written(rows.join(enough.select("node"), "node").select("key", "node"), "hot")
@@ -357,19 +364,34 @@ def _hot_links(index: DataFrame, known: DataFrame, sets: DataFrame, percent: int
     member = member.join(open_, "family")
     size = member.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
     member = written(member.join(size, ["family", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                     .select("node", "family", "band", "block", "component"), "members")
+                     .select("node", "family", "band", "block"), "members")
     # Blocks of bands that links can join; the bands of a link are at most REACH apart.
     reach = int(np.floor(np.log(percent / 100) / np.log(BAND))) + 1
     blocks = size.select("family", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     upper = blocks.select("family", F.col("band").alias("band_b"), F.col("block").alias("block_b"))
     against = blocks.withColumn("band_b", F.explode(F.sequence(F.col("band"), F.col("band") + reach))).join(upper, ["family", "band_b"]).where(
         (F.col("band_b") > F.col("band")) | (F.col("block_b") >= F.col("block")))
-    against = written(against.withColumn("task", F.xxhash64("family", "band", "block", "band_b", "block_b")), "against")
-    full = member.join(sets, "node")
+    like, gap = F.col("band_b") == F.col("band"), F.col("block_b") - F.col("block")
+    turn = F.when(like & (gap == 0), 0).when((like & (gap == 1)) | (~like & (F.col("block") == 0) & (F.col("block_b") == 0)), 1).otherwise(2)
+    return member, written(against.withColumn("turn", turn), "against")
+
+
+def _hot_links(member: DataFrame, against: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that the meetings ``against`` find between nodes of different components.
+
+    Blocks that are of one component with each other are not searched.  A meeting
+    contracts as it goes, so it returns fewer links than its two blocks have components.
+    """
+    here = member.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = here.groupBy("family", "band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    of_b = of.select("family", F.col("band").alias("band_b"), F.col("block").alias("block_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    against = against.join(of, ["family", "band", "block"]).join(of_b, ["family", "band_b", "block_b"]).where(
+        F.least("lo", "lo_b") != F.greatest("hi", "hi_b")).withColumn("task", F.xxhash64("family", "band", "block", "band_b", "block_b"))
+    full = here.join(sets, "node")
     left = against.select("family", "band", "block", "task", F.lit(0).alias("kind"))
     right = against.select("family", F.col("band_b").alias("band"), F.col("block_b").alias("block"), "task", F.lit(1).alias("kind"))
     rows = (left.unionByName(right).join(full, ["family", "band", "block"]).select("task", "kind", "node", "component", "own")
-            .repartition(partitions(index.sparkSession), "task").sortWithinPartitions("task", "kind"))
+            .repartition(partitions(member.sparkSession), "task").sortWithinPartitions("task", "kind"))
 
     def run(batches):
         here, sides = None, None
@@ -377,8 +399,16 @@ def _hot_links(index: DataFrame, known: DataFrame, sets: DataFrame, percent: int
         def links() -> list[tuple[int, int]]:
             if here is None or not sides[1][0]:
                 return []
-            lists, nodes, parts = Lists(sides[1][2]), np.array(sides[1][0]), np.array(sides[1][1])
-            return [(q, int(nodes[k])) for q, c, own in zip(*sides[0]) for k in lists.search(own, percent, (parts != c) & (nodes != q))]
+            lists, nodes = Lists(sides[1][2]), np.array(sides[1][0])
+            mine, theirs = np.array(sides[0][1]), np.array(sides[1][1])
+            out = []
+            for i, (q, own) in enumerate(zip(sides[0][0], sides[0][2])):
+                for k in lists.search(own, percent, (theirs != mine[i]) & (nodes != q)):
+                    if theirs[k] != mine[i]:
+                        out.append((q, int(nodes[k])))
+                        gone = theirs[k]
+                        mine[mine == gone], theirs[theirs == gone] = mine[i], mine[i]
+            return out
 
         for b in batches:
             task, kind, node, component = (b.column(i).to_numpy() for i in range(4))
@@ -397,7 +427,18 @@ def _hot_links(index: DataFrame, known: DataFrame, sets: DataFrame, percent: int
         if out := links():
             yield _pairs(out)
 
-    return written(rows.mapInArrow(run, "a bigint, b bigint"), "found")
+    return written(rows.mapInArrow(frugal(run), "a bigint, b bigint"), "found")
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (node, component) after ``links``, which are contracted as links of components."""
+    of = known.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    of_b = known.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    ends = links.join(of, "a", "left").join(of_b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    root = components(ends).select(F.col("node").alias("component"), F.col("component").alias("root"))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known, "node", "left_anti")
+    whole = known.unionByName(new.select("node", F.col("node").alias("component")))
+    return written(whole.join(root, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "known")
 
 
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -420,15 +461,16 @@ def ngram_components(docs: DataFrame, text: str = "text", key: str = "doc_id", s
             same = [i for i, (s, n) in enumerate(zip(sets, b.column(0).to_pylist())) if node_of(s) == n]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(same, pa.int64())), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["node", "own"])
 
-    sets = own.join(wanted, "id").select("node", "text").mapInArrow(run, "node bigint, own array<bigint>").dropDuplicates(["node"])
+    sets = own.join(wanted, "id").select("node", "text").mapInArrow(frugal(run), "node bigint, own array<bigint>").dropDuplicates(["node"])
     sets = written(sets, "sets")
-    links = spark.createDataFrame([], "a bigint, b bigint")
     known = spark.createDataFrame([], "node bigint, component bigint")
-    for step in (lambda: _verified(_led(index, known, percent), sets, percent),
-                 lambda: _hot_links(index, known, sets, percent),
-                 lambda: _verified(_cold_pairs(index, known, percent), sets, percent)):
-        links = links.unionByName(step())
-        known = components(links)
+    known = _joined(known, _verified(_led(index, known, percent), sets, percent))
+    member, against = _families(index, known, percent)
+    for turn in range(3):
+        now = against.where(F.col("turn") == turn)
+        if not now.isEmpty():
+            known = _joined(known, _hot_links(member, now, known, sets, percent))
+    known = _joined(known, _verified(_cold_pairs(index, known, percent), sets, percent))
     named = nodes.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = written(named.where("node is not null and id is not null").groupBy("component").agg(F.min("id").alias("component_id")), "named")
     alone = F.col("node").isNull()
