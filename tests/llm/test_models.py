@@ -101,3 +101,15 @@ def test_all_maximal_segments(values):
     at = np.array([i for i, v in enumerate(values) if v is not None], np.int64)
     got = X.segments(at, np.array([full[i] for i in at]), len(full), other)
     assert [(round(s, 6), a, b) for s, a, b in got] == rec(0, len(full))
+
+
+def test_the_scan_is_linear():
+    import time
+
+    def seconds(n):
+        score, began = np.tile([1.0, -1.0, -1.0], n), time.perf_counter()
+        assert len(X.segments(np.arange(3 * n), score, 3 * n, -0.5)) == n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(80_000) for _ in range(3)) < 30 * min(seconds(8_000) for _ in range(3))  # quadratic: a hundred times

@@ -11,9 +11,10 @@ it emits the tokens on which all live readings agree.
 Decoding is a transducer over token ids whose state is the unfinished UTF-8
 character (at most three bytes); it, too, is compiled as it is needed.
 
-Tables and memoised pieces live in the Python worker, in at most
-``STATES`` neighbours and twice ``PIECES`` pieces; a full table is started anew, which
-changes no result.
+Tables and memoised pieces live in the Python worker while a task runs.  The ranks and what is compiled
+from them (nodes, steps, ends, halves) are bounded by the vocabulary; besides there are at most ``STATES`` neighbours
+and decoder steps each, and twice ``PIECES`` pieces of at most 64 characters.  A full table is started anew, which
+changes no result; with the task's end all of them go.
 
 Defined cases: a null text counts as empty and has no tokens; equal texts have
 equal tokens; the other columns of a row, whatever their names, are passed on.
@@ -31,9 +32,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vaultshift.llm.common import small_batches
+from vaultshift.llm.common import frugal, small_batches
 
-STATES, PIECES = 1 << 19, 1 << 18
+STATES, PIECES = 1 << 17, 1 << 16
 #: Bytes of a piece that are read before tokens are emitted; the last tokens of so many prefixes are kept.
 AHEAD = 512
 
@@ -271,6 +272,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+def forget() -> None:
+    codec.cache_clear()
+    load_ranks.cache_clear()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of ``text`` in ``ids`` (array<int>), which replaces a column of that name."""
     small_batches(docs.sparkSession)
@@ -284,7 +290,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             lists = [c.encode(t.as_py() or "") for t in texts]
             yield _with(b, ids, pa.array(lists, pa.list_(pa.int32())))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run, forget), schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -299,7 +305,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", text: str
             lists = b.column(b.schema.get_field_index(ids))
             yield _with(b, text, pa.array([c.decoder.decode(x.as_py() or []) for x in lists], pa.string()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run, forget), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = None) -> DataFrame:
@@ -333,7 +339,7 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*rest, *added]])
 
-    return docs.mapInArrow(run, T.StructType([*rest, *added]))
+    return docs.mapInArrow(frugal(run, forget), T.StructType([*rest, *added]))
 
 
 def _with(b: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultshift.llm import words as W
-from vaultshift.llm.common import small_batches
+from vaultshift.llm.common import frugal, small_batches
 from vaultshift.session import written
 
 WINDOW = 13
@@ -251,7 +251,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
         if b:
             state = written(state, "contamination")
-        state = state.mapInArrow(run, schema)
+        state = state.mapInArrow(frugal(run), schema)
     return state
 
 

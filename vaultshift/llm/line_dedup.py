@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultshift.llm import words as W
-from vaultshift.llm.common import small_batches
+from vaultshift.llm.common import frugal, small_batches
 from vaultshift.session import written
 
 LONG_LINE, LEAST_WORDS = 25, 25
@@ -116,7 +116,7 @@ def _hashes(docs: DataFrame, bits: int) -> DataFrame:
             keep = np.flatnonzero(c.repeats)
             yield pa.RecordBatch.from_arrays([pa.array(c.hashes[keep].view(np.int64)), b.column(0).take(pa.array(text[keep]))], ["hash", "id"])
 
-    return docs.mapInArrow(run, f"hash bigint, id {docs.schema[0].dataType.simpleString()}")
+    return docs.mapInArrow(frugal(run), f"hash bigint, id {docs.schema[0].dataType.simpleString()}")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 64) -> DataFrame:
@@ -200,4 +200,4 @@ def _kept(placed: DataFrame, schema: T.StructType, text: str, key: str, bits: in
             struct = pa.struct([(x, pa.int64()) for x in ("lines", "chunks", "removed_chunks", "removed_words")])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(notes, struct)], [f.name for f in out.fields])
 
-    return placed.mapInArrow(run, out)
+    return placed.mapInArrow(frugal(run), out)

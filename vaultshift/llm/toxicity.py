@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultshift.llm import words as W
-from vaultshift.llm.common import small_batches
+from vaultshift.llm.common import frugal, small_batches
 
 TRAIN_ROWS = 20_000
 #: Bytes of a word's beginning, weight of the priors in words.
@@ -125,9 +125,11 @@ def segments(at: np.ndarray, score: np.ndarray, n: int, other: float) -> list[tu
     """All maximal segments (score, start, end) of n words that score ``other`` but where ``at`` says ``score``.
 
     One run from left to right over the words of the model; a stretch of other words is one step.  Each open
-    segment keeps the sums before and after it; a new one swallows those that it can't do without.
+    segment keeps the sums before and after it and the nearest segment before it whose sum before is less; a new
+    one swallows those that it can't do without.  A search follows these links, and what it passes
+    over no later one meets, so the run is linear.
     """
-    kept: list[list] = []  # [sum before, sum after, start, end]
+    kept: list[list] = []  # [sum before, sum after, start, end, nearest with a lesser sum before]
     total, last = 0.0, 0
     for p, s in zip(at.tolist(), score.tolist()):
         total += (p - last) * other
@@ -135,17 +137,17 @@ def segments(at: np.ndarray, score: np.ndarray, n: int, other: float) -> list[tu
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [before, total, p, p + 1]
+        start, j = p, len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
-                kept.append(new)
+            while j >= 0 and kept[j][0] >= before:
+                j = kept[j][4]
+            if j < 0 or kept[j][1] >= total:
+                kept.append([before, total, start, last, j])
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            before, _, start, _, link = kept[j]
             del kept[j:]
-    return [(b - a, start, end) for a, b, start, end in kept]
+            j = link
+    return [(b - a, start, end) for a, b, start, end, _ in kept]
 
 
 def evidence(texts: pa.Array, model: Model) -> list[tuple[float, float, int, list]]:
@@ -229,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, text:
     texts = (docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"))
              .join(F.broadcast(own), "k")  # at most ``rows`` rows
              .select("text", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"), "y"))
-    uses = (texts.mapInArrow(_count, COUNTS).groupBy("half", "whole", "key", "before")
+    uses = (texts.mapInArrow(frugal(_count), COUNTS).groupBy("half", "whole", "key", "before")
             .agg(F.min("beginning").alias("beginning"), F.max("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     # One row per word with the counts of both halves.  Words that toxic texts hardly have can't be significant:
     # they are one remainder row (key 0) with their sums and their number, so the driver gets few rows.
@@ -255,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column | None = None, text:
                 [pa.array([float(x[1]) for x in out]), pa.array([x[2] for x in out], pa.int64()), b.column(2).cast(pa.int32()),
                  pa.array([[float(s[0]) for s in x[3]] for x in out], pa.list_(pa.float64()))], ["best", "n", "y", "segments"])
 
-    seen = texts.mapInArrow(held_in, "best double, n bigint, y int, segments array<double>").toPandas()
+    seen = texts.mapInArrow(frugal(held_in), "best double, n bigint, y int, segments array<double>").toPandas()
     clean = seen[(seen.y == 0) & (seen.n > 0)]
     k = len(clean) / float((clean.n * np.exp(-clean.best)).sum()) if len(clean) else 1.0
     for m in (model, *crossed):
@@ -292,7 +294,7 @@ def score(docs: DataFrame, model: Model | None, share: float, text: str = "text"
                 [("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))]))
             yield pa.RecordBatch.from_arrays([*kept, column], [*(f.name for f in rest), "toxicity"])
 
-    return docs.mapInArrow(run, T.StructType([*rest, T.StructField("toxicity", T._parse_datatype_string(kind))]))
+    return docs.mapInArrow(frugal(run), T.StructType([*rest, T.StructField("toxicity", T._parse_datatype_string(kind))]))
 
 
 def in_fold(key: Column, folds: int, fold: int) -> Column:
