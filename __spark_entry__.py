@@ -925,6 +925,30 @@ def q_file_check_edited(spark, sf_dir):
     return fl.file_check(source, target)
 
 
+from vaultshift.operators import snapshot as sn  # noqa: E402
+
+_SNAP_LANG = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN NULL ELSE lang END"
+
+
+@_register("clone_snapshot", f"""
+SELECT lang, source, count(*) AS rows, CAST(sum(doc_id) AS BIGINT) AS ids, CAST(sum(octet_length(encode(coalesce(text, '')))) AS BIGINT) AS bytes,
+  true AS files_equal, 'gold' AS quality
+FROM (SELECT doc_id, text, source, {_SNAP_LANG} AS lang FROM documents) d GROUP BY lang, source""")
+def q_clone_snapshot(spark, sf_dir):
+    """``documents`` as a snapshot table by language (empty and null ones too) and source, cloned file by file and read back."""
+    from pyspark.sql import functions as F
+
+    from vaultshift.session import fresh_dir
+
+    src, dst = fresh_dir(spark, "snapshot"), fresh_dir(spark, "snapshot-clone")
+    docs = _fx(spark, sf_dir)["documents"].withColumn("lang", F.expr(_SNAP_LANG))
+    sn.write_table(docs, src, ("lang", "source"), {"quality": "gold"})
+    equal = sn.clone_snapshot(spark, src, dst).where("status <> 'COPIED'").isEmpty()
+    return sn.read_table(spark, dst).groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("doc_id").alias("ids"), F.sum(F.octet_length(F.coalesce("text", F.lit("")))).cast("bigint").alias("bytes")
+    ).withColumn("files_equal", F.lit(equal)).withColumn("quality", F.lit(sn.properties_of(spark, dst)["quality"]))
+
+
 # ---------------------------------------------------------------- views, publish
 
 from vaultshift.operators import publish as pub  # noqa: E402
@@ -1004,6 +1028,49 @@ def q_publish_resolve(spark, sf_dir):
     return pub.resolve(_fx(spark, sf_dir)["m_pointers"])
 
 
+@_register("publish_swap", """
+WITH cur AS (SELECT name, max(version) AS v, arg_max(target, version) AS t FROM m_pointers GROUP BY name)
+SELECT name, v + 1 AS version, 'new_' || name AS target FROM cur UNION ALL SELECT name || '_bkp', v + 1, t FROM cur""")
+def q_publish_swap(spark, sf_dir):
+    """All names swapped by two writers at the same time, each half of them in one commit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import functions as F
+
+    from vaultshift.session import fresh_dir
+
+    path = fresh_dir(spark, "pointers")
+    base = _fx(spark, sf_dir)["m_pointers"]
+    pub.create_pointers(spark, path, base)
+    names = base.select("name").distinct().withColumn("target", F.concat(F.lit("new_"), "name"))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda k: pub.publish_swaps(spark, path, names.where(F.pmod(F.xxhash64("name"), F.lit(2)) == k)), (0, 1)))
+    return pub.resolve(pub.read_pointers(spark, path))
+
+
+_LOG_TABLE_COLUMNS = "batch_id, catalog_name, phase, object_type, object_name, status, message, duration_seconds"
+
+
+@_register("log_table", f"SELECT {_LOG_TABLE_COLUMNS} FROM m_log")
+def q_log_table(spark, sf_dir):
+    """The log appended batch by batch, small appends merged, and read back by its name in the catalog."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from vaultshift.session import fresh_dir
+
+    log, rows = alog.LogTable(spark, fresh_dir(spark, "log-table"), folders=4), _fx(spark, sf_dir)["m_log"]
+    for batch in ("b0", "b1", "b2", "b3"):
+        for catalog in ("prod", "dev"):
+            log.append(rows.where((F.col("batch_id") == batch) & (F.col("catalog_name") == catalog)))
+    name = f"migration_log_{uuid.uuid4().hex[:12]}"
+    log.register(name)
+    out = spark.table(name).select(*_LOG_TABLE_COLUMNS.split(", "))
+    spark.sql(f"DROP VIEW {name}")  # the frame has been resolved
+    return out
+
+
 # ---------------------------------------------------------------- preflight
 
 from vaultshift.operators import preflight as pf  # noqa: E402

@@ -181,7 +181,7 @@ def test_audit_log_append_and_not_null(spark):
 
 def test_publish_swap_single_pointer_change(spark):
     path = fresh_dir(spark, "t-pointers")
-    spark.createDataFrame([("cat", 1, "loc_old")], publish.POINTER_SCHEMA).write.parquet(path)
+    publish.create_pointers(spark, path, spark.createDataFrame([("cat", 1, "loc_old")], publish.POINTER_SCHEMA))
     publish.publish_swap(spark, path, "cat", "loc_new")
     cur = {r["name"]: (r["version"], r["target"]) for r in publish.resolve(publish.read_pointers(spark, path)).collect()}
     assert cur == {"cat": (2, "loc_new"), "cat_bkp": (2, "loc_old")}

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultshift.sources.commits import CommittedTable
+
 LOG_SCHEMA = T.StructType([
     T.StructField("batch_id", T.StringType(), False),
     T.StructField("catalog_name", T.StringType(), False),
@@ -106,6 +108,42 @@ class AuditLog:
         self.spark.sql(f"MSCK REPAIR TABLE {table}")
 
 
+class LogTable(AuditLog):
+    """An audit log behind a commit log, readable by name.
+
+    Appends of steps at the same time commit one after the other.  Many small appends don't
+    stay many files: beyond ``folders`` live folders they are merged into one.  ``register`` makes a view of
+    the live folders and refreshes it with every append; readers see whole commits.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, folders: int = 8):
+        super().__init__(spark, path)
+        self.table = CommittedTable(spark, self.path, T.StructType([T.StructField(f.name, f.dataType) for f in LOG_SCHEMA.fields]), ("catalog_name",))
+        self.folders, self.name = folders, None
+
+    def append(self, rows: DataFrame, max_records_per_file: int = 1_000_000) -> None:
+        self.table.append(_checked(rows).sortWithinPartitions("batch_id", "logged_at"))
+        self.table.compact(self.folders)
+        if self.name:
+            self.register(self.name)
+
+    def read(self) -> DataFrame:
+        return self.table.read().select(*LOG_COLUMNS)
+
+    def read_or_empty(self) -> DataFrame:
+        return self.read()
+
+    def register(self, table: str, comment: str = LOG_COMMENT) -> None:
+        """Makes or renews the view ``table`` over the live folders."""
+        cols = ", ".join(LOG_COLUMNS)
+        live = self.table.log.state()["live"]
+        if not live:
+            raise ValueError(f"{self.path}: nothing is committed yet")
+        parts = " UNION ALL ".join(f"SELECT {cols} FROM parquet.`{self.path}/{x}`" for x in live)
+        self.spark.sql(f"CREATE OR REPLACE VIEW {table} COMMENT '{comment}' AS {parts}")
+        self.name = table
+
+
 # ---- readers (the useful queries of the log) ---------------------------------
 
 def _batch(log: DataFrame, batch_id: str) -> DataFrame:
