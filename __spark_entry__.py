@@ -800,6 +800,29 @@ def q_row_diff_multiset(spark, sf_dir):
     return val.row_diff_multiset(f["lineitem"], f["m_lineitem_new"])
 
 
+from vaultshift.operators import reconcile as rec  # noqa: E402
+
+
+@_register("row_diff_ranges", f"""
+WITH u AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS k, o.o_orderkey IS NOT NULL AS in_o, n.o_orderkey IS NOT NULL AS in_n,
+    o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR NOT ({' AND '.join(f'o.{c} IS NOT DISTINCT FROM n.{c}' for c in _ORDER_COLS)}) AS d
+  FROM orders o FULL JOIN m_orders_new n ON o.o_orderkey = n.o_orderkey),
+b AS (SELECT min(k) AS low, max(k) AS high FROM u),
+top AS (SELECT min(i) AS top FROM range(0, 11) t(i), b WHERE CAST(pow({rec.FAN}, i) AS BIGINT) >= high - low + 1),
+lv AS (SELECT CAST(i AS INTEGER) AS level, CAST(pow({rec.FAN}, top - i) AS BIGINT) AS w FROM range(0, 11) t(i), top WHERE i <= top),
+r AS (SELECT level, w, low + ((k - low) // w) * w AS lo, least(low + ((k - low) // w) * w + w - 1, any_value(high)) AS hi, count_if(in_o) AS rows_original,
+    count_if(in_n) AS rows_new, bool_or(d) AS differs, count_if(d AND in_o) AS n_removed, count_if(d AND in_n) AS n_added
+  FROM u, b, lv GROUP BY level, w, low, (k - low) // w)
+SELECT r.level, r.lo, r.hi, r.rows_original, r.rows_new, r.differs,
+  CASE WHEN r.differs AND (greatest(r.rows_original, r.rows_new) <= {rec.LEAF} OR r.w = 1) THEN r.n_removed END AS removed,
+  CASE WHEN r.differs AND (greatest(r.rows_original, r.rows_new) <= {rec.LEAF} OR r.w = 1) THEN r.n_added END AS added
+FROM r, b LEFT JOIN r p ON p.level = r.level - 1 AND p.lo = low + ((r.lo - low) // p.w) * p.w
+WHERE r.level = 0 OR (p.differs AND greatest(p.rows_original, p.rows_new) > {rec.LEAF})""")
+def q_row_diff_ranges(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return rec.row_diff_ranges(f["orders"], f["m_orders_new"], ["o_orderkey"])
+
+
 _TABLE_LIST = ", ".join(f"'{t}'" for t in BASE_TABLES)
 
 
