@@ -948,6 +948,30 @@ def q_file_check_edited(spark, sf_dir):
     return fl.file_check(source, target)
 
 
+from vaultshift.operators import ranges as rg  # noqa: E402
+
+_RANGE, _LEAF = 4096, 1024  # texts are small files; so a long one is many ranges here
+
+
+@_register("file_copy_ranges", f"""
+SELECT path, bytes, greatest(1, CAST(ceil(bytes / {_RANGE}) AS BIGINT)) AS ranges, 'COPIED' AS status,
+  sha256(coalesce(array_to_string(list_transform(range(0, CAST(ceil(bytes / {_LEAF}) AS BIGINT)),
+    lambda i: sha256(from_hex(substr(h, CAST(i * {2 * _LEAF} + 1 AS BIGINT), {2 * _LEAF})))), ''), '')) AS tree_sha2, true AS equal
+FROM (SELECT {_DOC_PATH_SQL} AS path, octet_length(encode(coalesce(text, ''))) AS bytes, hex(encode(coalesce(text, ''))) AS h FROM documents) d""")
+def q_file_copy_ranges(spark, sf_dir):
+    """The volume copied by byte ranges, then both sides' digests read again."""
+    from pyspark.sql import functions as F
+
+    from vaultshift.session import fresh_dir
+
+    src, dst = _volume(spark, sf_dir), fresh_dir(spark, "volume-ranges")
+    copied = rg.copy_ranges(spark, fl.snapshot_manifest(spark, src, fresh_dir(spark, "manifest")), src, dst, _RANGE, _LEAF)
+    back = rg.digest_ranges(copied.select(F.col("target").alias("path"), "bytes"), dst, 2 * _RANGE, _LEAF).select(
+        F.col("path").alias("target"), F.col("tree_sha2").alias("back"))
+    return copied.join(back, "target", "left").select(
+        "path", "bytes", "ranges", "status", "tree_sha2", F.col("tree_sha2").eqNullSafe(F.col("back")).alias("equal"))
+
+
 from vaultshift.operators import snapshot as sn  # noqa: E402
 
 _SNAP_LANG = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN NULL ELSE lang END"
@@ -1238,7 +1262,7 @@ def _setup_of(name: str):
     """What a query finds ready in this session: a filled log, a laid-out volume, finished copies."""
     if name.startswith("log_") and name != "log_append":
         return _log
-    if name in ("file_manifest", "file_copy", "file_check_edited"):
+    if name in ("file_manifest", "file_copy", "file_copy_ranges", "file_check_edited"):
         return _volume
     if name == "file_check":
         return _copy
