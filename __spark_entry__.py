@@ -841,15 +841,23 @@ UNION ALL SELECT table_name, column_name, 'added_in_new' FROM j WHERE o_pos IS N
 UNION ALL SELECT table_name, column_name, 'type_changed' FROM j WHERE o_pos IS NOT NULL AND n_pos IS NOT NULL AND lower(o_type) <> lower(n_type)
 UNION ALL SELECT table_name, column_name, 'position_changed' FROM j WHERE o_pos IS NOT NULL AND n_pos IS NOT NULL AND o_pos <> n_pos""")
 def q_schema_diff(spark, sf_dir):
+    """Both sides by the footers of their files: the copies of all tables, and the same with three tables changed."""
     from pyspark.sql import functions as F
 
+    from vaultshift.session import fresh_dir
+    from vaultshift.sources import footers as ft
+
     f = _fx(spark, sf_dir)
-    orig = {t: f[t] for t in BASE_TABLES}
-    new = dict(orig)
-    new["orders"] = orig["orders"].withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)"))
-    new["lineitem"] = orig["lineitem"].drop("l_tax")
-    new["customer"] = orig["customer"].withColumnRenamed("c_acctbal", "c_balance")
-    return val.schema_diff(val.columns_of(spark, orig), val.columns_of(spark, new))
+    orig = _clone_all(spark, sf_dir, "clone", edited=False)
+    root = orig[0].target.rsplit("/", 1)[0]
+    changed = fresh_dir(spark, "schemas-new")
+    f["orders"].withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)")).write.parquet(f"{changed}/orders")
+    f["lineitem"].drop("l_tax").write.parquet(f"{changed}/lineitem")
+    f["customer"].withColumnRenamed("c_acctbal", "c_balance").write.parquet(f"{changed}/customer")
+    old = ft.footers(ft.table_files(spark, root), root)
+    same = old.where(~F.col("table_name").isin("orders", "lineitem", "customer"))
+    new = same.unionByName(ft.footers(ft.table_files(spark, changed), changed))
+    return val.schema_diff(ft.columns_of(old.where("depth = 0")), ft.columns_of(new.where("depth = 0")))
 
 
 # ---------------------------------------------------------------- volumes (files)
@@ -1266,7 +1274,7 @@ def _setup_of(name: str):
         return _volume
     if name == "file_check":
         return _copy
-    if name == "digest_check":
+    if name in ("digest_check", "schema_diff"):
         return lambda spark, sf_dir: _clone_all(spark, sf_dir, "clone", edited=False)
     if name in ("rowcount_check", "validation_verdict"):
         return _new_side
