@@ -272,6 +272,21 @@ def q_log_durations(spark, sf_dir):
     return alog.durations(_log(spark, sf_dir), BATCH)
 
 
+@_register("log_percentiles", """
+SELECT phase, q, count(duration_seconds) AS n, list_sort(list(duration_seconds))[CAST(greatest(1, ceil(q * count(duration_seconds))) AS BIGINT)] AS value
+FROM (SELECT CASE WHEN phase = 'tables' THEN 'tables' ELSE 'others' END AS phase, duration_seconds FROM m_log) l,
+  (SELECT CAST(unnest([0.5, 0.9, 0.99, 1.0]) AS DOUBLE) AS q) t
+GROUP BY phase, q""")
+def q_log_percentiles(spark, sf_dir):
+    """One phase holds most rows."""
+    from pyspark.sql import functions as F
+
+    from vaultshift.operators import quantiles
+
+    log = _fx(spark, sf_dir)["m_log"].select(F.when(F.col("phase") == "tables", "tables").otherwise("others").alias("phase"), "duration_seconds")
+    return quantiles.exact_percentiles(log, ["phase"], "duration_seconds", [0.5, 0.9, 0.99, 1.0])
+
+
 @_register("log_append", "SELECT * FROM m_log")
 def q_log_append(spark, sf_dir):
     from vaultshift.session import fresh_dir
@@ -601,6 +616,24 @@ def q_admin_check(spark, sf_dir):
     return acc.admin_check(f["m_grants"], f["m_memberships"], ADMIN_OWNER)
 
 
+@_register("inherited_privileges", f"""
+WITH RECURSIVE
+e AS (SELECT DISTINCT principal, group_name FROM m_nested_members),
+closed(principal, holder) AS (SELECT principal, group_name FROM e UNION SELECT c.principal, e.group_name FROM closed c JOIN e ON e.principal = c.holder),
+a AS (SELECT DISTINCT principal, object_key FROM m_asked),
+up AS (SELECT principal, object_key, array_to_string(string_split(object_key, '.')[1:n], '.') AS obj FROM a, range(1, 4) t(n)),
+who AS (SELECT principal, holder FROM closed UNION SELECT principal, principal FROM a),
+held AS (SELECT DISTINCT principal AS holder, object_key AS obj, upper(object_type) AS kind, {_norm('action_type')} AS action FROM m_group_grants
+  WHERE upper(action_type) NOT IN ('OWN', 'OWNERSHIP')),
+got AS (SELECT up.principal, object_key, string_agg(DISTINCT action, ', ' ORDER BY action) AS actions, count(*) AS sources
+  FROM up JOIN who ON who.principal = up.principal JOIN held ON held.holder = who.holder AND held.obj = up.obj GROUP BY up.principal, object_key)
+SELECT a.principal, a.object_key, coalesce(actions, '') AS actions, coalesce(sources, 0) AS sources
+FROM a LEFT JOIN got ON got.principal = a.principal AND got.object_key = a.object_key""")
+def q_inherited_privileges(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    return acc.inherited_privileges(f["m_asked"], f["m_group_grants"], f["m_nested_members"])
+
+
 @_register("name_collisions", """
 SELECT c.catalog,
   CASE WHEN EXISTS (SELECT 1 FROM m_catalogs x WHERE x.catalog = c.catalog || '_aux') THEN 'FAIL' ELSE 'OK' END AS aux,
@@ -1077,6 +1110,41 @@ def q_recreate_order(spark, sf_dir):
     return vw.recreate_order(vw.creation_list(f["m_tables"]), f["m_view_deps"].unionByName(f["m_view_missing"]), existing)
 
 
+from vaultshift.plans import ordering as po  # noqa: E402
+
+
+@_register("migration_plan", f"""
+WITH RECURSIVE
+rel AS (SELECT tid, table_schema, table_name, CASE cls WHEN 'managed' THEN 'TABLE' WHEN 'view' THEN 'VIEW' WHEN 'mv' THEN 'MATERIALIZED_VIEW' ELSE 'METRIC_VIEW' END AS kind
+  FROM {_CLASSIFIED} c WHERE cls IN ('managed', 'view', 'mv', 'metric_view')),
+s AS (SELECT schema_name FROM m_schemata WHERE schema_name <> 'information_schema' UNION SELECT table_schema FROM m_tables),
+n AS (SELECT 'S' || schema_name AS id, 'SCHEMA' AS kind, schema_name AS name FROM s
+  UNION ALL SELECT 'T' || tid, kind, table_schema || '.' || table_name FROM rel
+  UNION ALL SELECT 'F' || rid, 'FUNCTION', routine_schema || '.' || routine_name FROM m_routines
+  UNION ALL SELECT 'V' || volume_schema || '.' || volume_name, 'VOLUME', volume_schema || '.' || volume_name FROM m_volumes WHERE volume_type = 'MANAGED'
+  UNION ALL SELECT CASE constraint_type WHEN 'PRIMARY KEY' THEN 'P' ELSE 'K' END || table_schema || '.' || constraint_name, min(constraint_type),
+    min(table_schema || '.' || table_name || '.' || constraint_name) FROM m_table_constraints GROUP BY constraint_type, table_schema, constraint_name),
+e AS (SELECT 'T' || tid AS id, 'S' || table_schema AS dep FROM rel
+  UNION SELECT 'F' || rid, 'S' || routine_schema FROM m_routines
+  UNION SELECT 'V' || volume_schema || '.' || volume_name, 'S' || volume_schema FROM m_volumes WHERE volume_type = 'MANAGED'
+  UNION SELECT CASE constraint_type WHEN 'PRIMARY KEY' THEN 'P' ELSE 'K' END || t.table_schema || '.' || constraint_name, coalesce('T' || rel.tid, 'none')
+    FROM m_table_constraints t LEFT JOIN rel ON rel.table_schema = t.table_schema AND rel.table_name = t.table_name
+  UNION SELECT 'K' || constraint_schema || '.' || constraint_name, 'P' || unique_constraint_schema || '.' || unique_constraint_name
+    FROM m_referential_constraints WHERE unique_constraint_catalog = '{CATALOG}'
+  UNION SELECT 'T' || view_id, 'T' || dep_id FROM (SELECT * FROM m_view_deps UNION ALL SELECT * FROM m_view_missing) d WHERE view_id IN (SELECT tid FROM rel)),
+bad(id) AS (SELECT id FROM e WHERE dep NOT IN (SELECT id FROM n) UNION SELECT e.id FROM e JOIN bad ON e.dep = bad.id),
+paths(id, depth) AS (SELECT id, 0 FROM n UNION SELECT e.id, depth + 1 FROM paths p JOIN e ON e.dep = p.id)
+SELECT CAST(CASE WHEN b.id IS NULL THEN level END AS INTEGER) AS step, kind AS object_type, name AS object_name,
+  CASE WHEN b.id IS NULL THEN 'SUCCESS' ELSE 'FAILED' END AS status, CASE WHEN b.id IS NOT NULL THEN 'missing dependency' END AS reason
+FROM n JOIN (SELECT id, max(depth) AS level FROM paths GROUP BY id) l USING (id) LEFT JOIN (SELECT DISTINCT id FROM bad) b USING (id)""")
+def q_migration_plan(spark, sf_dir):
+    f = _fx(spark, sf_dir)
+    # The schemas of the fixtures' objects are numbered; those of the schema list are named.
+    named = f["m_schemata"].select("schema_name").unionByName(f["m_tables"].select(f["m_tables"]["table_schema"].alias("schema_name"))).distinct()
+    return po.migration_order(*po.objects(named, f["m_tables"], f["m_routines"], f["m_table_constraints"], f["m_referential_constraints"],
+                                          f["m_view_deps"].unionByName(f["m_view_missing"]), CATALOG, f["m_volumes"]))
+
+
 @_register("publish_resolve", """
 SELECT name, max(version) AS version, arg_max(target, version) AS target FROM m_pointers GROUP BY name""")
 def q_publish_resolve(spark, sf_dir):

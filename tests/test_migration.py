@@ -159,3 +159,23 @@ def test_whole_plan_in_order(spark):
     assert all("`prod_new`" not in r["statement"] for r in by[9] + by[10])
     assert all("`prod_new`" in r["statement"] for s in (1, 3, 4, 6) for r in by[s])
     assert {r["object_type"] for r in by[3]} == {"FUNCTION", "VOLUME"}
+
+
+def test_views_of_a_plan_come_after_what_they_read(spark):
+    from vaultshift.plans import ordering
+    from vaultshift.sources.fixtures import Fixtures
+
+    f = Fixtures(spark, "/root/testdata/sf0.001")
+    named = f["m_tables"].selectExpr("table_schema AS schema_name").distinct()
+    order = ordering.migration_order(*ordering.objects(named, f["m_tables"], f["m_routines"], f["m_table_constraints"],
+                                                       f["m_referential_constraints"], f["m_view_deps"], "prod"))
+    m = Migration(spark, "prod", auditlog.AuditLog(spark, fresh_dir(spark, "t-view-order")))
+    plan = m.plan("prod_new", f["m_schemata"], f["m_describe_kv"], f["m_tables"], f["m_routines"], f["m_parameters"], views=f["m_views"], view_order=order)
+    level = {r.object_name: r.level for r in plan.where("step = 9").collect()}
+    name = {r.tid: f"prod.{r.table_schema}.{r.table_name}" for r in f["m_tables"].collect()}
+    pairs = [(name[r.view_id], name[r.dep_id]) for r in f["m_view_deps"].collect()]
+    held = [(v, d) for v, d in pairs if v in level and d in level]
+    assert len(held) > 20 and all(level[v] > level[d] for v, d in held) and max(level.values()) > 10
+    placed = {(r.object_type, r.object_name): r for r in order.collect()}
+    assert all(r.step >= 1 for (kind, _), r in placed.items() if kind != "SCHEMA" and r.step is not None)
+    assert {r.status for (kind, _), r in placed.items() if kind == "FOREIGN KEY"} == {"SUCCESS", "FAILED"}

@@ -66,13 +66,24 @@ def test_recreate_order_cycle_fails(spark):
 
 
 def test_recreate_order_of_a_long_chain(spark):
-    n = 25
+    n = 3000  # one round a level would take an hour
     items = spark.range(n).withColumnRenamed("id", "view_id")
     deps = spark.createDataFrame([(i, i - 1) for i in range(1, n)], "view_id bigint, dep_id bigint")
     got = {r["view_id"]: r["level"] for r in views.recreate_order(items, deps, spark.createDataFrame([], "id bigint")).collect()}
     assert got == {i: i for i in range(n)}
 
 
+def test_recreate_order_of_cycles_and_what_hangs_on_them(spark):
+    odd = [(i, (i - 1) % 7) for i in range(7)]  # a cycle whose length no doubling divides
+    two = [(10, 11), (11, 10), (10, 12), (12, 10), (11, 12)]  # every view with several open edges
+    more = [(20, 3), (21, 20), (30, 31), (30, 20), (40, 41), (40, 42), (41, 43), (42, 43), (50, 50)]
+    ids = sorted({x for e in odd + two + more for x in e})
+    got = {r.view_id: r for r in views.recreate_order(spark.createDataFrame([(i,) for i in ids], "view_id bigint"), spark.createDataFrame(
+        odd + two + more, "view_id bigint, dep_id bigint"), spark.createDataFrame([], "id bigint")).collect()}
+    assert {i for i, r in got.items() if r.status == "SUCCESS"} == {31, 40, 41, 42, 43}
+    assert {got[i].reason for i in (0, 6, 10, 12, 20, 21, 30, 50)} == {views.CYCLE} and [got[i].level for i in (31, 43, 42, 41, 40)] == [0, 0, 1, 1, 2]
+
+
 def brute_match(path, locs):
     p = (path or "").rstrip("/")
     best = None

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaultshift.functions import names as N
+from vaultshift.session import written
 
 OWNERSHIP = ("OWN", "OWNERSHIP")
 
@@ -169,3 +170,49 @@ def affected_shares(share_objects: DataFrame, catalog: str) -> DataFrame:
         .select("share_name")
         .distinct()
     )
+
+
+def group_closure(memberships: DataFrame) -> DataFrame:
+    """(principal, group_name): every group that a principal is in, itself or through groups in groups.
+
+    Semi-naive: a round joins only the pairs that the round before found new, so nested groups take
+    as many rounds as they are deep, and groups in each other's circle end it.  Groups are closed first; principals that
+    nobody is a member of, mostly users, are joined once with what their groups reach.
+    """
+    edges = written(memberships.select("principal", "group_name").where("principal is not null and group_name is not null").distinct(), "members")
+    groups = edges.select(F.col("group_name").alias("principal")).distinct()
+    nested = written(edges.join(groups, "principal", "left_semi"), "nested")
+    known, fresh = nested, nested
+    step = nested.select(F.col("principal").alias("group_name"), F.col("group_name").alias("above"))
+    while not fresh.isEmpty():
+        found = fresh.join(step, "group_name").select("principal", F.col("above").alias("group_name")).distinct()
+        fresh = written(found.join(known, ["principal", "group_name"], "left_anti"), "fresh")
+        known = known.unionByName(fresh)
+    above = known.select(F.col("principal").alias("group_name"), F.col("group_name").alias("above"))
+    users = edges.join(groups, "principal", "left_anti")
+    through = users.join(above, "group_name").select("principal", F.col("above").alias("group_name"))
+    return users.unionByName(through).unionByName(known).distinct()
+
+
+def inherited_privileges(asked: DataFrame, grants: DataFrame, memberships: DataFrame) -> DataFrame:
+    """(principal, object_key, actions, sources) of the pairs ``asked`` (principal, object_key).
+
+    A privilege counts if it was granted to the principal or any group it is in, at any depth, on the object or
+    any object above it (``a``, ``a.b``, ``a.b.c``).  ``actions`` are normalised, in order, without ownership;
+    ``sources`` is the number of grants they come from.  Pairs without a privilege have empty actions and 0.
+    Each pair meets its own few parents and groups by equi-joins; a grant that all inherit is one row of them.
+    """
+    pairs = asked.select("principal", "object_key").where("principal is not null and object_key is not null").distinct()
+    parts = F.split("object_key", r"\.")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    above = pairs.select("principal", "object_key", F.explode(up).alias("on"))
+    held = drop_ownership(grants).select(F.col("principal").alias("holder"), F.col("object_key").alias("on"),
+                                         F.upper("object_type").alias("kind"), N.norm_privilege(F.col("action_type")).alias("action")).distinct()
+    # Grants on objects that somebody asks for, by group; then by who is in the group.
+    closure = group_closure(memberships)
+    self_ = pairs.select("principal").distinct().withColumn("holder", F.col("principal"))
+    who = closure.join(pairs.select("principal").distinct(), "principal", "left_semi").select("principal", F.col("group_name").alias("holder")).unionByName(self_).distinct()
+    got = above.join(who, "principal").join(held, ["holder", "on"]).groupBy("principal", "object_key").agg(
+        F.array_join(F.array_sort(F.collect_set("action")), ", ").alias("actions"), F.count(F.lit(1)).alias("sources"))
+    return pairs.join(got, ["principal", "object_key"], "left").select(
+        "principal", "object_key", F.coalesce("actions", F.lit("")).alias("actions"), F.coalesce("sources", F.lit(0)).alias("sources"))

@@ -1,13 +1,10 @@
 """Views, materialized views and metric views: capture, plan and creation order.
 
 The creation order is what the reference's retry loop (up to N rounds over
-the list, a failure retried next round) computes, worked out as a frontier
-loop over the dependency relation: each round adds the views whose every
-dependency is already placed.  Cost grows with the number of levels, not
-with the number of paths.  Each round is one job: its state is cached as it
-is counted, and every few rounds (and at the end) written as a reliable
-checkpoint to the session's checkpoint folder, so the plan stays short and
-a lost executor never forces a replay of more than a few rounds.
+the list, a failure retried next round) computes, worked out on the dependency
+relation (``creation_levels``): chains are contracted, so rounds grow with the logarithm of a
+chain's length.  Each round's views and edges are tables in the shared folder, so plans
+stay short, a lost executor repeats one round at most, and placed views are not read again.
 """
 
 from __future__ import annotations
@@ -17,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vaultshift.functions import names as N
 from vaultshift.operators import inventory, metadata
+from vaultshift.session import written
 
 # Skip reasons of the reference.
 NO_DDL = "No DDL captured"
@@ -24,7 +22,6 @@ NO_YAML = "No YAML body"
 NO_WAREHOUSE = "sql_warehouse_id not provided"
 # Why a view has no place in the order (own text).
 MISSING, CYCLE = "missing dependency", "dependency cycle"
-CHECKPOINT_EVERY = 4
 
 
 def view_capture(tables: DataFrame, views: DataFrame) -> DataFrame:
@@ -95,7 +92,7 @@ def creation_list(tables: DataFrame) -> DataFrame:
         F.col("tid").alias("view_id"))
 
 
-def creation_levels(items: DataFrame, deps: DataFrame, existing: DataFrame, checkpoint: bool = True) -> DataFrame:
+def creation_levels(items: DataFrame, deps: DataFrame, existing: DataFrame) -> DataFrame:
     """(view_id, level, missing) of every view whose dependencies can be followed to their end.
 
     ``items``: (view_id); ``deps``: (view_id, dep_id); ``existing``: (id) of
@@ -103,73 +100,63 @@ def creation_levels(items: DataFrame, deps: DataFrame, existing: DataFrame, chec
     is missing.  ``level`` is the longest dependency path; ``missing`` tells
     whether the view, or one that it needs, has a missing dependency.  Views
     in a cycle or downstream of one are absent.
-    """
-    from vaultshift.session import ensure_checkpoint_dir
 
-    if checkpoint:
-        ensure_checkpoint_dir(items.sparkSession)
+    An edge (view, dep, w) says that the view is at least w levels above dep.  Per round
+    edges to placed views are settled, and an edge to a view with a single open edge is
+    carried on to that one's dependency, so paths through such views double in
+    length and a chain of n views takes about log2(n) rounds.  Edges that come to lead to
+    one place become one.  Views with several open edges that don't meet are placed one
+    level after the other.  A chain longer than there are views is a cycle, and is dropped.
+    """
     items = items.select("view_id").distinct()
     ex = existing.select(F.col("id").alias("dep_id")).distinct()
-    d = (
+    d = written(
         deps.select("view_id", "dep_id").distinct().join(items, "view_id", "left_semi")
         .join(ex.withColumn("met", F.lit(True)), "dep_id", "left")
         .join(items.select(F.col("view_id").alias("dep_id"), F.lit(True).alias("is_view")), "dep_id", "left")
         .select("view_id", "dep_id", F.coalesce("is_view", F.lit(False)).alias("is_view"),
-                (F.col("is_view").isNull() & F.col("met").isNull()).alias("is_missing"))
-    )
-    if checkpoint:
-        d = d.checkpoint()  # classified once; edges and missing are read from here
-    edges = d.where("is_view").select("view_id", "dep_id")
-    facts = d.groupBy("view_id").agg(F.count_if("is_view").alias("left"), F.max("is_missing").alias("missing"))
-    # per view: dependencies left, longest path so far, and whether it was reached in the last round (the frontier)
+                (F.col("is_view").isNull() & F.col("met").isNull()).alias("is_missing")), "deps")
+    edges = d.where("is_view").select("view_id", "dep_id", F.lit(1).cast("long").alias("w"))
+    facts = d.groupBy("view_id").agg(F.max("is_missing").alias("missing"))
     state = items.join(facts, "view_id", "left").select(
-        "view_id", F.coalesce("left", F.lit(0)).cast("bigint").alias("left"), F.lit(0).alias("level"),
-        F.coalesce("missing", F.lit(False)).alias("missing")).withColumn("fresh", F.col("left") == 0)
-    edges = edges.cache()  # a filter of the checkpointed relation, read every round
-    state = state.cache()
-    n_frontier = state.where("fresh").count()
-    rnd = 0
-    while n_frontier > 0:
-        rnd += 1
-        # edges whose dependency was reached in the last round resolve now
-        f = state.where("fresh").select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_level"),
-                                        F.col("missing").alias("d_missing"))
-        upd = edges.join(f, "dep_id").groupBy("view_id").agg(
-            F.count(F.lit(1)).alias("k"), F.max(F.col("d_level") + 1).alias("lv"), F.max("d_missing").alias("dm"))
-        now = F.col("left") - F.coalesce(F.col("k"), F.lit(0))
-        nxt = state.join(upd, "view_id", "left").select(
-            "view_id", now.alias("left"), F.greatest(F.col("level"), F.coalesce(F.col("lv"), F.col("level"))).alias("level"),
-            (F.col("missing") | F.coalesce("dm", F.lit(False))).alias("missing"),
-            ((F.col("left") > 0) & (now == 0)).alias("fresh"),
-        ).cache()
-        n_frontier = nxt.where("fresh").count()  # the one job of the round; it also fills the cache
-        if checkpoint and rnd % CHECKPOINT_EVERY == 0:
-            nxt = _cut(nxt)
-        state.unpersist()
-        state = nxt
-    placed = state.where(F.col("left") == 0).select("view_id", "level", "missing")
-    if checkpoint:
-        placed = placed.checkpoint()  # durable result, read from the cached state
-    state.unpersist()
-    edges.unpersist()
-    return placed
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a cached DataFrame: written from the cache, then
-    the cache is released and later rounds read the written copy."""
-    cp = df.checkpoint()
-    df.unpersist()
-    return cp
-
-
-def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame, checkpoint: bool = True) -> DataFrame:
+        "view_id", F.lit(0).cast("long").alias("base"), F.coalesce("missing", F.lit(False)).alias("missing"))
+    n_views, placed = items.count(), None
+    while True:
+        # Open views with their number of edges and, of a single one, where it leads; only these go on.
+        ends = edges.groupBy("view_id").agg(F.count(F.lit(1)).alias("c"), F.min("dep_id").alias("via"), F.min("w").alias("via_w"))
+        now = written(state.join(ends, "view_id", "left"), "views")
+        done = now.where("c is null").select("view_id", F.col("base").alias("level"), "missing")
+        placed = done if placed is None else placed.unionByName(done)
+        state = now.where("c is not null").select("view_id", "base", "missing")
+        # A view whose single edge leads to one placed in this round is as good as placed: all edges go on to open views.
+        x = done.select(F.col("view_id").alias("via"), F.col("level").alias("x"), F.col("missing").alias("x_missing"))
+        single = now.where("c = 1").join(x, "via", "left").select(
+            F.col("view_id").alias("dep_id"), F.greatest("base", F.coalesce(F.col("x") + F.col("via_w"), F.lit(0))).alias("d_base"),
+            (F.col("missing") | F.coalesce("x_missing", F.lit(False))).alias("d_missing"), F.when(F.col("x").isNull(), F.col("via")).alias("via"), "via_w")
+        known = done.select(F.col("view_id").alias("dep_id"), F.col("level").alias("d_base"), F.col("missing").alias("d_missing"),
+                            F.lit(None).cast(done.schema["view_id"].dataType).alias("via"), F.lit(None).cast("long").alias("via_w")).unionByName(single)
+        told = written(edges.join(known, "dep_id", "left").select(
+            "view_id", F.when(F.col("d_base").isNull(), F.col("dep_id")).otherwise(F.col("via")).alias("dep_id"),
+            (F.col("w") + F.coalesce("via_w", F.lit(0))).alias("w"), (F.col("d_base") + F.col("w")).alias("up"), "d_missing"), "edges")
+        moved, stuck = told.agg(F.count_if(F.col("up").isNotNull()), F.count_if(F.col("w") > n_views)).first()
+        if not moved:
+            return placed.select("view_id", "level", "missing")  # what is open waits for a cycle, if there is anything
+        gain = told.where("up is not null").groupBy("view_id").agg(F.max("up").alias("up"), F.max("d_missing").alias("d_missing"))
+        state = state.join(gain, "view_id", "left").select(
+            "view_id", F.greatest("base", F.coalesce("up", F.lit(0))).alias("base"), (F.col("missing") | F.coalesce("d_missing", F.lit(False))).alias("missing"))
+        edges = told.where("dep_id is not null").groupBy("view_id", "dep_id").agg(F.max("w").alias("w"))
+        if stuck:
+            endless = edges.where(F.col("w") > n_views).select("view_id").distinct()
+            state, edges = state.join(endless, "view_id", "left_anti"), edges.join(endless, "view_id", "left_anti")
+
+
+def recreate_order(items: DataFrame, deps: DataFrame, existing: DataFrame) -> DataFrame:
     """(view_id, level, status, reason) for a list of views to create.
 
     A view is FAILED, with a null level, if it or a view that it needs has a
     missing dependency or is in a cycle; any depth of dependencies is placed.
     """
-    placed = creation_levels(items, deps, existing, checkpoint)
+    placed = creation_levels(items, deps, existing)
     out = items.select("view_id").join(placed, "view_id", "left")
     ok = F.col("level").isNotNull() & ~F.col("missing")
     return out.select(

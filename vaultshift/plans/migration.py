@@ -53,9 +53,11 @@ class Migration:
              direct_grants: DataFrame | None = None, volumes: DataFrame | None = None,
              volume_owners: DataFrame | None = None, object_tags: DataFrame | None = None,
              constraints: tuple[DataFrame, DataFrame, DataFrame] | None = None, views: DataFrame | None = None,
-             catalog_owner: str | None = None) -> DataFrame:
+             catalog_owner: str | None = None, view_order: DataFrame | None = None) -> DataFrame:
         """Every statement that rebuilds the catalog as ``target``, one relation:
-        (step, object_type, object_name, statement) in the order to run them.
+        (step, level, object_type, object_name, statement) in the order to run them.
+        ``level`` orders the views of step 9 by what they read, as ``view_order`` (object_type, object_name,
+        step, status; ``plans.ordering.migration_order``) says; views without a place there are left out.
 
         Steps: 1 schemas; 2 their properties, comments of tables; 3 functions and volumes; 4 tags; 5 grants;
         6 owners; 7 primary and 8 foreign keys, after the data; 9 views, which name the catalog after the
@@ -102,8 +104,13 @@ class Migration:
                 F.concat_ws(".", F.lit(self.catalog), "table_schema", "table_name").alias("object_name"),
                 "statement", (F.col("step") + 6).alias("step")))
         if views is not None:
-            parts.append(vw.recreate_plan(tables, views, self.catalog).where(F.col("status") == "PLANNED").select(
-                "object_type", "object_name", F.coalesce("statement", "fallback").alias("statement"), F.lit(9).alias("step")))
+            made = vw.recreate_plan(tables, views, self.catalog).where(F.col("status") == "PLANNED").select(
+                "object_type", "object_name", F.coalesce("statement", "fallback").alias("statement"), F.lit(9).alias("step"))
+            if view_order is not None:
+                place = view_order.where("status = 'SUCCESS'").select(
+                    "object_type", F.concat_ws(".", F.lit(self.catalog), "object_name").alias("object_name"), F.col("step").alias("level"))
+                made = made.join(place, ["object_type", "object_name"])
+            parts.append(made)
         if catalog_owner:
             parts.append(self.spark.range(1).select(
                 F.lit("CATALOG").alias("object_type"), F.lit(self.catalog).alias("object_name"),
@@ -111,8 +118,9 @@ class Migration:
                          N.quote_part(F.lit(catalog_owner))).alias("statement"), F.lit(11).alias("step")))
         out = parts[0]
         for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.select("step", "object_type", "object_name", "statement")
+            out = out.unionByName(p, allowMissingColumns=True)
+        level = F.coalesce("level", F.lit(0)) if "level" in out.columns else F.lit(0)
+        return out.select("step", level.cast("int").alias("level"), "object_type", "object_name", "statement")
 
     # -- tables -------------------------------------------------------------------------
     def _done(self, phase: str) -> set[str]:

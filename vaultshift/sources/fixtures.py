@@ -43,9 +43,9 @@ SELECT tid, table_schema, table_name, table_type,
 FROM {m_tables} WHERE table_type IN ('VIEW', 'MATERIALIZED_VIEW', 'METRIC_VIEW')""",
     "m_view_deps": """
 SELECT v.tid AS view_id, u.tid AS dep_id FROM {m_tables} v JOIN {m_tables} u ON u.tid = v.tid - 10
-  WHERE v.table_type = 'VIEW' AND u.table_type = 'VIEW' AND v.tid % 200 >= 20 AND floor(u.tid / 200) = floor(v.tid / 200)
+  WHERE v.table_type = 'VIEW' AND u.table_type = 'VIEW'
 UNION ALL SELECT v.tid, u.tid FROM {m_tables} v JOIN {m_tables} u ON u.tid = v.tid - 40
-  WHERE v.table_type = 'VIEW' AND u.table_type = 'VIEW' AND v.tid % 200 >= 20 AND floor(u.tid / 200) = floor(v.tid / 200)""",
+  WHERE v.table_type = 'VIEW' AND u.table_type = 'VIEW' AND v.tid % 200 IN (95, 105)""",
     "m_view_missing": """
 SELECT tid AS view_id, CAST(-1 AS BIGINT) AS dep_id FROM {m_tables} WHERE table_type = 'VIEW' AND tid % 200 = 106""",
     "m_table_constraints": """
@@ -82,6 +82,15 @@ SELECT CASE WHEN c_custkey % 11 = 0 THEN 'owners' ELSE 'grants' END AS phase, ob
 FROM {m_grants}""",
     "m_memberships": """
 SELECT DISTINCT concat('u_', CAST(c_custkey % 50 AS STRING)) AS principal, concat('g_', CAST(c_nationkey AS STRING)) AS group_name FROM {customer} WHERE c_custkey % 3 = 0""",
+    "m_nested_members": """
+SELECT concat('u_', CAST(c_custkey AS STRING)) AS principal, concat('h_', CAST(c_custkey % 400 AS STRING)) AS group_name FROM {customer}
+UNION ALL SELECT concat('h_', CAST(c_custkey % 400 AS STRING)), concat('h_', CAST(CAST(floor(c_custkey % 400 / 3) AS BIGINT) AS STRING)) FROM {customer}
+UNION ALL SELECT concat('h_', CAST(c_custkey % 400 AS STRING)), concat('h_', CAST(c_custkey % 400 + 7 AS STRING)) FROM {customer} WHERE c_custkey % 5 = 0 AND c_custkey % 400 < 90""",
+    "m_group_grants": """
+SELECT object_type, object_key, concat('h_', CAST(c_custkey % 400 AS STRING)) AS principal, action_type FROM {m_grants} WHERE c_custkey % 3 = 0
+UNION ALL SELECT object_type, object_key, concat('u_', CAST(c_custkey AS STRING)), action_type FROM {m_grants} WHERE c_custkey % 3 > 0""",
+    "m_asked": """
+SELECT concat('u_', CAST(c_custkey AS STRING)) AS principal, concat('prod.NATION_', CAST(c_nationkey AS STRING), '.t_', CAST(c_custkey AS STRING)) AS object_key FROM {customer}""",
     "m_routines": """
 SELECT s_suppkey AS rid, concat('NATION_', CAST(s_nationkey AS STRING)) AS routine_schema, concat('f_', CAST(s_suppkey AS STRING)) AS routine_name,
   CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE concat('x + ', CAST(s_suppkey AS STRING)) END AS routine_definition,
@@ -112,7 +121,7 @@ UNION ALL SELECT 'VOLUME', concat('prod.', volume_schema, '.', volume_name), 'g`
 UNION ALL SELECT 'SCHEMA', concat('prod.', volume_schema, '.', volume_name), 'inherited', 'USE SCHEMA' FROM {m_volumes}""",
     "m_locations": """
 SELECT 'root' AS name, 's3://lake/' AS url UNION ALL SELECT r_name, concat('s3://lake/', r_name) FROM {region}
-UNION ALL SELECT concat(r_name, '_', n_name), concat('s3://lake/', r_name, '/', n_name, '/') FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE n_nationkey <= 5""",
+UNION ALL SELECT concat(r_name, '_', n_name), concat('s3://lake/', r_name, '/', n_name, '/') FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
     "m_paths": """
 SELECT p_partkey AS path_id, CASE WHEN p_partkey % 11 = 0 THEN concat('s3://lake2/', r_name)
   ELSE concat('s3://lake/', r_name, '/', n_name, CASE WHEN p_partkey % 2 = 0 THEN concat('/t', CAST(p_partkey AS STRING)) ELSE '' END) END AS path
