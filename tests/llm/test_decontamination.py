@@ -39,6 +39,27 @@ def brute(docs, items, size=13):
     return sorted(out, key=repr)
 
 
+def longest_of(docs, items, size=13):
+    """{(document, text): (length, first place, least item)} of matches of a window or more."""
+    tests = [(str(i), words(t)) for i, t in items if i is not None and words(t)]
+    out = {}
+    for doc, text in docs:
+        w, best = words(text), (0, -1, None)
+        for name, x in tests:
+            for i in range(len(w)):
+                for j in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    if n >= min(size, len(x)):
+                        best = min(best, (n, i, name), key=lambda z: (-z[0], z[1], z[2] or ""))
+        out[doc, text] = best
+    return out
+
+
+LONGEST = ("longest", "longest_at", "longest_item")
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -82,3 +103,19 @@ def test_random_against_brute(spark):
     for window in (3, 6):
         got = D.find_contamination(d, b, window=window).select("doc_id", *[f"contamination.{f}" for f in FIELDS])
         assert rows(got) == brute(docs, items, window)
+        want = longest_of(docs, items, window)
+        got = D.find_contamination(d, b, window=window).select("doc_id", "text", *[f"contamination.{f}" for f in LONGEST])
+        assert {(r[0], r[1]): tuple(r[2:]) for r in got.collect()} == want and any(x[0] > window for x in want.values())
+
+
+def test_equal_documents_have_equal_longest_matches_whatever_the_partitions(spark):
+    item = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(["x"] * (i % 5) + item[:(30, 30, 20)[i % 3]] + ["y"])) for i in range(30)]
+    docs += [(i + 100, t) for i, t in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([("b", " ".join(item)), ("a", " ".join(item[:25]))], "item_id string, text string")
+    want = longest_of(docs, [("b", " ".join(item)), ("a", " ".join(item[:25]))])
+    for n in (1, 3, 11):
+        got = D.find_contamination(d.repartition(n), b).select("doc_id", "text", *[f"contamination.{f}" for f in LONGEST])
+        assert {(r[0], r[1]): tuple(r[2:]) for r in got.collect()} == want
+    assert sorted({x[0] for x in want.values()}) == [20, 30] and {x[2] for x in want.values()} == {"a", "b"}

@@ -4,7 +4,9 @@ The documents are cut into shards of about ``SHARD_WORDS`` words, each within
 a task.  A shard's suffix array holds its word suffixes in order; every suffix of
 every test item is binary-searched in it, all of them in step, one word deeper at
 a time.  The interval where a test window ends gives all places of that
-window, going on until the interval is empty gives the longest verbatim match.
+window.  A place whose word before isn't the test's word before begins a longest match there;
+these are followed word by word to their ends, so every document gets its own longest
+verbatim match of a window or more, wherever it is and whatever shard it is in.
 Documents of which test windows cover enough words are removed.
 
 Two savings that change no result: words that no test item has are one symbol
@@ -17,7 +19,8 @@ is united per row.
 
 Defined cases: null and empty texts have no words and are never contaminated; an
 item without words or without an id is no test; items with equal ids or texts
-each count by their id once; equal documents get equal results.
+each count by their id once; equal documents get equal results.  Of equally long matches the first
+place counts, then the least item id; a document without a whole window has length 0 and no place.
 """
 
 from __future__ import annotations
@@ -59,10 +62,13 @@ class Tests:
                 named[k].add(name)
         self.names = [sorted(x) for x in named]
         joined = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
+        #: Places of the texts in the order of their least item ids.
+        self.rank = np.empty(len(named), np.int64)
+        self.rank[sorted(range(len(named)), key=lambda k: self.names[k][0])] = np.arange(len(named))
         self.vocabulary = np.unique(joined)
         self.ids = (np.searchsorted(self.vocabulary, joined) + 1).astype(np.int32)
         size = np.array([len(p) for p in pieces], np.int64)
-        first = np.cumsum(size) - size
+        first = self.first = np.cumsum(size) - size
         count = np.where(size >= window, size - window + 1, 1)
         self.item = np.repeat(np.arange(len(size)), count)
         self.start = first[self.item] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -102,12 +108,11 @@ def suffix_array(seq: np.ndarray, n: int, least: int, depth: int) -> np.ndarray:
     return at
 
 
-def search(seq: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every test suffix: the interval of its window in ``sa``, the longest match and a place of it."""
+def search(seq: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """For every test suffix the interval of its window in ``sa``."""
     m = len(t.start)
     lo, hi = np.zeros(m, np.int64), np.full(m, len(sa), np.int64)
     w_lo, w_hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    longest, place = np.zeros(m, np.int64), np.full(m, -1, np.int64)
     active, d = np.arange(m), 0
     while len(active) and len(sa):
         want = t.ids[t.start[active] + d]
@@ -124,11 +129,22 @@ def search(seq: np.ndarray, sa: np.ndarray, t: Tests) -> tuple[np.ndarray, np.nd
         lo[active], hi[active] = bounds
         active = active[bounds[0] < bounds[1]]
         d += 1
-        longest[active], place[active] = d, sa[lo[active]]
         full = active[t.window[active] == d]
         w_lo[full], w_hi[full] = lo[full], hi[full]
-        active = active[t.left[active] > d]
-    return w_lo, w_hi, longest, place
+        active = active[t.window[active] > d]
+    return w_lo, w_hi
+
+
+def extend(seq: np.ndarray, t: Tests, q: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Lengths of the matches of test suffixes ``q`` at ``pos``, which share their window."""
+    length = t.window[q].copy()
+    going = np.flatnonzero(t.left[q] > length)
+    while len(going):
+        d = length[going]
+        going = going[seq[pos[going] + d] == t.ids[t.start[q[going]] + d]]
+        length[going] += 1
+        going = going[t.left[q[going]] > length[going]]
+    return length
 
 
 def scan_shard(hashed: np.ndarray, at: np.ndarray, t: Tests) -> list[tuple[list, set, tuple]]:
@@ -145,26 +161,30 @@ def scan_shard(hashed: np.ndarray, at: np.ndarray, t: Tests) -> list[tuple[list,
     seq[np.arange(len(hashed)) + doc] = np.where(known, k + 1, 0)
     origin = at[:-1] + np.arange(n_docs)
     sa = suffix_array(seq, n, t.shallowest, t.deepest)
-    w_lo, w_hi, longest, place = search(seq, sa, t)
+    w_lo, w_hi = search(seq, sa, t)
     out: list = [([], set(), none)] * n_docs
     size = w_hi - w_lo
     total = int(size.sum())
-    if not longest.any():
+    if not total:
         return out
     best: dict[int, tuple] = {}
-    for q in np.flatnonzero(longest):
-        d = int(np.searchsorted(origin, place[q], "right")) - 1
-        best[d] = max(best.get(d, (0, 0, "")), (int(longest[q]), -int(place[q] - origin[d]), t.names[t.item[q]][0]))
     cover = np.zeros(n + 1, np.int64)
     items: dict[int, set] = {}
-    if total:
-        q = np.repeat(np.arange(len(size)), size)
-        pos = sa[np.arange(total) - np.repeat(np.cumsum(size) - size, size) + w_lo[q]]
-        np.add.at(cover, pos, 1)
-        np.add.at(cover, pos + t.window[q], -1)
-        owner = np.searchsorted(origin, pos, "right") - 1
-        for pair in np.unique(owner * np.int64(len(t.names)) + t.item[q]):
-            items.setdefault(int(pair // len(t.names)), set()).update(t.names[int(pair % len(t.names))])
+    q = np.repeat(np.arange(len(size)), size)
+    pos = sa[np.arange(total) - np.repeat(np.cumsum(size) - size, size) + w_lo[q]]
+    np.add.at(cover, pos, 1)
+    np.add.at(cover, pos + t.window[q], -1)
+    owner = np.searchsorted(origin, pos, "right") - 1
+    for pair in np.unique(owner * np.int64(len(t.names)) + t.item[q]):
+        items.setdefault(int(pair // len(t.names)), set()).update(t.names[int(pair % len(t.names))])
+    begins = (t.start[q] == t.first[t.item[q]]) | (seq[pos - 1] != t.ids[t.start[q] - 1])  # seq ends in zeros, so -1 is none
+    q, pos, owner = q[begins], pos[begins], owner[begins]
+    length = extend(seq, t, q, pos)
+    # Of each document the longest match, then the first place, then the least item.
+    order = np.lexsort((t.rank[t.item[q]], pos, -length, owner))
+    for k in order[np.concatenate(([True], np.diff(owner[order]) > 0))]:
+        d = int(owner[k])
+        best[d] = (int(length[k]), int(pos[k] - origin[d]), t.names[t.item[q[k]]][0])
     hit = np.cumsum(cover) > 0
     edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
     spans: dict[int, list] = {}
@@ -172,8 +192,7 @@ def scan_shard(hashed: np.ndarray, at: np.ndarray, t: Tests) -> list[tuple[list,
         d = int(np.searchsorted(origin, a, "right")) - 1
         spans.setdefault(d, []).append((int(a - origin[d]), int(b - origin[d])))
     for d in set(best) | set(spans):
-        length, back, name = best.get(d, (0, 1, None))
-        out[d] = (spans.get(d, []), items.get(d, set()), (length, -back, name))
+        out[d] = (spans.get(d, []), items.get(d, set()), best.get(d, none))
     return out
 
 
@@ -228,7 +247,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                         if o := old[i]:
                             spans = united(spans, [(s["start"], s["end"]) for s in o["spans"]])
                             items = items | set(o["items"])
-                            long = max(long, (o["longest"], o["longest_at"], o["longest_item"]), key=lambda z: z[0])
+                            long = min(long, (o["longest"], o["longest_at"], o["longest_item"]), key=lambda z: (-z[0], z[1], z[2] or ""))
                         names, n_hit, size = sorted(items), sum(e - s for s, e in spans), int(sizes[k + i])
                         new.append({"n_words": size, "n_hit": n_hit, "n_items": len(names),
                                     "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(),
