@@ -1,20 +1,21 @@
 """Removal of repeated multi-line chunks with content-defined boundaries.
 
-A text is cut into chunks of lines where its content says so.  A line of ``LONG_LINE``
-words or more is a chunk of its own.  The run of shorter lines between two such is cut before
-the line of the least hash that leaves ``LEAST_WORDS`` words on both sides, then before the
-next one that does so between the cuts made, until none does; lines without words
-at its edges stay apart.  So no chunk of a run that has enough words is too small to
-count, and a run is cut alike wherever it stands.  Text that is shifted by short lines before
-it is cut at the same places again once a cut is shared.
-
-Chunks of at least ``LEAST_WORDS`` words that occur more than once are candidates by
-their hashes.  Their bytes are then compared: they are grouped by the bytes themselves,
-and a hash that stands for different bytes removes nothing.  The occurrence in the
-document of the least id (the first one there) stays, all others go.
+*Chunks.*  A hash rolls over the hashes of two lines at a time.  A text is cut after every line but
+where that hash ends in ``BITS`` zeros, and around lines without words or of ``LEAST_WORDS``, so where it is cut depends on two lines
+only: text that is shifted, inserted or removed before moves no cut behind it.
+
+*What is compared.*  Two neighbouring chunks, and a single chunk of ``LEAST_WORDS`` words, are a unit.
+Units that occur more than once are candidates by their hashes.  Their bytes are then
+compared, by a SHA-256 of them, and a hash that stands for different bytes removes nothing.
+
+*What goes.*  A unit may go wherever it isn't the first occurrence in the document of the least id.
+Neighbouring units that may go are one passage; it goes if it has ``LEAST_WORDS`` words, lines without words
+inside it too.  Shorter ones stay: lines that many documents have are no repeated passage.  In the
+least document that has a chunk in any repeated unit all its units are first, so every chunk that
+goes from one document stays in another.
 
 Only hashes are shuffled to find repeats; texts move once, to meet what is known
-of their chunks.  Equal chunks of a task are added up before they are shuffled.
+of their units.  Hashes are written once and read from there.
 
 Defined cases: a null text stays null, an empty one empty; rows without an id give
 up what a row with an id has, and keep what only such rows have; rows of equal id
@@ -23,7 +24,7 @@ count as one place, each keeping its first occurrence; a text that is removed wh
 
 from __future__ import annotations
 
-from bisect import bisect
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,15 @@ from vaultshift.llm import words as W
 from vaultshift.llm.common import frugal, small_batches
 from vaultshift.session import written
 
-LONG_LINE, LEAST_WORDS = 25, 25
+#: Least words of a passage that goes; zeros in the rolling hash where a text is not cut.
+LEAST_WORDS, BITS = 25, 5
 
 
 class Chunks:
-    """Chunks of a batch of texts: byte spans, hashes and numbers of words; ``at`` has the first chunk of each text."""
+    """Chunks of a batch of texts: byte spans and numbers of words; ``at`` has the first chunk of each text.
+
+    ``units`` has their first and last chunk, ``hashes`` their hashes, ``unit_at`` the first unit of each text.
+    """
 
     def __init__(self, texts: pa.Array, bits: int = 64):
         offsets, body = W.buffers(texts)
@@ -61,18 +66,30 @@ class Chunks:
         w, _ = W.find(offsets, body, W.NONSPACE)
         words = np.searchsorted(w, ends) - np.searchsorted(w, starts)
         total = np.concatenate(([0], np.cumsum(words)))
-        long = words >= LONG_LINE
-        cut = last | long
-        cut[:-1] |= long[1:]
-        self._cut_runs(cut, line, words, total)
+        before = np.zeros_like(line)
+        before[1:][~last[:-1]] = line[:-1][~last[:-1]]
+        rolled = W.mix(line * np.uint64(0x9E3779B97F4A7C15) + before)
+        apart = (words == 0) | (words >= LEAST_WORDS)
+        cut = last | ((rolled & np.uint64((1 << BITS) - 1)) != 0) | apart
+        cut[:-1] |= apart[1:]
         stop = np.flatnonzero(cut)
         first = np.concatenate(([0], stop[:-1] + 1)).astype(np.int64) if len(stop) else stop
         self.starts, self.ends = starts[first], ends[stop]
         self.words = total[stop + 1] - total[first]
         self.lines = stop - first + 1
-        self.hashes = W.hashes(body, self.starts, self.ends) >> np.uint64(64 - bits)
-        self.at = np.searchsorted(text[first], np.arange(n + 1)) if n else np.zeros(1, np.int64)
-        self.repeats = self.words >= LEAST_WORDS
+        owner = text[first]
+        self.at = np.searchsorted(owner, np.arange(n + 1)) if n else np.zeros(1, np.int64)
+        own = W.hashes(body, self.starts, self.ends)
+        said = np.flatnonzero(self.words > 0)
+        pair = np.flatnonzero(owner[said[1:]] == owner[said[:-1]])
+        alone = said[self.words[said] >= LEAST_WORDS]
+        a, b = np.concatenate((alone, said[:-1][pair])), np.concatenate((alone, said[1:][pair]))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        self.units = np.column_stack((a, b))
+        joint = np.where(a == b, own[a], W.mix(own[a] * np.uint64(0xD1B54A32D192ED03) + own[b]))
+        self.hashes = (joint >> np.uint64(64 - bits)).view(np.int64)
+        self.unit_at = np.searchsorted(owner[a], np.arange(n + 1)) if n else np.zeros(1, np.int64)
 
     @staticmethod
     def _owners(offsets, breaks, starts, n):
@@ -80,41 +97,35 @@ class Chunks:
         per_text = 1 + np.searchsorted(breaks, offsets[1:]) - np.searchsorted(breaks, offsets[:-1])
         return np.repeat(np.arange(n), per_text)
 
-    @staticmethod
-    def _cut_runs(cut, line, words, total):
-        """Adds to ``cut`` (after which lines) the cuts within runs of lines."""
-        run = np.concatenate(([0], np.cumsum(cut[:-1]))) if len(cut) else np.zeros(0, np.int64)
-        said = np.flatnonzero(words > 0)
-        if not len(said):
-            return
-        new = np.flatnonzero(run[said[1:]] != run[said[:-1]])
-        first, after = said[np.concatenate(([0], new + 1))], said[np.concatenate((new, [len(said) - 1]))] + 1
-        cut[first[first > 0] - 1] = True
-        cut[after - 1] = True
-        for i in np.flatnonzero(total[after] - total[first] >= 2 * LEAST_WORDS):
-            a, b = first[i], after[i]
-            before = said[np.searchsorted(said, a): np.searchsorted(said, b)]
-            before = before[(total[before] - total[a] >= LEAST_WORDS) & (total[b] - total[before] >= LEAST_WORDS)]
-            before = before[np.argsort(line[before], kind="stable")]
-            made = [int(total[a]), int(total[b])]
-            for k, at in zip(before.tolist(), total[before].tolist()):
-                place = bisect(made, at)
-                if at - made[place - 1] >= LEAST_WORDS and made[place] - at >= LEAST_WORDS:
-                    made.insert(place, at)
-                    cut[k - 1] = True
-
     def bytes_of(self, i: int) -> bytes:
         return self.body[self.starts[i]: self.ends[i]].tobytes()
 
+    def unit_bytes(self, u: int) -> bytes:
+        a, b = self.units[u]
+        return self.bytes_of(a) if a == b else self.bytes_of(a) + b"\0" + self.bytes_of(b)
+
+    def passages(self, i: int, may_go: set[int]) -> set[int]:
+        """Chunks of text ``i`` that go: of passages of units in ``may_go`` with enough words."""
+        gone: set[int] = set()
+        run: list[int] | None = None  # first and last chunk of a passage
+        for u in [*sorted(may_go), None]:
+            a, b = (int(x) for x in self.units[u]) if u is not None else (None, None)
+            if run is not None and (u is None or a > run[1]):
+                if self.words[run[0]: run[1] + 1].sum() >= LEAST_WORDS:
+                    gone.update(range(run[0], run[1] + 1))
+                run = None
+            if u is not None:
+                run = [a, b] if run is None else [run[0], max(run[1], b)]
+        return gone
+
 
 def _hashes(docs: DataFrame, bits: int) -> DataFrame:
-    """(hash, id, c): how often each text has each chunk that counts."""
+    """(hash, id): the units of each text."""
     def run(batches):
         for b in batches:
             c = Chunks(b.column(1), bits)
-            text = np.repeat(np.arange(b.num_rows), np.diff(c.at))
-            keep = np.flatnonzero(c.repeats)
-            yield pa.RecordBatch.from_arrays([pa.array(c.hashes[keep].view(np.int64)), b.column(0).take(pa.array(text[keep]))], ["hash", "id"])
+            text = np.repeat(np.arange(b.num_rows), np.diff(c.unit_at))
+            yield pa.RecordBatch.from_arrays([pa.array(c.hashes), b.column(0).take(pa.array(text))], ["hash", "id"])
 
     return docs.mapInArrow(frugal(run), f"hash bigint, id {docs.schema[0].dataType.simpleString()}")
 
@@ -127,7 +138,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bit
     small_batches(docs.sparkSession)
     docs = docs.drop("dedup")
     own = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    found = _hashes(own, bits)
+    found = written(_hashes(own, bits), "units")
     repeated = written(found.groupBy("hash").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first"))
                        .where("c > 1 and first is not null").select("hash", "first"), "repeated")
     # What each document has of them: bounded by its own chunks.  Documents without an id have theirs found by hash.
@@ -145,9 +156,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", bit
             out: list[tuple[int, bytes]] = []
             for i, found in enumerate(b.column(1).to_pylist()):
                 known = {f["hash"] for f in found}
-                for k in range(c.at[i], c.at[i + 1]):
-                    if c.repeats[k] and int(c.hashes[k].view(np.int64)) in known:
-                        out.append((int(c.hashes[k].view(np.int64)), c.bytes_of(k)))
+                for u in range(c.unit_at[i], c.unit_at[i + 1]):
+                    if (h := int(c.hashes[u])) in known:
+                        out.append((h, hashlib.sha256(c.unit_bytes(u)).digest()))
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["hash", "bytes"])
 
     compared = placed.where("__found is not null").select(F.col(f"`{text}`").alias("text"), "__found").mapInArrow(
@@ -186,12 +197,14 @@ def _kept(placed: DataFrame, schema: T.StructType, text: str, key: str, bits: in
                 gone: set[int] = set()
                 if first:
                     seen: set[int] = set()
-                    for k in span:
-                        h = int(c.hashes[k].view(np.int64))
-                        if c.repeats[k] and h in first:
+                    may_go: set[int] = set()
+                    for u in range(c.unit_at[i], c.unit_at[i + 1]):
+                        h = int(c.hashes[u])
+                        if h in first:
                             if first[h] != ids[i] or h in seen:
-                                gone.add(k)
+                                may_go.add(u)
                             seen.add(h)
+                    gone = c.passages(i, may_go)
                     if gone:
                         new[i] = b"\n".join(c.bytes_of(k) for k in span if k not in gone).decode()
                 notes.append({"lines": int(c.lines[span.start: span.stop].sum()), "chunks": len(span), "removed_chunks": len(gone),
