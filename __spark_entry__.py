@@ -1110,6 +1110,56 @@ def q_recreate_order(spark, sf_dir):
     return vw.recreate_order(vw.creation_list(f["m_tables"]), f["m_view_deps"].unionByName(f["m_view_missing"]), existing)
 
 
+@_register("create_views", """
+WITH RECURSIVE
+missing(id) AS (SELECT view_id FROM m_run_deps WHERE dep_id = -1 UNION SELECT d.view_id FROM m_run_deps d JOIN missing m ON d.dep_id = m.id),
+failed AS (SELECT tid AS id FROM m_run_views WHERE contains(ddl, 'gone') AND contains(view_body, 'gone')),
+lost(id) AS (SELECT id FROM failed UNION SELECT d.view_id FROM m_run_deps d JOIN lost l ON d.dep_id = l.id),
+paths(id, depth) AS (SELECT tid, 0 FROM m_run_views UNION SELECT d.view_id, depth + 1 FROM paths p JOIN m_run_deps d ON d.dep_id = p.id),
+v AS (SELECT tid, table_name AS object_name, ddl, (SELECT CAST(max(depth) AS INTEGER) FROM paths p WHERE p.id = tid AND tid NOT IN (SELECT id FROM missing)) AS level,
+    CASE WHEN tid IN (SELECT id FROM failed) THEN 'FAILED' WHEN tid IN (SELECT id FROM missing) OR tid IN (SELECT id FROM lost) THEN 'SKIPPED' ELSE 'SUCCESS' END AS status
+  FROM m_run_views),
+o AS (SELECT o_custkey % 5 AS k, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders),
+content AS (SELECT 'a_' || k AS object_name, price FROM o
+  UNION ALL SELECT x || k, price FROM o, (VALUES ('b_'), ('c_'), ('d_')) t(x) WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT x || (k + 4) % 5, price FROM o, (VALUES ('c_'), ('d_')) t(x))
+SELECT v.object_name, level, status, CASE WHEN status = 'SUCCESS' THEN CASE WHEN ddl IS NOT NULL AND NOT contains(ddl, 'gone') THEN 'STATEMENT' ELSE 'FALLBACK' END END AS used,
+  count(price) AS "rows", CAST(coalesce(sum(price), 0) AS BIGINT) AS total
+FROM v LEFT JOIN content c ON c.object_name = v.object_name AND status = 'SUCCESS' GROUP BY ALL""")
+def q_create_views(spark, sf_dir):
+    """The views are made in a schema of their own, read back by name, and dropped once the reading frame has been resolved."""
+    import uuid
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from vaultshift.plans import execute
+    from vaultshift.session import written
+
+    f, schema = _fx(spark, sf_dir), f"views_{uuid.uuid4().hex[:12]}"
+    named = f["m_run_views"].withColumn("table_schema", F.lit(schema)).withColumn("table_type", F.lit("VIEW")).withColumn(
+        "table_owner", F.lit("owner_0")).withColumn("comment", F.lit(None).cast("string")).withColumn("yaml_body", F.lit(None).cast("string"))
+    views = named.select(*named.columns[:2], "table_schema", "yaml_body", *[F.replace(c, F.lit("NEW."), F.lit(f"{schema}.")).alias(c) for c in ("ddl", "view_body")])
+    names = named.select(F.col("tid").alias("view_id"), F.concat_ws(".", F.lit("spark_catalog"), "table_schema", "table_name").alias("object_name"))
+    order = written(vw.recreate_order(vw.creation_list(named), f["m_run_deps"], spark.createDataFrame([], "id long")).join(names, "view_id").select(
+        "object_name", "level", F.col("status").alias("order_status")), "view-order")
+    reads = f["m_run_deps"].join(names, "view_id").join(names.toDF("dep_id", "reads"), "dep_id").select("object_name", "reads")
+    spark.sql(f"CREATE DATABASE {schema}")
+    try:
+        spark.sql(f"CREATE VIEW {schema}.orders AS SELECT * FROM parquet.`{sf_dir}/orders.parquet`")
+        made = execute.create_views(spark, vw.recreate_plan(named, views, "spark_catalog"), order, reads).select("object_name", "status", "used")
+        parts = [spark.table(r["object_name"]).select(F.lit(r["object_name"]).alias("object_name"), F.floor("o_totalprice").cast("bigint").alias("price"))
+                 for r in made.where("status = 'SUCCESS'").collect()]  # one row per view
+        empty = spark.createDataFrame([], "object_name string, price bigint")
+        content = reduce(lambda a, b: a.unionByName(b), parts, empty)
+    finally:
+        spark.sql(f"DROP DATABASE {schema} CASCADE")
+    sums = content.groupBy("object_name").agg(F.count("price").alias("rows"), F.sum("price").alias("total"))
+    return made.join(order.select("object_name", "level"), "object_name").join(sums, "object_name", "left").select(
+        F.substring_index("object_name", ".", -1).alias("object_name"), "level", "status", "used",
+        F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"), F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+
+
 from vaultshift.plans import ordering as po  # noqa: E402
 
 

@@ -97,6 +97,34 @@ def test_run_statements_and_create_views(spark):
     assert views is not None
 
 
+def test_create_views_fallback_and_failure_downstream(spark):
+    from vaultshift.plans import execute
+
+    spark.sql("DROP DATABASE IF EXISTS vs_level CASCADE")
+    spark.sql("CREATE DATABASE vs_level")
+    spark.sql("CREATE VIEW vs_level.present AS SELECT 7 AS x")
+    ok, bad = "CREATE VIEW vs_level.{} AS SELECT x FROM vs_level.{}", "CREATE VIEW vs_level.{} AS SELECT nothing_here FROM vs_level.{}"
+    rows = [("VIEW", "a", "PLANNED", bad.format("a", "present"), ok.format("a", "present")),  # made by its fallback
+            ("VIEW", "b", "PLANNED", bad.format("b", "present"), bad.format("b", "present")),  # fails
+            ("VIEW", "c", "PLANNED", None, ok.format("c", "a")),  # no statement: fallback
+            ("VIEW", "d", "PLANNED", ok.format("d", "b"), None),  # reads one that failed
+            ("VIEW", "e", "PLANNED", ok.format("e", "d"), None),  # and so on
+            ("VIEW", "f", "PLANNED", None, None),
+            ("VIEW", "g", "PLANNED", ok.format("g", "c"), None),
+            ("VIEW", "h", "PLANNED", ok.format("h", "g"), None)]  # its order can't be met
+    plan = spark.createDataFrame(rows, "object_type string, object_name string, status string, statement string, fallback string")
+    order = spark.createDataFrame([("a", 0, "SUCCESS"), ("b", 0, "SUCCESS"), ("c", 1, "SUCCESS"), ("d", 1, "SUCCESS"), ("e", 2, "SUCCESS"),
+                                   ("f", 0, "SUCCESS"), ("g", 2, "SUCCESS"), ("h", None, "FAILED")], "object_name string, level int, order_status string")
+    deps = spark.createDataFrame([("a", "present"), ("c", "a"), ("c", "a"), ("d", "b"), ("d", "a"), ("e", "d"), ("g", "c"), ("h", "g")], "object_name string, reads string")
+    res = {r["object_name"]: r for r in execute.create_views(spark, plan, order, deps).collect()}
+    assert {k: (r["status"], r["used"]) for k, r in res.items()} == {
+        "a": ("SUCCESS", "FALLBACK"), "b": ("FAILED", None), "c": ("SUCCESS", "FALLBACK"), "d": ("SKIPPED", None), "e": ("SKIPPED", None),
+        "f": ("FAILED", None), "g": ("SUCCESS", "STATEMENT"), "h": ("SKIPPED", None)}
+    assert "b" in res["d"]["error"] and "d" in res["e"]["error"] and "nothing_here" in res["b"]["error"]
+    assert spark.sql("SELECT x FROM vs_level.g").first()[0] == 7
+    assert execute.create_views(spark, plan.limit(0), order, deps).count() == 0
+
+
 def test_plan_from_harvest_and_run(spark):
     from vaultshift.plans import execute
 

@@ -10,6 +10,8 @@ so the plan stays the full record of what is left to do elsewhere.
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,26 +65,50 @@ def run_statements(spark: SparkSession, plan: DataFrame, order: list[str] | None
     return spark.createDataFrame(out, RESULT_SCHEMA)
 
 
-def create_views(spark: SparkSession, plan: DataFrame, order: DataFrame) -> DataFrame:
-    """Create views level by level from ``recreate_plan`` rows joined to the
-    creation order (object_id -> level): a view is tried after everything it
-    reads; if its statement fails, the fallback statement is tried.  Views the
-    order marks FAILED or the plan marks SKIPPED are not tried."""
-    rows = (
-        plan.join(order, "object_name")
-        .select("object_type", "object_name", "status", "statement", "fallback",
-                F.col("level"), F.col("order_status"))
-        .orderBy(F.col("level").asc_nulls_last(), "object_name").collect()
-    )
-    out = []
-    for r in rows:
-        if r["status"] != "PLANNED" or r["order_status"] != "SUCCESS":
-            out.append((r["object_type"], r["object_name"], r["statement"], "SKIPPED",
-                        "not planned" if r["status"] != "PLANNED" else "dependencies cannot be met", 0.0))
-            continue
-        status, error, secs = _run(spark, r["statement"]) if r["statement"] else ("FAILED", "no statement", 0.0)
-        if status != "SUCCESS" and r["fallback"]:
-            status, error, more = _run(spark, r["fallback"])
-            secs += more
-        out.append((r["object_type"], r["object_name"], r["statement"], status, error, float(secs)))
-    return spark.createDataFrame(out, RESULT_SCHEMA)
+def create_views(spark: SparkSession, plan: DataFrame, order: DataFrame, deps: DataFrame | None = None, parallel: int = 8) -> DataFrame:
+    """Create the views of ``recreate_plan`` level by level, those of one level at the same time.
+
+    ``order``: (object_name, level, order_status); ``deps``: (object_name, reads), the planned
+    views that each one reads.  If a statement fails, the fallback is tried.  Not tried (SKIPPED) are
+    views that the plan doesn't hold ready, that the order can't place, or that read a view of the plan
+    which wasn't created; so a failure is reported once, where it arose.  One result row per view:
+    ``used`` tells which text made it, ``STATEMENT`` or ``FALLBACK``.
+
+    Rows come to the driver in order, a partition at a time; what stays there is the name and outcome
+    of each view and the texts of one level.
+    """
+    rows = plan.join(order, "object_name")
+    if deps is None:
+        rows = rows.withColumn("reads", F.array().cast("array<string>"))
+    else:
+        rows = rows.join(deps.groupBy("object_name").agg(F.collect_set("reads").alias("reads")), "object_name", "left")
+    rows = rows.select("object_type", "object_name", "status", "statement", "fallback", "reads", "level", "order_status").orderBy(
+        F.col("level").asc_nulls_last(), "object_name")
+    planned = {r["object_name"] for r in plan.select("object_name").toLocalIterator()} if deps is not None else set()
+    made: set[str] = set()
+
+    def create(r) -> tuple:
+        used, status, secs = None, "SKIPPED", 0.0
+        if r["status"] != "PLANNED":
+            error = "not planned"
+        elif r["order_status"] != "SUCCESS":
+            error = "dependencies cannot be met"
+        elif lacking := sorted(x for x in r["reads"] or [] if x in planned and x not in made):
+            error = f"reads a view that was not created: {', '.join(lacking)}"
+        else:
+            status, error = "FAILED", "no statement"
+            for used, text in (("STATEMENT", r["statement"]), ("FALLBACK", r["fallback"])):
+                if text:
+                    status, error, more = _run(spark, text)
+                    secs += more
+                if status == "SUCCESS":
+                    break
+        return (r["object_type"], r["object_name"], r["statement"], status, error, float(secs), used if status == "SUCCESS" else None)
+
+    out: list[tuple] = []
+    with ThreadPoolExecutor(parallel) as pool:
+        for _, level in groupby(rows.toLocalIterator(), key=lambda r: r["level"]):
+            done = list(pool.map(create, level))
+            made |= {r[1] for r in done if r[3] == "SUCCESS"}
+            out += done
+    return spark.createDataFrame(out, RESULT_SCHEMA + ", used string")

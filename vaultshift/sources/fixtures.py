@@ -48,6 +48,24 @@ UNION ALL SELECT v.tid, u.tid FROM {m_tables} v JOIN {m_tables} u ON u.tid = v.t
   WHERE v.table_type = 'VIEW' AND u.table_type = 'VIEW' AND v.tid % 200 IN (95, 105)""",
     "m_view_missing": """
 SELECT tid AS view_id, CAST(-1 AS BIGINT) AS dep_id FROM {m_tables} WHERE table_type = 'VIEW' AND tid % 200 = 106""",
+    # Views that are run: over NEW.orders, where NEW stands for the schema they are made in.
+    "m_run_views": """
+SELECT CAST(r_regionkey AS BIGINT) AS tid, concat('a_', CAST(r_regionkey AS STRING)) AS table_name,
+  concat('CREATE VIEW NEW.a_', CAST(r_regionkey AS STRING), CASE WHEN r_regionkey IN (1, 2) THEN ' AS SELECT gone FROM NEW.orders'
+    ELSE concat(' AS SELECT o_orderkey, o_totalprice FROM NEW.orders WHERE o_custkey % 5 = ', CAST(r_regionkey AS STRING)) END) AS ddl,
+  CASE WHEN r_regionkey = 2 THEN 'SELECT gone FROM NEW.orders'
+    ELSE concat('SELECT o_orderkey, o_totalprice FROM NEW.orders WHERE o_custkey % 5 = ', CAST(r_regionkey AS STRING)) END AS view_body FROM {region}
+UNION ALL SELECT 10 + r_regionkey, concat('b_', CAST(r_regionkey AS STRING)),
+  CASE WHEN r_regionkey = 3 THEN NULL ELSE concat('CREATE VIEW NEW.b_', CAST(r_regionkey AS STRING), ' AS SELECT * FROM NEW.a_', CAST(r_regionkey AS STRING), ' WHERE o_orderkey % 2 = 0') END,
+  concat('SELECT * FROM NEW.a_', CAST(r_regionkey AS STRING), ' WHERE o_orderkey % 2 = 0') FROM {region}
+UNION ALL SELECT 20 + r_regionkey, concat('c_', CAST(r_regionkey AS STRING)), NULL,
+  concat('SELECT * FROM NEW.b_', CAST(r_regionkey AS STRING), ' UNION ALL SELECT * FROM NEW.a_', CAST((r_regionkey + 1) % 5 AS STRING)) FROM {region}
+UNION ALL SELECT 30 + r_regionkey, concat('d_', CAST(r_regionkey AS STRING)), NULL,
+  concat('SELECT * FROM NEW.', CASE WHEN r_regionkey = 0 THEN 'lost' ELSE concat('c_', CAST(r_regionkey AS STRING)) END) FROM {region}""",
+    "m_run_deps": """
+SELECT tid AS view_id, tid - 10 AS dep_id FROM {m_run_views} WHERE tid >= 10 AND tid <> 30
+UNION ALL SELECT tid, (tid - 19) % 5 FROM {m_run_views} WHERE tid BETWEEN 20 AND 29
+UNION ALL SELECT tid, CAST(-1 AS BIGINT) FROM {m_run_views} WHERE tid = 30""",
     "m_table_constraints": """
 SELECT tid, concat('pk_', CAST(tid AS STRING)) AS constraint_name, 'PRIMARY KEY' AS constraint_type, table_schema, table_name
 FROM {m_tables} WHERE table_type = 'MANAGED'
