@@ -47,7 +47,7 @@ WRITE_SCHEMA = T.StructType([
 ])
 
 
-def _fs(root: str):
+def filesystem(root: str):
     """(filesystem, base path) for a root given as a plain path or a URI."""
     import pyarrow.fs as pafs
 
@@ -80,7 +80,7 @@ def _listed(dirs: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
 
-        fs, base = _fs(root)
+        fs, base = filesystem(root)
         cut = len(base.rstrip("/")) + 1
         for b in batches:
             for d in b["path"]:
@@ -150,8 +150,8 @@ def copy_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: s
     n_files, total = _sizes(files) if "bytes" in files.columns else (None, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sfs, sbase = _fs(src_root)
-        dfs, dbase = _fs(dst_root)
+        sfs, sbase = filesystem(src_root)
+        dfs, dbase = filesystem(dst_root)
         made: set[str] = set()
         for b in batches:
             out = []
@@ -193,7 +193,7 @@ def hash_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     n_files, total = _sizes(files) if "bytes" in files.columns else (None, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = _fs(root)
+        fs, base = filesystem(root)
         for b in batches:
             out = []
             for rel in b["path"]:
@@ -252,7 +252,7 @@ def write_text_files(spark: SparkSession, rows: DataFrame, root: str, path_col:
     Used to lay out a volume from a table of texts.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = _fs(root)
+        fs, base = filesystem(root)
         made: set[str] = set()
         for b in batches:
             out = []

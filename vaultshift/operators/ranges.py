@@ -63,8 +63,8 @@ def _full(read, n: int) -> bytes:
 
 def _copy_ranges(ranges: DataFrame, src_root: str, dst_root: str, run: str, leaf: int, in_place: bool) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sfs, sbase = fl._fs(src_root)
-        dfs, dbase = fl._fs(dst_root)
+        sfs, sbase = fl.filesystem(src_root)
+        dfs, dbase = fl.filesystem(dst_root)
         made: set[str] = set()
         for b in batches:
             for rel, size, no, start, length in zip(b["path"], b["bytes"].tolist(), b["no"].tolist(), b["start"].tolist(), b["length"].tolist()):
@@ -108,7 +108,7 @@ def _through(src, dst, length: int, leaf: int, leaves: list[str]) -> None:
 def _composed(whole: DataFrame, dst_root: str, run: str) -> DataFrame:
     """Streams the ranges of each file into it, in order; for targets that can't be written at offsets."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dfs, dbase = fl._fs(dst_root)
+        dfs, dbase = fl.filesystem(dst_root)
         for b in batches:
             errors = []
             for rel, n in zip(b["path"], b["n"].tolist()):
@@ -138,7 +138,7 @@ def copy_ranges(spark: SparkSession, files: DataFrame, src_root: str, dst_root:
 
     size = -(-size // leaf) * leaf
     run = f"copy-{uuid.uuid4().hex[:12]}"
-    in_place = isinstance(fl._fs(dst_root)[0], pafs.LocalFileSystem) if in_place is None else in_place
+    in_place = isinstance(fl.filesystem(dst_root)[0], pafs.LocalFileSystem) if in_place is None else in_place
     done = written(_copy_ranges(ranges_of(files.select("path", "bytes"), size), src_root, dst_root, run, leaf, in_place), "ranges")
     # A file's leaves are in proportion to its ranges: a row of 64 characters per LEAF bytes.
     per = done.groupBy("path").agg(
@@ -157,7 +157,7 @@ def copy_ranges(spark: SparkSession, files: DataFrame, src_root: str, dst_root:
 def digest_ranges(files: DataFrame, root: str, size: int = RANGE, leaf: int = LEAF) -> DataFrame:
     """(path, bytes, tree_sha2, error) of files below root, read by ranges."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = fl._fs(root)
+        fs, base = fl.filesystem(root)
         for b in batches:
             for rel, no, start, length in zip(b["path"], b["no"].tolist(), b["start"].tolist(), b["length"].tolist()):
                 leaves, error = [], None
@@ -187,7 +187,7 @@ def publish(copied: DataFrame, dst_root: str) -> DataFrame:
     A name that is there already stays as it is, with an error.
     """
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, base = fl._fs(dst_root)
+        _, base = fl.filesystem(dst_root)
         for b in batches:
             errors = []
             for rel, target in zip(b["path"], b["target"]):

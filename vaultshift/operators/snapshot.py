@@ -80,7 +80,7 @@ def _footers(found: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
 
-        fs, base = fl._fs(root)
+        fs, base = fl.filesystem(root)
         for b in batches:
             out = []
             for rel in b["path"]:
@@ -131,8 +131,8 @@ def _copy(todo: DataFrame, src_root: str, dst_root: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
 
-        sfs, sbase = fl._fs(src_root)
-        dfs, dbase = fl._fs(dst_root)
+        sfs, sbase = fl.filesystem(src_root)
+        dfs, dbase = fl.filesystem(dst_root)
         for b in batches:
             out = []
             for rel, part in zip(b["path"], b["part"]):

@@ -91,7 +91,7 @@ def footers(files: DataFrame, root: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
 
-        fs, base = fl._fs(root)
+        fs, base = fl.filesystem(root)
         for b in batches:
             out = []
             for table, rel in zip(b["table_name"], b["path"]):
