@@ -21,8 +21,8 @@ def alike(a, b):
 
 
 def brute(rows):
-    """Of rows whose ids differ."""
-    rows = sorted(((d, t or "") for d, t in rows if d is not None), reverse=True)
+    """Of rows whose ids differ; none comes last."""
+    rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
     out = {}
     for i, (d, t) in enumerate(rows):
         nxt = rows[(i + 1) % len(rows)][1]
@@ -72,6 +72,26 @@ def test_small_tables(spark):
     assert sorted(r.id for r in P.compare(twice).collect()) == [4, 5, 5]
 
 
+def test_rows_without_ids(spark):
+    texts = ["A b. C d.", "E f. G h. I j.", "K."]
+    rows = [(None, t) for t in texts]
+    got = P.compare(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 3 and {r.id for r in got} == {None}
+    # each is edited by another one, and the three form one ring
+    edits = {hashlib.sha256((a[:len(a) - len(a) // 3] + b[:len(a) // 3]).encode()).hexdigest(): (a, b) for a in texts for b in texts if a != b or len(a) < 3}
+    assert len([r for r in got if r.edited_sha256 in edits]) == 3
+    # ids whose least one begins the lowest range leave that range to the rows without ids
+    more = [(i, f"Text {i}. It ends.") for i in range(1, 400)] + [(None, "Nothing. At all. Here.")]
+    close(result(P.compare(spark.createDataFrame(more, "doc_id long, text string")), "id"), brute(more))
+
+
+def test_no_table_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    df = P.compare(spark.createDataFrame([(i, f"Text {i}. It ends.") for i in range(20)], "doc_id long, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert df.count() == 20
+
+
 def test_no_python_and_one_text_shuffle(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = P.compare(docs)._jdf.queryExecution().executedPlan().toString()

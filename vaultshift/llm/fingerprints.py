@@ -15,8 +15,8 @@ Texts move once: to their neighbours by id, in ranges of ids.  Sketches, their
 differences and the rounds of peeling are aggregates that stay in these ranges.
 
 Defined cases: a null text is an empty one; empty texts have empty sketches, which are
-alike by 1; rows without an id have no place in the order and are left out; rows of
-equal id are ordered by the hash of their texts; a single row is its own next one.
+alike by 1; rows without an id come last in the order; rows of equal id, or of none,
+are ordered by the hash of their texts and stay in one range; a single row is its own next one.  Ids are numbers.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ def neighbours(docs: DataFrame, text: str, key: str) -> DataFrame:
     Ids are cut at quantiles into a few ranges per partition.  The first text of a range also goes,
     as a guest, to the end of the range before; so one shuffle of the texts brings neighbours together.
     """
-    d = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    d = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     n = RANGES * partitions(docs.sparkSession)
     cuts = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10_000).alias("p")).first()["p"] if n > 1 else None
     cuts = sorted(set(cuts or []))
@@ -69,12 +69,19 @@ def neighbours(docs: DataFrame, text: str, key: str) -> DataFrame:
     # One id per range: bounded by the number of partitions, as are the guests.
     tops = {r["range"]: r["top"] for r in d.groupBy("range").agg(F.max("id").alias("top")).collect()}
     order = sorted(tops, reverse=True)
-    guests = [(tops[b], a) for a, b in zip(order, order[1:] + order[:1])]
-    to = docs.sparkSession.createDataFrame(guests, f"id {d.schema['id'].dataType.simpleString()}, to int") if guests else None
+    guest_of = [(b, a) for a, b in zip(order, order[1:] + order[:1])]
     own = d.withColumn("guest", F.lit(False))
-    if to is not None:
+    for to in (b for a, b in guest_of if tops[a] is None):
+        # A range of rows without ids: its first row is that of the least hash.
+        ranked = d.where(F.col("id").isNull()).withColumn("hash", F.xxhash64("text"))
+        first = ranked.agg(F.min("hash").alias("least"))
+        own = own.unionByName(ranked.join(F.broadcast(first), F.col("hash") == F.col("least")).select(
+            "id", "text", F.lit(to).alias("range"), F.lit(True).alias("guest")))
+    guests = [(tops[a], b) for a, b in guest_of if tops[a] is not None]
+    if guests:
+        to = docs.sparkSession.createDataFrame(guests, f"id {d.schema['id'].dataType.simpleString()}, to int")
         own = own.unionByName(d.join(F.broadcast(to), "id").select("id", "text", F.col("to").alias("range"), F.lit(True).alias("guest")))
-    line = Window.partitionBy("range").orderBy("guest", F.desc("id"), F.xxhash64("text"))
+    line = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("id"), F.xxhash64("text"))
     own = own.repartition(partitions(docs.sparkSession), "range")
     placed = own.withColumn("units", units(F.col("text"))).select(
         "range", "id", "text", "guest", "units", F.row_number().over(line).alias("row"),
@@ -133,11 +140,17 @@ def peeled(cells: DataFrame, rounds: int) -> DataFrame:
 
 
 def _kept_in_ranges(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder whose files keep the ranges apart, so that reading it needs no shuffle."""
+    """``df`` written to the shared folder in files that keep the ranges apart, so that reading it needs no shuffle.
+
+    Buckets can only be read through the catalog; the entry is dropped once the frame has been resolved, the files stay.
+    """
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex[:12]}"
     df.write.bucketBy(partitions(spark), "range").option("path", shared_uri(spark, label)).saveAsTable(name)
-    return spark.table(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def _cell_text(side: int) -> Column:
@@ -153,7 +166,7 @@ def _sketch_text(cells: int, found: str) -> Column:
 
 
 def compare(docs: DataFrame, text: str = "text", key: str = "doc_id", cells: int = CELLS) -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row with an id."""
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # joins by (range, row) stay in the ranges
     pairs = neighbours(docs, text, key).withColumn("edited", edited(F.col("text"), F.col("next")))
