@@ -272,6 +272,14 @@ def q_log_durations(spark, sf_dir):
     return alog.durations(_log(spark, sf_dir), BATCH)
 
 
+@_register("log_duration_texts", """
+SELECT batch_id, catalog_name, phase, printf('%.1f', round(CAST(CAST(min(duration_seconds) AS VARCHAR) AS DECIMAL(28, 12)), 1)) AS shortest,
+  printf('%.1f', round(CAST(CAST(max(duration_seconds) AS VARCHAR) AS DECIMAL(28, 12)), 1)) AS longest
+FROM m_log GROUP BY batch_id, catalog_name, phase""")
+def q_log_duration_texts(spark, sf_dir):
+    return alog.duration_texts(_fx(spark, sf_dir)["m_log"])
+
+
 @_register("log_percentiles", """
 SELECT phase, q, count(duration_seconds) AS n, list_sort(list(duration_seconds))[CAST(greatest(1, ceil(q * count(duration_seconds))) AS BIGINT)] AS value
 FROM (SELECT CASE WHEN phase = 'tables' THEN 'tables' ELSE 'others' END AS phase, duration_seconds FROM m_log) l,

@@ -234,3 +234,13 @@ def test_constraint_and_grant_statements(spark):
                                    "object_type string, object_key string, principal string, action_type string")
     g = [r["statement"] for r in statements.grant_plan(direct, "cat", "cat_aux").collect()]
     assert g == ["GRANT USE SCHEMA ON SCHEMA `cat_aux`.`s` TO `team a`"]
+
+
+def test_one_decimal_texts(spark):
+    values = [0.0, 0.04, 0.05, 0.25, 1.05, 1.15, 12.34, 99.95, 1234567.89, None]
+    rows = [("b", "c", f"p{i}", v) for i, v in enumerate(values)]
+    got = {r.phase: (r.shortest, r.longest) for r in auditlog.duration_texts(
+        spark.createDataFrame(rows, "batch_id string, catalog_name string, phase string, duration_seconds double")).collect()}
+    # the shown decimals are rounded, half of a unit up
+    want = ["0.0", "0.0", "0.1", "0.3", "1.1", "1.2", "12.3", "100.0", "1234567.9", None]
+    assert got == {f"p{i}": (w, w) for i, w in enumerate(want)}

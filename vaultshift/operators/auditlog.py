@@ -251,3 +251,14 @@ def durations(log: DataFrame, batch_id: str, with_median: bool = False) -> DataF
     if with_median:
         aggs.append(F.percentile_approx("duration_seconds", 0.5).alias("p50_seconds"))
     return _batch(log, batch_id).groupBy("phase").agg(*aggs).orderBy("phase")
+
+
+def duration_texts(log: DataFrame) -> DataFrame:
+    """(batch_id, catalog_name, phase, shortest, longest): the durations of every phase of every run as messages show them,
+    seconds with one decimal; null where nothing was timed."""
+    from vaultshift.functions.names import one_decimal
+
+    return log.groupBy("batch_id", "catalog_name", "phase").agg(
+        F.min("duration_seconds").alias("shortest"), F.max("duration_seconds").alias("longest")).select(
+        "batch_id", "catalog_name", "phase",
+        *[F.when(F.col(c).isNotNull(), one_decimal(F.col(c))).alias(c) for c in ("shortest", "longest")])
