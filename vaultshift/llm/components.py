@@ -15,6 +15,9 @@ def components(links: DataFrame) -> DataFrame:
     renames the ends of the links; links within a component vanish.  Every round
     at least halves the nodes that still have links.  A node with very many links
     is one group of a map-side minimum and a key of joins that Spark can split.
+
+    Defined cases: a link with a null end, or from a node to itself, says nothing and is left out, and so is a node
+    that has no other; repeated links and both directions of one count once; no links give no rows; other columns are ignored.
     """
     left = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "links")
     ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
