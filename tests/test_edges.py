@@ -244,3 +244,37 @@ def test_one_decimal_texts(spark):
     # the shown decimals are rounded, half of a unit up
     want = ["0.0", "0.0", "0.1", "0.3", "1.1", "1.2", "12.3", "100.0", "1234567.9", None]
     assert got == {f"p{i}": (w, w) for i, w in enumerate(want)}
+
+
+def test_volumes_of_any_size_are_taken_in_small_parts(spark, tmp_path):
+    """A task holds few entries of a folder and few texts at once, and folders are listed by several tasks."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    from pyspark.sql import functions as F
+
+    rows = spark.range(0, 1000, 1, 1).select(
+        F.concat_ws("/", F.concat(F.lit("d"), F.col("id") % 40), F.concat(F.lit("f"), F.col("id"))).alias("path"),
+        F.when(F.col("id") != 7, F.repeat(F.lit("ä"), (F.col("id") % 5).cast("int"))).alias("text"))
+    root = str(tmp_path)
+    made = {r["path"]: r["bytes"] for r in files.write_text_files(spark, rows, root).collect()}
+    assert len(made) == 1000 and made["d7/f7"] == 0 and made["d4/f4"] == 8
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    assert rows.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] <= 256
+    os.symlink(f"{root}/d1/f1", f"{root}/d1/link")
+    os.symlink(f"{root}/nothing", f"{root}/d1/broken")
+    local = pafs.LocalFileSystem()
+    entries = files._entries(local, f"{root}/d1")
+    assert next(entries)[0].startswith(f"{root}/d1/")  # one by one, not as a list
+    want = {(x.path, x.size, x.mtime_ns // 1000, False) for x in local.get_file_info(pafs.FileSelector(f"{root}/d1")) if x.type == pafs.FileType.File}
+    assert set(files._entries(local, f"{root}/d1")) == want and len(want) == 26
+    folders = spark.createDataFrame([(f"d{i}",) for i in range(40)], "path string")
+    assert files._listed(folders, root).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    assert {r["path"]: r["bytes"] for r in files.manifest(spark, root).where("path not like '%link'").collect()} == made
+    assert [b.num_rows for b in files.gathered(((str(i), i) for i in range(10_000)), files.WRITE_SCHEMA)] == [4096, 4096, 1808]

@@ -1,7 +1,7 @@
 """Volumes: file manifests, distributed copy and checks.
 
 A manifest lists files in tasks (directories spread over executors) without
-reading their content.  The copy is a ``mapInPandas`` over the manifest: every task
+reading their content.  The copy is a ``mapInArrow`` over the manifest: every task
 streams its files in blocks between two roots that all executors can open
 (local, mounted, or any filesystem ``pyarrow.fs`` resolves from a URI), and
 returns one row per file with its byte count and SHA-256.  Files are spread
@@ -15,18 +15,25 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import math
+import os
+import stat
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vaultshift.session import written
 
 BLOCK = 8 * 1024 * 1024
 TARGET_BYTES_PER_TASK = 256 * 1024 * 1024
+#: Files of a task at most, small as they may be.
+FILES_PER_TASK = 50_000
+#: Rows of an Arrow batch that goes to or comes from a task: a worker holds so many texts or results at once.
+ROWS, TEXTS = 4096, 256
 
 COPY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -65,6 +72,20 @@ def _join(base: str, rel: str) -> str:
     return base.rstrip("/") + "/" + rel.lstrip("/")
 
 
+def gathered(rows: Iterator[tuple], schema: T.StructType, cells=lambda row: 1) -> Iterator[pa.RecordBatch]:
+    """``rows`` as Arrow batches of ``schema``, each ended when its rows have ``ROWS`` cells: not one for every row, nor one for a whole task."""
+    arrow = to_arrow_schema(schema)
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += cells(row)
+        if n >= ROWS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
+
+
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("bytes", T.LongType()),
@@ -75,23 +96,42 @@ MANIFEST_SCHEMA = T.StructType([
 LISTED_SCHEMA = T.StructType([*MANIFEST_SCHEMA.fields, T.StructField("is_dir", T.BooleanType())])
 
 
+def _entries(fs, folder: str) -> Iterator[tuple]:
+    """(path, bytes, time of change in microseconds, whether a directory) of each entry of a folder.
+
+    A local or mounted folder is read entry by entry, however many it has; of others ``pyarrow.fs`` gives the whole list.
+    """
+    import pyarrow.fs as pafs
+
+    if isinstance(fs, pafs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            for x in found:
+                try:
+                    st = x.stat()
+                except FileNotFoundError:  # gone since, or a link to nothing
+                    continue
+                if stat.S_ISREG(st.st_mode) or stat.S_ISDIR(st.st_mode):
+                    is_dir = stat.S_ISDIR(st.st_mode)
+                    yield _join(folder, x.name), None if is_dir else st.st_size, st.st_mtime_ns // 1000, is_dir
+        return
+    for x in fs.get_file_info(pafs.FileSelector(folder)):
+        if x.type in (pafs.FileType.File, pafs.FileType.Directory):
+            yield x.path, x.size if x.type == pafs.FileType.File else None, x.mtime, x.type == pafs.FileType.Directory
+
+
 def _listed(dirs: DataFrame, root: str) -> DataFrame:
     """Entries of every directory of ``dirs`` (column ``path``, relative to root), without their subdirectories'."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pyarrow.fs as pafs
-
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         fs, base = filesystem(root)
         cut = len(base.rstrip("/")) + 1
         for b in batches:
-            for d in b["path"]:
-                found = fs.get_file_info(pafs.FileSelector(_join(base, d) if d else base))
-                for i in range(0, len(found), 10_000):
-                    yield pd.DataFrame(
-                        [(x.path[cut:], x.size if x.type == pafs.FileType.File else None, x.mtime, x.type == pafs.FileType.Directory)
-                         for x in found[i: i + 10_000] if x.type in (pafs.FileType.File, pafs.FileType.Directory)],
-                        columns=LISTED_SCHEMA.fieldNames())
+            for d in b.column("path").to_pylist():
+                for path, *rest in _entries(fs, _join(base, d) if d else base):
+                    yield path[cut:], *rest
 
-    return dirs.repartition(F.xxhash64("path")).mapInPandas(run, LISTED_SCHEMA)
+    # The number is given, or adaptive execution would put the few rows into one task.
+    return dirs.repartition(dirs.sparkSession.sparkContext.defaultParallelism, F.xxhash64("path")).mapInArrow(
+        lambda batches: gathered(rows(batches), LISTED_SCHEMA), LISTED_SCHEMA)
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -127,13 +167,13 @@ def snapshot_manifest(spark: SparkSession, root: str, out: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).parquet(out)
 
 
-def _spread(df: DataFrame, total_bytes: int | None, n_files: int | None, min_tasks: int) -> DataFrame:
+def _spread(df: DataFrame, total_bytes: int | None, n_files: int | None, min_tasks: int, by: tuple[str, ...] = ("path",)) -> DataFrame:
     n = min_tasks
     if total_bytes:
         n = max(n, math.ceil(total_bytes / TARGET_BYTES_PER_TASK))
     if n_files:
-        n = min(n, n_files)
-    return df.repartition(max(1, n), F.xxhash64(F.col("path")))
+        n = min(max(n, math.ceil(n_files / FILES_PER_TASK)), n_files)
+    return df.repartition(max(1, n), F.xxhash64(*by))
 
 
 def _sizes(df: DataFrame) -> tuple[int, int]:
@@ -149,13 +189,12 @@ def copy_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: s
     """
     n_files, total = _sizes(files) if "bytes" in files.columns else (None, None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         sfs, sbase = filesystem(src_root)
         dfs, dbase = filesystem(dst_root)
         made: set[str] = set()
         for b in batches:
-            out = []
-            for rel in b["path"]:
+            for rel in b.column("path").to_pylist():
                 h, n = hashlib.sha256(), 0
                 part = None
                 try:
@@ -176,27 +215,26 @@ def copy_files(spark: SparkSession, files: DataFrame, src_root: str, dst_root: s
                             dst.write(chunk)
                             n += len(chunk)
                     dfs.move(part, target)
-                    out.append((rel, n, h.hexdigest(), "COPIED", None))
+                    row = (rel, n, h.hexdigest(), "COPIED", None)
                 except Exception as e:  # noqa: BLE001 - reported per file
-                    out.append((rel, None, None, "FAILED", str(e)))
+                    row = (rel, None, None, "FAILED", str(e))
                     if part is not None:
                         with contextlib.suppress(Exception):
                             dfs.delete_file(part)
-            yield pd.DataFrame(out, columns=COPY_SCHEMA.fieldNames())
+                yield row
 
     spread = _spread(files.select("path"), total, n_files, spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(run, COPY_SCHEMA)
+    return spread.mapInArrow(lambda batches: gathered(rows(batches), COPY_SCHEMA), COPY_SCHEMA)
 
 
 def hash_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     """(path, bytes, sha2, error) of files below root, streamed in blocks (no size limit)."""
     n_files, total = _sizes(files) if "bytes" in files.columns else (None, None)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         fs, base = filesystem(root)
         for b in batches:
-            out = []
-            for rel in b["path"]:
+            for rel in b.column("path").to_pylist():
                 h, n = hashlib.sha256(), 0
                 try:
                     with fs.open_input_stream(_join(base, rel), compression=None) as src:
@@ -206,13 +244,13 @@ def hash_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
                                 break
                             h.update(chunk)
                             n += len(chunk)
-                    out.append((rel, n, h.hexdigest(), None))
+                    row = (rel, n, h.hexdigest(), None)
                 except Exception as e:  # noqa: BLE001 - reported per file
-                    out.append((rel, None, None, str(e)))
-            yield pd.DataFrame(out, columns=HASH_SCHEMA.fieldNames())
+                    row = (rel, None, None, str(e))
+                yield row
 
     spread = _spread(files.select("path"), total, n_files, spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(run, HASH_SCHEMA)
+    return spread.mapInArrow(lambda batches: gathered(rows(batches), HASH_SCHEMA), HASH_SCHEMA)
 
 
 def file_check(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -249,14 +287,14 @@ def write_text_files(spark: SparkSession, rows: DataFrame, root: str, path_col:
                      text_col: str = "text") -> DataFrame:
     """Write each row's text (UTF-8) as one file at ``root/<path>``; returns (path, bytes).
 
-    Used to lay out a volume from a table of texts.
+    Used to lay out a volume from a table of texts.  A worker holds ``TEXTS`` rows at once.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def written_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         fs, base = filesystem(root)
         made: set[str] = set()
         for b in batches:
-            out = []
-            for rel, text in zip(b[path_col], b[text_col]):
+            for rel, text in zip(b.column(0), b.column(1)):
+                rel, text = rel.as_py(), text.as_py()
                 data = ("" if text is None else text).encode("utf-8")
                 target = _join(base, rel)
                 parent = target.rsplit("/", 1)[0]
@@ -265,7 +303,7 @@ def write_text_files(spark: SparkSession, rows: DataFrame, root: str, path_col:
                     made.add(parent)
                 with fs.open_output_stream(target, compression=None) as dst:
                     dst.write(data)
-                out.append((rel, len(data)))
-            yield pd.DataFrame(out, columns=WRITE_SCHEMA.fieldNames())
+                yield rel, len(data)
 
-    return rows.select(F.col(path_col).alias(path_col), F.col(text_col).alias(text_col)).mapInPandas(run, WRITE_SCHEMA)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXTS))
+    return rows.select(path_col, text_col).mapInArrow(lambda batches: gathered(written_rows(batches), WRITE_SCHEMA), WRITE_SCHEMA)
