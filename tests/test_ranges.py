@@ -69,3 +69,19 @@ def test_published_names(spark):
         with open(f"{dst}/{rel}", "rb") as f:
             assert f.read() == body
     assert fl.manifest(spark, dst).count() == len(data)
+
+
+def test_small_ranges_go_to_many_tasks_in_few_batches(spark):
+    """Rows of ranges are small however large the ranges: many tasks take them, and their results are not one batch each."""
+    from pyspark.sql import functions as F
+
+    src, data = _made(spark)
+    dst = fresh_dir(spark, "t-ranges-many")
+    ranges = rg.ranges_of(fl.manifest(spark, src).where("path = 'huge'"), 256)
+    done = rg._copy_ranges(ranges, src, dst, "copy-y", 64, True).withColumn("p", F.spark_partition_id())
+    assert done.select("p").distinct().count() > 1
+    leaves = [("f", i, 2048, ["x" * 64] * 2047, None) for i in range(5)]
+    assert [b.num_rows for b in fl.gathered(iter(leaves), rg._DONE, lambda r: 1 + len(r[3]))] == [2, 2, 1]
+    back = rg.digest_ranges(fl.manifest(spark, dst), dst, size=256, leaf=64).collect()
+    with open(f"{src}/huge", "rb") as f:
+        assert [(r.bytes, r.tree_sha2) for r in back] == [rg.stream_digest(f.read, 64)]

@@ -19,17 +19,25 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultshift.operators import files as fl
 from vaultshift.session import written
 
 RANGE, LEAF = 256 << 20, 4 << 20
-_DONE = "path string, no long, bytes long, leaves array<string>, error string"
+_DONE = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("no", T.LongType()),
+    T.StructField("bytes", T.LongType()),
+    T.StructField("leaves", T.ArrayType(T.StringType())),
+    T.StructField("error", T.StringType()),
+])
 
 
 def ranges_of(files: DataFrame, size: int = RANGE) -> DataFrame:
@@ -62,12 +70,12 @@ def _full(read, n: int) -> bytes:
 
 
 def _copy_ranges(ranges: DataFrame, src_root: str, dst_root: str, run: str, leaf: int, in_place: bool) -> DataFrame:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         sfs, sbase = fl.filesystem(src_root)
         dfs, dbase = fl.filesystem(dst_root)
         made: set[str] = set()
         for b in batches:
-            for rel, size, no, start, length in zip(b["path"], b["bytes"].tolist(), b["no"].tolist(), b["start"].tolist(), b["length"].tolist()):
+            for rel, size, no, start, length in zip(*(b.column(c).to_pylist() for c in ("path", "bytes", "no", "start", "length"))):
                 leaves, error = [], None
                 try:
                     target = fl._join(dbase, f"{rel}.{run}")
@@ -89,10 +97,20 @@ def _copy_ranges(ranges: DataFrame, src_root: str, dst_root: str, run: str, leaf
                                 _through(src, dst, length, leaf, leaves)
                 except Exception as e:  # noqa: BLE001 - reported per file
                     leaves, error = [], str(e)[:500]
-                yield pd.DataFrame({"path": [rel], "no": [no], "bytes": [length], "leaves": [leaves], "error": pd.Series([error], dtype=object)})
+                yield rel, no, length, leaves, error
+
+    return _by_range(ranges, rows)
+
 
-    # By a hash of file and range: the ranges of a file go to many tasks.
-    return ranges.repartition(F.xxhash64("path", "no")).mapInPandas(work, _DONE)
+def _by_range(ranges: DataFrame, rows: Callable) -> DataFrame:
+    """What ``rows`` gives of each range.  By a hash of file and range: the ranges of a file go to many tasks.
+
+    The number of tasks is given: of a range only its place is in the row, so adaptive execution would take
+    gigabytes of files for a few small rows and read them in one task.
+    """
+    n, total = fl._sizes(ranges.select(F.col("length").alias("bytes")))
+    spread = fl._spread(ranges, total, n, ranges.sparkSession.sparkContext.defaultParallelism, ("path", "no"))
+    return spread.mapInArrow(lambda batches: fl.gathered(rows(batches), _DONE, lambda r: 1 + len(r[3])), _DONE)
 
 
 def _through(src, dst, length: int, leaf: int, leaves: list[str]) -> None:
@@ -125,7 +143,9 @@ def _composed(whole: DataFrame, dst_root: str, run: str) -> DataFrame:
                     errors.append(str(e)[:500])
             yield pd.DataFrame({"path": b["path"], "failed": pd.Series(errors, dtype=object)})
 
-    return whole.select("path", "n").repartition(F.xxhash64("path")).mapInPandas(work, "path string, failed string")
+    files, total = fl._sizes(whole)
+    spread = fl._spread(whole.select("path", "n"), total, files, whole.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(work, "path string, failed string")
 
 
 def copy_ranges(spark: SparkSession, files: DataFrame, src_root: str, dst_root: str, size: int = RANGE, leaf: int = LEAF,
@@ -156,10 +176,10 @@ def copy_ranges(spark: SparkSession, files: DataFrame, src_root: str, dst_root:
 
 def digest_ranges(files: DataFrame, root: str, size: int = RANGE, leaf: int = LEAF) -> DataFrame:
     """(path, bytes, tree_sha2, error) of files below root, read by ranges."""
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         fs, base = fl.filesystem(root)
         for b in batches:
-            for rel, no, start, length in zip(b["path"], b["no"].tolist(), b["start"].tolist(), b["length"].tolist()):
+            for rel, no, start, length in zip(*(b.column(c).to_pylist() for c in ("path", "no", "start", "length"))):
                 leaves, error = [], None
                 try:
                     with fs.open_input_file(fl._join(base, rel)) as src:
@@ -167,10 +187,10 @@ def digest_ranges(files: DataFrame, root: str, size: int = RANGE, leaf: int = LE
                         _through(src, _Nowhere, length, leaf, leaves)
                 except Exception as e:  # noqa: BLE001 - reported per file
                     leaves, error = [], str(e)[:500]
-                yield pd.DataFrame({"path": [rel], "no": [no], "bytes": [length], "leaves": [leaves], "error": pd.Series([error], dtype=object)})
+                yield rel, no, length, leaves, error
 
     size = -(-size // leaf) * leaf
-    done = ranges_of(files.select("path", "bytes"), size).repartition(F.xxhash64("path", "no")).mapInPandas(work, _DONE)
+    done = _by_range(ranges_of(files.select("path", "bytes"), size), rows)
     per = done.groupBy("path").agg(F.sum("bytes").alias("bytes"), F.max("error").alias("error"), F.array_sort(F.collect_list(F.struct("no", "leaves"))).alias("parts"))
     return per.select("path", "bytes", F.when(F.col("error").isNull(), F.sha2(F.array_join(F.flatten(F.col("parts.leaves")), ""), 256)).alias("tree_sha2"), "error")
 
