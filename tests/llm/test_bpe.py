@@ -75,3 +75,19 @@ def test_neighbours_against_the_definition():
         left, right = e.bytes_of[int(a)], e.bytes_of[int(b)]
         if e._stands(int(a)) and e._stands(int(b)):
             assert e._fits(int(a), int(b)) == (e.merged(left + right) == [left, right])
+
+
+def test_steps_are_kept_by_state_and_started_anew(monkeypatch):
+    """Neighbours and decoder steps lie with their state; full tables are emptied there, and nothing changes."""
+    c = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    texts = ["thequickbrownfox的ñéß" * 30, "日本語 текст 👩‍👩‍👧 " * 9, "x" * 1500 + "zq" * 700]
+    for states in (1 << 19, 4):
+        monkeypatch.setattr(bpe, "STATES", states)
+        for text in texts * 2:
+            ids = c.encode(text)
+            assert ids == OTHER.encode_ordinary(text) and c.decoder.decode(ids) == text
+            assert c.encoder._pairs == sum(map(len, c.encoder._lefts.values()))
+            assert c.decoder._made == sum(map(len, c.decoder._states.values()))
+    c.known, c.older = {}, {}
+    c.encode("zqzqzq"), c.decoder.decode([])
+    assert c.encoder._pairs < 50 and c.decoder._made == 0

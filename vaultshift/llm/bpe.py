@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+class _Node(dict):
+    """Steps from one node: byte -> node, compiled when first asked for.
+
+    ``ends`` has each token that ends here: (its length, the token, which tokens may be left of it).
+    """
+
+    __slots__ = ("encoder", "reading", "ends")
+
+    def __init__(self, encoder: Encoder, reading: bytes, ends: list[tuple[int, int, dict[int, bool]]]):
+        self.encoder, self.reading, self.ends = encoder, reading, ends
+
+    def __missing__(self, byte: int) -> _Node:
+        return self.encoder._step(self, byte)
+
+
 class Encoder:
     """The transducer of one vocabulary (token bytes -> rank).
 
@@ -59,13 +76,12 @@ class Encoder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
         self.starts = {b[:n] for b in ranks for n in range(1, len(b) + 1)}
-        self._pair: dict[int, bool] = {}
+        self._lefts: dict[int, dict[int, bool]] = {}
+        self._pairs = 0
         self._made: dict[int, tuple[int | None, int | None]] = {}
         self._own: dict[int, bool] = {}
-        self._nodes: dict[bytes, int] = {b"": 0}
-        self._bytes: list[bytes] = [b""]
-        self._ends: list[list[tuple[int, int]]] = [[]]
-        self._next: dict[int, int] = {}
+        self._root = _Node(self, b"", [])
+        self._nodes: dict[bytes, _Node] = {b"": self._root}
 
     def merged(self, data: bytes) -> list[bytes]:
         return self.merged_below(data, 1 << 62)
@@ -119,21 +135,25 @@ class Encoder:
             self._made[token] = halves
         return self._made[token]
 
-    def _step(self, node: int, byte: int) -> int:
-        reading = self._bytes[node] + bytes([byte])
+    def _step(self, node: _Node, byte: int) -> _Node:
+        reading = node.reading + bytes([byte])
         while reading not in self.starts:
             reading = reading[1:]
             if not reading:
                 raise ValueError(f"no token for byte {byte}")
         to = self._nodes.get(reading)
         if to is None:
-            to = self._nodes[reading] = len(self._bytes)
-            self._bytes.append(reading)
             ends = ((n, self.ranks.get(reading[len(reading) - n:])) for n in range(len(reading), 0, -1))
-            self._ends.append([(n, t) for n, t in ends if t is not None and self._stands(t)])
-        self._next[node << 8 | byte] = to
+            to = self._nodes[reading] = _Node(self, reading, [
+                (n, t, self._lefts.setdefault(t, {})) for n, t in ends if t is not None and self._stands(t)])
+        node[byte] = to
         return to
 
+    def _learn(self, lefts: dict[int, bool], left: int, token: int) -> bool:
+        self._pairs += 1
+        lefts[left] = self._fits(left, token)
+        return lefts[left]
+
     def _path(self, last: list[int], k: int) -> list[int]:
         out = []
         while k > 0:
@@ -147,44 +167,66 @@ class Encoder:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self._pair) > STATES:
-            self._pair.clear()
-        follow, ends, pair = self._next, self._ends, self._pair
+        if self._pairs > STATES:
+            for lefts in self._lefts.values():
+                lefts.clear()
+            self._pairs = 0
         out: list[int] = []
-        node, last = 0, [-1]
-        for byte in data:
-            to = follow.get(node << 8 | byte)
-            node = self._step(node, byte) if to is None else to
-            at = len(last)
-            for n, token in ends[node]:
-                left = last[at - n]
-                if left < 0:
-                    break
-                k = left << 20 | token
-                fit = pair.get(k)
-                if fit is None:
-                    fit = pair[k] = self._fits(left, token)
-                if fit:
-                    break
-            last.append(token)
-            if at >= AHEAD:
+        node, last = self._root, [-1]
+        for start in range(0, len(data), AHEAD):
+            if start:
                 # Later tokens start at a prefix that the node still reaches; what all of them agree on is emitted.
-                live = set(range(max(0, at - len(self._bytes[node])), at + 1))
+                at = len(last) - 1
+                live = set(range(max(0, at - len(node.reading)), at + 1))
                 while len(live) > 1:
                     far = max(live)
                     live = live - {far} | {far - self.size[last[far]]}
                 meet = live.pop()
                 out += self._path(last, meet)
                 last = last[meet:]
+            for byte in data[start: start + AHEAD]:
+                node = node[byte]
+                for n, token, lefts in node.ends:
+                    left = last[-n]
+                    if left < 0:
+                        break
+                    fit = lefts.get(left)
+                    if fit is None:
+                        fit = self._learn(lefts, left, token)
+                    if fit:
+                        break
+                last.append(token)
         return out + self._path(last, len(last) - 1)
 
 
+class _Steps(dict):
+    """Steps with one unfinished character: token -> (text, the steps after it), compiled when first asked for."""
+
+    __slots__ = ("decoder", "waiting")
+
+    def __init__(self, decoder: Decoder, waiting: bytes):
+        self.decoder, self.waiting = decoder, waiting
+
+    def __missing__(self, token: int) -> tuple[str, _Steps]:
+        text, waiting = self.decoder._step(self.waiting, token)
+        self.decoder._made += 1
+        to = self[token] = text, self.decoder._steps(waiting)
+        return to
+
+
 class Decoder:
     """Token ids to text, one id at a time; what is left of a character waits for the next id."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
-        self._next: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        self._states: dict[bytes, _Steps] = {}
+        self._made = 0
+
+    def _steps(self, waiting: bytes) -> _Steps:
+        found = self._states.get(waiting)
+        if found is None:
+            found = self._states[waiting] = _Steps(self, waiting)
+        return found
 
     #: Bytes that follow a first byte of a character; what may come right after it, by the UTF-8 definition.
     @staticmethod
@@ -225,16 +267,15 @@ class Decoder:
 
     def feed(self, waiting: bytes, ids: list[int]) -> tuple[str, bytes]:
         """Text of ``ids`` after the unfinished bytes ``waiting``, and what is unfinished then."""
-        if len(self._next) > STATES:
-            self._next.clear()
-        follow, out = self._next, []
+        if self._made > STATES:
+            for steps in self._states.values():
+                steps.clear()
+            self._states, self._made = {}, 0
+        steps, out = self._steps(waiting), []
         for token in ids:
-            to = follow.get((waiting, token))
-            if to is None:
-                to = follow[waiting, token] = self._step(waiting, token)
-            text, waiting = to
+            text, steps = steps[token]
             out.append(text)
-        return "".join(out), waiting
+        return "".join(out), steps.waiting
 
     def decode(self, ids: list[int]) -> str:
         text, waiting = self.feed(b"", ids)
@@ -246,13 +287,13 @@ class Codec:
         self.encoder = Encoder(load_ranks(path))
         self.decoder = Decoder(self.encoder.bytes_of)
         self.pieces = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def _ids(self, piece: str) -> list[int]:
+    def _ids(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.encoder.piece(piece.encode())
+            ids = tuple(self.encoder.piece(piece.encode()))
         if len(piece) <= 64:
             if len(self.known) >= PIECES:
                 self.known, self.older = {}, self.known
@@ -260,11 +301,19 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pieces.findall(text):
-            ids = self.known.get(piece)
-            out += self._ids(piece) if ids is None else ids
-        return out
+        pieces = self.pieces.findall(text)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            known = self.known
+            for i, ids in enumerate(found):
+                if ids is None:
+                    piece = pieces[i]
+                    ids = known.get(piece)  # met earlier in this text
+                    if ids is None:
+                        ids = self._ids(piece)
+                        known = self.known
+                    found[i] = ids
+        return list(chain.from_iterable(found))
 
 
 @lru_cache(maxsize=2)
@@ -328,11 +377,11 @@ def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: s
             for t in b.column(b.schema.get_field_index(text)):
                 own = c.encode(t.as_py() or "")
                 sizes.append(len(own))
-                packed = np.array(own, "<u4")
-                found.append(hashlib.sha256(packed.tobytes()).hexdigest())
+                packed = struct.pack(f"<{len(own)}I", *own)
+                found.append(hashlib.sha256(packed).hexdigest())
                 decoded.append(hashlib.sha256(c.decoder.decode(own).encode()).hexdigest())
                 if ids:
-                    lists.append(packed.view("<i4"))
+                    lists.append(np.frombuffer(packed, "<i4"))
             columns = [*(b.column(b.schema.get_field_index(f.name)) for f in rest), pa.array(sizes, pa.int64()),
                        pa.array(found, pa.string()), pa.array(decoded, pa.string())]
             if ids:
